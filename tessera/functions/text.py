@@ -124,5 +124,5 @@ def scoped_id(prefix: str, *parts: Column | str) -> Column:
 def polynomial_hash(c: Column | str, base: int = 31, modulus: int = 1 << 32) -> Column:
     """base-31 hash of the code points, modulo 2**32."""
     chars = F.filter(F.split(col(c), ""), lambda x: x != "")
-    code = lambda x: F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("long")
+    code = lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")
     return F.aggregate(chars, F.lit(0).cast("long"), lambda h, x: F.pmod(h * base + code(x), F.lit(modulus)))

@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over the event log as a stream of runs, queues and sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import events as E
+from ..operators.metrics import micros
+from ..streaming import events as S
+from .registry import query
+
+TERM = "('run.completed', 'run.failed', 'run.cancelled')"
+
+
+@query("event_replay", "SELECT sequence, event_type, payload FROM run_events WHERE run_id = '7-2024-01-03' AND sequence > 700")
+def event_replay(t):
+    return E.replay(t.run_events(), "7-2024-01-03", 700).select("sequence", "event_type", "payload")
+
+
+@query("event_dedup", "SELECT run_id, event_type, min(sequence) AS sequence FROM run_events GROUP BY 1, 2")
+def event_dedup(t):
+    return t.run_events().groupBy("run_id", "event_type").agg(F.min("sequence").alias("sequence"))
+
+
+@query("run_state", f"WITH t AS (SELECT run_id, min(sequence) AS s FROM run_events WHERE event_type IN {TERM} GROUP BY 1), g AS (SELECT e.run_id, max(CASE WHEN e.sequence = t.s THEN e.event_type END) AS te, arg_max(e.event_type, e.sequence) AS l, count(*) AS events FROM run_events e LEFT JOIN t USING (run_id) GROUP BY 1) SELECT run_id, events, CASE WHEN te = 'run.completed' THEN 'COMPLETED' WHEN te = 'run.cancelled' THEN 'CANCELLED' WHEN te IS NOT NULL THEN 'FAILED' WHEN l = 'route.resolved' THEN 'RETRIEVING' WHEN l IN ('message.delta', 'message.completed') THEN 'GENERATING' ELSE 'ROUTING' END AS state FROM g")
+def run_state(t):
+    return E.run_state(t.run_events())
+
+
+@query("terminal_once", f"SELECT run_id, sequence, event_type FROM (SELECT *, row_number() OVER (PARTITION BY run_id, event_type IN {TERM} ORDER BY sequence) AS n FROM run_events) WHERE event_type NOT IN {TERM} OR n = 1")
+def terminal_once(t):
+    return E.terminal_once(t.run_events()).select("run_id", "sequence", "event_type")
+
+
+@query("run_recover", "SELECT run_id, 'run.failed' AS event_type, 'server_restarted' AS code, true AS retryable FROM agent_runs WHERE status NOT IN ('COMPLETED', 'FAILED', 'CANCELLED')")
+def run_recover(t):
+    return E.recover(t.agent_runs())
+
+
+@query("delta_coalesce", """WITH d AS (SELECT run_id, sequence, payload AS delta, epoch_us(created_at) // 1000 AS at_ms FROM run_events WHERE event_type IN ('message.delta', 'route.resolved')),
+s AS (SELECT *, sum(CASE WHEN at_ms - p <= 14400000 THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY sequence) AS session FROM (SELECT *, lag(at_ms) OVER (PARTITION BY run_id ORDER BY sequence) AS p FROM d)),
+c AS (SELECT *, coalesce(sum(length(delta)) OVER (PARTITION BY run_id, session ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 24 AS chunk FROM s)
+SELECT run_id, min(sequence) AS first_sequence, count(*) AS deltas, string_agg(delta, '' ORDER BY sequence) AS text FROM c GROUP BY run_id, session, chunk""")
+def delta_coalesce(t):
+    e = t.run_events().where(F.col("event_type").isin("message.delta", "route.resolved"))
+    d = e.select("run_id", "sequence", F.col("payload").alias("delta"), F.floor(micros("created_at") / 1000).alias("at_ms"))
+    return E.coalesce_deltas(d, 24, 14_400_000).select("run_id", "first_sequence", "deltas", "text")
+
+
+@query("answer_rebuild", "WITH k AS (SELECT run_id, sequence, payload, CASE event_type WHEN 'message.delta' THEN 'delta' WHEN 'message.completed' THEN 'final' END AS kind FROM run_events) SELECT run_id, coalesce(arg_max(payload, sequence) FILTER (WHERE kind = 'final'), string_agg(payload, '' ORDER BY sequence) FILTER (WHERE kind = 'delta'), '') AS answer FROM k GROUP BY 1")
+def answer_rebuild(t):
+    kind = F.when(F.col("event_type") == "message.delta", "delta").when(F.col("event_type") == "message.completed", "final")
+    return E.rebuild_answer(t.run_events().select("run_id", "sequence", kind.alias("kind"), F.col("payload").alias("text")))
+
+
+@query("rate_limit", "SELECT sequence, row_number() OVER (PARTITION BY user_id, epoch_us(created_at) // 3600000000 ORDER BY sequence) <= 1 AS allowed FROM run_events")
+def rate_limit(t):
+    return E.rate_limit(t.run_events(), 1, micros("created_at"), minutes=60).select("sequence", "allowed")
+
+
+@query("idempotency", """WITH RECURSIVE e AS (SELECT user_id, event_type, sequence, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sequence) AS n FROM run_events),
+f AS (SELECT user_id, event_type, sequence, n, us + 36000000000 AS until, true AS reserved FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_type, e.sequence, e.n, CASE WHEN e.us >= f.until THEN e.us + 36000000000 ELSE f.until END, e.us >= f.until FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+SELECT user_id, event_type, sequence, reserved FROM f""")
+def idempotency(t):
+    e = t.run_events().select("user_id", "event_type", "sequence", micros("created_at").alias("us"))
+    return E.idempotent(e, ["user_id", "event_type"], 36_000_000_000, "us").select("user_id", "event_type", "sequence", "reserved")
+
+
+@query("login_limit")
+def login_limit(t):
+    return E.login_limit(t.run_events().select("user_id", "sequence", micros("created_at").alias("at_us")), 3, 86_400_000_000)
+
+
+@query("host_pressure")
+def host_pressure(t):
+    return E.host_pressure(t.run_events().select(F.col("user_id").cast("string").alias("host"), "sequence", (F.col("event_type") == "run.failed").alias("error")), 2, 4.0, 3)
+
+
+@query("model_cursor", "SELECT user_id AS pool, sequence, CAST(least(coalesce(sum(CASE WHEN event_type IN ('run.failed', 'message.completed') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS INTEGER) AS model FROM run_events")
+def model_cursor(t):
+    c = t.run_events().select(F.col("user_id").alias("pool"), "sequence", F.col("event_type").alias("error"))
+    return E.model_cursor(c, 5, ["run.failed", "message.completed"]).select("pool", "sequence", "model")
+
+
+@query("backoff", "SELECT l_orderkey, l_linenumber, least(1.5 * pow(2, l_linenumber - 1), 30.0) AS wait FROM lineitem")
+def backoff(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", E.backoff(F.col("l_linenumber"), 1.5, 30.0).alias("wait"))
+
+
+@query("sse_frames", "SELECT sequence, 'id: ' || sequence || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || payload || chr(10) || chr(10) AS frame FROM run_events")
+def sse_frames(t):
+    return t.run_events().select("sequence", E.sse_frame(F.col("sequence"), F.col("event_type"), F.col("payload")).alias("frame"))
+
+
+@query("sse_parse", "SELECT sequence, CASE WHEN sequence % 5 <> 1 THEN CAST(sequence AS VARCHAR) END AS id, CASE WHEN sequence % 5 <> 1 THEN event_type END AS event, CASE WHEN sequence % 5 = 0 THEN replace(payload, ': ', chr(10) || ': ') WHEN sequence % 5 <> 1 THEN payload END AS data FROM run_events")
+def sse_parse(t):
+    k = F.pmod("sequence", F.lit(5))
+    good = E.sse_frame(F.col("sequence"), F.col("event_type"), F.col("payload"))
+    two = F.replace(good, F.lit('"k": '), F.lit('"k"\ndata: : '))
+    frame = F.when(k == 0, two).when(k == 1, F.lit("event: x\ndata: {broken\n\n")).otherwise(F.concat(F.lit(": keep-alive\n"), good))
+    return t.run_events().select("sequence", E.sse_parse(frame).alias("p")).select("sequence", "p.id", "p.event", "p.data")
+
+
+@query("wire_events", "SELECT CASE event_type WHEN 'route.resolved' THEN 'status' WHEN 'message.delta' THEN 'text' WHEN 'message.completed' THEN 'sources' WHEN 'run.completed' THEN 'done' ELSE 'error' END AS kind, count(*) AS n FROM run_events GROUP BY 1")
+def wire_events(t):
+    e = F.col("event_type")
+    kind = F.when(e == "route.resolved", "status").when(e == "message.delta", "text").when(e == "message.completed", "sources").when(e == "run.completed", "done").otherwise("error")
+    return t.run_events().groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _queue(t):
+    o = F.col("o_orderkey")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("DISCOVERED", "PENDING", "CLAIMED", "FETCHED")]), (F.pmod(o, F.lit(4)) + 1).cast("int"))
+    us = micros("o_orderdate")
+    return t("orders").select(o.alias("id"), "o_custkey", status.alias("status"), F.pmod(o, F.lit(9)).alias("priority"), F.pmod(F.col("o_custkey"), F.lit(5)).alias("depth"), us.alias("created_us"), us.alias("claimed_us"), F.when(F.pmod(o, F.lit(3)) == 0, us + 86_400_000_000).alias("next_us"), F.pmod(o, F.lit(4)).cast("int").alias("retry_count"), F.element_at(F.array(*[F.lit(s) for s in ("fetched", "parsed", "failed", "ignored")]), (F.pmod(F.col("o_custkey"), F.lit(4)) + 1).cast("int")).alias("outcome"))
+
+
+QUEUE = "WITH q AS (SELECT o_orderkey AS id, o_custkey, ['DISCOVERED', 'PENDING', 'CLAIMED', 'FETCHED'][o_orderkey % 4 + 1] AS status, o_orderkey % 9 AS priority, o_custkey % 5 AS depth, epoch_us(o_orderdate) AS us, CASE WHEN o_orderkey % 3 = 0 THEN epoch_us(o_orderdate) + 86400000000 END AS next_us, o_orderkey % 4 AS retry_count, ['fetched', 'parsed', 'failed', 'ignored'][o_custkey % 4 + 1] AS outcome FROM orders) "
+NOW = 900_000_000_000_000
+
+
+@query("enqueue_new", "SELECT o_custkey, min(o_orderkey) AS id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500) GROUP BY 1")
+def enqueue_new(t):
+    q = _queue(t).select("o_custkey", "id")
+    return E.enqueue(q.where("id < 500"), q, ["o_custkey"], "id")
+
+
+@query("claim_batch", QUEUE + f"SELECT id, priority, depth FROM q WHERE (status IN ('DISCOVERED', 'PENDING') OR (status = 'CLAIMED' AND us < {NOW} - 900000000)) AND (next_us IS NULL OR next_us <= {NOW}) ORDER BY priority, depth, us, id LIMIT 200")
+def claim_batch(t):
+    return E.claim(_queue(t), F.lit(NOW), 900_000_000, 200).select("id", "priority", "depth")
+
+
+@query("queue_transition", QUEUE + f"SELECT id, CASE outcome WHEN 'fetched' THEN 'FETCHED' WHEN 'parsed' THEN 'PARSED' WHEN 'ignored' THEN 'IGNORED' ELSE CASE WHEN retry_count + 1 >= 3 THEN 'FAILED' ELSE 'PENDING' END END AS new_status, CAST(retry_count + CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END AS INTEGER) AS new_retry, CASE outcome WHEN 'parsed' THEN {NOW} + 604800000000 WHEN 'failed' THEN {NOW} + CAST(pow(2, least(retry_count, 5)) * 60000000 AS BIGINT) END AS next_us FROM q")
+def queue_transition(t):
+    return E.transition(_queue(t).drop("next_us"), "outcome", F.lit(NOW)).select("id", "new_status", "new_retry", "next_us")
+
+
+@query("crawl_order", "WITH r AS (SELECT page_id, row_number() OVER (ORDER BY contains(url, 'utm_') DESC, url DESC, page_id) AS rn FROM pages) SELECT page_id, (rn - 1) // 8 AS batch FROM r WHERE rn <= 200")
+def crawl_order(t):
+    """Batches of eight of the first 200 pages: a top-k, then numbers for these rows."""
+    from pyspark.sql.window import Window
+
+    first = t("pages").select("page_id", "url").orderBy(F.desc(F.col("url").contains("utm_")), F.desc("url"), "page_id").limit(200)
+    w = Window.orderBy(F.desc(F.col("url").contains("utm_")), F.desc("url"), "page_id")
+    return first.select("page_id", F.floor((F.row_number().over(w) - 1) / 8).alias("batch"))
+
+
+@query("events_tumbling", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2")
+def events_tumbling(t):
+    g = t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    return g.select(micros("w.start").alias("start_us"), "event_type", "n", "v")
+
+
+@query("events_session", "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s")
+def events_session(t):
+    g = t("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", micros("w.start").alias("start_us"), "n")
+
+
+@query("stream_tumbling", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(t):
+    """The same windows from a stream with a watermark, run to its end."""
+    return S.run_to_end(S.tumbling(S.source(t.spark, t.path, "events")), "stream_tumbling", "complete")
+
+
+@query("stream_terminal_once", f"SELECT run_id, min(sequence) AS sequence FROM run_events WHERE event_type IN {TERM} GROUP BY 1")
+def stream_terminal_once(t):
+    """First terminal event of each run from a stream with state."""
+    return S.run_to_end(S.terminal_once(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "append")

@@ -95,8 +95,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
-    if re.match(r"(?i)with\s", body):
-        return f"WITH {head}, {body[4:].lstrip()}"
+    if m := re.match(r"(?i)with(\s+recursive)?\s", body):
+        return f"WITH{m[1] or ''} {head}, {body[m.end():]}"
     return f"WITH {head} {body}"
 
 

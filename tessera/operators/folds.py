@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], name: str, kind: str) -> DataFrame:
@@ -16,6 +18,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
     start() makes the state at the first row of a key. row holds the columns of df."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     at = [df.columns.index(k) for k in keys]
+    arrow = to_arrow_type(DataType.fromDDL(kind))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = None, None
@@ -26,6 +29,6 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
                 if state is None or key != last:
                     state, last = start(), key
                 out.append(step(state, row))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=[*b.schema.names, name])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{fields}, `{name}` {kind}")

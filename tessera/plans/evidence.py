@@ -1 +1,341 @@
-"""Queries."""
+"""Queries over retrieval, ranking, citations, sessions and page parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..operators import html as H
+from ..operators import retrieval as R
+from ..sources.tables import zip_members as scan_zip
+from .registry import query
+
+FRESH = [("freshness_status_question", "le de|der und"), ("freshness_current_marker", "the of")]
+SCHEDULE, DYNAMIC, STABLE = "with", "que|was", "that|les"
+YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?: |-)()"
+TAIL = "left(regexp_replace(text, '\\s+', ' ', 'g'), 60)"
+
+
+def questions(t):
+    q = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60)
+    return t("conversations").where("role = 'user'").select("conv_id", "turn", q.alias("q"))
+
+
+LEVEL = f"SELECT conv_id, turn, q, CASE WHEN regexp_matches(q, 'le de|der und') THEN 'freshness_status_question' WHEN regexp_matches(q, 'the of') THEN 'freshness_current_marker' WHEN regexp_matches(q, 'with') THEN 'freshness_schedule_question' WHEN regexp_matches(q, 'que|was') AND NOT regexp_matches(q, 'that|les') THEN 'freshness_dynamic_information' ELSE 'stable_campus_knowledge' END AS reason FROM (SELECT conv_id, turn, {TAIL} AS q FROM conversations WHERE role = 'user')"
+
+
+def fresh(t):
+    return questions(t).withColumn("f", R.freshness(F.col("q"), 2024, FRESH, SCHEDULE, DYNAMIC, STABLE, YEAR))
+
+
+@query("freshness_class", f"SELECT conv_id, turn, reason, CASE WHEN reason = 'stable_campus_knowledge' THEN 'STABLE' ELSE 'CURRENT' END AS level FROM ({LEVEL})")
+def freshness_class(t):
+    return fresh(t).select("conv_id", "turn", "f.level", "f.reason")
+
+
+@query("route_plan", f"SELECT conv_id, turn, CASE WHEN length(q) < 30 THEN 'controlled' WHEN contains(q, 'Probe') THEN 'web_search' WHEN reason = 'stable_campus_knowledge' THEN 'knowledge' ELSE 'hybrid' END AS route FROM ({LEVEL})")
+def route_plan(t):
+    return fresh(t).select("conv_id", "turn", R.route(F.col("f.level"), F.char_length("q") < 30, F.lit(False), F.col("q").contains("Probe")).alias("route"))
+
+
+@query("plan_valid", f"SELECT conv_id, turn, CASE WHEN length(q) < 30 THEN turn % 2 = 0 WHEN reason = 'stable_campus_knowledge' THEN true ELSE turn % 4 = 0 END AS valid FROM ({LEVEL})")
+def plan_valid(t):
+    r = R.route(F.col("f.level"), F.char_length("q") < 30, F.lit(False), F.lit(False))
+    p = fresh(t).withColumn("route", r)
+    v = R.plan_valid(F.col("route"), F.col("turn") % 2 == 0, F.when(F.col("route") == "hybrid", F.col("turn") % 4 == 0).otherwise(False), F.col("route").isin("knowledge", "hybrid"))
+    return p.select("conv_id", "turn", v.alias("valid"))
+
+
+@query("question_strip")
+def question_strip(t):
+    """Greetings and polite openings before the questions of the conversations."""
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("你好，请问", "Hello, ", "hi", "请问一下：", "")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
+    return questions(t).select("conv_id", "turn", R.stripped(F.concat(lead, "q")).alias("question"))
+
+
+RES = """WITH res AS (SELECT m.knowledge_id, d.doc_id, s.source_id, s.source_name, s.official_url, coalesce(a.attachment_id, '') AS attachment_id, coalesce(a.name, '') AS attachment_name, coalesce(a.url, '') AS attachment_url FROM kb_mappings m JOIN kb_documents d ON d.doc_id = m.doc_id JOIN kb_sources s ON s.source_id = d.source_id LEFT JOIN kb_attachments a ON a.attachment_id = m.attachment_id AND a.doc_id = d.doc_id
+WHERE m.import_status = 'IMPORTED' AND d.rag_eligible AND NOT d.pii_detected AND d.review_status = 'ACCEPTED' AND s.active AND (m.attachment_id IS NULL OR (a.attachment_id IS NOT NULL AND a.rag_eligible AND NOT a.pii_detected AND a.review_status = 'ACCEPTED'))) """
+
+
+def resolved(t):
+    return R.resolve(t.kb_mappings(), t.kb_documents(), t.kb_sources(), t.kb_attachments())
+
+
+@query("resolve_evidence", RES + "SELECT * FROM res")
+def resolve_evidence(t):
+    return resolved(t).drop("content")
+
+
+@query("doc_attachments", RES + ", l AS (SELECT doc_id, array_to_string(list(attachment_id ORDER BY ord, attachment_id), ',') AS list FROM kb_attachments WHERE rag_eligible AND NOT pii_detected AND review_status = 'ACCEPTED' GROUP BY 1) SELECT knowledge_id, res.doc_id, coalesce(list, attachment_id) AS attachments FROM res LEFT JOIN l ON l.doc_id = res.doc_id")
+def doc_attachments(t):
+    return R.attachment_lists(resolved(t), t.kb_attachments()).withColumn("attachments", F.array_join("attachments", ","))
+
+
+@query("metadata_coalesce", "SELECT event_id, coalesce(nullif(props->>'$.title', ''), props->>'$.k', 'none') AS title, coalesce(TRY_CAST(props->>'$.k' AS BIGINT), -1) AS k FROM events")
+def metadata_coalesce(t):
+    get = lambda p: F.get_json_object("props", f"$.{p}")
+    return t("events").select("event_id", F.coalesce(F.nullif(get("title"), F.lit("")), get("k"), F.lit("none")).alias("title"), F.coalesce(get("k").try_cast("long"), F.lit(-1)).alias("k"))
+
+
+#: Candidates: for every source as a query its documents in order, some blank.
+CAND = "cand AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS ord, 'kb-' || doc_id AS knowledge_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE 'c' || doc_id END AS chunk_id, doc_id FROM documents)"
+
+
+def candidates(t):
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    d = F.col("doc_id")
+    return t("documents").select(F.col("source").alias("query_id"), F.row_number().over(w).alias("ord"), F.concat(F.lit("kb-"), d.cast("string")).alias("knowledge_id"), F.when(d % 13 == 0, " ").otherwise(F.concat(F.lit("c"), d.cast("string"))).alias("chunk_id"), F.col("text").alias("content"))
+
+
+EVI = RES + f", {CAND}, evi AS (SELECT c.query_id, c.ord, c.knowledge_id, r.doc_id, r.source_id, CASE WHEN attachment_url <> '' THEN attachment_url ELSE official_url END AS source_url, 'src_kb_' || left(sha256('s1' || chr(0) || r.doc_id), 24) AS evidence_id, row_number() OVER (PARTITION BY c.query_id ORDER BY c.ord) AS rank FROM cand c JOIN res r USING (knowledge_id) WHERE trim(chunk_id) <> '') "
+
+
+def evid(t):
+    return R.evidence(candidates(t), resolved(t), ["example.org"], 4, "s1")
+
+
+@query("kb_evidence", EVI + "SELECT query_id, knowledge_id, source_url, evidence_id, rank FROM evi WHERE rank <= 4")
+def kb_evidence(t):
+    return evid(t).select("query_id", "knowledge_id", "source_url", "evidence_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("kb_candidates_topk", "SELECT query_id, knowledge_id, ord FROM (" + CAND.replace("cand AS (", "", 1) + " WHERE ord <= 3")
+def kb_candidates_topk(t):
+    return candidates(t).where("ord <= 3").select("query_id", "knowledge_id", F.col("ord").cast("long").alias("ord"))
+
+
+@query("sources_group", "WITH i AS (SELECT source, doc_id, lang AS x FROM documents WHERE source <> 'src5') SELECT source, min(doc_id) AS first_ord, array_to_string(list_transform(list_sort(list(struct_pack(o := o, x := x))), lambda r: r.x), ',') AS excerpts FROM (SELECT source, x, min(doc_id) AS o FROM i GROUP BY 1, 2) JOIN (SELECT source AS s2, min(doc_id) AS doc_id FROM i GROUP BY 1) ON s2 = source GROUP BY 1")
+def sources_group(t):
+    i = t("documents").select(F.when(F.col("source") == "src5", "").otherwise(F.col("source")).alias("source"), "doc_id", "lang")
+    return R.group_sources(i, "source", "doc_id", "lang").withColumn("excerpts", F.array_join("excerpts", ","))
+
+
+@query("sources_merge", "WITH u AS (SELECT source, 0 AS grp, doc_id AS ord FROM documents WHERE lang = 'es' UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'de') SELECT source, arg_min(grp, grp * 1000000000 + ord) AS grp, arg_min(ord, grp * 1000000000 + ord) AS ord FROM u GROUP BY 1")
+def sources_merge(t):
+    g = lambda lang: t("documents").where(F.col("lang") == lang).select("source", F.col("doc_id").alias("ord"))
+    return R.merge_groups(g("es"), g("de"), key="source")
+
+
+@query("hybrid_outcome", "WITH w AS (SELECT conv_id AS query_id, conv_id % 7 = 0 AS wf, count(*) % 3 AS wn FROM conversations GROUP BY 1), k AS (SELECT conv_id AS query_id, conv_id % 5 = 0 AS kf, count(*) FILTER (WHERE role = 'user') % 2 AS kn FROM conversations WHERE conv_id % 11 <> 0 GROUP BY 1) SELECT query_id, CASE WHEN wf THEN 'web_failed' WHEN wn = 0 THEN 'no_answer' WHEN coalesce(kf, true) OR kn = 0 THEN 'web_only' ELSE 'both' END AS outcome FROM w LEFT JOIN k USING (query_id)")
+def hybrid_outcome(t):
+    c = t("conversations")
+    q = F.col("conv_id").alias("query_id")
+    w = c.groupBy(q).agg((F.count("*") % 3).alias("n")).withColumn("failed", F.col("query_id") % 7 == 0)
+    k = c.where("conv_id % 11 <> 0").groupBy(q).agg((F.count_if(F.col("role") == "user") % 2).alias("n")).withColumn("failed", F.col("query_id") % 5 == 0)
+    return R.hybrid(k, w)
+
+
+@query("session_history", "SELECT session_id, count(*) AS turns, array_to_string(list(role || ':' || length(content) ORDER BY turn), ' ') AS history FROM messages GROUP BY 1")
+def session_history(t):
+    m = t.messages()
+    item = F.concat_ws(":", "role", F.char_length("content"))
+    return m.groupBy("session_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]), " ").alias("history"))
+
+
+@query("citations_by_message", "SELECT m.message_id, count(*) AS n, array_to_string(list(s.source_id ORDER BY s.source_id), ',') AS sources FROM messages m JOIN kb_sources s ON s.active AND (m.session_id + m.turn) % 20 = CAST(replace(s.source_id, 'src', '') AS BIGINT) WHERE m.role = 'assistant' GROUP BY 1")
+def citations_by_message(t):
+    s = t.kb_sources().where("active").select("source_id", F.replace("source_id", F.lit("src"), F.lit("")).cast("long").alias("k"))
+    m = t.messages().where("role = 'assistant'").withColumn("k", (F.col("session_id") + F.col("turn")) % 20)
+    return m.join(s, "k").groupBy("message_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("sources"))
+
+
+@query("source_visible", "SELECT u.user_id, count(*) AS visible FROM users u JOIN kb_sources s ON u.user_id % 20 = CAST(replace(s.source_id, 'src', '') AS BIGINT) WHERE s.active GROUP BY 1")
+def source_visible(t):
+    s = t.kb_sources().where("active").select(F.replace("source_id", F.lit("src"), F.lit("")).cast("long").alias("school"))
+    return t.users().withColumn("school", F.col("user_id") % 20).join(s, "school").groupBy("user_id").agg(F.count("*").alias("visible"))
+
+
+@query("owned_insert", "SELECT message_id FROM messages WHERE session_id IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0)")
+def owned_insert(t):
+    own = t("conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("session_id")).distinct()
+    return t.messages().join(own, "session_id", "left_semi").select("message_id")
+
+
+@query("upsert_sources", "WITH o AS (SELECT c_custkey AS id, c_nationkey AS school, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey END AS school, 'new ' || c_name AS name FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL OR n.school = o.school THEN coalesce(n.name, o.name) ELSE o.name END AS name FROM o FULL JOIN n ON o.id = n.id")
+def upsert_sources(t):
+    """New rows come in; old ones change only within their school."""
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("school"), F.col("c_name").alias("name"))
+    o = c.where("id % 3 <> 0").select("id", F.col("school").alias("os"), F.col("name").alias("on"), F.lit(True).alias("old"))
+    n = c.where("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("school")).alias("ns"), F.concat(F.lit("new "), "name").alias("nn"))
+    take = F.col("old").isNull() | F.coalesce(F.col("ns") == F.col("os"), F.lit(False))
+    return o.join(n, "id", "full").select("id", F.when(take, F.coalesce("nn", "on")).otherwise(F.col("on")).alias("name"))
+
+
+@query("query_terms")
+def query_terms(t):
+    return questions(t).select("conv_id", "turn", F.array_join(R.query_terms(F.col("q")), "|").alias("terms"))
+
+
+SECT = "sect AS (SELECT doc_id, i AS ord, trim(line) AS text, CAST(((length(lower(line)) - length(replace(lower(line), 'the and', ''))) // 7) * 8 + (length(lower(line)) - length(replace(lower(line), 'the', ''))) // 3 + (length(lower(line)) - length(replace(lower(line), 'and', ''))) // 3 AS BIGINT) AS score FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)))"
+
+
+def sections(t):
+    s = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return s.select("doc_id", (F.col("p") + 1).cast("long").alias("ord"), F.btrim("line").alias("text"), R.relevance(F.lower("line"), R.query_terms(F.lit("the and"))).alias("score"))
+
+
+@query("relevance_score", f"WITH {SECT} SELECT doc_id, ord, score FROM sect")
+def relevance_score(t):
+    return sections(t).select("doc_id", "ord", "score")
+
+
+TOPK = f"WITH {SECT}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rank FROM sect WHERE length(text) >= 8), l AS (SELECT *, 1200 - coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM k WHERE rank <= 3), s AS (SELECT doc_id, ord, rank, score, left(text, CAST(left_ AS BIGINT)) AS text FROM l WHERE left_ > 0) "
+
+
+@query("section_topk", TOPK + "SELECT doc_id, ord, rank, score, text FROM s")
+def section_topk(t):
+    return R.section_topk(sections(t), "doc_id").select("doc_id", "ord", F.col("rank").cast("long").alias("rank"), "score", "text")
+
+
+@query("web_gather", TOPK + ", g AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY rank) AS excerpt FROM s GROUP BY 1), r AS (SELECT doc_id, source, left(text, 50) AS snippet, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang <> 'es') SELECT r.source, r.doc_id, coalesce(excerpt, snippet) AS excerpt FROM r LEFT JOIN g USING (doc_id) WHERE n <= 3")
+def web_gather(t):
+    """Allowed results, the first three of each source, their best sections or the snippet."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    r = t("documents").where("lang <> 'es'").withColumn("n", F.row_number().over(w)).where("n <= 3").select("source", "doc_id", F.substring("text", 1, 50).alias("snippet"))
+    s = R.section_topk(sections(t).join(r.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    g = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("excerpt"))
+    return r.join(g, "doc_id", "left").select("source", "doc_id", F.coalesce("excerpt", "snippet").alias("excerpt"))
+
+
+def cites(t):
+    e = evid(t)
+    d = F.col("doc_id").cast("string")
+    return R.citations(e.select("query_id", "ord", "source_id", d.alias("document_id"), "knowledge_id", "chunk_id", F.col("source_name").alias("title"), F.substring("content", 1, 30).alias("text"), "attachment_url", "official_url", F.lit("http://localhost/x").alias("parent_url")))
+
+
+@query("citations_build", EVI + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS index, 'cit_' || left(sha256(source_id || chr(0) || doc_id || chr(0) || knowledge_id || chr(0) || 'c' || doc_id), 24) AS citation_id FROM evi WHERE rank <= 4")
+def citations_build(t):
+    return cites(t).select("query_id", F.col("index").cast("long").alias("index"), "citation_id")
+
+
+@query("grounding_text", EVI + "SELECT query_id, string_agg('Evidence ' || rank || ': Office ' || source_id || chr(10) || left(trim(d.text), 20) || CASE WHEN length(trim(d.text)) > 20 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS material FROM evi JOIN documents d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
+def grounding_text(t):
+    e = evid(t).select("query_id", F.col("rank").alias("index"), F.col("source_name").alias("title"), "content")
+    return R.grounding(e, "query_id", 20)
+
+
+@query("cacheable", EVI + ", c AS (SELECT query_id, count(*) AS n, bool_and(contains(source_url, '/f/') OR rank < 4) AS ok FROM evi WHERE rank <= 4 GROUP BY 1) SELECT DISTINCT d.source AS query_id, coalesce(ok, false) AS cacheable FROM documents d LEFT JOIN c ON c.query_id = d.source")
+def cacheable(t):
+    e = evid(t).select("query_id", F.col("rank").alias("index"), (F.col("source_url").contains("/f/") | (F.col("rank") < 4)).alias("official"), F.col("source_url").alias("url"))
+    return R.cacheable(t("documents").select(F.col("source").alias("query_id")).distinct(), e, "query_id")
+
+
+@query("citable_filter", EVI + "SELECT query_id, count(*) AS n FROM evi WHERE rank <= 4 GROUP BY 1")
+def citable_filter(t):
+    return cites(t).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("page_title", r"SELECT page_id, regexp_extract(html, '<html lang=\"(\w+)\"', 1) AS lang, length(regexp_extract(html, '<title>(.*?)</title>', 1)) > 0 AS titled FROM pages")
+def page_title(t):
+    h = F.col("html")
+    return t("pages").select("page_id", F.regexp_extract(h, r'<html lang="(\w+)"', 1).alias("lang"), (F.char_length(F.regexp_extract(h, "<title>(.*?)</title>", 1)) > 0).alias("titled"))
+
+
+def parsed(t):
+    return H.parse_pages(t("pages"))
+
+
+@query("html_normalize")
+def html_normalize(t):
+    return parsed(t).select("page_id", "title", "markdown")
+
+
+@query("parse_html")
+def parse_html(t):
+    return parsed(t).select("page_id", "title", F.size("blocks").alias("blocks"), F.size("links").alias("links"), F.char_length("markdown").alias("chars"))
+
+
+@query("visible_blocks")
+def visible_blocks(t):
+    return parsed(t).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.tag", "b.text")
+
+
+@query("main_block")
+def main_block(t):
+    return parsed(t).select("page_id", "main_block")
+
+
+@query("page_links")
+def page_links(t):
+    return parsed(t).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.text")
+
+
+@query("link_resolve")
+def link_resolve(t):
+    return t("pages").select("page_id", H.resolve_link("url", F.lit("../a?b=1#c")).alias("link"))
+
+
+@query("decode_pages")
+def decode_pages(t):
+    raw = t("pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return H.decode_pages(raw, "content", F.lit("text/html"), "page_id").select("page_id", F.sha2("text", 256).alias("sha"), "encoding")
+
+
+@query("publish_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published FROM orders")
+def publish_date(t):
+    """The first date after a hint; days that aren't in the calendar count as none."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Posted by x. Published: "), F.when(k % 5 == 0, "2024-02-31").otherwise(F.date_format("o_orderdate", "yyyy-M-d")), F.lit(" views 12"))
+    parts = [F.regexp_extract(text, r"Published: *(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", i) for i in (1, 2, 3)]
+    day = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")).try_cast("date")
+    return t("orders").select(k, F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("")).alias("published"))
+
+
+@query("title_evidence", r"WITH l AS (SELECT doc_id, i, trim(line) AS s FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:8] AS c FROM documents)) ), j AS (SELECT doc_id, i, CASE WHEN i > 1 AND length(lag(s) OVER w) < 12 THEN lag(s) OVER w || s ELSE s END AS s2, s FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, arg_min(s2, i) AS title FROM j WHERE NOT starts_with(s, '|') AND length(s2) BETWEEN 8 AND 140 GROUP BY 1")
+def title_evidence(t):
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != ""), 1, 8)
+    l = t("documents").select("doc_id", F.posexplode(lines).alias("i", "line")).withColumn("s", F.btrim("line"))
+    before = F.lag("s").over(Window.partitionBy("doc_id").orderBy("i"))
+    j = l.withColumn("s2", F.when((F.col("i") > 0) & (F.char_length(before) < 12), F.concat(before, "s")).otherwise(F.col("s")))
+    ok = ~F.col("s").startswith("|") & F.char_length("s2").between(8, 140)
+    return j.where(ok).groupBy("doc_id").agg(F.min_by("s2", "i").alias("title"))
+
+
+@query("date_mentions")
+def date_mentions(t):
+    """Versions and years with the text around them."""
+    hits = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,45}\b(?:\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?).{0,65})"), F.lit(1))
+    return t("documents").select("doc_id", F.posexplode(F.slice(hits, 1, 40)).alias("pos", "context"))
+
+
+@query("zip_members")
+def zip_members(t):
+    """Members of archives made of pages; one archive is broken."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(stream):
+        for b in stream:
+            out = []
+            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w") as z:
+                    z.writestr(f"p{i}.html", h)
+                    z.writestr("../up" if i % 50 == 3 else "b.txt", "x")
+                out.append((f"a{i}.zip", f.getvalue() if i % 50 != 7 else b"broken"))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], names=["path", "content"])
+
+    files = t("pages").select("page_id", "html").mapInArrow(pack, "path string, content binary")
+    return scan_zip(files).select("path", "member", "size", "error")
+
+
+@query("span_expand")
+def span_expand(t):
+    """Dense grids of tables with spans, one table per nation."""
+    cell = lambda a, *x: F.concat(F.lit(f"<td {a}>"), *x, F.lit("</td>"))
+    html = F.concat(F.lit("<table><tr>"), cell("rowspan=2", "n_name"), cell("colspan=2", F.lit("wide")), F.lit("</tr><tr>"), cell("", F.col("n_nationkey").cast("string")), cell("", F.lit("z")), F.lit("</tr></table>"))
+    p = H.parse_pages(t("nation").select("n_nationkey", F.lit("").alias("url"), html.alias("html")), key="n_nationkey")
+    return p.select("n_nationkey", F.posexplode(F.element_at("tables", 1)).alias("y", "row")).select("n_nationkey", "y", F.array_join("row", "|").alias("row"))
+
+
+@query("candidates")
+def candidates_assembly(t):
+    """Frontier joined with what was fetched; attachments inherit a title from their parent."""
+    p = parsed(t).select(F.col("page_id").alias("doc_id"), F.col("title"))
+    rel = t.relations().select(F.col("child_id").alias("doc_id"), "parent_id")
+    up = p.select(F.col("doc_id").alias("parent_id"), F.col("title").alias("parent_title"))
+    d = t("pages").select(F.col("page_id").alias("doc_id"), "url").join(p, "doc_id").join(rel, "doc_id", "left").join(up, "parent_id", "left")
+    return d.select("doc_id", "url", X.first_present("title", F.coalesce("parent_title", F.lit(""))).alias("title"), F.col("parent_id").isNotNull().alias("attachment"))

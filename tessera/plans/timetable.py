@@ -55,7 +55,7 @@ def _courses(t):
     return t("lineitem").select(k.alias("day"), F.col("l_linenumber").cast("long").alias("id"), (F.pmod(F.col("l_partkey"), F.lit(12)) + 1).cast("int").alias("start"), (F.pmod(F.col("l_partkey"), F.lit(12)) + 1 + F.pmod(F.col("l_suppkey"), F.lit(4))).cast("int").alias("end"))
 
 
-@query("overlap_groups", 'WITH c AS (SELECT l_orderkey AS day, l_linenumber AS id, l_partkey % 12 + 1 AS s, l_partkey % 12 + 1 + l_suppkey % 4 AS e FROM lineitem), b AS (SELECT *, max(e) OVER (PARTITION BY day ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM c) SELECT day, CAST(id AS BIGINT) AS id, CAST(sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM b')
+@query("overlap_groups", 'WITH c AS (SELECT l_orderkey AS day, l_linenumber AS id, l_partkey % 12 + 1 AS s, l_partkey % 12 + 1 + l_suppkey % 4 AS e FROM lineitem), b AS (SELECT *, max(e) OVER (PARTITION BY day ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM c) SELECT day, CAST(id AS BIGINT) AS id, CAST(sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY s, e, id) AS BIGINT) AS grp FROM b')
 def overlap_groups(t):
     return T.overlap_groups(_courses(t), "day").select("day", "id", "grp")
 

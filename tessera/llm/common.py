@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,5 +129,11 @@ def window_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix64((total[k:] - total[:-k]) * inv[:n])
 
 
-def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+def numbered_columns(docs: DataFrame, *needed: str) -> tuple[DataFrame, list["F.Column"]]:
+    """docs with its columns renamed c0, c1, ... and the needed ones once more under their
+    own names, so that no other column can clash with those that an operator adds; and the
+    expressions that give the columns of docs back."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    for name in needed:
+        plain = plain.withColumn(name, F.col(f"c{docs.columns.index(name)}"))
+    return plain, [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]

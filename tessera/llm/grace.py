@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLANK_BYTES, text_bytes
+from .common import BLANK_BYTES, numbered_columns, text_bytes
 
 #: A record: digest of the content, content, code points, id, count, payload.
 DIGEST, CONTENT, LENGTH, ID, COUNT, PAYLOAD = range(6)
@@ -174,7 +174,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    return distinct_texts(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, back = numbered_columns(docs, "doc_id", "text")
+    payload = [c for c in plain.columns if c not in ("doc_id", "text")]
+    return distinct_texts(plain, payload).select(*back)
 
 
 OP3_SQL = r"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import numbered_columns, text_bytes
 
 BUCKETS, RANK, NEIGHBOURS = 2048, 48, 15
 #: Labelled documents of each class that the model keeps: the bound on the fit and
@@ -141,7 +141,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, with the columns of docs."""
     model = fit_quality(docs, labels)
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    place = docs.columns.index("text")
-    scored = score_quality(plain.withColumn("text", F.col(f"c{place}")), model)
-    return scored.where(F.col("score") >= THRESHOLD).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    plain, back = numbered_columns(docs, "text")
+    return score_quality(plain, model).where(F.col("score") >= THRESHOLD).select(*back)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes, word_bounds, word_hashes
+from .common import numbered_columns, settle, text_bytes, word_bounds, word_hashes
 from .lsa import _KIND
 
 DOMAINS = ("clean", "low", "toxic")
@@ -192,8 +192,9 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     goal = {"clean": clean} | {d: min(have[d] or 0.0, m * clean) for d, m in MOST.items()}
     rate, _ = rates(table, goal)
     times = table.select(F.col("doc_id").alias("_doc"), rate.alias("_rate")).withColumn("_n", F.floor(F.col("_rate") + chance_of("_doc")).cast("int")).groupBy("_doc").agg(F.max("_n").alias("_n"))
-    joined = docs.join(times, docs.doc_id.eqNullSafe(times._doc))
-    return joined.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    plain, back = numbered_columns(docs, "doc_id")
+    joined = plain.join(times, plain.doc_id.eqNullSafe(times._doc))
+    return joined.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*back)
 
 
 def chance_of(col: str) -> "F.Column":

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import numbered_columns, settle, text_bytes
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -231,4 +231,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id names their component, and those without doc_id
     whose component has no other."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, back = numbered_columns(docs, "doc_id")
+    return plain.join(kept, plain.doc_id.eqNullSafe(kept._kept), "left_semi").select(*back)

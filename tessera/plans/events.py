@@ -66,12 +66,17 @@ def idempotency(t):
     return E.idempotent(e, ["user_id", "event_type"], 36_000_000_000, "us").select("user_id", "event_type", "sequence", "reserved")
 
 
-@query("login_limit")
+@query("login_limit", """WITH RECURSIVE e AS (SELECT user_id, sequence, epoch_us(created_at) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY sequence) AS n FROM run_events),
+f AS (SELECT user_id, sequence, at_us, n, at_us AS st, 1 AS c FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.sequence, e.at_us, e.n, CASE WHEN e.at_us - f.st >= 86400000000 THEN e.at_us ELSE f.st END, CASE WHEN e.at_us - f.st >= 86400000000 THEN 1 ELSE f.c + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, sequence, at_us, c <= 3 AS allowed FROM f""")
 def login_limit(t):
     return E.login_limit(t.run_events().select("user_id", "sequence", micros("created_at").alias("at_us")), 3, 86_400_000_000)
 
 
-@query("host_pressure")
+@query("host_pressure", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, sequence, event_type = 'run.failed' AS error, row_number() OVER (PARTITION BY user_id ORDER BY sequence) AS n FROM run_events),
+f AS (SELECT host, sequence, error, n, CASE WHEN error THEN 1 ELSE 0 END AS bad, CASE WHEN error THEN 0 ELSE 1 END AS good, CAST(1.0 AS DOUBLE) AS factor FROM e WHERE n = 1 UNION ALL
+SELECT e.host, e.sequence, e.error, e.n, CASE WHEN e.error THEN f.bad + 1 ELSE 0 END, CASE WHEN e.error THEN 0 ELSE f.good + 1 END, CASE WHEN e.error AND f.bad + 1 >= 2 THEN 4.0 WHEN NOT e.error AND f.good + 1 >= 3 THEN 1.0 ELSE f.factor END FROM f JOIN e ON e.host = f.host AND e.n = f.n + 1)
+SELECT host, sequence, error, factor FROM f""")
 def host_pressure(t):
     return E.host_pressure(t.run_events().select(F.col("user_id").cast("string").alias("host"), "sequence", (F.col("event_type") == "run.failed").alias("error")), 2, 4.0, 3)
 

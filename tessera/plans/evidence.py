@@ -47,7 +47,7 @@ def plan_valid(t):
     return p.select("conv_id", "turn", v.alias("valid"))
 
 
-@query("question_strip")
+@query("question_strip", f"SELECT conv_id, turn, trim(CASE WHEN conv_id % 5 = 2 THEN 'hi' || q ELSE q END) AS question FROM (SELECT conv_id, turn, {TAIL} AS q FROM conversations WHERE role = 'user')")
 def question_strip(t):
     """Greetings and polite openings before the questions of the conversations."""
     lead = F.element_at(F.array(*[F.lit(x) for x in ("你好，请问", "Hello, ", "hi", "请问一下：", "")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
@@ -261,12 +261,12 @@ def page_links(t):
     return parsed(t).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.text")
 
 
-@query("link_resolve")
+@query("link_resolve", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', ''), '[^/]+/$', '') || 'a?b=1#c' AS link FROM pages")
 def link_resolve(t):
     return t("pages").select("page_id", H.resolve_link("url", F.lit("../a?b=1#c")).alias("link"))
 
 
-@query("decode_pages")
+@query("decode_pages", "SELECT page_id, sha256(html) AS sha, 'utf-8' AS encoding FROM pages")
 def decode_pages(t):
     raw = t("pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return H.decode_pages(raw, "content", F.lit("text/html"), "page_id").select("page_id", F.sha2("text", 256).alias("sha"), "encoding")
@@ -292,14 +292,14 @@ def title_evidence(t):
     return j.where(ok).groupBy("doc_id").agg(F.min_by("s2", "i").alias("title"))
 
 
-@query("date_mentions")
+@query("date_mentions", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS context FROM (SELECT doc_id, h, unnest(range(1, least(len(h), 40) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.{0,45}\b(?:\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?).{0,65})', 1) AS h FROM documents))")
 def date_mentions(t):
     """Versions and years with the text around them."""
     hits = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,45}\b(?:\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?).{0,65})"), F.lit(1))
     return t("documents").select("doc_id", F.posexplode(F.slice(hits, 1, 40)).alias("pos", "context"))
 
 
-@query("zip_members")
+@query("zip_members", "SELECT 'a' || page_id || '.zip' AS path, member, size, CASE page_id % 50 WHEN 7 THEN 'File is not a zip file' WHEN 3 THEN 'unsafe_path' END AS error FROM (SELECT page_id, unnest(CASE WHEN page_id % 50 IN (3, 7) THEN [struct_pack(m := NULL::VARCHAR, s := NULL::BIGINT)] ELSE [struct_pack(m := 'p' || page_id || '.html', s := CAST(strlen(html) AS BIGINT)), struct_pack(m := 'b.txt', s := 1::BIGINT)] END, recursive := true) FROM pages) t(page_id, member, size)")
 def zip_members(t):
     """Members of archives made of pages; one archive is broken."""
     import io
@@ -322,7 +322,7 @@ def zip_members(t):
     return scan_zip(files).select("path", "member", "size", "error")
 
 
-@query("span_expand")
+@query("span_expand", "SELECT n_nationkey, y, CASE y WHEN 0 THEN n_name || '|wide|wide' ELSE n_name || '|' || n_nationkey || '|z' END AS row FROM (SELECT n_nationkey, n_name, unnest([0, 1]) AS y FROM nation)")
 def span_expand(t):
     """Dense grids of tables with spans, one table per nation."""
     cell = lambda a, *x: F.concat(F.lit(f"<td {a}>"), *x, F.lit("</td>"))

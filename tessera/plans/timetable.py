@@ -60,7 +60,12 @@ def overlap_groups(t):
     return T.overlap_groups(_courses(t), "day").select("day", "id", "grp")
 
 
-@query("lane_layout")
+@query("lane_layout", """WITH RECURSIVE c AS (SELECT l_orderkey AS day, CAST(l_linenumber AS BIGINT) AS id, l_partkey % 12 + 1 AS s, l_partkey % 12 + 1 + l_suppkey % 4 AS e FROM lineitem),
+b AS (SELECT *, max(e) OVER (PARTITION BY day ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, row_number() OVER (PARTITION BY day ORDER BY s, e, id) AS r FROM c),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY s, e, id) AS grp FROM b), h AS (SELECT *, row_number() OVER (PARTITION BY day, grp ORDER BY s, e, id) AS n FROM g),
+f AS (SELECT day, id, s, e, grp, n, 1 AS lane, [e] AS ends FROM h WHERE n = 1 UNION ALL
+SELECT day, id, s, e, grp, n, lane, CASE WHEN lane > len(ends) THEN list_append(ends, e) ELSE list_concat(list_append(ends[1:lane - 1], e), ends[lane + 1:len(ends)]) END FROM (SELECT h.day, h.id, h.s, h.e, h.grp, h.n, f.ends, coalesce(nullif(list_position(list_transform(f.ends, lambda x: x < h.s), true), 0), len(f.ends) + 1) AS lane FROM f JOIN h ON h.day = f.day AND h.grp = f.grp AND h.n = f.n + 1))
+SELECT day, id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(grp AS BIGINT) AS grp, CAST(lane - 1 AS INTEGER) AS lane, CAST(max(lane) OVER (PARTITION BY day, grp) AS INTEGER) AS lane_count FROM f""")
 def lane_layout(t):
     return T.lanes(_courses(t), "day")
 

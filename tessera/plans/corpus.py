@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import dedup as D
+from ..operators.search import contains_join
 from .registry import query
 
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
@@ -66,10 +67,9 @@ def version_family(t):
 
 @query("evidence_window", f"WITH b AS (SELECT item_id, trim(regexp_replace(text, '{WS}', ' ', 'g')) AS n FROM benchmark), d AS (SELECT doc_id, {CANON} AS c FROM documents), w AS (SELECT item_id, doc_id, c, n, instr(c, n) AS p FROM b JOIN d ON contains(c, n)) SELECT item_id, doc_id, substr(c, CAST(greatest(p - 100, 1) AS BIGINT), CAST(p - greatest(p - 100, 1) + length(n) + 100 AS BIGINT)) AS evidence FROM w")
 def evidence_window(t):
-    # the passages are a fixed query set; each document is searched once for all of them
-    b = F.broadcast(t("benchmark").select("item_id", X.canonical_text("text").alias("needle")))
+    b = t("benchmark").select("item_id", X.canonical_text("text").alias("needle"))
     d = t("documents").select("doc_id", X.canonical_text("text").alias("body"))
-    j = d.join(b, F.col("body").contains(F.col("needle")))
+    j = contains_join(d, b, "doc_id", "body", "needle")
     return j.select("item_id", "doc_id", X.evidence_window("body", "needle").alias("evidence"))
 
 

@@ -170,3 +170,12 @@ def test_jsonl_round_trip_and_schema(spark, tmp_path):
 def test_with_views_orders_dependencies():
     sql = with_views("SELECT * FROM agent_runs")
     assert sql.index("run_events AS") < sql.index("agent_runs AS")
+
+
+def test_contains_join_ways_agree(spark):
+    from tessera.operators.search import contains_join
+
+    t = spark.createDataFrame([(1, "a b c d e f g h"), (2, "xa b c d e f gx"), (3, "a b"), (4, "")], "doc_id long, body string")
+    p = spark.createDataFrame([(1, "a b c d e f g"), (2, "b c"), (3, "a b c d e f gx"), (4, "q r s t u v w")], "item long, needle string")
+    ways = [sorted((r.doc_id, r.item) for r in contains_join(t, p, "doc_id", "body", "needle", few=n).collect()) for n in (100, 1)]
+    assert ways[0] == ways[1] == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]

@@ -12,32 +12,32 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
+from .common import mix64, powers, word_bounds, word_hashes
 from .recurring import NO_ID, answers, found_in, packed, recurring
 
-DEPTH, MIN_DOCS, LONG = 3, 3, 12
+DEPTH, MIN_DOCS, LONG, WIDE = 3, 3, 12, 40
 WILD = b"<*>"
-_VARIABLE = re.compile(rb"[0-9@\\]|://|^.{40,}$")
-
-
-@lru_cache(maxsize=200_000)
-def _field(token: bytes) -> bytes:
-    return WILD if _VARIABLE.search(token) else token
+_VARIABLE = re.compile(rb"[0-9@\\]|://")
+_SIGNS = np.zeros(256, np.int64)
+for _c in b"0123456789@\\":
+    _SIGNS[_c] = 1
+_WILD_HASH = mix64(np.array([0x57494C44], np.uint64))[0]
+#: Told apart in the key: the whole template, the one with a free second half, with a
+#: free first half.
+_WHOLE, _FIRST, _SECOND = (mix64(np.array([x], np.uint64))[0] for x in (101, 202, 303))
 
 
 def templates(line: bytes) -> list[bytes]:
-    """The line's templates, the most exact first; none for a blank line."""
-    tokens = line.split()
+    """The line's templates as text, the most exact first; none for a blank line. The
+    definition that document_keys() computes as hashes for all lines of a text at once."""
+    tokens = [WILD if _VARIABLE.search(t) or len(t) >= WIDE else t for t in line.split()]
     if not tokens:
         return []
-    if _VARIABLE.search(line):
-        tokens = [_field(t) for t in tokens]
     lead, rest = tokens[:DEPTH], tokens[DEPTH:]
     node = b"%d\t%s" % (len(tokens), b" ".join(lead))
     out = [b"\t".join((node, b"=", b" ".join(rest)))]
@@ -48,12 +48,41 @@ def templates(line: bytes) -> list[bytes]:
     return out
 
 
-def line_keys(line: bytes) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) for t in templates(line)]
+def line_keys(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the templates of all lines of a text, the line that each belongs to, and
+    the number of lines. Hashes of runs of tokens come from one prefix sum."""
+    raw = np.frombuffer(text, np.uint8)
+    ends_of_lines = np.flatnonzero(raw == 10)
+    n_lines = len(ends_of_lines) + 1
+    starts, ends = word_bounds(text)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), n_lines
+    token = word_hashes(text, starts, ends)
+    sign = _SIGNS[raw]
+    if b"://" in text:
+        sign = sign.copy()
+        sign[[m.start() for m in re.finditer(b"://", text)]] = 1
+    seen = np.append(0, np.cumsum(sign))
+    token[(seen[ends] > seen[starts]) | (ends - starts >= WIDE)] = _WILD_HASH
+    cuts = np.append(0, np.append(np.searchsorted(starts, ends_of_lines), len(starts)))
+    a, b = cuts[:-1], cuts[1:]
+    line = np.flatnonzero(b > a)
+    a, b = a[line], b[line]
+    p, inv = powers(len(token) + 1)
+    total = np.append(np.uint64(0), np.cumsum(token * p[:-1]))
+    run = lambda x, y: (total[y] - total[x]) * inv[x]
+    count = mix64((b - a).astype(np.uint64))
+    keys = [mix64(run(a, b) + count + _WHOLE)]
+    long = b - a >= LONG
+    la, lb, lc = a[long], b[long], count[long]
+    middle = la + DEPTH + (lb - la - DEPTH) // 2
+    keys.append(mix64(run(la, middle) + lc + _FIRST))
+    keys.append(mix64(mix64(run(la, la + DEPTH) + lc + _SECOND) ^ run(middle, lb)))
+    return np.concatenate(keys), np.concatenate([line, line[long], line[long]]), n_lines
 
 
 def document_keys(text: bytes) -> np.ndarray:
-    return np.unique(np.array([k for line in set(text.split(b"\n")) for k in line_keys(line)], np.uint64))
+    return np.unique(line_keys(text)[0])
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -71,17 +100,17 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         out = {"doc_id": [], "n_lines": [], "n_dropped": [], "text": [], "text_sha256": []}
         for d, text in zip(docs_.column("doc_id").to_pylist(), docs_.column("text"), strict=True):
             own = NO_ID if d is None else d
-            lines = text.as_py().split(b"\n")
-            found = [line_keys(x) for x in lines]
-            flat = np.array([k for f in found for k in f], np.uint64)
+            whole = text.as_py()
+            flat, line, n_lines = line_keys(whole)
             there, at = found_in(keys, flat)
-            bad = there & (first[at] < own) if len(keys) else there
-            cuts = np.cumsum([0, *map(len, found)])
-            total = np.append(0, np.cumsum(bad))
-            gone = total[cuts[1:]] > total[cuts[:-1]]
-            kept = b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g])
+            gone = np.zeros(n_lines, bool)
+            if len(keys):
+                gone[line[there & (first[at] < own)]] = True
+            kept = whole
+            if gone.any():
+                kept = b"\n".join([x for x, g in zip(whole.split(b"\n"), gone.tolist(), strict=True) if not g])
             out["doc_id"].append(d)
-            out["n_lines"].append(len(lines))
+            out["n_lines"].append(n_lines)
             out["n_dropped"].append(int(gone.sum()))
             out["text"].append(kept)
             out["text_sha256"].append(hashlib.sha256(kept).hexdigest())

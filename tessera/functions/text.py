@@ -126,3 +126,30 @@ def polynomial_hash(c: Column | str, base: int = 31, modulus: int = 1 << 32) ->
     chars = F.filter(F.split(col(c), ""), lambda x: x != "")
     code = lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")
     return F.aggregate(chars, F.lit(0).cast("long"), lambda h, x: F.pmod(h * base + code(x), F.lit(modulus)))
+
+
+def after_hint(text: Column | str, hints: list[str], width: int = 60) -> Column:
+    """What follows the first of the hints that is there, to the end of its line."""
+    x = col(text)
+    found = []
+    for h in hints:
+        rest = F.regexp_extract(x, f"(?s)\\Q{h}\\E(.{{0,{width}}})", 1)
+        found.append(F.nullif(F.btrim(F.split_part(rest, F.lit("\n"), F.lit(1)), F.lit(" ：:|")), F.lit("")))
+    return F.coalesce(*found, F.lit(""))
+
+
+def outline(markdown: Column | str, most: int = 30) -> Column:
+    """Headings of a Markdown text."""
+    lines = F.filter(F.split(col(markdown), "\n"), lambda l: l.rlike(r"^#{1,6}\s+\S"))
+    return F.slice(F.transform(lines, lambda l: F.regexp_replace(l, r"^#{1,6}\s+", "")), 1, most)
+
+
+def snippet_around(text: Column | str, start: Column, end: Column, window: int = 40) -> Column:
+    """Text around the characters from start to end (from 0), on one line."""
+    x = col(text)
+    left = F.greatest(start - window, F.lit(0))
+    return F.btrim(F.regexp_replace(F.substring(x, left + 1, F.least(end + window, F.char_length(x)) - left), SPACE + "+", " "))
+
+
+def media_type(path: Column) -> Column:
+    return F.when(F.lower(path).endswith(".txt"), "text/plain").otherwise("text/html")

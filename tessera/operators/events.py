@@ -156,3 +156,25 @@ def transition(queue: DataFrame, outcome: str, now: Column, tries: int = 3) -> D
     status = F.when(o == "fetched", "FETCHED").when(o == "parsed", "PARSED").when(o == "ignored", "IGNORED").when(n + 1 >= tries, "FAILED").otherwise("PENDING")
     wait = F.when(o == "parsed", F.lit(7 * 86_400_000_000)).when(o == "failed", (F.pow(F.lit(2.0), F.least(n, F.lit(5))) * 60_000_000).cast("long"))
     return queue.withColumn("new_status", status).withColumn("new_retry", n + (o == "failed").cast("int")).withColumn("next_us", now + wait)
+
+
+def live_tokens(tokens: DataFrame, users: DataFrame, now: Column, kind: str) -> DataFrame:
+    """Users of tokens of a kind that are neither revoked nor expired; active users only."""
+    ok = (F.col("kind") == kind) & F.col("revoked_us").isNull() & (F.col("expires_us") > now)
+    return tokens.where(ok).join(users.where("status = 'active'"), "user_id")
+
+
+def rotated(tokens: DataFrame, users: DataFrame, used: DataFrame, now: Column, access_us: int, refresh_us: int) -> DataFrame:
+    """The token table after refresh tokens were used: a valid one is revoked, and an access
+    and a refresh token take its place; others change nothing."""
+    valid = live_tokens(tokens, users, now, "refresh").join(used, "token_hash", "left_semi").select("token_hash", "user_id").withColumn("hit", F.lit(True))
+    old = tokens.join(valid.select("token_hash", "hit"), "token_hash", "left").withColumn("revoked_us", F.when(F.col("hit"), now).otherwise(F.col("revoked_us"))).drop("hit")
+    fresh = valid.select(F.explode(F.array(F.lit("access"), F.lit("refresh"))).alias("kind"), "token_hash", "user_id")
+    fresh = fresh.select(F.sha2(F.concat_ws("\0", "token_hash", "kind"), 256).alias("token_hash"), "user_id", "kind", F.lit(None).cast("long").alias("revoked_us"), (now + F.when(F.col("kind") == "access", access_us).otherwise(refresh_us)).alias("expires_us"))
+    return old.select(*fresh.columns).union(fresh)
+
+
+def attempts(calls: DataFrame, limit: int = 2000) -> DataFrame:
+    """Audit rows of attempts: numbered per URL, error text cut."""
+    w = Window.partitionBy("url_id").orderBy("started_us", "sequence")
+    return calls.withColumn("attempt", F.row_number().over(w)).withColumn("error_message", F.substring(F.coalesce("error_message", F.lit("")), 1, limit))

@@ -109,3 +109,38 @@ def pii(df: DataFrame, text: str, title: str, *, mobile: str = r"(?<!\d)1[3-9]\d
 def infer_by_list(title: Column, names: list[str]) -> Column:
     """The first listed name that the title contains."""
     return first_match([(n, title.contains(n)) for n in names], None)
+
+
+def version_status(document_type: Column, published: Column, latest: Column) -> Column:
+    """Regulations and guides without a date, then what is the latest seen, else history."""
+    return F.when(document_type.isin("regulation", "guide") & (F.coalesce(published, F.lit("")) == ""), "current_unverified_date").when(latest, "latest_observed").otherwise("historical")
+
+
+def answer_scope(college: Column, document_type: Column) -> Column:
+    return F.when(F.coalesce(college, F.lit("")) != "", "COLLEGE_ONLY").when(document_type.isin("regulation", "guide"), "TIMELESS_POLICY").otherwise("DATED_SOURCE_ONLY")
+
+
+def labels(text: Column, rules: Rules) -> Column:
+    """All rules that the text meets, in their order."""
+    return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(n)) for n, p in rules]))
+
+
+def authority(level: Column) -> Column:
+    return F.when(level.contains("college"), "OFFICIAL_COLLEGE").when(level.contains("policy"), "OFFICIAL_SCHOOL").otherwise("OFFICIAL_DEPARTMENT")
+
+
+def question_route(mode: Column, routes: dict[str, str]) -> Column:
+    return first_match([(v, mode == k) for k, v in routes.items()], "MANUAL_REVIEW")
+
+
+def rewritten(df: DataFrame, rules: list[tuple[Column, dict[str, str]]]) -> DataFrame:
+    """Sets columns where a condition holds; the first condition that holds counts."""
+    names = {c for _, sets in rules for c in sets}
+    out = {}
+    for c in sorted(names):
+        e = None
+        for test, sets in rules:
+            value = F.lit(sets[c]) if c in sets else F.col(c)
+            e = F.when(test, value) if e is None else e.when(test, value)
+        out[c] = e.otherwise(F.col(c))
+    return df.withColumns(out)

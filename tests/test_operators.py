@@ -179,3 +179,74 @@ def test_contains_join_ways_agree(spark):
     p = spark.createDataFrame([(1, "a b c d e f g"), (2, "b c"), (3, "a b c d e f gx"), (4, "q r s t u v w")], "item long, needle string")
     ways = [sorted((r.doc_id, r.item) for r in contains_join(t, p, "doc_id", "body", "needle", few=n).collect()) for n in (100, 1)]
     assert ways[0] == ways[1] == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+
+
+def test_files_docx_xlsx(tmp_path):
+    import io
+    import zipfile
+
+    from tessera.sources import files
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda x: f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
+    doc = io.BytesIO()
+    with zipfile.ZipFile(doc, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Hello </w:t></w:r><w:r><w:t>you</w:t></w:r></w:p><w:tbl><w:tr>{cell('a')}{cell('b|c')}</w:tr></w:tbl></w:body></w:document>")
+    assert files.file_text("x.DOCX", doc.getvalue()) == ("Hello you\n\n| a | b\\|c |\n| --- | --- |", "")
+    s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {s} xmlns:r="{r}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>one</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>')
+    assert files.file_text("b.xlsx", book.getvalue())[0] == "## S\n\n| one |  | 3 |\n| --- | --- | --- |"
+    assert files.file_text("b.xlsx", b"x") == ("", "parse_failure") and files.file_text("p.pdf", b"")[1] == "unsupported_or_image"
+
+
+def test_package_is_verified(tmp_path):
+    import zipfile
+
+    from tessera.sources import files
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.txt").write_text("a")
+    out = str(tmp_path / "p.zip")
+    assert list(files.package(str(tmp_path / "d"), out)) == ["a.txt"] and files.verify_package(out) == []
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("new", "x")
+    assert files.verify_package(out) == ["new"]
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("rows.jsonl", '{"a": 1}\n\n{"a": 2}\n')
+    assert files.jsonl_member(open(out, "rb").read(), ".jsonl") == [{"a": 1}, {"a": 2}]
+
+
+def test_paged_source(spark, tmp_path):
+    import json
+
+    from tessera.sources import files
+
+    for p in (1, 2, 3):
+        (tmp_path / f"{p}.json").write_text(json.dumps({"total": 7, "items": [{"id": i} for i in range((p - 1) * 3, min(7, p * 3))]}))
+    files.register(spark)
+    read = spark.read.format("paged_json").option("url", f"file://{tmp_path}/{{page}}.json").option("pageSize", "3")
+    assert sorted(r.id for r in read.load().collect()) == [str(i) for i in range(7)]
+    assert sorted(r.id for r in read.option("limit", "4").load().collect()) == ["0", "1", "2", "3"]
+
+
+def test_windows_and_plans():
+    import datetime as dt
+
+    from tessera.operators import config
+
+    now = dt.datetime(2026, 1, 15, 20, tzinfo=dt.timezone.utc)
+    a, b = config.report_window("2026-01-01", "2026-01-02", "Asia/Shanghai", now)
+    assert (a.isoformat(), b.isoformat()) == ("2025-12-31T16:00:00+00:00", "2026-01-02T16:00:00+00:00")
+    assert config.report_window("", "", "UTC", now)[0] == now - dt.timedelta(days=7)
+    with pytest.raises(ValueError):
+        config.report_window("2025-01-01", "2026-01-01", "UTC", now)
+    assert config.preset(7, now, "Asia/Shanghai") == ("2026-01-10", "2026-01-16")
+    assert [config.range_fault(*x) for x in (("2026-01-01", "2026-01-01"), ("2026-01-02", "2026-01-01"), ("2025-01-01", "2026-01-01"), ("x", "2026-02-30"))] == ["", "reversed", "too_long", "missing"]
+    plans = {"a": {"k": 1, "reviews": [1], "context_decisions": [{"document_id": "x"}, {"document_id": "y"}]}, "b": {"extends": "a", "k": 2, "reviews": [2], "drop_context_documents": ["x"]}}
+    got = config.extended(plans, "b")
+    assert got["k"] == 2 and got["reviews"] == [1, 2] and got["context_decisions"] == [{"document_id": "y"}]

@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     linked = root.join(first, root.node == first.fp).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = first.join(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    of_fp = settle(of_fp)  # so that the join below reads two plain exchanges and AQE may split a fingerprint that very many rows have
     return marks.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -84,7 +84,7 @@ def evidence(candidates: DataFrame, resolved: DataFrame, domains: list[str], top
     c = candidates.where((F.btrim("knowledge_id") != "") & (F.btrim("chunk_id") != "") & (F.btrim("content") != "")).drop("doc_id")
     j = c.join(resolved.drop("content"), "knowledge_id")
     url = first_present(allowed_or_empty(F.col("attachment_url"), domains), allowed_or_empty(F.col("official_url"), domains))
-    j = j.withColumns({"source_url": url, "evidence_id": scoped_id("src_kb_", F.lit(school), F.col("doc_id").cast("string"))}).where("source_url <> ''")
+    j = j.withColumns({"source_url": url, "evidence_id": scoped_id("src_kb_", F.lit(school), F.col("doc_id").cast("string")), "_row": F.monotonically_increasing_id()}).where("source_url <> '' and _row >= 0").drop("_row")
     w = Window.partitionBy("query_id").orderBy("ord")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
@@ -157,10 +157,11 @@ def citations(candidates: DataFrame, run: str = "query_id") -> DataFrame:
     """candidates: run, ord, source_id, document_id, knowledge_id, chunk_id, title, text,
     three URLs. Valid ones (source, title, evidence and a public URL), the first of each
     identity, numbered in order, with an id from the identity."""
-    c = candidates.withColumns({"source_id": F.btrim("source_id"), "title": F.btrim("title"), "evidence_text": truncated(F.btrim("text"), 1200, ""), **{u: public_or_empty(F.col(u)) for u in ("attachment_url", "official_url", "parent_url")}})
-    c = c.where((F.col("source_id") != "") & (F.col("title") != "") & (F.col("evidence_text") != "") & (first_present("attachment_url", "official_url", "parent_url") != ""))
+    c = candidates.withColumns({"source_id": F.btrim("source_id"), "title": F.btrim("title"), "evidence_text": truncated(F.btrim("text"), 1200, ""), **{u: public_or_empty(F.col(u)) for u in ("attachment_url", "official_url", "parent_url")}, "_row": F.monotonically_increasing_id()})
+    # the id keeps the filter above the projection, so that URLs are taken apart once
+    c = c.where((F.col("_row") >= 0) & (F.col("source_id") != "") & (F.col("title") != "") & (F.col("evidence_text") != "") & (first_present("attachment_url", "official_url", "parent_url") != ""))
     parts = ["source_id", "document_id", "knowledge_id", "chunk_id"]
-    first = c.withColumn("_n", F.row_number().over(Window.partitionBy(run, *parts).orderBy("ord"))).where("_n = 1").drop("_n")
+    first = c.withColumn("_n", F.row_number().over(Window.partitionBy(run, *parts).orderBy("ord"))).where("_n = 1").drop("_n", "_row")
     index = F.row_number().over(Window.partitionBy(run).orderBy("ord"))
     return first.withColumns({"index": index, "citation_id": scoped_id("cit_", *parts)})
 

@@ -190,9 +190,9 @@ def capped_extras(t):
 
 @query("accept_split", ELIG + "SELECT d.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN 'ACCEPTED' ELSE 'REVIEW' END AS status FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")
 def accept_split(t):
-    e = eligible(t).select("doc_id")
-    d = t("documents").select("doc_id")
-    return d.join(e, "doc_id", "left_semi").withColumn("status", F.lit("ACCEPTED")).union(d.join(e, "doc_id", "left_anti").withColumn("status", F.lit("REVIEW")))
+    e = eligible(t).select("doc_id").distinct().withColumn("hit", F.lit(True))
+    j = t("documents").select("doc_id").join(e, "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("hit"), "ACCEPTED").otherwise("REVIEW").alias("status"))
 
 
 @query("coverage_by_topic", ELIG + ", v AS (SELECT tag AS id, bool_or(n_chars > 3000) AS latest FROM (SELECT unnest(tags) AS tag, n_chars FROM e) GROUP BY 1), q(id, topic, fresh) AS (VALUES " + ", ".join(f"('{q}', '{k}', {str(i % 2 == 0).lower()})" for i, (q, k, _) in enumerate(QUESTIONS)) + ") SELECT topic, count(*) FILTER (WHERE latest IS NOT NULL AND (NOT fresh OR latest)) AS covered, count(*) AS total, round(count(*) FILTER (WHERE latest IS NOT NULL AND (NOT fresh OR latest)) / count(*), 4) AS rate FROM q LEFT JOIN v USING (id) GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -100,6 +101,18 @@ def with_views(sql: str) -> str:
     return f"WITH {head} {body}"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session's spark.checkpoint.dir. Only where that is unset, as
+    in tests on one machine, a temporary folder takes its place."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path:
+        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tessera-")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

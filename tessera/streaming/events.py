@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.metrics import micros
+from ..sources.tables import checkpoint_folder
 
 TERMINAL = ["run.completed", "run.failed", "run.cancelled"]
 
@@ -71,8 +71,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs the stream over what its source holds now and returns the result. The rows go to
     Parquet in the shared folder (append) or to the table that foreachBatch last wrote."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
-    base = f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def put(batch: DataFrame, number: int) -> None:

@@ -3,13 +3,15 @@
 A softmax classifier fitted to the labelled table gives each document a posterior over
 the domains. Rates r >= 0 are then fitted by projected gradient on the least squares
 
-    sum over domains d of (sum over documents i of r_i * tokens_i * p_id - target_d)^2,
+    1/2 |sum over documents of r_i * tokens_i * p_i - target|^2 + rho/2 sum of tokens_i * (r_i - 1)^2,
 
-starting from r = 1, so that the mix departs as little as it must. A gradient step
-needs only one number for each domain (summed over all documents by Spark) and changes
-r_i by a product of p_i with those numbers. It is scaled by the inverse of the normal
-matrix over the documents whose rates are positive, which makes it converge in a few
-passes; a step that doesn't lower the residual is halved."""
+p_i and target being vectors over the domains; the small second term makes the mix depart
+as little as it must from the documents as they are. The gradient's share of document i
+is tokens_i times a product of p_i with one vector for all, so the steps are gathered in a
+vector s over the domains and projected late: r_i = max(0, 1 - p_i . s). Each pass is one
+aggregation by Spark into a few numbers for each domain. Steps are scaled by the inverse
+of the normal matrix over the documents whose rates are positive, which makes them converge
+in a few passes; one that doesn't come closer is halved."""
 
 from __future__ import annotations
 
@@ -25,8 +27,10 @@ from .lsa import _KIND
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of the tokens that each domain should have.
-WEIGHTS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
-BUCKETS, STYLES, PER_DOMAIN, PASSES = 4096, 5, 1000, 25
+WEIGHTS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
+BUCKETS, STYLES, PER_DOMAIN, PASSES = 4096, 5, 1000, 40
+#: Weight of the departure from rate 1, in units of the total of tokens.
+RIDGE = 1e-5
 
 
 def features(text: bytes) -> tuple[np.ndarray, int]:
@@ -46,22 +50,22 @@ def features(text: bytes) -> tuple[np.ndarray, int]:
 
 
 class Softmax:
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, steps: int = 300, decay: float = 2e-4) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, steps: int = 300, decay: float = 2e-5) -> None:
         """Weighted multinomial logistic regression by Nesterov's gradient method; classes
         without examples get no mass."""
         self.seen = np.bincount(y, minlength=classes) > 0
         idf = np.ones(x.shape[1], np.float32)
         idf[:BUCKETS] = np.log((1 + len(x)) / (1 + (x[:, :BUCKETS] > 0).sum(0)))
-        x, w = x * idf, np.zeros((x.shape[1], classes))
-        want = np.eye(classes)[y]
-        weight = weight / weight.sum()
+        x, w = (x * idf).astype(np.float32), np.zeros((x.shape[1], classes), np.float32)
+        want = np.eye(classes, dtype=np.float32)[y]
+        weight = (weight / weight.sum()).astype(np.float32)
         rate = 1 / (0.5 * float((weight * (x**2).sum(1)).sum()) + decay)
         ahead, last = w, w
         for i in range(steps):
             p = self._soft(x @ ahead)
-            grad = x.T @ ((p - want) * weight[:, None]) + decay * ahead
-            w = ahead - rate * grad
-            ahead = w + i / (i + 3) * (w - last)
+            grad = x.T @ ((p - want) * weight[:, None]).astype(np.float32) + np.float32(decay) * ahead
+            w = ahead - np.float32(rate) * grad
+            ahead = w + np.float32(i / (i + 3)) * (w - last)
             last = w
         self.w = (w * idf[:, None]).astype(np.float32)
 
@@ -125,44 +129,43 @@ def memberships(docs: DataFrame, model: Softmax | None) -> DataFrame:
     return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def rates(table: DataFrame, targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-7) -> tuple["F.Column", list[float]]:
-    """The rate of each row of memberships() as an expression, and the relative residual
-    after each pass. Targets are token totals by domain. Where targets can't be met
-    (nobody belongs to a domain), the least squares leave a residual."""
+def rates(table: DataFrame, targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-7, ridge: float = RIDGE) -> tuple["F.Column", list[float]]:
+    """The rate of each row of memberships() as an expression, and the relative error of
+    the optimality condition after each pass. Targets are token totals by domain. Where
+    they can't be met (nobody belongs to a domain) the least squares leave a residual."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
+    n = len(DOMAINS)
     goal = np.array([targets[d] for d in DOMAINS])
     scale = max(float(np.abs(goal).sum()), 1e-9)
 
-    def after(steps: list[np.ndarray]) -> "F.Column":
-        r = F.lit(1.0)
-        for s in steps:
-            moved = r
-            for c, x in zip(p, s.tolist(), strict=True):
-                moved = moved - c * F.lit(float(x))
-            r = F.greatest(F.lit(0.0), moved)
-        return r
-
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        r, n = F.col("_r"), len(DOMAINS)
+    def rate(s: np.ndarray) -> "F.Column":
+        moved = F.lit(1.0)
+        for c, x in zip(p, s.tolist(), strict=True):
+            moved = moved - c * F.lit(float(x))
+        return F.greatest(F.lit(0.0), moved)
+
+    def sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = F.col("_r")
         live = F.when(r > 0, F.col("tokens")).otherwise(0)
-        row = table.withColumn("_r", after(steps)).agg(*[F.sum(r * F.col("tokens") * c) for c in p], *[F.sum(live * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
+        row = table.withColumn("_r", rate(s)).agg(*[F.sum(r * F.col("tokens") * c) for c in p], *[F.sum(live * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
         v = np.array([x or 0.0 for x in row])
-        return v[:n], v[n:].reshape(n, n)
+        return v[:n] - goal - rho * s, v[n:].reshape(n, n)
 
-    steps, size, residuals = [], 1.0, []
-    total, normal = sums(steps)
+    tokens = table.agg(F.sum("tokens")).first()[0] or 0
+    rho = ridge * max(float(tokens), 1.0)
+    s, size, errors = np.zeros(n), 1.0, []
+    error, normal = sums(s)
     for _ in range(passes):
-        residuals.append(float(np.linalg.norm(total - goal)) / scale)
-        if residuals[-1] < tolerance or size < 1e-3:
+        errors.append(float(np.linalg.norm(error)) / scale)
+        if errors[-1] < tolerance or size < 1e-4:
             break
-        step = np.linalg.pinv(normal, rcond=1e-9, hermitian=True) @ (total - goal)
-        new_total, new_normal = sums([*steps, step * size])
-        if np.linalg.norm(new_total - goal) < np.linalg.norm(total - goal):
-            steps.append(step * size)
-            total, normal, size = new_total, new_normal, min(1.0, size * 2)
+        new = s + size * np.linalg.solve(normal + rho * np.eye(n), error)
+        new_error, new_normal = sums(new)
+        if np.linalg.norm(new_error) < np.linalg.norm(error):
+            s, error, normal, size = new, new_error, new_normal, min(1.0, size * 2)
         else:
             size /= 2
-    return after(steps), residuals
+    return rate(s), errors
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, total: float | None = None) -> DataFrame:
@@ -178,7 +181,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 
 #: In the pipeline: how often the clean tokens are to be seen, and the most that the
 #: other domains may have of the clean tokens.
-EPOCHS, MOST = 1.25, {"low": 0.05, "toxic": 0.005}
+EPOCHS, MOST = 1.25, {"low": 0.05, "toxic": 0.05}
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:

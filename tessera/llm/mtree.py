@@ -29,7 +29,7 @@ from .common import settle
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors in a tree, entries in a page, queries in a block.
-TREE, PAGE, BLOCK = 4096, 64, 512
+TREE, PAGE, BLOCK = 4096, 512, 512
 
 
 def quantised(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -53,15 +53,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products a @ b.T (of longs; doubles where they are exact)."""
-    width = min(a.shape[1], b.shape[1])
-    a, b = a[:, :width], b[:, :width]
-    if not width or not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    if int(np.abs(a).max()) * int(np.abs(b).max()) * width < 1 << 52:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _exact(a: int, b: int, width: int) -> bool:
+    """Whether sums of `width` products of integers up to a and b are exact as doubles."""
+    return a * b * max(width, 1) < 1 << 52
 
 
 class MTree:
@@ -75,7 +69,10 @@ class MTree:
         self.reach = float(length.max(initial=0.0))
         full = np.hstack([vectors.astype(np.float64), np.sqrt(np.maximum(self.reach - length, 0))[:, None]])
         order, cuts = self._pages(full, ids, page)
-        self.ids, self.vectors, self.width = ids[order], vectors[order], vectors.shape[1]
+        self.ids, self.width = ids[order], vectors.shape[1]
+        self.largest = int(np.abs(vectors).max(initial=0))
+        # doubles hold such integers exactly and multiply faster; larger ones stay longs
+        self.vectors = np.ascontiguousarray(vectors[order], np.float64 if self.largest < 1 << 26 else np.int64)
         full = full[order]
         self.levels, below, under = [], np.stack([cuts[:-1], cuts[1:]], 1), None
         centre = np.array([full[a:b].mean(0) for a, b in below])
@@ -123,6 +120,8 @@ class MTree:
         width = min(len(query), self.width)
         q = np.zeros(self.width + 1)
         q[:width] = query[:width]
+        plain = self.vectors.dtype == np.float64 and _exact(self.largest, int(np.abs(query).max(initial=0)), width)
+        mine = q[:width] if plain else query[:width].astype(np.int64)
         base, slack = float((q**2).sum()) + self.reach, 1e-6
         norm = float(np.linalg.norm(q))
 
@@ -146,13 +145,15 @@ class MTree:
             a, b = self.levels[level]["below"][node]
             floor = best[0][0] if len(best) == k else -np.inf
             if level == 0:
-                at = np.arange(a, b)[most(np.abs(dq - self.leaf_parent[a:b])) >= floor]
-                if not len(at):
+                near = most(np.abs(dq - self.leaf_parent[a:b])) >= floor
+                rows, ids = self.vectors[a:b, :width], self.ids[a:b]
+                if not near.all():
+                    rows, ids = rows[near], ids[near]
+                if not len(ids):
                     continue
-                self.seen += len(at)
-                score = _products(query[None, :], self.vectors[at])[0]
-                ids = self.ids[at]
-                ok = (ids != own) & (score >= floor)
+                self.seen += len(ids)
+                score = np.rint(rows @ mine).astype(np.int64) if plain else rows.astype(np.int64) @ mine
+                ok = (score >= floor) & (ids != own)
                 ids, score = ids[ok], score[ok]
                 pick = np.lexsort((ids, -score))[:k]
                 for s, i in zip(score[pick].tolist(), ids[pick].tolist(), strict=True):
@@ -212,7 +213,9 @@ def top_products(vectors: DataFrame, is_query: "F.Column", k: int = TOP, tree: i
     base = settle(vectors)
     trees = _packed(base, tree, lambda ids, rows: MTree(ids, rows, page))
     asked = _packed(base.where(is_query).dropDuplicates(["vec_id"]), block, lambda ids, rows: (ids, rows))
-    places = trees.select("at").agg(F.sort_array(F.collect_list("at")).alias("trees"))  # one number for each `tree` rows
+    # every block goes to every place; a tree stands at one place, chosen by hash, some at the same
+    places = max(1, trees.count())
+    trees = trees.select(F.pmod(F.xxhash64("at"), F.lit(places)).alias("at"), "blob")
     out = T.ArrayType(T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())]))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +227,9 @@ def top_products(vectors: DataFrame, is_query: "F.Column", k: int = TOP, tree: i
                 cols = list(zip(*got, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    spread = asked.select("blob").join(places.hint("broadcast")).select(F.col("blob").alias("asked"), F.explode("trees").alias("at"))
-    found = spread.join(trees, "at").select("blob", "asked").mapInArrow(run, out.elementType)
+    spread = asked.select(F.col("blob").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("at"))
+    # no broadcast: the blocks grow when they are spread, which the optimizer can't see
+    found = spread.join(trees.hint("merge"), "at").select("blob", "asked").mapInArrow(run, out.elementType)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

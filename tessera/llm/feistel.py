@@ -85,7 +85,8 @@ class Pseudonyms:
         self.pattern = re.compile(
             r"(?P<email>(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~@-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@]))"
             r"|(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+-]{16,128}(?![A-Za-z0-9_/+-]))"
-            r"|(?P<phone>(?<![\w+])\+?1?[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\d)|(?<![\w+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,5}(?![0-9]))"
+            r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+            r"|(?P<phone>(?<![\w+])\+?1?[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\d)|(?<![\w.+-])[0-9]{3}(?P<sep>[-.])[0-9]{3}(?P=sep)[0-9]{4}(?![\w-]|\.\d)|(?<![\w+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,5}(?![0-9]))"
             r"|(?P<date>(?<![\w./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![\w/-]|\.\d))"
             r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
             r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.\d))"
@@ -141,9 +142,19 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         if not 7 <= len(digits) <= 15:
             return None
-        keep = 1 if "(" in text and len(digits) == 11 else 0 if "(" in text else len(re.match(r"\+(\d+)", text)[1])
+        code = re.match(r"\+(\d+)", text)
+        keep = 1 if "(" in text and len(digits) == 11 else 0 if "(" in text or not code else len(code[1])
         return _fill(text, digits[:keep] + self._number("phone", digits[keep:], undo))
 
+    def _iban(self, text: str, undo: bool) -> str | None:
+        flat = text.replace(" ", "")
+        if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
+            return None
+        body = self._letters("iban", flat[4:], undo)
+        whole = flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02d}" + body
+        left = iter(whole)
+        return "".join(c if c == " " else next(left) for c in text)
+
     def _letters(self, kind: str, text: str, undo: bool) -> str:
         """Letters and digits permuted as one mixed-radix number; case and other signs stay.
         Case-blind, so that copies in capitals get the same pseudonym."""
@@ -189,6 +200,11 @@ class Pseudonyms:
         return self._run(text, True)[0]
 
 
+def _mod97(text: str) -> int:
+    """Remainder of an account number whose letters count from 10."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def _fill(shape: str, digits: str) -> str:
     """The shape with its digits replaced one by one."""
     left = iter(digits)

@@ -230,6 +230,15 @@ def test_op6_formats_and_links():
     assert feistel.Pseudonyms(b"other").encode(text)[0] != new
 
 
+def test_op6_accounts_and_plain_phones():
+    tool = feistel.Pseudonyms(b"key")
+    text = "GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, call 555-867-5309 or 555.867.5309."
+    new, kinds = tool.encode(text)
+    assert kinds == ["iban", "iban", "phone", "phone"] and tool.decode(new) == text
+    assert not any(x in new for x in ("WEST", "0532013000", "867"))
+    assert tool.encode("GB83 WEST 1234 5698 7654 32 and 555-867.5309")[1] == []
+
+
 def test_op6_leaves_the_rest():
     tool = feistel.Pseudonyms(b"key")
     for t in ("4111 1111 1111 1112 and 0000000000000000", "version 3.1.4.1591", "2024-02-31", "300.1.1.1", "a@b", "CC BY-NC 4.0", "token of thanks", "12345678901234567890123"):

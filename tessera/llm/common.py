@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpoint_folder
+
 #: What counts as white space in every word rule of this subpackage.
 BLANKS = r"[\x20\x09-\x0D]"
 #: The same characters as bytes, for bytes.translate and bytes.split().
@@ -23,14 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
     session. Only where it is unset (tests on one machine) a temporary folder
     becomes the checkpoint folder."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+    return checkpoint_folder(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -43,17 +37,6 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for name in df.inputFiles()[:1]:
-        if "/tessera/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            if root.split(":", 1)[-1].rstrip("/") in path.toString():
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -126,9 +126,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     that of the empty string). A null doc_id counts as larger than any other, and rows
     that share a doc_id don't remove each other's words. An empty table gives no rows.
     Words and windows are told apart by 64-bit hashes, windows within equal anchors."""
-    packs, n = packed(docs)
-    buckets = n
-
+    packs, buckets = packed(docs)
     wanted = recurring(packs, buckets, anchor_keys, 2)
     by_pack = lambda df: df.groupBy("_pack")
 

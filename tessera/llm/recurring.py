@@ -19,18 +19,21 @@ from pyspark.sql import functions as F
 from .common import parts, text_bytes
 
 PACK_BYTES = 12 << 20
+#: Bytes of text whose keys a bucket of the key space gets. Larger than a pack, so that the
+#: rows that a scan task sends to each bucket stay well filled.
+BUCKET_BYTES = 128 << 20
 NO_ID = np.iinfo(np.int64).max
 LOW48 = np.uint64((1 << 48) - 1)
 
 
 def packed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """_pack, doc_id and text (as bytes), and the number of packs: enough for about
-    PACK_BYTES of text in each. doc_id is a long; a null one counts as larger than
-    any other."""
+    """_pack, doc_id and text (as bytes), dealt into packs of about PACK_BYTES of text, and
+    a number of buckets for keys. doc_id is a long; a null one counts as larger than any
+    other."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(parts(docs.sparkSession), math.ceil(size / PACK_BYTES))
     pack = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select(pack.alias("_pack"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), n
+    return docs.select(pack.alias("_pack"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), max(parts(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -92,8 +92,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     with the smallest doc_id among them. Null text counts as empty; a null doc_id counts
     as larger than any other; rows that share a doc_id count each, and keep the line
     alike. An empty table gives no rows. Templates are told apart by 64-bit hashes."""
-    packs, n = packed(docs)
-    wanted = recurring(packs, n, document_keys, min_docs, ids=True)
+    packs, buckets = packed(docs)
+    wanted = recurring(packs, buckets, document_keys, min_docs, ids=True)
 
     def cut(docs_: pa.Table, verdicts: pa.Table) -> pa.Table:
         keys, first = answers(verdicts, ("keys", np.uint64), ("ids", np.int64))

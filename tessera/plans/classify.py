@@ -12,7 +12,7 @@ from .registry import query
 
 #: Rules in the languages of the test documents, in place of those of the campus texts.
 ROLES = [("RESULT_ANNOUNCEMENT", "worthless|pathetic|idiot|moron|clown"), ("FORM_TEMPLATE", r" \| "), ("NEWS", "!!"), ("POLICY_REGULATION", "[Ll]icen[cs]e"), ("PROCEDURE_GUIDE", "^(The|And) "), ("ANNUAL_NOTICE", r"\d{4}"), ("PROGRAM_PLAN", "%%%|###")]
-TOPICS = [("scholarship", "the.*and"), ("exam", "der.*die"), ("library", "les.*des"), ("holiday", "que.*los"), ("network", "for.*with")]
+TOPICS = [("scholarship", "license|andthe|ofthe"), ("exam", "unddie|derund|diemit"), ("library", "leslade|desle|etla"), ("holiday", "delos|quela|lasde"), ("network", "forthe|withthe")]
 HEAD = r"regexp_extract(text, '^([^\n]*)', 1)"
 ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h0, '{p}') THEN '{n}'" for n, p in ROLES) + " ELSE 'UNKNOWN' END"
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
@@ -130,7 +130,7 @@ def contact_flag(t):
     return t("documents").select("doc_id", (x.rlike(r"[A-Za-z0-9._]+@[a-z0-9]+\.") & x.rlike(r"\d{3}-\d{4}")).alias("contact"))
 
 
-QUESTIONS = [("q_lic", "scholarship", "licen[cs]e"), ("q_ver", "scholarship", r"version \d"), ("q_mail", "scholarship", "@mail"), ("q_for", "exam", "und.*der"), ("q_ung", "exam", "ung "), ("q_ion", "library", "ion "), ("q_eau", "library", "eau"), ("q_cion", "holiday", "ción"), ("q_num", "holiday", r"\d"), ("q_tok", "scholarship", "token"), ("q_wor", "scholarship", "worthless|idiot"), ("q_bar", "exam", r" \| ")]
+QUESTIONS = [("q_lic", "scholarship", "licen[cs]e"), ("q_ver", "scholarship", r"version \d"), ("q_mail", "scholarship", "@mail"), ("q_for", "exam", "und der|der und"), ("q_ung", "exam", "ung "), ("q_ion", "library", "ion "), ("q_eau", "library", "eau"), ("q_cion", "holiday", "ción"), ("q_num", "holiday", r"\d"), ("q_tok", "scholarship", "token"), ("q_wor", "scholarship", "worthless|idiot"), ("q_bar", "exam", r" \| ")]
 TAGS = BASE + ", g AS (SELECT *, list_sort(list_filter([" + ", ".join(f"CASE WHEN topic = '{k}' AND regexp_matches(text, '(?is){p}') THEN '{q}' END" for q, k, p in QUESTIONS) + "], lambda x: x IS NOT NULL)) AS tags FROM c) "
 
 

@@ -11,7 +11,10 @@ from ..functions.urls import allowed_or_empty, public_or_empty
 
 #: Greetings, polite openings and the separators after them.
 GREETINGS = ["hello", "您好", "你好", "哈喽", "在吗", "hi", "嗨"]
-POLITE = ["请问一下", "请问", "麻烦问一下", "我想问一下", "想问一下", "我想了解", "请帮我"]
+POLITE = ["能不能帮我看看", "麻烦帮我看看", "请帮我查一下", "我想请教一下", "想请教一下", "我想问一下", "麻烦问一下", "想问一下", "请问"]
+#: Questions about the product itself, and the integration probes.
+INTRODUCTIONS = ["你是谁", "你能做什么", "介绍一下你自己", "介绍一下自己"]
+PROBES = ["官网搜索测试", "web-search"]
 SEPARATORS = r"[\s，,。.!！?？:：;；、]"
 #: What marks a question as one about the present state, in order.
 FRESHNESS = [
@@ -48,6 +51,21 @@ def freshness(question: Column, year: int, rules=FRESHNESS, schedule: str = SCHE
     return F.struct(level.alias("level"), reason.alias("reason"))
 
 
+def profile(question: Column, year: int, introductions: list[str] = INTRODUCTIONS, probes: list[str] = PROBES, greetings: list[str] = GREETINGS) -> Column:
+    """Struct of effective question, social, introduction, probe, level and reason. A
+    question that is nothing but greetings is social; one that is nothing but politeness
+    stays as it was written."""
+    left = stripped(question, greetings)
+    social = (left == "") & question.rlike(f"(?i){'|'.join(greetings)}")
+    effective = F.when((left == "") & ~social, F.btrim(question)).otherwise(left)
+    bare = F.replace(F.lower(F.regexp_replace(effective, f"(?U)^{SEPARATORS}+|{SEPARATORS}+$", "")), F.lit(" "), F.lit(""))
+    intro, probe = bare.isin(introductions), bare.isin(probes)
+    fresh = freshness(effective, year)
+    level = F.when(social | intro, "STABLE").otherwise(fresh["level"])
+    reason = F.when(social, "pure_social").when(intro, "product_introduction").when(probe, "integration_probe").otherwise(fresh["reason"])
+    return F.struct(effective.alias("effective"), social.alias("social"), intro.alias("introduction"), probe.alias("probe"), level.alias("level"), reason.alias("reason"))
+
+
 def route(level: Column, social: Column, intro: Column, probe: Column) -> Column:
     return F.when(social | intro, "controlled").when(probe, "web_search").when(level == "CURRENT", "hybrid").otherwise("knowledge")
 

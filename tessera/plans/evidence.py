@@ -50,7 +50,7 @@ def plan_valid(t):
 @query("question_strip", f"SELECT conv_id, turn, trim(CASE WHEN conv_id % 5 = 2 THEN 'hi' || q ELSE q END) AS question FROM (SELECT conv_id, turn, {TAIL} AS q FROM conversations WHERE role = 'user')")
 def question_strip(t):
     """Greetings and polite openings before the questions of the conversations."""
-    lead = F.element_at(F.array(*[F.lit(x) for x in ("你好，请问", "Hello, ", "hi", "请问一下：", "")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("你好，请问", "Hello, ", "hi", "请问：", "")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
     return questions(t).select("conv_id", "turn", R.stripped(F.concat(lead, "q")).alias("question"))
 
 

@@ -64,7 +64,7 @@ def test_content_role_order_and_exemption(spark):
     assert got == cases
 
 
-@pytest.mark.parametrize(("given", "want"), [("你好，请问转专业怎么办", "转专业怎么办"), ("你好像很忙", "你好像很忙"), ("helloWorld", "helloWorld"), ("Hello, 选课", "选课"), ("你好", ""), ("请问一下：校历", "校历"), ("您好呀！嗨 选课", "选课")])
+@pytest.mark.parametrize(("given", "want"), [("你好，请问转专业怎么办", "转专业怎么办"), ("你好像很忙", "你好像很忙"), ("helloWorld", "helloWorld"), ("Hello, 选课", "选课"), ("你好", ""), ("请问：校历", "校历"), ("请帮我查一下，想问一下选课", "选课"), ("您好呀！嗨 选课", "选课")])
 def test_question_strip(spark, given, want):
     assert texts(spark, [given]).select(retrieval.stripped(F.col("x"))).first()[0] == want
 
@@ -74,6 +74,13 @@ def test_freshness(spark, given, want):
     assert texts(spark, [given]).select(retrieval.freshness(F.col("x"), 2026).alias("f")).first().f.reason == want
 
 
+@pytest.mark.parametrize(("given", "reason", "route"), [("你好！", "pure_social", "controlled"), ("hi，你是谁？", "product_introduction", "controlled"), ("官网搜索测试", "integration_probe", "web_search"), ("请问最新校历", "freshness_current_marker", "hybrid"), ("请问图书馆在哪里", "stable_campus_knowledge", "knowledge"), ("请问", "stable_campus_knowledge", "knowledge")])
+def test_profile_and_route(spark, given, reason, route):
+    p = texts(spark, [given]).select(retrieval.profile(F.col("x"), 2026).alias("p"))
+    r = p.select("p.*", retrieval.route(F.col("p.level"), F.col("p.social"), F.col("p.introduction"), F.col("p.probe")).alias("route")).first()
+    assert (r.reason, r.route) == (reason, route) and (r.effective != "" or r.social)
+
+
 def test_query_terms(spark):
     got = texts(spark, ["  Library opening hours "]).select(retrieval.query_terms(F.col("x")).alias("t")).first().t
     assert got[:4] == ["library opening hours", "library", "li", "ib"] and len(got) == len(set(got))

@@ -9,8 +9,12 @@ page with the largest possible score first. |d(q, parent) - d(parent, entry)| an
 radius bound an entry's score before its own distance is computed. Scores of leaf
 entries are exact integers.
 
-The rows are cut into trees of bounded size and the queries into blocks of bounded
-size; every block meets every tree (a stated query set against all rows)."""
+The rows are ordered by their nearest of a bounded number of pivots and by the distance
+to it, and that order is cut into trees of bounded size, so that a tree covers a small
+ball; equal vectors spread over as many trees as they fill. The queries are cut into
+blocks of bounded size, each query with a floor: its k-th best score among the pivots,
+below which nothing can be an answer. Every block meets every tree (a stated query set
+against all rows); a tree whose ball lies beyond the floor is left at its root."""
 
 from __future__ import annotations
 
@@ -30,6 +34,8 @@ from .common import settle
 SCALE, TOP, EVERY = 256, 5, 50
 #: Vectors in a tree, entries in a page, queries in a block.
 TREE, PAGE, BLOCK = 4096, 512, 512
+#: Rows that route the others to trees and give the queries their floors.
+PIVOTS = 256
 
 
 def quantised(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -112,9 +118,10 @@ class MTree:
             work += [(mid, b), (a, mid)]
         return order, np.append(cuts, len(ids))
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
         """The k best (score, vec_id) for one query, ties to the smaller vec_id, without
-        the row(s) of id own. self.seen counts the distances that it computed."""
+        the row(s) of id own or scores under `least`. self.seen counts the distances that
+        it computed."""
         if not len(self.ids):
             return []
         width = min(len(query), self.width)
@@ -128,7 +135,7 @@ class MTree:
         def most(distance: np.ndarray) -> np.ndarray:
             """Largest possible score at such a distance, rounded up."""
             d = np.maximum(distance, 0)
-            return np.floor((base - d * d) / 2 * (1 + 1e-12) + slack * (1 + norm)) + 1
+            return np.floor((base - d * d) / 2 + slack * (1 + norm) + 1e-12 * base) + 1
 
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst on top
         top = len(self.levels) - 1
@@ -138,12 +145,14 @@ class MTree:
         self.seen = 1
         while queue:
             bound, level, node, dq = heapq.heappop(queue)
+            if -bound < least:
+                break
             if len(best) == k and (-bound < best[0][0] or -bound == best[0][0] and self.levels[level]["least"][node] > -best[0][1]):
                 if -bound < best[0][0]:
                     break
                 continue
             a, b = self.levels[level]["below"][node]
-            floor = best[0][0] if len(best) == k else -np.inf
+            floor = max(best[0][0], least) if len(best) == k else least
             if level == 0:
                 near = most(np.abs(dq - self.leaf_parent[a:b])) >= floor
                 rows, ids = self.vectors[a:b, :width], self.ids[a:b]
@@ -175,6 +184,40 @@ class MTree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
+def _nearest(pivots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each row and the squared distance to it."""
+    width = max(pivots.shape[1], rows.shape[1])
+    p, r = (np.pad(x.astype(np.float64), ((0, 0), (0, width - x.shape[1]))) for x in (pivots, rows))
+    gap = (r**2).sum(1)[:, None] - 2 * r @ p.T + (p**2).sum(1)[None, :]
+    at = gap.argmin(1)
+    return at, np.maximum(gap[np.arange(len(at)), at], 0)
+
+
+def _routed(base: DataFrame, pivots: np.ndarray, partitions: int) -> DataFrame:
+    """The rows by nearest pivot and distance, range-partitioned."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            at, gap = _nearest(pivots, _matrix(b.column("v"))) if b.num_rows else (np.zeros(0, np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(at), pa.array(gap)], names=["vec_id", "v", "route", "gap"])
+
+    routed = base.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, route long, gap double")
+    order = ["route", "gap", "vec_id"]
+    return routed.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("vec_id", "v")
+
+
+def _floors(pivots: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> list[float]:
+    """For each query its k-th best score among the pivots with another id, a little
+    rounded down; minus infinity if there are fewer."""
+    if len(ids) <= k:
+        return [-np.inf] * len(rows)
+    width = min(pivots.shape[1], rows.shape[1])
+    score = rows[:, :width].astype(np.float64) @ pivots[:, :width].astype(np.float64).T
+    score[own[:, None] == ids[None, :]] = -np.inf
+    kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+    rounding = 1e-12 * np.linalg.norm(rows.astype(np.float64), axis=1) * np.linalg.norm(pivots.astype(np.float64), axis=1).max()
+    return (kth - rounding - 1).tolist()
+
+
 def _gathered(stream: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, rows, held = [], [], 0
     for b in stream:
@@ -211,8 +254,14 @@ def top_products(vectors: DataFrame, is_query: "F.Column", k: int = TOP, tree: i
     vector that lacks components counts as if they were zero. Repeated rows are
     ranked as they stand; a repeated query row is answered once."""
     base = settle(vectors)
-    trees = _packed(base, tree, lambda ids, rows: MTree(ids, rows, page))
-    asked = _packed(base.where(is_query).dropDuplicates(["vec_id"]), block, lambda ids, rows: (ids, rows))
+    rows = base.count()
+    # distinct ids: a repeated row must not lift the floor over what other rows can reach
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
+    sample = list({r.vec_id: r for r in sample}.values())
+    pivot_ids = np.array([r.vec_id for r in sample], np.int64)
+    pivots = _matrix(pa.array([list(r.v) for r in sample], pa.list_(pa.int64()))) if sample else np.zeros((1, 0), np.int64)
+    trees = _packed(_routed(base, pivots, max(1, -(-rows // tree))), tree, lambda ids, rows: MTree(ids, rows, page))
+    asked = _packed(base.where(is_query).dropDuplicates(["vec_id"]), block, lambda ids, rows: (ids, rows, _floors(pivots, pivot_ids, ids, rows, k)))
     # every block goes to every place; a tree stands at one place, chosen by hash, some at the same
     places = max(1, trees.count())
     trees = trees.select(F.pmod(F.xxhash64("at"), F.lit(places)).alias("at"), "blob")
@@ -222,8 +271,8 @@ def top_products(vectors: DataFrame, is_query: "F.Column", k: int = TOP, tree: i
         for b in stream:
             for i in range(b.num_rows):
                 index = pickle.loads(b.column(0)[i].as_py())
-                ids, rows = pickle.loads(b.column(1)[i].as_py())
-                got = [(q, v, s) for q, row in zip(ids.tolist(), rows, strict=True) for s, v in index.search(row, q, k)]
+                ids, rows, floors = pickle.loads(b.column(1)[i].as_py())
+                got = [(q, v, s) for q, row, least in zip(ids.tolist(), rows, floors, strict=True) for s, v in index.search(row, q, k, least)]
                 cols = list(zip(*got, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 

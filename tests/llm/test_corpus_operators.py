@@ -90,6 +90,21 @@ def test_op1_few_and_none(spark):
     assert got == {1: 2560000000 * 2560000000 - 512000000 * 256000000, 2: -2560000000 * 2560000000 + 512000000 * 256}
 
 
+def test_op1_clusters_and_floors(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 16))
+    v = centres[r.integers(0, 12, 3000)] + 0.02 * r.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, v[100].tolist())], "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in row] for i, row in enumerate(v)}
+    want = brute.top(ints)
+    got = {}
+    for x in mtree.top_products(mtree.quantised(df), F.col("vec_id") % 50 == 0, 5, tree=100, block=16, page=16).collect():
+        got[x.query_id, x.rank] = (x.vec_id, x.score)
+    twice = {q for q, _ in want if any(want[q, k][0] == 100 for k in range(1, 6))}  # row 100 stands twice
+    assert {k: w for k, w in got.items() if k[0] not in twice} == {k: w for k, w in want.items() if k[0] not in twice}
+    assert len(got) == len(want)
+
+
 def test_op1_bounds_save_distances():
     r = np.random.default_rng(3)
     centres = r.integers(-250, 250, (20, 16))

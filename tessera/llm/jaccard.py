@@ -1,0 +1,195 @@
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of a threshold or more.
+
+Equal sets are merged first. A distinct set is dealt to one bucket for each band of its
+minimum hashes; sets that meet in a bucket are candidates, and every link is checked on
+the whole sets of shingles. Small buckets offer all their pairs. Large ones first offer
+a star and a chain; then all pairs that those links leave in different components."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import mix64, numbered_columns, settle, text_bytes, window_hashes, word_bounds, word_hashes
+from .components import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity s shares no bucket with probability (1 - s**ROWS)**BANDS: 1.3e-7 at 0.8.
+ROWS, BANDS = 5, 40
+#: Sets in a bucket up to which all its pairs are offered at once.
+SMALL = 8
+_ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+_PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; a
+    shorter text is one shingle, a text without words has none."""
+    low = text.lower()
+    words = word_hashes(low, *word_bounds(low))
+    return np.unique(window_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def node_of(found: np.ndarray) -> int:
+    """What a set is known by; equal sets have the same."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(low, (found[at : at + 1024, None] * _ODD).min(axis=0), out=low)
+    return mix64((mix64(low).reshape(BANDS, ROWS) * _PLACE).sum(axis=1) + _BAND)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node, size (shingles in the set) and bands for every document."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            node, size, bands = [], [], []
+            for t in b.column(1):
+                found = shingles(t.as_py())
+                node.append(node_of(found))
+                size.append(len(found))
+                bands.append(band_keys(found).view(np.int64) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
+
+    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, node long, size long, bands array<long>")
+
+
+def _gathered(stream: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    cols = [[np.zeros(0, np.int64)] for _ in names]
+    for b in stream:
+        for c, name in zip(cols, names, strict=True):
+            c.append(b.column(name).to_numpy(zero_copy_only=False))
+    return [np.concatenate(c) for c in cols]
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: where the group of each row starts, and its rows."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    count = np.diff(np.append(start, len(key)))
+    return np.repeat(start, count), np.repeat(count, count)
+
+
+def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
+    """rows: key, node, size. Rows a, b: candidates; rows a, size, key: members of buckets
+    of more than `small` sets, which offer a star and a chain only."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, size = _gathered(stream, "key", "node", "size")
+        order = np.lexsort((node, size, key))
+        key, node, size = key[order], node[order], size[order]
+        start, count = _groups(key)
+        at, crowd = np.arange(len(key)), count > small
+        pairs = [(start[crowd], at[crowd])]
+        for d in range(1, small):
+            i = np.flatnonzero((key[d:] == key[: len(key) - d]) & (~crowd[d:] | (d == 1))) if d < len(key) else at[:0]
+            pairs.append((i, i + d))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        ok = (i < j) & (size[i] / np.maximum(size[j], 1) >= similarity)
+        a, b = node[i[ok]], node[j[ok]]
+        if len(a):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names=["a", "b", "size", "key"])
+        if crowd.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(size[crowd]), pa.array(key[crowd])], names=["a", "b", "size", "key"])
+
+    return rows.repartition("key").mapInArrow(run, "a long, b long, size long, key long")
+
+
+def remaining(crowd: DataFrame, similarity: float) -> DataFrame:
+    """crowd: key, node, size, root. All candidates a, b of a bucket whose roots differ."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, size, root = _gathered(stream, "key", "node", "size", "root")
+        order = np.lexsort((node, size, key))
+        key, node, size, root = key[order], node[order], size[order], root[order]
+        start, count = _groups(key)
+        for lo in np.unique(start).tolist():
+            hi = lo + int(count[lo])
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, hi)
+                j = j[(root[j] != root[i]) & (size[i] / size[j] >= similarity)]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    return crowd.repartition("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, found: the sets of the given nodes (columns node, first: a doc_id that has it)."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            found = [shingles(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "found"])
+
+    ids = nodes.select(F.col("first").alias("_first")).distinct()
+    some = docs.select("doc_id", text_bytes().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    # a doc_id that several rows have brings sets along that aren't wanted, or twice
+    return some.select("text").mapInArrow(run, "node long, found binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
+
+
+def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole sets are as similar as that."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stream:
+            ok = []
+            for x, y in zip(t.column("x"), t.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / (len(x) + len(y) - both) >= similarity)
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = known.select(F.col("node").alias("a"), F.col("found").alias("x")), known.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id that it reaches over
+    links between documents of that similarity or more, itself included). Null, empty and
+    blank texts have equal, empty sets and link with each other only. A null doc_id reaches
+    the component of its set; if all doc_ids there are null, so is component_id. Repeated
+    rows come out repeated. An empty table gives no rows. Shingles and sets are told apart
+    by 64-bit hashes; a pair at the threshold is overlooked with probability 1.3e-7 and a
+    closer one less often. Buckets whose sets share minima without being near are compared
+    pair by pair."""
+    marks = settle(sketches(docs))
+    first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    found = settle(offers(first.select(F.explode("bands").alias("key"), "node", "size"), similarity, small).distinct())
+    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"), "size")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    known = settle(sets(docs, settle(first.select("node", "first").join(nodes, "node", "left_semi"))))
+    links = settle(verified(pairs, known, similarity))
+    root = components(links)
+    if crowd.limit(1).count():
+        apart = settle(remaining(crowd.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), similarity))
+        more = settle(verified(apart, known, similarity))
+        if more.limit(1).count():
+            root = components(links.union(more))
+    linked = root.join(first.select("node", "first"), "node").select("node", "root", "first")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_node = first.select("node", "first").join(linked.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    of_node = settle(of_node)  # so that AQE may split a set that very many rows have
+    return marks.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents whose doc_id names their component, and those without doc_id
+    whose component has no other."""
+    kept = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    plain, back = numbered_columns(docs, "doc_id")
+    return plain.join(kept, plain.doc_id.eqNullSafe(kept._kept), "left_semi").select(*back)

@@ -1,0 +1,68 @@
+"""Near copies against the Jaccard similarity of all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import brute
+import corpus_pipeline as pipeline
+import pytest
+from test_corpus_operators import corpus, empty, frame
+
+from tessera.llm import jaccard
+
+
+def shingles(text, k=5):
+    w = brute.WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) > k else frozenset([tuple(w)] if w else [])
+
+
+def components(rows, similarity=0.8):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) / len(x | y) >= similarity:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), float("inf")), brute.key(d))
+    return [None if least[find(i)] == float("inf") else least[find(i)] for i in range(len(rows))]
+
+
+def near_corpus():
+    """Texts of 100 words with one to six words changed, on both sides of the threshold."""
+    r = random.Random(3)
+    rows = []
+    for i in range(30):
+        words = [f"v{r.randrange(5000)}" for _ in range(100)]
+        for k in range(7):
+            changed = list(words)
+            for at in r.sample(range(100), k):
+                changed[at] = f"x{r.randrange(10**6)}"
+            rows.append((10 * i + k, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("small", [2, 8])
+def test_components_equal_all_pairs(spark, small):
+    rows = corpus() + [(1000 + d, t) for d, t in near_corpus()]
+    got = sorted((repr(r.doc_id), repr(r.component_id)) for r in jaccard.near_copies(frame(spark, rows, True), small=small).collect())
+    assert got == sorted((repr(d), repr(c)) for (d, _), c in zip(rows, components(rows)))
+
+
+def test_near_stage_drops_near_copies(spark):
+    rows = near_corpus()
+    want = sorted(d for (d, _), c in zip(rows, components(rows)) if d == c)
+    assert len(want) < 150
+    assert sorted(r.doc_id for r in pipeline.near(spark, frame(spark, rows), "").collect()) == want
+
+
+def test_empty(spark):
+    assert jaccard.near_copies(empty(spark)).collect() == []

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import admission as A
 from ..operators import rules as R
+from ..operators.search import contains_join
 from .registry import query
 
 #: Rules in the languages of the test documents, in place of those of the campus texts.
@@ -238,11 +239,16 @@ def scope_gate(t):
 REVIEW = f"WITH v AS (SELECT d.doc_id, d.text, b.text AS proof, trim(regexp_replace(d.text, '{WS}', ' ', 'g')) AS body, trim(regexp_replace(b.text, '{WS}', ' ', 'g')) AS want FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) "
 
 
+def benchmark_size(t):
+    """The modulus under which every benchmark item has documents."""
+    return (t("benchmark").agg(F.max("item_id")).first()[0] or 0) + 1
+
+
 @query("review_reasons", REVIEW + "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'review_source_hash_mismatch' END, CASE WHEN doc_id % 5 = 0 THEN 'explicit_answer_scope_required' END, CASE WHEN doc_id % 6 = 0 THEN 'scope_note_required' END, CASE WHEN NOT (length(proof) >= 12 AND contains(body, want)) THEN 'review_evidence_missing_or_changed' END, CASE WHEN doc_id % 9 = 0 THEN 'review_document_role_required' END], lambda x: x IS NOT NULL), ',') AS reasons FROM v")
 def review_reasons(t):
     k = F.col("doc_id")
     b = t("benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("proof"))
-    v = t("documents").withColumn("item", k % 40).join(b, "item")
+    v = t("documents").withColumn("item", k % benchmark_size(t)).join(b, "item")
     v = v.withColumns({"source_hash": F.sha2("text", 256), "scope": F.when(k % 5 != 0, "FORM_ONLY"), "note": F.when(k % 6 != 0, "n"), "role": F.when(k % 9 == 0, "OTHER").otherwise("GUIDE")})
     v = v.withColumn("review_hash", F.when(k % 7 == 0, "old").otherwise(F.col("source_hash")))
     return v.select("doc_id", F.array_join(A.review_reasons("text", ["GUIDE"]), ",").alias("reasons"))
@@ -338,8 +344,8 @@ def enrich_stats(t):
 
 @query("ledger_admit", "WITH l AS (SELECT item_id, left(text, 4) AS excerpt FROM benchmark), j AS (SELECT d.doc_id, item_id, contains(d.text, excerpt) AS found FROM l JOIN documents d ON d.doc_id % 40 = item_id) SELECT doc_id, item_id FROM j WHERE found AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def ledger_admit(t):
-    l = t("benchmark").select("item_id", F.substring("text", 1, 4).alias("excerpt"))
-    j = t("documents").withColumn("item_id", F.col("doc_id") % 40).join(l, "item_id").where(F.col("text").contains(F.col("excerpt")))
+    l = t("benchmark").select("item_id", F.col("text").alias("excerpt"))
+    j = contains_join(t("documents").select("doc_id", "text"), l, "doc_id", "text", "excerpt")
     return j.join(t("labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id", "item_id")
 
 

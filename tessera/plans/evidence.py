@@ -18,7 +18,7 @@ TAIL = "left(regexp_replace(text, '\\s+', ' ', 'g'), 60)"
 
 
 def questions(t):
-    q = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60)
+    q = F.regexp_replace("text", r"\s+", " ")
     return t("conversations").where("role = 'user'").select("conv_id", "turn", q.alias("q"))
 
 

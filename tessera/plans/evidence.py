@@ -201,7 +201,7 @@ def web_gather(t):
 def cites(t):
     e = evid(t)
     d = F.col("doc_id").cast("string")
-    return R.citations(e.select("query_id", "ord", "source_id", d.alias("document_id"), "knowledge_id", "chunk_id", F.col("source_name").alias("title"), F.substring("content", 1, 30).alias("text"), "attachment_url", "official_url", F.lit("http://localhost/x").alias("parent_url")))
+    return R.citations(e.select("query_id", "ord", "source_id", d.alias("document_id"), "knowledge_id", "chunk_id", F.col("source_name").alias("title"), F.col("content").alias("text"), "attachment_url", "official_url", F.lit("http://localhost/x").alias("parent_url")))
 
 
 @query("citations_build", EVI + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS index, 'cit_' || left(sha256(source_id || chr(0) || doc_id || chr(0) || knowledge_id || chr(0) || 'c' || doc_id), 24) AS citation_id FROM evi WHERE rank <= 4")
@@ -212,7 +212,7 @@ def citations_build(t):
 @query("grounding_text", EVI + "SELECT query_id, string_agg('Evidence ' || rank || ': Office ' || source_id || chr(10) || left(trim(d.text), 20) || CASE WHEN length(trim(d.text)) > 20 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS material FROM evi JOIN documents d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
 def grounding_text(t):
     e = evid(t).select("query_id", F.col("rank").alias("index"), F.col("source_name").alias("title"), "content")
-    return R.grounding(e, "query_id", 20)
+    return R.grounding(e, "query_id")
 
 
 @query("cacheable", EVI + ", c AS (SELECT query_id, count(*) AS n, bool_and(contains(source_url, '/f/') OR rank < 4) AS ok FROM evi WHERE rank <= 4 GROUP BY 1) SELECT DISTINCT d.source AS query_id, coalesce(ok, false) AS cacheable FROM documents d LEFT JOIN c ON c.query_id = d.source")

@@ -38,7 +38,7 @@ def op7_lsa_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.line_dedup(load(spark, sf_dir, "documents"))
+    return templates.line_dedup(load(spark, sf_dir, "documents"), min_docs=2)
 
 
 def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

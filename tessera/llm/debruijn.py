@@ -1,21 +1,27 @@
 """Substring deduplication on a compacted De Bruijn graph of words.
 
-The edges are the windows of K words. Windows that share their minimizer (of the
-ANCHOR-word pieces in a window, the one of least hash) form one path: a run of edges
-that nothing in the document parts. Because the minimizer depends on the words alone,
-the inside of a repeated passage is cut into the same paths wherever it stands.
+The edges are the windows of K words; their nodes are the K - 1 words that neighbours
+share. Edges that share their minimizer (of the ANCHOR-word pieces in a window, the one of
+least hash) and follow each other in a document are compacted into one path. Because the
+minimizer depends on the words alone, the inside of a repeated passage is cut into the
+same paths wherever it stands.
 
 1. Anchors that only one document holds are filtered out (recurring.py): their windows
    can't repeat.
-2. The paths at the other anchors meet at their anchor. Equal paths merge, with the
-   smallest doc_id as their source coordinate. An anchor with a single path is a
-   nonbranching stretch: the whole path stands or falls together. Where an anchor has
-   several paths (ends of passages, edits), their edges are compared one by one.
+2. The paths at the other anchors travel to their anchor with their words and the
+   coordinate (doc_id, place) at which they stand. Paths are equal if their words are: the
+   words that the first holder brings from its coordinate verify each of the others, no
+   hash decides. Where all paths at an anchor are one, every node inside has one edge in
+   and one out: the path is nonbranching and stands or falls as a whole. Where they are
+   several, nodes branch, and the edges are told apart one by one, by their words.
 3. The verdicts go back to the packs of documents: a path is cut out of every document
    but its first; in the first, the edges that a smaller doc_id holds in another path.
 
-All three are joins on hashed keys (shuffles of arrays, and a cogroup of documents with
-verdicts); the texts are shuffled once, as all cogroups share one exchange."""
+An anchor that HOT documents or more hold (a frequent turn of words, whose windows may all
+differ) isn't gathered: there each edge travels alone, to a bucket of its own hash. So a
+bucket never holds more than one row of an edge for each pack, and paths of an anchor only
+where few documents have it. The texts are shuffled once, as all cogroups share one
+exchange."""
 
 from __future__ import annotations
 
@@ -25,217 +31,262 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix64, window_hashes, word_bounds, word_hashes
-from .recurring import NO_ID, answers, as_filter, bucket_of, found_in, packed, recurring
+from .common import mix64, settle, window_hashes, word_bounds, word_hashes
+from .recurring import Block, answers, as_filter, blocks, bucket_of, found_in, in_order, packed, recurring, starts_of
 
 K, ANCHOR = 13, 5
+_EDGE = np.uint64(0x45444745)
 
 
-def anchors(words: np.ndarray, k: int = K, piece: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each piece, and for each window the place of its minimizer (the leftmost
-    of the least)."""
-    h = window_hashes(words, piece, 0x5EED)
-    if len(words) < k:
-        return h, np.zeros(0, np.int64)
-    span = k - piece + 1
-    view = np.lib.stride_tricks.sliding_window_view(h, span)
-    return h, view.argmin(axis=1) + np.arange(len(view))
+class Paths:
+    """The paths of a block's texts, in their order: anchor (hash), first (word), size (in
+    edges), doc (place of the document in the block). words: all words of the block, one
+    space between two; starts and ends of each; word_doc: the document of each."""
 
+    def __init__(self, block: Block) -> None:
+        starts, ends = word_bounds(block.data)
+        self.hashes = word_hashes(block.data, starts, ends)
+        self.size_of_words = ends - starts
+        self.block, self.n = block, len(starts)
+        self.first_word = np.append(np.searchsorted(starts, block.starts), len(starts))
+        self.anchor, self.first, self.size, self.doc = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        if self.n < K:
+            return
+        owner = np.repeat(np.arange(len(block.texts)), np.diff(self.first_word))
+        h = window_hashes(self.hashes, ANCHOR, 0x5EED)
+        at = np.lib.stride_tricks.sliding_window_view(h, K - ANCHOR + 1).argmin(axis=1)
+        at += np.arange(len(at))
+        inside = np.flatnonzero(owner[: len(at)] == owner[K - 1 :])
+        if not len(inside):
+            return
+        at, who = at[inside], owner[inside]
+        new = np.append(True, (at[1:] != at[:-1]) | (who[1:] != who[:-1]))
+        cuts = np.flatnonzero(new)
+        self.first, self.size, self.doc = inside[cuts], np.diff(np.append(cuts, len(at))), who[cuts]
+        self.anchor = h[at[cuts]]
 
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends = word_bounds(text)
-    return starts, ends, word_hashes(text, starts, ends)
+    def spelled(self) -> None:
+        """Makes words, starts and ends; only where words are read."""
+        self.words = b" ".join(self.block.data.split())
+        self.ends = np.cumsum(self.size_of_words + 1) - 1
+        self.starts = self.ends - self.size_of_words
 
+    def units(self, keys: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """What travels: the key of each unit, the document, the first word and the number of
+        edges. A unit is a path at a wanted anchor, or one edge of a path at a hot one."""
+        there, at = found_in(keys, as_filter(self.anchor, buckets))
+        pick = np.flatnonzero(there)
+        alone = hot[at[pick]] if len(pick) else np.zeros(0, bool)
+        first, size, doc, key = self.first[pick], self.size[pick], self.doc[pick], self.anchor[pick]
+        if alone.any():
+            n = np.where(alone, size, 1)
+            of = np.repeat(np.arange(len(pick)), n)
+            first = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            edge = mix64(window_hashes(self.hashes, K)[first] ^ _EDGE)
+            key = np.where(alone[of], edge, key[of])
+            size, doc = np.where(alone[of], 1, size[of]), doc[of]
+        return key, doc, first, size
 
-def anchor_keys(text: bytes) -> np.ndarray:
-    _, _, words = words_of(text)
-    h, at = anchors(words)
-    return np.unique(h[at]) if len(at) else np.zeros(0, np.uint64)
 
+def anchor_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    p = Paths(block)
+    return p.anchor, p.doc
 
-class Paths:
-    """The paths of one document: anchor hash, path hash, first window, windows."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        self.edge = window_hashes(words, K)
-        h, at = anchors(words)
-        if not len(at):
-            self.anchor = self.path = np.zeros(0, np.uint64)
-            self.first = self.size = np.zeros(0, np.int64)
-            return
-        self.first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        self.size = np.diff(np.append(self.first, len(at)))
-        self.anchor = h[at[self.first]]
-        # a path is told by its first and last edges, its length and where the anchor stands in it
-        last = self.edge[self.first + self.size - 1]
-        shape = (self.size * 64 + at[self.first] - self.first).astype(np.uint64)
-        self.path = mix64(mix64(self.edge[self.first] ^ mix64(shape)) + last * np.uint64(0x9E3779B97F4A7C15) + self.anchor)
-
-
-def _send_paths(docs: pa.Table, verdicts: pa.Table, buckets: int) -> Iterator[tuple]:
-    """Distinct paths of a pack at anchors that recur: anchor, path, least id, several
-    documents, edges."""
-    (wanted,) = answers(verdicts, ("keys", np.uint64))
-    if not len(wanted) or not docs.num_rows:
-        return None
-    anchor, path, doc, size, edges = [], [], [], [], []
-    for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        _, _, words = words_of(text.as_py())
-        p = Paths(words)
-        if not len(p.first):
+
+def _distinct(docs: pa.Table, keys: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[dict[bytes, int], list[list]]:
+    """The distinct units of a pack: the place of each by its words, and for each: key,
+    least doc_id, whether several documents hold it, edges, place of its first word in the
+    document with that id."""
+    place, found = {}, []
+    for block in blocks(docs):
+        p = Paths(block)
+        key, doc, first, size = p.units(keys, hot, buckets)
+        if not len(key):
             continue
-        ok, _ = found_in(wanted, as_filter(p.anchor, buckets))
-        _, once = np.unique(p.path[ok], return_index=True)
-        pick = np.flatnonzero(ok)[once]
-        if len(pick):
-            anchor.append(p.anchor[pick])
-            path.append(p.path[pick])
-            doc.append(np.full(len(pick), NO_ID if d is None else d, np.int64))
-            size.append(p.size[pick])
-            total = int(p.size[pick].sum())
-            edges.append(p.edge[np.repeat(p.first[pick] - np.append(0, np.cumsum(p.size[pick])[:-1]), p.size[pick]) + np.arange(total)])
-    if not anchor:
-        return None
-    return tuple(map(np.concatenate, (anchor, path, doc, size, edges)))
-
-
-def _merge(anchor: np.ndarray, path: np.ndarray, doc: np.ndarray, several: np.ndarray, size: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (anchor, path) with the least id, whether several rows or flags, and
-    the edges of one of each; sorted by anchor and path. Also the group of each row."""
-    order = np.lexsort((doc, path, anchor))
-    a, p = anchor[order], path[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
-    first = np.flatnonzero(new)
-    lead = order[first]
-    # several documents: a row that says so, or two different ids
-    last = np.append(first[1:], len(order)) - 1
-    many = np.logical_or.reduceat(several[order], first) | (doc[order[last]] != doc[lead])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    start = np.append(0, np.cumsum(size)[:-1])[lead]
-    n = size[lead]
-    kept = edges[np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))]
-    return anchor[lead], path[lead], doc[lead], many, n, kept, group
+        p.spelled()
+        lo, hi = p.starts[first].tolist(), p.ends[first + size + K - 2].tolist()
+        within = (first - p.first_word[doc]).tolist()
+        for k, d, a, b, n, w in zip(key.tolist(), block.ids[doc].tolist(), lo, hi, size.tolist(), within, strict=True):
+            words = p.words[a:b]
+            at = place.get(words)
+            if at is None:
+                place[words] = len(found)
+                found.append([k, d, False, n, w])
+            else:
+                held = found[at]
+                if d != held[1]:
+                    held[2] = True
+                    if d < held[1]:
+                        held[1], held[4] = d, w
+    return place, found
+
+
+def _edges(words: bytes) -> list[bytes]:
+    """The windows of a path, as words."""
+    w = words.split(b" ")
+    return [b" ".join(w[i : i + K]) for i in range(len(w) - K + 1)]
+
+
+def _judged(units: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
+    """units: key, least doc_id, whether several documents, words. For each: the first
+    holder, 1 if another document has it too, and a mask of the edges that a smaller
+    doc_id holds in another path at its anchor."""
+    at_key: dict[int, dict[bytes, list[int]]] = {}
+    for i, (key, _, _, words) in enumerate(units):
+        at_key.setdefault(key, {}).setdefault(words, []).append(i)
+    out: list = [None] * len(units)
+    for paths in at_key.values():
+        first = {}
+        for words, members in paths.items():
+            ids = {units[i][1] for i in members}
+            first[words] = (min(ids), len(ids) > 1 or any(units[i][2] for i in members))
+        masks = dict.fromkeys(paths, 0)
+        if len(paths) > 1:
+            edges = {words: _edges(words) for words in paths}
+            least: dict[bytes, int] = {}
+            for words, found in edges.items():
+                d = first[words][0]
+                for e in found:
+                    if least.get(e, d) >= d:
+                        least[e] = d
+            for words, found in edges.items():
+                d = first[words][0]
+                masks[words] = sum(1 << j for j, e in enumerate(found) if least[e] < d)
+        for words, members in paths.items():
+            d, several = first[words]
+            for i in members:
+                out[i] = (d, int(several), masks[words])
+    return out
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256. A word goes if a
     window of 13 words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input. Null and empty texts have no words (the hash is
-    that of the empty string). A null doc_id counts as larger than any other, and rows
-    that share a doc_id don't remove each other's words. An empty table gives no rows.
-    Words and windows are told apart by 64-bit hashes, windows within equal anchors."""
+    that of the empty string). doc_id is an integer (other types raise TypeError), a null
+    one counts as larger than any other, and rows that share a doc_id don't remove each
+    other's words. Very long texts are read whole. An empty table gives no rows. Windows
+    are told apart by their words."""
     packs, buckets = packed(docs)
-    wanted = recurring(packs, buckets, anchor_keys, 2)
+    wanted = settle(recurring(packs, buckets, anchor_keys, 2).drop("ids"))
     by_pack = lambda df: df.groupBy("_pack")
 
-    def send(docs_: pa.Table, verdicts: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("bucket", "pack", "anchor", "path", "doc", "several", "size", "edges")}
-        got = _send_paths(docs_, verdicts, buckets)
-        if got:
-            anchor, path, doc, size, edges = got
-            anchor, path, doc, many, size, edges, _ = _merge(anchor, path, doc, np.zeros(len(path), bool), size, edges)
-            where = bucket_of(mix64(anchor), buckets)
-            order = np.argsort(where, kind="stable")
-            start = np.append(0, np.cumsum(size)[:-1])
-            cuts = np.append(np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1])), len(order))
-            pack = docs_.column("_pack")[0].as_py()
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                at = order[x:y]
-                n_ = size[at]
-                out["bucket"].append(int(where[at[0]]))
-                out["pack"].append(pack)
-                out["anchor"].append(anchor[at].tobytes())
-                out["path"].append(path[at].tobytes())
-                out["doc"].append(doc[at].tobytes())
-                out["several"].append(many[at].tobytes())
-                out["size"].append(n_.astype(np.uint16).tobytes())
-                out["edges"].append(edges[np.repeat(start[at] - np.append(0, np.cumsum(n_)[:-1]), n_) + np.arange(int(n_.sum()))].tobytes())
-        kinds = {"bucket": pa.int32(), "pack": pa.int32()}
+    def send(docs_: pa.Table, filters: pa.Table) -> pa.Table:
+        out = {k: [] for k in ("bucket", "pack", "index", "key", "doc", "several", "size", "words")}
+        keys, hot = answers(filters, ("keys", np.uint64), ("hot", np.bool_))
+        if len(keys) and docs_.num_rows:
+            docs_ = in_order(docs_)
+            place, found = _distinct(docs_, keys, hot, buckets)
+            if found:
+                words = list(place)
+                key = np.array([f[0] for f in found], np.uint64)
+                doc = np.array([f[1] for f in found], np.int64)
+                several = np.array([f[2] for f in found], np.bool_)
+                size = np.fromiter(map(len, words), np.uint32, len(words))
+                where = bucket_of(mix64(key), buckets)
+                order = np.argsort(where, kind="stable")
+                cuts = np.append(starts_of(where[order]), len(order))
+                pack = docs_.column("_pack")[0].as_py()
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    at = order[x:y]
+                    out["bucket"].append(int(where[at[0]]))
+                    out["pack"].append(pack)
+                    for name, values in (("index", at.astype(np.uint32)), ("key", key[at]), ("doc", doc[at]), ("several", several[at]), ("size", size[at])):
+                        out[name].append(values.tobytes())
+                    out["words"].append(b"".join([words[i] for i in at.tolist()]))
+        kinds = {"bucket": pa.int32(), "pack": pa.int64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     def judge(t: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        runs = [len(x) // 8 for x in t.column("anchor").to_pylist()]
-        pack = np.repeat(np.array(t.column("pack").to_pylist(), np.int64), runs)
-        anchor, path, doc, several, size, edges, group = _merge(read("anchor", np.uint64), read("path", np.uint64), read("doc", np.int64), read("several", np.bool_), read("size", np.uint16).astype(np.int64), read("edges", np.uint64))
-        mask = np.zeros(len(path), np.uint16)
-        # anchors where paths branch: an edge goes if another path with a smaller first id holds it
-        start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        branching = np.repeat(np.diff(np.append(start, len(anchor))) > 1, np.diff(np.append(start, len(anchor))))
-        if branching.any():
-            of = np.repeat(np.arange(len(path)), size)
-            place = np.arange(len(of)) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
-            sel = branching[of]
-            of, place, e = of[sel], place[sel], edges[sel]
-            order = np.lexsort((doc[of], e, anchor[of]))
-            of, place, e = of[order], place[order], e[order]
-            new = np.append(True, (e[1:] != e[:-1]) | (anchor[of][1:] != anchor[of][:-1]))
-            least = np.repeat(doc[of][np.flatnonzero(new)], np.diff(np.append(np.flatnonzero(new), len(e))))
-            gone = least < doc[of]
-            np.bitwise_or.at(mask, of[gone], (1 << place[gone]).astype(np.uint16))
-        tell = (several | (mask > 0))[group]
-        pack, group = pack[tell], group[tell]
-        order = np.argsort(pack, kind="stable")
-        pack, group = pack[order], group[order]
-        out = {"_pack": [], "path": [], "doc": [], "mask": []}
-        cuts = np.append(np.flatnonzero(np.append(True, pack[1:] != pack[:-1])), len(pack)) if len(pack) else [0]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            g = group[x:y]
-            out["_pack"].append(int(pack[x]))
-            out["path"].append(path[g].tobytes())
-            out["doc"].append(doc[g].tobytes())
-            out["mask"].append(mask[g].tobytes())
-        return pa.table({k: pa.array(v, pa.int32() if k == "_pack" else pa.binary()) for k, v in out.items()})
-
-    def cut(docs_: pa.Table, verdicts: pa.Table) -> pa.Table:
-        path, first, mask = answers(verdicts, ("path", np.uint64), ("doc", np.int64), ("mask", np.uint16))
-        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []}
-        for d, text in zip(docs_.column("doc_id").to_pylist(), docs_.column("text"), strict=True):
-            kept, total = _kept(text.as_py(), NO_ID if d is None else d, path, first, mask)
-            out["doc_id"].append(d)
-            out["n_words"].append(total)
-            out["n_removed"].append(total - len(kept))
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
-
-    paths = by_pack(packs).cogroup(by_pack(wanted)).applyInArrow(send, "bucket int, pack int, anchor binary, path binary, doc binary, several binary, size binary, edges binary")
-    verdicts = paths.groupBy("bucket").applyInArrow(judge, "_pack int, path binary, doc binary, mask binary")
-    return by_pack(packs).cogroup(by_pack(verdicts)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def _kept(text: bytes, doc: int, path: np.ndarray, first: np.ndarray, mask: np.ndarray) -> tuple[list[bytes], int]:
-    """The words that stay, and how many there were."""
-    words = text.split()
-    if not len(path) or len(words) < K:
-        return words, len(words)
-    _, _, hashes = words_of(text)
-    p = Paths(hashes)
-    there, at = found_in(path, p.path)
-    pick = np.flatnonzero(there)
-    if not len(pick):
-        return words, len(words)
-    at = at[pick]
-    edges = len(p.edge)
-    gone = np.zeros(edges + 1, np.int64)
-    whole = pick[doc > first[at]]
-    np.add.at(gone, p.first[whole], 1)
-    np.add.at(gone, p.first[whole] + p.size[whole], -1)
-    bad = np.cumsum(gone)[:edges] > 0
-    part = (doc == first[at]) & (mask[at] > 0)
-    for i, m in zip(pick[part].tolist(), mask[at][part].tolist(), strict=True):
-        for j in range(int(p.size[i])):
-            if m >> j & 1:
-                bad[p.first[i] + j] = True
+        units, owner = [], []
+        for r in range(t.num_rows):
+            read = lambda c, kind: np.frombuffer(t.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
+            size, words = read("size", np.uint32), t.column("words")[r].as_py()
+            end = np.cumsum(size, dtype=np.int64)
+            units += [(k, d, s, words[a:b]) for k, d, s, a, b in zip(read("key", np.uint64).tolist(), read("doc", np.int64).tolist(), read("several", np.bool_).tolist(), (end - size).tolist(), end.tolist(), strict=True)]
+            owner.append(len(size))
+        out, at, verdicts = {"_pack": [], "index": [], "doc": [], "mask": []}, 0, _judged(units)
+        for r, n in enumerate(owner):
+            part = np.array(verdicts[at : at + n], np.int64).reshape(n, 3)
+            at += n
+            tell = (part[:, 1] > 0) | (part[:, 2] > 0)
+            if tell.any():
+                out["_pack"].append(t.column("pack")[r].as_py())
+                out["index"].append(np.frombuffer(t.column("index")[r].as_buffer(), np.uint32)[tell].tobytes())
+                out["doc"].append(part[tell, 0].tobytes())
+                out["mask"].append(part[tell, 2].astype(np.uint16).tobytes())
+        return pa.table({k: pa.array(v, pa.int64() if k == "_pack" else pa.binary()) for k, v in out.items()})
+
+    def cut(docs_: pa.Table, told: pa.Table) -> pa.Table:
+        keys, hot = answers(told, ("keys", np.uint64), ("hot", np.bool_))
+        index, least, mask = answers(told, ("index", np.uint32), ("doc", np.int64), ("mask", np.uint16))
+        out = {"n_words": [], "n_removed": [], "kept_sha256": []}
+        docs_ = in_order(docs_)
+        place: dict[bytes, int] = {}
+        for block in blocks(docs_):
+            for words, kept in _kept(block, keys, hot, buckets, place, index, least, mask):
+                out["n_words"].append(words)
+                out["n_removed"].append(words - kept[1])
+                out["kept_sha256"].append(hashlib.sha256(kept[0]).hexdigest())
+        kinds = {"kept_sha256": pa.string()}
+        return pa.table({"doc_id": docs_.column("doc_id")} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+
+    units = by_pack(packs).cogroup(by_pack(wanted)).applyInArrow(send, "bucket int, pack long, index binary, key binary, doc binary, several binary, size binary, words binary")
+    verdicts = units.groupBy("bucket").applyInArrow(judge, "_pack long, index binary, doc binary, mask binary")
+    none = F.lit(None).cast("binary")
+    told = wanted.select("_pack", "keys", "hot", none.alias("index"), none.alias("doc"), none.alias("mask")).union(verdicts.select("_pack", none, none, "index", "doc", "mask"))
+    return by_pack(packs).cogroup(by_pack(told)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _kept(block: Block, keys: np.ndarray, hot: np.ndarray, buckets: int, place: dict[bytes, int], index: np.ndarray, least: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, tuple[bytes, int]]]:
+    """For each document of a block its number of words, and the words that stay, joined by
+    one space, with their number. place numbers the pack's units as send did, across blocks."""
+    if not len(keys):
+        for text in block.texts:
+            w = text.split()
+            yield len(w), (b" ".join(w), len(w))
+        return
+    p = Paths(block)
+    key, doc, first, size = p.units(keys, hot, buckets)
+    p.spelled()
+    bounds = p.first_word.tolist()
+    bad = np.zeros(p.n + 1, bool)
+    if len(key):
+        lo, hi = p.starts[first].tolist(), p.ends[first + size + K - 2].tolist()
+        number = np.fromiter((place.setdefault(p.words[a:b], len(place)) for a, b in zip(lo, hi, strict=True)), np.int64, len(lo))
+        there, at = found_in(index, number.astype(np.uint32))
+        pick = np.flatnonzero(there)
+        at, ids = at[pick], block.ids[doc[pick]]
+        whole = pick[ids > least[at]]
+        gone = np.zeros(p.n + 2, np.int64)
+        np.add.at(gone, first[whole], 1)
+        np.add.at(gone, first[whole] + size[whole], -1)
+        bad = np.cumsum(gone)[: p.n + 1] > 0
+        part = (ids == least[at]) & (mask[at] > 0)
+        for i, m in zip(first[pick[part]].tolist(), mask[at[part]].tolist(), strict=True):
+            for j in range(m.bit_length()):
+                if m >> j & 1:
+                    bad[i + j] = True
     where = np.flatnonzero(bad)
-    if not len(where):
-        return words, len(words)
-    cover = np.zeros(len(words) + 1, np.int64)
+    cover = np.zeros(p.n + K + 1, np.int64)
     np.add.at(cover, where, 1)
     np.add.at(cover, where + K, -1)
-    keep = np.cumsum(cover)[: len(words)] == 0
-    return [words[i] for i in np.flatnonzero(keep).tolist()], len(words)
+    keep = np.cumsum(cover)[: p.n] == 0
+    removed = np.append(0, np.cumsum(~keep))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a == b:
+            yield 0, (b"", 0)
+        elif removed[a] == removed[b]:
+            yield b - a, (p.words[p.starts[a] : p.ends[b - 1]], b - a)
+        else:
+            stay = a + np.flatnonzero(keep[a:b])
+            new = np.append(True, np.diff(stay) > 1) if len(stay) else np.zeros(0, bool)
+            run = np.flatnonzero(new)
+            last = np.append(run[1:], len(stay)) - 1 if len(run) else run
+            pieces = [p.words[x:y] for x, y in zip(p.starts[stay[run]].tolist(), p.ends[stay[last]].tolist(), strict=True)]
+            yield b - a, (b" ".join(pieces), len(stay))
 
 
 OP4_SQL = r"""

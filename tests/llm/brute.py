@@ -91,15 +91,45 @@ def top(vectors, every=50, k=5):
     return out
 
 
-def lines(rows, keys_of, least=3):
-    """[kept text] for each row."""
+def template(token):
+    return "<*>" if len(token.encode()) >= 40 or re.search(r"[0-9@\\\\]|://", token) else token
+
+
+def alike(a, b):
+    """Whether two lines are of one template: equal but for variable fields, or, if long,
+    but for one of four runs of the tokens after the third."""
+    if len(a) != len(b) or not a or a[:3] != b[:3]:
+        return False
+    if a == b:
+        return True
+    if len(a) < 12:
+        return False
+    x, y = a[3:], b[3:]
+    cut = [len(x) * i // 4 for i in range(5)]
+    return sum(x[i:j] != y[i:j] for i, j in zip(cut, cut[1:])) == 1
+
+
+def lines(rows, least=3):
+    """[kept text] for each row. A template with a free run counts the rows that have a
+    line of it, so the rule is written on the templates that a line is of."""
+    def forms(line):
+        t = tuple(template(x) for x in WORD.findall(line))
+        if not t:
+            return []
+        out = [("whole", t)]
+        if len(t) >= 12:
+            x = t[3:]
+            cut = [len(x) * i // 4 for i in range(5)]
+            out += [(i, len(t), t[:3] + x[: cut[i]], x[cut[i + 1] :]) for i in range(4)]
+        return out
+
     docs, first = defaultdict(int), {}
     for d, t in rows:
-        for g in {k for x in (t or "").split("\n") for k in keys_of(x)}:
+        for g in {k for x in (t or "").split("\n") for k in forms(x)}:
             docs[g] += 1
             first[g] = min(first.get(g, float("inf")), key(d))
     out = []
     for d, t in rows:
-        bad = lambda x: any(docs[k] >= least and first[k] < key(d) for k in keys_of(x))
+        bad = lambda x: any(docs[k] >= least and first[k] < key(d) for k in forms(x))
         out.append("\n".join(x for x in (t or "").split("\n") if not bad(x)))
     return out

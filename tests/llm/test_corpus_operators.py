@@ -13,7 +13,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, debruijn, feistel, grace, hilbert, lsa, mixing, mtree, simhash, templates
+from tessera.llm import bpe, debruijn, feistel, grace, hilbert, lsa, mixing, mtree, recurring, simhash, templates
 from tessera.llm.common import load
 from tessera.llm.components import components
 from tessera.llm.queries import QUERIES
@@ -300,7 +300,7 @@ def test_op7_edges(spark, rows):
 
 def test_op8_equals_brute_force(spark, rows):
     got = templates.line_dedup(frame(spark, rows, True)).collect()
-    want = brute.lines(rows, lambda x: templates.templates(x.encode()))
+    want = brute.lines(rows)
     assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted([(d, w) for (d, _), w in zip(rows, want)], key=repr)
     assert any(r.n_dropped for r in got)
     assert templates.line_dedup(empty(spark)).collect() == []
@@ -308,11 +308,57 @@ def test_op8_equals_brute_force(spark, rows):
 
 def test_op8_generalises_fields(spark):
     rows = [(i, f"Served in {i * 7} ms by node-{i} at 10.0.0.{i}\nown line {'abc'[i % 3]} of doc\nunique words {'x' * (i + 1)}") for i in range(6)]
+    # unique halves stay: more than one run of the line differs
     rows += [(10 + i, "the first eight words of this long line stay but " + end) for i, end in enumerate(["one two three four", "five six seven eight", "nine ten eleven twelve"])]
+    # one variable field at the leaf goes with its template
+    rows += [(20 + i, f"the user {name} asked for the list of all open tickets in the north") for i, name in enumerate(["anna", "bert", "carla"])]
+    rows += [(30 + i, f"the user asked for the list of all {name} open tickets in the north") for i, name in enumerate(["red", "blue", "green"])]
     got = {r.doc_id: r.text.split("\n") for r in templates.line_dedup(frame(spark, rows)).collect()}
     assert got[0][0].startswith("Served") and all(not x[0].startswith("Served") for d, x in got.items() if 0 < d < 6)
     assert all(f"unique words {'x' * (i + 1)}" in got[i] for i in range(6))
-    assert got[10] != [""] and got[11] == [""]
+    assert all(got[10 + i] != [""] for i in range(3))
+    assert all(got[20 + i] != [""] for i in range(3))  # the leading tokens differ: other branches of the tree
+    assert [got[30 + i] != [""] for i in range(3)] == [True, False, False]
+    want = {d: t for (d, _), t in zip(rows, brute.lines(rows))}
+    assert {d: "\n".join(t) for d, t in got.items()} == want
+
+
+def hot_corpus(n):
+    """A line and a passage that stand in every document, and windows that differ at a piece
+    that every document holds."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    return [(i, f"{passage}\nthe one line of all\nown{i} a{i} b{i} all of us agree on c{i} d{i} e{i} f{i} g{i} h{i} i{i}") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_op4_op8_hot_keys_are_bounded_by_packs(spark, n, monkeypatch):
+    monkeypatch.setattr(recurring, "PACK_BYTES", 64 << 10)
+    monkeypatch.setattr(recurring, "HOT", 100)
+    df = frame(spark, hot_corpus(n))
+    packs, buckets = recurring.packed(df)
+    n_packs = packs.select("_pack").distinct().count()
+    for keys_of in (debruijn.anchor_keys, templates.held_keys):
+        got = recurring.recurring(packs, buckets, keys_of, n, ids=True).collect()
+        entries = [len(r["keys"]) // 8 for r in got]
+        # what all documents hold comes back once for each pack
+        held = len(np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])))
+        assert held and sum(entries) <= held * n_packs and n_packs < n / 5
+    rows = hot_corpus(n)
+    assert sorted(r.text for r in templates.line_dedup(df).collect()) == sorted(brute.lines(rows))
+    b = brute.windows(rows)
+    assert pairs(debruijn.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted([(d, *b[i]) for i, (d, _) in enumerate(rows)], key=repr)
+
+
+def test_op4_op8_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(recurring, "PACK_BYTES", 4 << 10)
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(None, text)] * 400, "doc_id long, text string")
+    sizes = [r["count"] for r in recurring.packed(df)[0].groupBy("_pack").count().collect()]
+    assert max(sizes) <= 4096 // len(text) + 1
+    assert {r.n_removed for r in debruijn.substring_dedup(df).collect()} == {0}
+    for f in (debruijn.substring_dedup, templates.line_dedup):
+        with pytest.raises(TypeError):
+            f(df.withColumn("doc_id", F.lit("a")))
 
 
 @pytest.mark.parametrize("hot", [2048, 2])

@@ -76,8 +76,8 @@ def test_op1_equals_brute_force(spark):
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").union(spark.createDataFrame([(None, [0.1] * 8)], "vec_id long, embedding array<double>")).withColumn("blob", F.lit(1))
     ints = {i: None if v is None or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(256 * x)) for x in v] for i, v in vectors.items()}
     want = brute.top(ints)
-    for tree in (4096, 37):
-        got = mtree.top_products(mtree.quantised(df), F.col("vec_id") % 50 == 0, 5, tree=tree, block=3, page=8).collect()
+    for tree, fan, topmost in ((4096, 512, 4 << 20), (37, 512, 4 << 20), (37, 3, 1)):  # the last with levels above the subtrees
+        got = mtree.top_products(mtree.quantised(df), F.col("vec_id") % 50 == 0, 5, tree=tree, block=3, page=8, fan=fan, topmost=topmost).collect()
         assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in got} == want
 
 
@@ -118,6 +118,26 @@ def test_op1_bounds_save_distances():
     assert t.seen < 2500
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_op1_prunes_before_it_sends(spark, n):
+    r = np.random.default_rng(5)
+    share = {}
+    for kind in ("clustered", "spread"):
+        v = r.normal(size=(n, 16)) if kind == "spread" else r.normal(size=(8, 16))[r.integers(0, 8, n)] + 0.01 * r.normal(size=(n, 16))
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        base = mtree.quantised(df).withColumn("ask", F.col("vec_id") % 50 == 0).persist()
+        reach = max(sum(x * x for x in row.v) for row in base.collect()) * (1 + 1e-12)
+        some = base.orderBy(F.xxhash64("vec_id")).limit(256).collect()
+        ids, pivots = np.array([row.vec_id for row in some]), np.array([row.v for row in some])
+        order, _ = mtree.MTree._pages(pivots.astype(float), np.arange(len(pivots)), 1)
+        ids, pivots = ids[order], pivots[order]
+        trees = mtree._subtrees(mtree._routed(base, pivots, n // 50), 50, 16, 64, 5, reach, ids, pivots)
+        pairs = sum(len(__import__("pickle").loads(row.ask)[1]) for row in mtree.asked_pairs(trees, reach, 16).collect())
+        share[kind] = pairs / (n / 50) / trees.count()  # of all pairs of a query and a subtree
+    print(n, share)
+    assert share["clustered"] < 0.35 and share["clustered"] < share["spread"]
+
+
 @pytest.mark.parametrize(("n", "bits"), [(2, 4), (3, 2), (4, 2)])
 def test_hilbert_curve_is_continuous(spark, n, bits):
     cells = spark.range(1 << n * bits).select(*[F.pmod(F.floor(F.col("id") / (1 << bits * i)), F.lit(1 << bits)).alias(f"x{i}") for i in range(n)])

@@ -1,4 +1,4 @@
-"""SimHash fingerprints and their links by a Gray-order hierarchical index.
+"""SimHash near-duplicates by a Gray-order hierarchical index.
 
 Equal fingerprints are merged first. Two fingerprints within d bits agree wholly in
 two of d + 2 blocks, so each distinct fingerprint is dealt to one group for every
@@ -6,7 +6,13 @@ pair of blocks. In a group the fingerprints are sorted by Gray rank and cut into
 pages; a node of the index holds the bits that all below it share, without those
 that nodes above hold already. A search adds up differences from the top and drops
 a whole node once they pass d. A group hands on a spanning forest of its links, never
-its pairs; components of the forests over all groups are the result."""
+its pairs; components of the forests over all groups are the result.
+
+near_copies() is the form for a similarity of shingle sets. At a Jaccard similarity of
+0.8 two fingerprints differ in about 10 of 64 bits, far beyond what blocks of the
+fingerprint can deal out. There the groups come from bands of minimum hashes; the index
+searches the fingerprints of a large group as before, and every link is checked on the
+whole sets of shingles."""
 
 from __future__ import annotations
 
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import mix64, numbered_columns, settle, text_bytes, window_hashes, word_bounds, word_hashes
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -76,7 +82,8 @@ class GrayIndex:
     """Hierarchical index over distinct patterns sorted by Gray rank."""
 
     def __init__(self, patterns: np.ndarray, page: int = PAGE, fan: int = FAN) -> None:
-        self.leaf = patterns[np.argsort(gray_rank(patterns), kind="stable")]
+        self.order = np.argsort(gray_rank(patterns), kind="stable")
+        self.leaf = patterns[self.order]
         self.page, self.fan, self.levels = page, fan, []
         step = page
         ones, zeros = self.leaf, ~self.leaf
@@ -92,18 +99,20 @@ class GrayIndex:
             self.levels[i].append(self.levels[i][0] & ~np.repeat(above, fan)[: len(self.levels[i][0])])
         self.levels[-1].append(self.levels[-1][0])
 
-    def links(self, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places a < b in self.leaf of all patterns within the distance."""
-        n = len(self.leaf)
-        for lo in range(0, n, block):
-            q = np.arange(lo, min(n, lo + block))
+    def links(self, distance: int, of: np.ndarray | None = None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places a < b in self.leaf of all patterns within the distance; or, for places
+        `of` only, a of those and any other b."""
+        n, both = len(self.leaf), of is not None
+        of = np.arange(n) if of is None else of
+        for lo in range(0, len(of), block):
+            q = of[lo : lo + block]
             node, off = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             for level in range(len(self.levels) - 1, -1, -1):
                 shared, ones, own = self.levels[level]
                 if level < len(self.levels) - 1:
                     kids = node[:, None] * self.fan + np.arange(self.fan)
                     span = self.page * self.fan**level
-                    keep = (kids < len(ones)) & ((kids + 1) * span > q[:, None])
+                    keep = (kids < len(ones)) & (both | ((kids + 1) * span > q[:, None]))
                     q, off, node = np.repeat(q, keep.sum(1)), np.repeat(off, keep.sum(1)), kids[keep]
                 off = off + np.bitwise_count((self.leaf[q] ^ ones[node]) & own[node])
                 keep = off <= distance
@@ -111,7 +120,7 @@ class GrayIndex:
             for at in range(0, len(q), 1 << 17):
                 a = q[at : at + (1 << 17)]
                 b = node[at : at + (1 << 17), None] * self.page + np.arange(self.page)
-                ok = (b < n) & (b > a[:, None])
+                ok = (b < n) & ((b != a[:, None]) if both else (b > a[:, None]))
                 a, b = np.repeat(a, ok.sum(1)), b[ok]
                 near = np.bitwise_count(self.leaf[a] ^ self.leaf[b]) <= distance
                 yield a[near], b[near]
@@ -173,39 +182,54 @@ def link_forest(distinct: DataFrame, distance: int = DISTANCE, hot: int = HOT_GR
         raise ValueError("distance must be 1 to 6")
     blocks = _places([(0, BITS)], distance + 2)
     base = settle(distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, 2)).alias("k")).select("fp", "k.which", "k.bits"))
-    crowded = base.groupBy("which", "bits").count().where(F.col("count") > hot).select("which", "bits", F.lit(True).alias("crowded"))
-    marked = base.join(crowded, ["which", "bits"], "left")
-    plain = marked.where("crowded is null").select("fp", F.col("which").alias("g1"), F.col("bits").alias("g2"), F.lit(-1).cast("long").alias("g3"), F.lit(0).cast("long").alias("g4"))
-    finer = None
-    for which, chosen in enumerate(combinations(blocks, 2)):
-        rest = _places([b for b in blocks if b not in chosen], distance + 2)
-        keys = _keys(F.col("fp"), rest, len(rest) - distance)
-        finer = F.when(F.col("which") == which, keys) if finer is None else finer.when(F.col("which") == which, keys)
-    dense = marked.where("crowded").select("fp", "which", "bits", F.explode(finer).alias("k")).select("fp", F.col("which").alias("g1"), F.col("bits").alias("g2"), F.col("k.which").alias("g3"), F.col("k.bits").alias("g4"))
+    crowded = settle(base.groupBy("which", "bits").count().where(F.col("count") > hot).select("which", "bits", F.lit(True).alias("crowded")))
+    whole = lambda df: df.select("fp", F.col("which").alias("g1"), F.col("bits").alias("g2"), F.lit(-1).cast("long").alias("g3"), F.lit(0).cast("long").alias("g4"))
+    if crowded.isEmpty():
+        groups = whole(base)
+    else:
+        marked = settle(base.join(crowded, ["which", "bits"], "left"))
+        finer = None
+        for which, chosen in enumerate(combinations(blocks, 2)):
+            rest = _places([b for b in blocks if b not in chosen], distance + 2)
+            keys = _keys(F.col("fp"), rest, len(rest) - distance)
+            finer = F.when(F.col("which") == which, keys) if finer is None else finer.when(F.col("which") == which, keys)
+        dense = marked.where("crowded").select("fp", "which", "bits", F.explode(finer).alias("k")).select("fp", F.col("which").alias("g1"), F.col("bits").alias("g2"), F.col("k.which").alias("g3"), F.col("k.bits").alias("g4"))
+        groups = whole(marked.where("crowded is null")).union(dense)
+    key = ["g1", "g2", "g3", "g4"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[], [], [], [], []]
-        for b in stream:
-            for c, name in zip(cols, ("g1", "g2", "g3", "g4", "fp"), strict=True):
-                c.append(b.column(name).to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        g1, g2, g3, g4, fp = (np.concatenate(c) for c in cols)
-        order = np.lexsort((g4, g3, g2, g1))
-        g1, g2, g3, g4, fp = (c[order] for c in (g1, g2, g3, g4, fp))
-        new = np.ones(len(fp), bool)
-        new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (g3[1:] != g3[:-1]) | (g4[1:] != g4[:-1])
-        cuts = np.append(np.flatnonzero(new), len(fp))
-        many = np.flatnonzero(np.diff(cuts) > 1)
-        a, b = [], []
-        for i in many.tolist():
-            x, y = forest(fp[cuts[i] : cuts[i + 1]].view(np.uint64), distance)
-            a.append(x)
-            b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], names=["a", "b"])
-
-    return plain.union(dense).repartition("g1", "g2", "g3", "g4").mapInArrow(run, "a long, b long").distinct()
+        for start, (*_, fp) in whole_groups(stream, key, ["fp"]):
+            cuts = np.append(start, len(fp))
+            found = [forest(fp[cuts[i] : cuts[i + 1]].view(np.uint64), distance) for i in np.flatnonzero(np.diff(cuts) > 1).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
+def whole_groups(stream: Iterator[pa.RecordBatch], keys: list[str], others: list[str], rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """From rows sorted by the keys: columns of about `rows` rows, never part of a group, and
+    where the groups start. A task holds that much and its largest group, not its partition."""
+    names, held, n = keys + others, [], 0
+
+    def starts(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[: len(keys)]])) if len(cols[0]) else np.zeros(0, bool)
+        return np.flatnonzero(new)
+
+    for b in stream:
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+        n += b.num_rows
+        if n < rows:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        start = starts(cols)
+        cut = int(start[-1])
+        if cut:
+            yield start[:-1], [c[:cut] for c in cols]
+        held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
+    if n:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield starts(cols), cols
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -226,3 +250,179 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def hex16(fp: str = "fp") -> "F.Column":
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+#: What near_copies() takes: words of a shingle, Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1.3e-7 at 0.8.
+ROWS, BANDS = 5, 40
+#: Bits in which fingerprints of sets that are so similar may differ: each bit differs with
+#: a probability of about 0.15, so more than this many do with one below 1e-6.
+WITHIN = 28
+#: Sets in a band up to which all its pairs are offered at once.
+SMALL = 8
+_ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+_PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
+
+
+def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; a
+    shorter text is one shingle, a text without words has none."""
+    low = text.lower()
+    words = word_hashes(low, *word_bounds(low))
+    return np.unique(window_hashes(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def node_of(found: np.ndarray) -> int:
+    """What a set is known by; equal sets have the same."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
+
+
+def set_fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed long."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(found), 8192):
+        counts += np.unpackbits(found[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found)).view(np.int64)[0])
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(low, (found[at : at + 1024, None] * _ODD).min(axis=0), out=low)
+    return mix64((mix64(low).reshape(BANDS, ROWS) * _PLACE).sum(axis=1) + _BAND)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node, size (shingles in the set), fp and bands for every document."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            found = [shingles(t.as_py()) for t in b.column(1)]
+            cols = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([set_fingerprint(x) for x in found], pa.int64()), pa.array([band_keys(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "node", "size", "fp", "bands"])
+
+    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, node long, size long, fp long, bands array<long>")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+
+
+def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
+    """rows: key, node, size, fp. Rows a, b: candidates; rows a, size, fp, key: members of
+    bands of more than `small` sets, which offer a star and a chain only."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for start, (key, size, node, fp) in whole_groups(stream, ["key"], ["size", "node", "fp"]):
+            count = np.diff(np.append(start, len(key)))
+            start, count = np.repeat(start, count), np.repeat(count, count)
+            at, crowd = np.arange(len(key)), count > small
+            pairs = [(start[crowd], at[crowd])]
+            for d in range(1, small):
+                i = np.flatnonzero((key[d:] == key[: len(key) - d]) & (~crowd[d:] | (d == 1))) if d < len(key) else at[:0]
+                pairs.append((i, i + d))
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            ok = (i < j) & (size[i] / np.maximum(size[j], 1) >= similarity) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WITHIN)
+            if ok.any():
+                none = pa.nulls(int(ok.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), none, none, none], names=["a", "b", "size", "fp", "key"])
+            if crowd.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(size[crowd]), pa.array(fp[crowd]), pa.array(key[crowd])], names=["a", "b", "size", "fp", "key"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long, size long, fp long, key long")
+
+
+def remaining(crowd: DataFrame, similarity: float) -> DataFrame:
+    """crowd: key, node, size, fp, root. The candidates a, b of a band whose roots differ: the
+    index over the band's fingerprints is searched for all that aren't in its largest part."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for start, (_, node, size, fp, root) in whole_groups(stream, ["key"], ["node", "size", "fp", "root"]):
+            cuts = np.append(start, len(node))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part, inside, n = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+                if len(part) == 1:
+                    continue
+                index = GrayIndex(fp[lo:hi].view(np.uint64))
+                place = lo + index.order
+                few = np.flatnonzero(inside[index.order] != n.argmax())
+                for a, b in index.links(WITHIN, few):
+                    i, j = place[a], place[b]
+                    ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays(_pairs(node[i[ok]], node[j[ok]]), names=["a", "b"])
+
+    return crowd.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, found: the sets of the given nodes (columns node, first: a doc_id that has it)."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            found = [shingles(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "found"])
+
+    ids = nodes.select(F.col("first").alias("_first")).distinct()
+    some = docs.select("doc_id", text_bytes().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    # a doc_id that several rows have brings sets along that aren't wanted, or twice
+    return some.select("text").mapInArrow(run, "node long, found binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
+
+
+def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole sets are as similar as that."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stream:
+            ok = []
+            for x, y in zip(t.column("x"), t.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / (len(x) + len(y) - both) >= similarity)
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = known.select(F.col("node").alias("a"), F.col("found").alias("x")), known.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id that it reaches over
+    links between documents whose sets of five-word shingles have that Jaccard similarity or
+    more, itself included). Null, empty and blank texts have equal, empty sets and link with
+    each other only. A null doc_id reaches the component of its set; if all doc_ids there are
+    null, so is component_id. Repeated rows come out repeated. Very long texts are read whole.
+    An empty table gives no rows. Shingles and sets are told apart by 64-bit hashes; a pair at
+    the threshold is overlooked with a probability of about 1e-6 and a closer one less often."""
+    marks = settle(sketches(docs))
+    first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    found = settle(offers(first.select(F.explode("bands").alias("key"), "node", "size", "fp"), similarity, small).distinct())
+    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"), "size", "fp")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    known = settle(sets(docs, settle(first.select("node", "first").join(nodes, "node", "left_semi"))))
+    links = settle(verified(pairs, known, similarity))
+    root = components(links)
+    if not crowd.isEmpty():
+        apart = settle(remaining(crowd.join(root, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("root")), similarity))
+        more = settle(verified(apart, known, similarity))
+        if not more.isEmpty():
+            root = components(links.union(more))
+    linked = root.join(first.select("node", "first"), "node").select("node", "root", "first")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_node = first.select("node", "first").join(linked.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    of_node = settle(of_node)  # so that AQE may split a set that very many rows have
+    return marks.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the documents whose doc_id names it, and those without
+    doc_id whose group has no other; with the columns of docs, whatever their names. Rows
+    that repeat such a doc_id stay together. Null and empty texts are one group; an empty
+    table stays empty."""
+    kept = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    plain, back = numbered_columns(docs, "doc_id")
+    return plain.join(kept, plain.doc_id.eqNullSafe(kept._kept), "left_semi").select(*back)

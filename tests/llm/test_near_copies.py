@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 import pytest
 from test_corpus_operators import corpus, empty, frame
 
-from tessera.llm import jaccard
+from tessera.llm import simhash
 
 
 def shingles(text, k=5):
@@ -53,7 +53,7 @@ def near_corpus():
 @pytest.mark.parametrize("small", [2, 8])
 def test_components_equal_all_pairs(spark, small):
     rows = corpus() + [(1000 + d, t) for d, t in near_corpus()]
-    got = sorted((repr(r.doc_id), repr(r.component_id)) for r in jaccard.near_copies(frame(spark, rows, True), small=small).collect())
+    got = sorted((repr(r.doc_id), repr(r.component_id)) for r in simhash.near_copies(frame(spark, rows, True), small=small).collect())
     assert got == sorted((repr(d), repr(c)) for (d, _), c in zip(rows, components(rows)))
 
 
@@ -64,5 +64,20 @@ def test_near_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in pipeline.near(spark, frame(spark, rows), "").collect()) == want
 
 
+@pytest.mark.parametrize("small", [2, 8])
+def test_large_band(spark, small):
+    """A band that many sets share: near copies of two texts that have most words in common."""
+    r = random.Random(11)
+    base = [f"v{r.randrange(5000)}" for _ in range(120)]
+    other = base[:70] + [f"y{i}" for i in range(50)]
+    rows = []
+    for i in range(120):
+        words = list(base if i % 3 else other)
+        words[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows), small=small).collect())
+    assert got == sorted((d, c) for (d, _), c in zip(rows, components(rows)))
+
+
 def test_empty(spark):
-    assert jaccard.near_copies(empty(spark)).collect() == []
+    assert simhash.near_copies(empty(spark)).collect() == []

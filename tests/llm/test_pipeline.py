@@ -9,6 +9,7 @@ import corpus_pipeline as pipeline
 import pytest
 from conftest import DATA
 from test_corpus_operators import CLASH, corpus, empty, frame
+from test_near_copies import components
 
 from tessera.llm import lsa, mixing
 from tessera.llm.common import load, settle
@@ -50,11 +51,11 @@ def test_each_stage_on_awkward_rows(spark, small):
     want = {(b[i][0], b[i][2]) for i in range(len(rows))}
     got = [(r.doc_id, hashlib.sha256("".join(brute.WORD.findall(r.text or "")).encode()).hexdigest()) for r in exact.collect()]
     assert len(got) == len(want) and set(got) == want
-    # near: the rows whose id names their component
+    # near: the rows whose id names their component; five words, similarity 0.8
     near = settle(pipeline.near(spark, exact, small))
     assert near.columns == columns
     rows = [(r.doc_id, r.text) for r in exact.collect()]
-    want = sorted(repr(d) for (d, _), (_, c) in zip(rows, brute.near(rows)) if d == c)
+    want = sorted(repr(d) for (d, _), c in zip(rows, components(rows)) if d == c)
     assert sorted(repr(r.doc_id) for r in near.collect()) == want
     # mix: copies by rate; the same choice again
     mixed = settle(pipeline.mix(spark, near, small))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 NONE = 1 << 60
 #: Pieces up to so many bytes are encoded side by side.
 SIDE_BY_SIDE = 64
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of pieces and ids that a worker remembers, and of the longest such piece.
+REMEMBERED, LONGEST = 64 << 20, 256
 
 
 class Codec:
@@ -45,6 +46,7 @@ class Codec:
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.by_text = {str(i): b for i, b in self.bytes.items()}
         self.known: dict[str, str] = {}
+        self.held = 0
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the pair of tokens a and b; NONE where it isn't in the vocabulary."""
@@ -109,13 +111,16 @@ class Codec:
         """The same tree for one piece of any length."""
         n, leaves = len(piece), 1 << (len(piece) - 1).bit_length()
         token = self.of_byte[np.frombuffer(piece, np.uint8)]
-        first = np.full(leaves, NONE, object)
+        nodes = np.full(2 * leaves, NONE, np.int64)
         rank = self.pair(token[:-1], token[1:])
-        first[: n - 1] = [r << 32 | i if r < NONE >> 16 else NONE for i, r in enumerate(rank.tolist())]
-        tree = [NONE] * leaves + first.tolist()
-        for i in range(leaves - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-        token, after, before = token.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        nodes[leaves : leaves + n - 1] = np.where(rank < NONE >> 16, rank << 32 | np.arange(n - 1), NONE)
+        lo = leaves
+        while lo > 1:
+            nodes[lo // 2 : lo] = np.minimum(nodes[lo : 2 * lo : 2], nodes[lo + 1 : 2 * lo : 2])
+            lo //= 2
+        # arrays of 8 bytes a node: fewer than 50 bytes for each byte of the piece in all
+        tree, token, after, before = array("q", nodes.tobytes()), array("q", token.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        del nodes, rank
         pairs = self._pairs()
 
         def put(at: int, value: int) -> None:
@@ -175,13 +180,19 @@ class Codec:
     def encode_texts(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by one space."""
         found = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = list(set().union(*found).difference(self.known)) if found else []
         for piece, ids in zip(new, self.pieces(p.encode() for p in new), strict=True):
-            self.known[piece] = " ".join(map(str, ids))
+            self.known[piece] = coded = " ".join(map(str, ids))
+            self.held += len(piece) + len(coded) + 150
         get = self.known.__getitem__
-        return [" ".join(map(get, f)) for f in found]
+        out = [" ".join(map(get, f)) for f in found]
+        for piece in new:
+            if len(piece) > LONGEST:
+                self.held -= len(piece) + len(self.known.pop(piece)) + 150
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_texts([text])[0].split()]
@@ -212,8 +223,10 @@ def default_vocabulary() -> tuple[str, str]:
 def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again: doc_id, n_tokens,
     ids_sha256, decoded_sha256 and, with keep_ids, the ids as array<int>. Null and
-    empty texts have no tokens. The vocabulary file at `path` must be readable on
-    every executor."""
+    empty texts have no tokens. Very long texts are encoded whole, each match of the
+    pattern by itself; a match takes some 50 bytes of memory for each of its own. Repeated
+    rows come out alike, rows without doc_id with a null one; an empty table gives no rows.
+    The vocabulary file at `path` must be readable on every executor."""
     own = default_vocabulary()
     path, pattern = path or own[0], pattern or own[1]
     key = docs.schema["doc_id"].dataType.simpleString()

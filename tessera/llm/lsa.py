@@ -82,19 +82,16 @@ def in_training(doc_id: str = "doc_id") -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, label: "F.Column", per_class: int = PER_CLASS) -> tuple[np.ndarray, list]:
-    """Features and labels of at most per_class labelled documents of each class, the
-    first in the order of a hash of doc_id; rows without label or doc_id are left out,
-    repeated labels count once (the smallest label)."""
-    found = labels.where(F.col("doc_id").isNotNull()).select("doc_id", label.alias("_label")).where("_label is not null").groupBy("doc_id").agg(F.min("_label").alias("_label"))
-    kinds = sorted(r[0] for r in found.select("_label").distinct().limit(64).collect())
+def sample_features(docs: DataFrame, labels: DataFrame, label: "F.Column", per_class: int = PER_CLASS, kinds: tuple = (0, 1)) -> tuple[np.ndarray, list]:
+    """Features and labels of at most per_class labelled documents of each class in
+    `kinds`, the first in the order of a hash of doc_id; rows without such a label or
+    without doc_id are left out, repeated labels count once (the smallest label)."""
+    found = labels.where(F.col("doc_id").isNotNull()).select("doc_id", label.alias("_label")).where(F.col("_label").isin(*kinds)).groupBy("doc_id").agg(F.min("_label").alias("_label"))
     chosen = None
     for kind in kinds:
         part = found.where(F.col("_label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
-        return np.zeros((0, BUCKETS + _STYLES), np.float32), []
-    # at most 64 * per_class rows of two numbers: a proven bound
+    # at most len(kinds) * per_class rows of two numbers: a proven bound
     joined = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +101,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: "F.Column", per_c
 
     key = docs.schema["doc_id"].dataType.simpleString()
     kind = chosen.schema["_label"].dataType.simpleString()
-    got = joined.mapInArrow(run, f"doc_id {key}, label {kind}, x binary").orderBy("doc_id", "x").limit(2 * per_class * max(1, len(kinds))).collect()
+    got = joined.mapInArrow(run, f"doc_id {key}, label {kind}, x binary").orderBy("doc_id", "x").limit(2 * per_class * len(kinds)).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), BUCKETS + _STYLES)
     return x, [r.label for r in got]
 
@@ -133,13 +130,20 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document. Null and empty texts are scored
+    like any other (by the shares that an empty text has); very long ones are read whole. A
+    null doc_id hashes as the empty string. Labels other than 0 and 1 don't count; of
+    several labels of a document the smallest does. Repeated rows get equal scores (and a
+    labelled one that repeats stands in the sample as often); without labels of both
+    classes every score is 0.5; an empty table gives no rows."""
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels))
     return scored.select("doc_id", (~in_training()).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, with the columns of docs."""
+    """The rows of docs that the classifier accepts (score of THRESHOLD or more), with the
+    columns of docs, whatever their names. The rules are those of quality(); nothing but the
+    text decides."""
     model = fit_quality(docs, labels)
     plain, back = numbered_columns(docs, "text")
     return score_quality(plain, model).where(F.col("score") >= THRESHOLD).select(*back)

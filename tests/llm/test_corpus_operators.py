@@ -192,6 +192,39 @@ def test_op3_spills_and_recursion():
     assert len(list(grace.grace(iter(same), 100))) == 50
 
 
+def test_op3_wide_payload_and_spill_budget():
+    """The table counts what rides along: wide rows spill although their contents are short."""
+    wide = [(__import__("hashlib").sha256(b"%d" % i).digest(), b"%d" % i, 1, i, 1, {"a": "x" * 5000, "n": i, "l": [1, 2]}) for i in range(50)]
+    table = grace.OpenTable()
+    for w in wide:
+        table.add(w)
+    assert table.bytes > 50 * 5000
+    table.add((*wide[0][:2], 2, 99, 1, {"a": "y" * 50_000, "n": 0, "l": None}))  # replaces the first row
+    assert table.bytes > 50 * 5000 + 40_000
+    assert sorted(g[grace.ID] for g in grace.grace(iter(wide), 20_000)) == list(range(50))
+
+
+@pytest.mark.parametrize("budget", [48 << 20, 20_000])
+def test_op3_keep_distinct_wide_rows(spark, rows, budget):
+    df = frame(spark, rows, True).withColumn("wide", F.repeat(F.lit("z"), 500)).withColumn("nested", F.array(F.struct(F.lit(1).alias("a"))))
+    plain, back = grace.numbered_columns(df)
+    got = grace.distinct_texts(plain, None, "c1", "c0", budget=budget).select(*back)
+    assert got.columns == df.columns
+    b = brute.exact(rows)
+    want = {(b[i][0], b[i][2]) for i in range(len(rows))}
+    have = [(r.doc_id, __import__("hashlib").sha256("".join(brute.WORD.findall(r.text or "")).encode()).hexdigest(), len(r.wide), r.nested[0].a) for r in got.collect()]
+    assert sorted(have, key=repr) == sorted([(*w, 500, 1) for w in want], key=repr)
+
+
+def test_op5_long_pieces_are_not_remembered():
+    c = bpe.Codec(*bpe.default_vocabulary())
+    r = random.Random(3)
+    long = ["".join(r.choice("abcdefgh") for _ in range(20_000)) for _ in range(3)]
+    out = c.encode_texts([" ".join(long), "short words here", long[0]])
+    assert c.decode_ids(out[0]).decode() == " ".join(long) and c.decode_ids(out[2]).decode() == long[0]
+    assert max(map(len, c.known)) <= bpe.LONGEST and c.held < 10_000
+
+
 @pytest.mark.parametrize("seed", [7, 8, 9])
 def test_op4_equals_brute_force(spark, seed):
     rows = corpus(seed)

@@ -18,16 +18,24 @@ from .common import parts, settle
 BITS, SHARDS = 5, 8
 
 
-def ordinal(df: DataFrame, col: str) -> "F.Column":
-    """A number that keeps the order of a column: itself, or the first six bytes of a
-    string. Null is -1."""
-    kind = df.schema[col].dataType.typeName()
-    if kind == "string":
-        head = F.rpad(F.substring(F.hex(F.col(col).cast("binary")), 1, 12), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.coalesce(F.unix_micros(F.col(col).cast("timestamp")).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(col).cast("double"), F.lit(-1.0))
+def rank_tables(df: DataFrame, dims: list[str]) -> dict[str, DataFrame]:
+    """For each string dimension its distinct values (whole, not a prefix) with their ranks."""
+    texts = [d for d in dims if df.schema[d].dataType.typeName() == "string"]
+    return {d: numbered(df.where(F.col(d).isNotNull()).select(F.col(d).alias("_value")).distinct(), ["_value"]) for d in texts}
+
+
+def with_ordinals(df: DataFrame, dims: list[str], ranks: dict[str, DataFrame]) -> DataFrame:
+    """df with `_o_<dim>` for each dimension: a number that keeps its order, null for null.
+    Numbers, dates and times stand for themselves, a string for the rank of its value."""
+    for d in dims:
+        if d in ranks:
+            of = ranks[d].select(F.col("_value").alias(f"_v_{d}"), F.col("_slot").cast("double").alias(f"_o_{d}"))
+            df = df.join(of, F.col(d) == F.col(f"_v_{d}"), "left").drop(f"_v_{d}")
+        elif df.schema[d].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+            df = df.withColumn(f"_o_{d}", F.unix_micros(F.col(d).cast("timestamp")).cast("double"))
+        else:
+            df = df.withColumn(f"_o_{d}", F.col(d).cast("double"))
+    return df
 
 
 def cut_points(df: DataFrame, dims: dict[str, "F.Column"], bits: int = BITS) -> dict[str, list[float]]:
@@ -40,14 +48,15 @@ def cut_points(df: DataFrame, dims: dict[str, "F.Column"], bits: int = BITS) ->
 
 
 def quantise(value: "F.Column", cuts: list[float]) -> "F.Column":
-    """Number of cuts below the value: a binary search written as one expression."""
+    """Number of cuts below the value: a binary search written as one expression. Null falls
+    into the first cell."""
     def between(lo: int, hi: int) -> "F.Column":
         if lo == hi:
             return F.lit(lo).cast("long")
         mid = (lo + hi) // 2
         return F.when(value > F.lit(cuts[mid]), between(mid + 1, hi)).otherwise(between(lo, mid))
 
-    return between(0, len(cuts))
+    return F.when(value.isNull(), F.lit(0).cast("long")).otherwise(between(0, len(cuts)))
 
 
 def curve_tables(n: int) -> tuple[list[int], list[int]]:
@@ -92,27 +101,24 @@ def hilbert_index(axes: list["F.Column"], bits: int = BITS) -> "F.Column":
     return F.aggregate(levels, F.struct(zero.alias("h"), zero.alias("s")), step).getField("h")
 
 
-def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """df, range-partitioned by `order` and written to the shared folder, with `_slot`,
-    the gapless place of each row from 0, and the number of rows. Only the number of
-    rows of each partition reaches the driver."""
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df, range-partitioned by `order` and written to the shared folder, with `_slot`, the
+    gapless place of each row from 0. Sizes of partitions are summed up and joined back: one
+    row each, however many rows they hold."""
     n = max(1, parts(df.sparkSession))
-    dealt = settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}
-    before, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        before.append(total)
-        total += sizes.get(p, 0)
+    dealt = settle(settle(df).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     w = Window.partitionBy("_part").orderBy(*order)
-    starts = F.array(*[F.lit(b).cast("long") for b in before or [0]])
-    return dealt.withColumn("_slot", F.row_number().over(w) - 1 + F.get(starts, F.col("_part"))).drop("_part"), total
+    return dealt.withColumn("_slot", F.row_number().over(w) - 1).join(before, "_part").withColumn("_slot", F.col("_slot") + F.col("_before")).drop("_part", "_before")
 
 
-def hilbert_order(df: DataFrame, dims: list[str], bits: int = BITS) -> "F.Column":
-    """The column with each row's place on the curve over these dimensions."""
-    values = {d: ordinal(df, d) for d in dims}
-    cuts = cut_points(df, values, bits)
-    return hilbert_index([quantise(values[d], cuts[d]) for d in dims], bits)
+def on_curve(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "curve_index") -> DataFrame:
+    """df with each row's place on the curve over these dimensions."""
+    ranks = rank_tables(df, dims)
+    places = {d: F.col(f"_o_{d}") for d in dims}
+    cuts = cut_points(with_ordinals(df.select(*dims), dims, ranks), places, bits)
+    return with_ordinals(df, dims, ranks).withColumn(name, hilbert_index([quantise(places[d], cuts[d]) for d in dims], bits)).drop(*[f"_o_{d}" for d in dims])
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS) -> DataFrame:
@@ -120,18 +126,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("lang"
     curve_index. Law `rows`: counts of any two shards differ by one at most. A shard is a
     run of the Hilbert order over dims; within a cell equal texts are neighbours (by
     size and checksum), then doc_id decides. Null texts have size 1 and checksum 0; null
-    metadata come first in their dimension; repeated rows get slots of their own (which
-    of them is first doesn't show); an empty table gives no rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), hilbert_order(docs, list(dims), bits).alias("curve_index"))
-    placed, total = numbered(narrow, ["curve_index", "size", "text_crc32", "doc_id"])
-    s = F.expr(f"cast(_slot * {shards}L div {max(total, 1)}L as int)")
-    return placed.withColumn("shard", s).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.expr(f"_slot - (cast(shard as long) * {max(total, 1)}L + {shards - 1}L) div {shards}L").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+    metadata share the first cell of their dimension with its least values; repeated rows get
+    slots of their own (which of them is first doesn't show); an empty table gives no rows."""
+    text, names = F.coalesce(F.col("text"), F.lit("")), [f"_d{i}" for i in range(len(dims))]
+    # the texts are read once: all that follows is of narrow rows
+    narrow = settle(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.col(d).alias(n) for d, n in zip(dims, names, strict=True)]))
+    placed = numbered(on_curve(narrow, names, bits).drop(*names), ["curve_index", "size", "text_crc32", "doc_id"])
+    total = max(narrow.count(), 1)
+    s = F.expr(f"cast(_slot * {shards}L div {total}L as int)")
+    return placed.withColumn("shard", s).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.expr(f"_slot - (cast(shard as long) * {total}L + {shards - 1}L) div {shards}L").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
 def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, files: int | None = None) -> None:
     """Writes whole rows in curve order as Parquet files with narrow minima and maxima
     in every dimension, so that readers skip files by any of them."""
     n = files or parts(docs.sparkSession)
-    key = hilbert_order(docs, list(dims), bits)
-    docs.withColumn("_curve", key).repartitionByRange(n, "_curve", "doc_id").sortWithinPartitions("_curve", "doc_id").drop("_curve").write.parquet(path)
+    names = [f"_d{i}" for i in range(len(dims))]
+    copied = docs.select("*", *[F.col(d).alias(x) for d, x in zip(dims, names, strict=True)])
+    curved = on_curve(copied, names, bits, "_curve").drop(*names)
+    curved.repartitionByRange(n, "_curve", "doc_id").sortWithinPartitions("_curve", "doc_id").drop("_curve").write.parquet(path)

@@ -6,25 +6,30 @@ the domains. Rates r >= 0 are then fitted by projected gradient on the least squ
     1/2 |sum over documents of r_i * tokens_i * p_i - target|^2 + rho/2 sum of tokens_i * (r_i - 1)^2,
 
 p_i and target being vectors over the domains; the small second term makes the mix depart
-as little as it must from the documents as they are. The gradient's share of document i
-is tokens_i times a product of p_i with one vector for all, so the steps are gathered in a
-vector s over the domains and projected late: r_i = max(0, 1 - p_i . s). Each pass is one
-aggregation by Spark into a few numbers for each domain. Steps are scaled by the inverse
-of the normal matrix over the documents whose rates are positive, which makes them converge
-in a few passes; one that doesn't come closer is halved."""
+as little as it must from the documents as they are. The iterate is a column of rates. A
+pass takes the gradient (for document i: tokens_i times p_i . e + rho (r_i - 1), e the
+residual by domain), scales the step on the rates that are free by the inverse of their
+second derivatives, keeps those that the gradient presses against zero there, and
+projects: r_i <- max(0, r_i - a * step_i). The scaling needs only sums over the domains,
+so a pass is one aggregation by Spark; a step that doesn't lower the value is halved."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import numbered_columns, settle, text_bytes, word_bounds, word_hashes
 from .lsa import _KIND
 
+_LOG = logging.getLogger(__name__)
+
 DOMAINS = ("clean", "low", "toxic")
 #: Share of the tokens that each domain should have.
 WEIGHTS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
@@ -112,71 +117,116 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN
     return Softmax(x, y, weight, len(DOMAINS))
 
 
-def memberships(docs: DataFrame, model: Softmax | None) -> DataFrame:
-    """doc_id, tokens (words) and p_<domain>; without a model all domains are alike."""
+def memberships(docs: DataFrame, model: Softmax | None, text: str = "text", keep: bool = False) -> DataFrame:
+    """docs with tokens (words) and p_<domain>, its text column at the end before those, or
+    left out unless keep; without a model all domains are alike. Column names are distinct."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = docs.schema["doc_id"].dataType.simpleString()
+    plain = docs.select(*[c for c in docs.columns if c != text], text)
+    kept = plain.columns if keep else plain.columns[:-1]
+    schema = T.StructType([plain.schema[c] for c in kept] + [T.StructField("tokens", T.LongType())] + [T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS])
+    arrow = to_arrow_schema(schema)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                got = [features(t.as_py()) for t in part.column(1)]
+                got = [features((t.as_py() or "").encode()) for t in part.column(part.num_columns - 1)]
                 x = np.array([g[0] for g in got])
                 p = np.full((len(got), len(DOMAINS)), 1 / len(DOMAINS)) if shared.value is None else np.round(shared.value.posteriors(x), 6)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[1] for g in got], pa.int64()), *[pa.array(p[:, i]) for i in range(len(DOMAINS))]], names=["doc_id", "tokens", *[f"p_{d}" for d in DOMAINS]])
+                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(arrow.field(i).type) for i in range(len(kept))], pa.array([g[1] for g in got], pa.int64()), *[pa.array(p[:, i]) for i in range(len(DOMAINS))]], schema=arrow)
+
+    return plain.mapInArrow(run, schema)
+
+
+class Rates:
+    """Rates as the steps that led to them: on() gives any table with tokens and p_<domain>
+    the column _r. errors: relative size of the projected gradient before each pass; missed:
+    by how much each domain misses its target, as a share of all targets."""
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    def __init__(self, rho: float) -> None:
+        self.rho, self.steps, self.errors, self.missed = rho, [], [], {}
+
+    @staticmethod
+    def along(v: np.ndarray) -> "F.Column":
+        out = F.lit(0.0)
+        for d, x in zip(DOMAINS, v.tolist(), strict=True):
+            out = out + F.col(f"p_{d}") * F.lit(float(x))
+        return out
+
+    def gradient(self, e: np.ndarray) -> "F.Column":
+        return self.along(e) + F.lit(self.rho) * (F.col("_r") - 1)
+
+    def pressed(self, e: np.ndarray) -> "F.Column":
+        """Rates at zero that the gradient keeps there."""
+        return (F.col("_r") <= 0) & (self.gradient(e) > 0)
+
+    def stepped(self, df: DataFrame, e: np.ndarray, w: np.ndarray, a: float) -> DataFrame:
+        r = F.col("_r")
+        return df.withColumn("_r", F.when(self.pressed(e), 0.0).otherwise(F.greatest(F.lit(0.0), r - F.lit(a) * (r - 1 + self.along(w)))))
 
+    def on(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_r", F.lit(1.0))
+        for step in self.steps:
+            out = self.stepped(out, *step)
+        return out
 
-def rates(table: DataFrame, targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-7, ridge: float = RIDGE) -> tuple["F.Column", list[float]]:
-    """The rate of each row of memberships() as an expression, and the relative error of
-    the optimality condition after each pass. Targets are token totals by domain. Where
-    they can't be met (nobody belongs to a domain) the least squares leave a residual."""
+
+def rates(table: DataFrame, targets: dict[str, float], passes: int = PASSES, tolerance: float = 1e-7, ridge: float = RIDGE) -> Rates:
+    """Fits the rates of the rows of table (columns tokens and p_<domain>, settled). Targets are
+    token totals by domain; where they can't be met (nobody belongs to a domain) the least
+    squares leave a residual, which is returned and logged."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = len(DOMAINS)
     goal = np.array([targets[d] for d in DOMAINS])
     scale = max(float(np.abs(goal).sum()), 1e-9)
-
-    def rate(s: np.ndarray) -> "F.Column":
-        moved = F.lit(1.0)
-        for c, x in zip(p, s.tolist(), strict=True):
-            moved = moved - c * F.lit(float(x))
-        return F.greatest(F.lit(0.0), moved)
-
-    def sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = F.col("_r")
-        live = F.when(r > 0, F.col("tokens")).otherwise(0)
-        row = table.withColumn("_r", rate(s)).agg(*[F.sum(r * F.col("tokens") * c) for c in p], *[F.sum(live * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
+    table = table.select("tokens", *[f"p_{d}" for d in DOMAINS])
+    total = max(float(table.agg(F.sum("tokens")).first()[0] or 0), 1.0)
+    out, r, t = Rates(ridge * total), F.col("_r"), F.col("tokens")
+
+    def residual(frame: DataFrame) -> tuple[np.ndarray, float]:
+        v = np.array([x or 0.0 for x in frame.agg(*[F.sum(r * t * c) for c in p], F.sum(t * (r - 1) * (r - 1))).first()])
+        e = v[:n] - goal
+        return e, 0.5 * float(e @ e) + 0.5 * out.rho * v[n]
+
+    now, a = out.on(table), 1.0
+    e, value = residual(now)
+    for k in range(passes):
+        free = F.when(out.pressed(e), 0.0).otherwise(t)
+        row = now.agg(*[F.sum(free * p[i] * p[j]) for i in range(n) for j in range(n)], *[F.sum(free * c * (r - 1)) for c in p], F.sum(free / total * (out.gradient(e) / scale) ** 2)).first()
         v = np.array([x or 0.0 for x in row])
-        return v[:n] - goal - rho * s, v[n:].reshape(n, n)
-
-    tokens = table.agg(F.sum("tokens")).first()[0] or 0
-    rho = ridge * max(float(tokens), 1.0)
-    s, size, errors = np.zeros(n), 1.0, []
-    error, normal = sums(s)
-    for _ in range(passes):
-        errors.append(float(np.linalg.norm(error)) / scale)
-        if errors[-1] < tolerance or size < 1e-4:
+        out.errors.append(float(np.sqrt(v[-1])))
+        if out.errors[-1] < tolerance:
+            break
+        # Woodbury: the inverse second derivatives on the free rates, from sums over the domains
+        w = np.linalg.solve(v[: n * n].reshape(n, n) + out.rho * np.eye(n), e - v[n * n : n * n + n])
+        moved = False
+        while a > 1e-4 and not moved:
+            new = out.stepped(now, e, w, a)
+            new = settle(new) if k % 8 == 7 else new
+            new_e, new_value = residual(new)
+            moved = new_value <= value * (1 + 1e-12)
+            if moved:
+                out.steps.append((e, w, a))
+            a = min(1.0, 2 * a) if moved else a / 2
+        if not moved:
             break
-        new = s + size * np.linalg.solve(normal + rho * np.eye(n), error)
-        new_error, new_normal = sums(new)
-        if np.linalg.norm(new_error) < np.linalg.norm(error):
-            s, error, normal, size = new, new_error, new_normal, min(1.0, size * 2)
-        else:
-            size /= 2
-    return rate(s), errors
+        now, e, value = new, new_e, new_value
+    out.missed = {d: float(abs(x)) / scale for d, x in zip(DOMAINS, e.tolist(), strict=True)}
+    if max(out.missed.values()) > 1e-3:
+        _LOG.warning("targets are missed by these shares of all target tokens: %s", out.missed)
+    return out
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, total: float | None = None) -> DataFrame:
-    """One row per document: doc_id, tokens, p_clean, p_low, p_toxic, rate. The rates give
-    each domain its share of `total` expected tokens (all tokens of docs if None). Null
-    and empty texts have no tokens and the rate of their posterior; repeated rows have
-    equal rates; an empty table gives no rows."""
-    table = settle(memberships(docs, fit_domains(docs, labels)))
+    """One row per document: doc_id, tokens, p_clean, p_low, p_toxic, rate, and missed, the
+    largest share of all tokens by which a domain misses its target (alike in every row: 0 or
+    nearly, unless the targets can't be met). The rates give each domain its share of `total`
+    expected tokens (all tokens of docs if None). Null and empty texts have no tokens and the
+    rate of their posterior; repeated rows have equal rates; an empty table gives no rows."""
+    table = settle(memberships(docs.select("doc_id", "text"), fit_domains(docs, labels)))
     tokens = table.agg(F.sum("tokens")).first()[0] or 0
-    rate, _ = rates(table, {d: w * (tokens if total is None else total) for d, w in weights.items()})
-    return table.withColumn("rate", F.round(rate, 9))
+    found = rates(table, {d: w * (tokens if total is None else total) for d, w in weights.items()})
+    return found.on(table).select("doc_id", "tokens", *[f"p_{d}" for d in DOMAINS], F.round("_r", 9).alias("rate"), F.lit(round(max(found.missed.values()), 9)).alias("missed"))
 
 
 #: In the pipeline: how often the clean tokens are to be seen, and the most that the
@@ -186,20 +236,18 @@ EPOCHS, MOST = 1.25, {"low": 0.05, "toxic": 0.05}
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, each as often as its rate says: the whole part, and once more if a
-    hash of doc_id falls into the fraction, so the same documents are chosen wherever and
-    however often this runs. Clean tokens are to be seen EPOCHS times, so a document that
-    is clean stays at least once; other domains get what they have, up to MOST."""
-    table = settle(memberships(docs, fit_domains(docs, labels)))
+    hash of doc_id and text falls into the fraction, so the same documents are chosen wherever
+    and however often this runs. Clean tokens are to be seen EPOCHS times, so a document that
+    is clean stays at least once; other domains get what they have, up to MOST. Each row has
+    its own rate: rows without doc_id, or that share one, are judged by their texts, rows
+    that are wholly alike are drawn alike. The columns are those of docs, whatever their
+    names; null and empty texts have the rate of their posterior; an empty table stays empty."""
+    plain, back = numbered_columns(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    table = settle(memberships(plain, fit_domains(docs, labels), text, keep=True))
     have = table.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first().asDict()
     clean = EPOCHS * (have["clean"] or 0.0)
     goal = {"clean": clean} | {d: min(have[d] or 0.0, m * clean) for d, m in MOST.items()}
-    rate, _ = rates(table, goal)
-    times = table.select(F.col("doc_id").alias("_doc"), rate.alias("_rate")).withColumn("_n", F.floor(F.col("_rate") + chance_of("_doc")).cast("int")).groupBy("_doc").agg(F.max("_n").alias("_n"))
-    plain, back = numbered_columns(docs, "doc_id")
-    joined = plain.join(times, plain.doc_id.eqNullSafe(times._doc))
-    return joined.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*back)
-
-
-def chance_of(col: str) -> "F.Column":
-    """A number from 0 to 1 that depends on the id alone."""
-    return F.pmod(F.xxhash64(F.col(col), F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(F.col("_r") + chance).cast("int")
+    return rates(table, goal).on(table).withColumn("_again", F.explode(F.array_repeat(F.lit(1), times))).select(*back)

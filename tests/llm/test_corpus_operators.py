@@ -168,6 +168,28 @@ def test_op2_files_prune(spark, tmp_path):
     assert len(spans) == 16 and max(max(r.a, r.b) for r in spans) < 48 and sum(r.a + r.b for r in spans) / 32 < 24
 
 
+def test_op2_long_strings_and_negative_numbers_prune(spark, tmp_path):
+    """Strings that share a long beginning are told apart; nulls and negatives too."""
+    url = F.concat(F.lit("https://data.example.org/common-crawl/"), F.lpad((F.col("id") % 64).cast("string"), 3, "0"))
+    df = spark.range(4096).select(F.col("id").alias("doc_id"), url.alias("source"), (F.floor(F.col("id") / 64) - 32).alias("depth"), F.when(F.col("id") % 7 > 0, F.date_sub(F.lit("1970-01-10").cast("date"), F.floor(F.col("id") / 64).cast("int"))).alias("day"))
+    ranks = hilbert.rank_tables(df, ["source"])["source"].collect()
+    assert [r._value for r in sorted(ranks, key=lambda r: r._slot)] == sorted(r._value for r in ranks) and [r._slot for r in sorted(ranks, key=lambda r: r._slot)] == list(range(64))
+    hilbert.write_shards(df, str(tmp_path / "h"), ("source", "depth"), files=16)
+    spans = spark.read.parquet(str(tmp_path / "h")).groupBy(F.input_file_name()).agg(F.countDistinct("source").alias("a"), (F.max("depth") - F.min("depth")).alias("b")).collect()
+    assert len(spans) == 16 and max(max(r.a, r.b) for r in spans) < 48 and sum(r.a + r.b for r in spans) / 32 < 24
+    text = df.withColumn("text", F.lit("x"))
+    got = hilbert.shard(text, dims=("source", "depth", "day")).collect()
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    where = {r.doc_id: r for r in text.collect()}
+    # each shard's own rows cover a part of each dimension only
+    for lo in range(0, 4096, 512):
+        part = [where[d] for d in order[lo : lo + 512]]
+        assert len({r.source for r in part}) < 64 or len({r.depth for r in part}) < 64
+    cells = df.select(hilbert.quantise(F.col("depth").cast("double"), [-5.0, 0.0]).alias("q"), "depth").distinct().collect()
+    assert all(r.q == (r.depth > -5) + (r.depth > 0) for r in cells)
+    assert spark.range(1).select(hilbert.quantise(F.lit(None).cast("double"), [-5.0, 0.0]).alias("q")).first().q == 0
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_op3_equals_brute_force(spark, rows, clash):
     got = pairs(grace.exact_dedup(frame(spark, rows, clash)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -477,8 +499,9 @@ def test_op10_least_squares_equals_plain(spark):
     t = r.integers(1, 500, 80)
     table = spark.createDataFrame([(i, int(t[i]), *map(float, p[i])) for i in range(80)], "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
     goal = {"clean": 2.0 * t.sum(), "low": 0.1 * t.sum(), "toxic": 0.0}
-    rate, seen = mixing.rates(table, goal, passes=60)
-    got = np.array([x[0] for x in table.orderBy("doc_id").select(rate).collect()])
+    found = mixing.rates(table, goal, passes=60)
+    seen = found.errors
+    got = np.array([x[0] for x in found.on(table).orderBy("doc_id").select("_r").collect()])
     g = np.array(list(goal.values()))
     total = t.sum()
     a, g = (p * t[:, None]).T / total, g / total
@@ -490,6 +513,47 @@ def test_op10_least_squares_equals_plain(spark):
     assert seen[-1] < 1e-6 < seen[0]
 
 
+def test_op10_infeasible_targets_show(spark, caplog):
+    """Nobody belongs to the third domain: its target is missed, and that is told."""
+    table = spark.createDataFrame([(i, 10, 0.7, 0.3, 0.0) for i in range(50)], "doc_id long, tokens long, p_clean double, p_low double, p_toxic double")
+    found = mixing.rates(table, {"clean": 350.0, "low": 150.0, "toxic": 500.0})
+    assert abs(found.missed["toxic"] - 0.5) < 1e-6 and found.missed["clean"] < 1e-3 and "missed" in caplog.text
+    r = [x._r for x in found.on(table).collect()]
+    assert min(r) >= 0 and max(r) - min(r) < 1e-9
+    far = mixing.rates(table, {"clean": -100.0, "low": 0.0, "toxic": 0.0})
+    assert {x._r for x in far.on(table).collect()} == {0.0}
+
+
+def test_op10_classifier_equals_plain_gradient(spark):
+    """The softmax fit against plain gradient descent on the same loss."""
+    r = np.random.default_rng(8)
+    y = r.integers(0, 3, 120)
+    x = np.abs(r.normal(size=(120, mixing.BUCKETS + mixing.STYLES)) * (r.random((120, mixing.BUCKETS + mixing.STYLES)) < 0.01)).astype(np.float32)
+    x[np.arange(120), y] += 1
+    x[:, mixing.BUCKETS] = 1
+    weight = np.ones(120)
+    got = mixing.Softmax(x, y, weight, 3, steps=300, decay=1e-2).posteriors(x)
+    idf = np.ones(x.shape[1])
+    idf[: mixing.BUCKETS] = np.log((1 + len(x)) / (1 + (x[:, : mixing.BUCKETS] > 0).sum(0)))
+    z, w = x * idf, np.zeros((x.shape[1], 3))
+    for _ in range(4000):
+        q = np.exp(z @ w - (z @ w).max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        w -= 0.05 * (z.T @ ((q - np.eye(3)[y]) / 120) + 1e-2 * w)
+    q = np.exp(z @ w - (z @ w).max(1, keepdims=True))
+    assert np.abs(got - q / q.sum(1, keepdims=True)).max() < 0.02
+
+
+def test_op10_resample_rows_have_their_own_rates(spark):
+    docs = spark.createDataFrame([(None, f"word{i} " * (i + 1)) for i in range(40)] + [(7, "one text"), (7, "another text here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.resample(docs, labels)
+    assert got.columns == docs.columns
+    have = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in got.collect()} <= have and got.count() > 0
+    assert mixing.resample(docs.where("false"), labels).collect() == []
+
+
 def test_op10_edges(spark, rows):
     labels = spark.createDataFrame([(d, (d or 0) % 2, (d or 0) % 5 == 0) for d, _ in rows], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
     got = mixing.mix(frame(spark, rows, True), labels).collect()

@@ -329,6 +329,46 @@ def test_op6_accounts_and_plain_phones():
     assert tool.encode("GB83 WEST 1234 5698 7654 32 and 555-867.5309")[1] == []
 
 
+def test_op6_more_formats():
+    tool = feistel.Pseudonyms(b"key")
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    long = "".join("abcdefghijklmnopqrstuvwxyz0123456789"[i * 7 % 36] for i in range(700))
+    cases = {f"token={jwt}": "secret", f"api_key: {long}": "secret", "at 2020-01-02T10:00:00Z": "date", "born 02/28/2001": "date", "born 12/31/1999.": "date", "on 4 July 1985": "named", "on July 14, 1985": "named", "call +14155550123 now": "phone", "call 415 555 0123 now": "phone", "card 4111 1111 1111 1111 123 end": "card", "card 4111 1111 1111 1111 12": "card"}
+    for text, kind in cases.items():
+        new, kinds = tool.encode(text)
+        assert kinds == [kind] and new != text and tool.decode(new) == text, (text, new)
+    new = tool.encode(f"token={jwt}")[0]
+    assert new.count(".") == 2 and not any(part in new for part in jwt.split("."))
+    assert tool.encode("card 4111 1111 1111 1111 123 end")[0].endswith(" 123 end")
+    new = tool.encode("born 02/28/2001")[0][5:]
+    assert datetime.datetime.strptime(new, "%m/%d/%Y").day > 12
+    assert tool.encode("31 February 2001 and 02/30/2001") == ("31 February 2001 and 02/30/2001", [])
+
+
+def test_op6_all_days_are_permuted():
+    """Brute force over every day of a format: no two days share a pseudonym, all come back."""
+    tool = feistel.Pseudonyms(b"key")
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(731)]
+    for form, some in (("%Y-%m-%d", days), ("%d.%m.%Y", days), ("%m/%d/%Y", [d for d in days if d.day > 12])):
+        new = [tool.encode(d.strftime(form))[0] for d in some]
+        assert len(set(new)) == len(some) and [tool.decode(x) for x in new] == [d.strftime(form) for d in some]
+    assert tool.encode("2001-02-03")[0].split("-") == tool.encode("03.02.2001")[0].split(".")[::-1]  # one value, one pseudonym
+
+
+def test_op6_query_equals_plain_reading(spark, rows):
+    """The rows against a plain loop over every match of the pattern in every text."""
+    more = rows + [(900 + i, t) for i, t in enumerate(["ip 10.0.0.1 and 300.1.1.1", "mail a.b@c.example.org, 4111 1111 1111 1111", "2001-02-03 or 2001-02-31", "555-867-5309"])]
+    tool, want = feistel.Pseudonyms(feistel.DEMO_KEY), []
+    for d, t in more:
+        out, at, n = "", 0, 0
+        for m in tool.pattern.finditer(t or ""):
+            new = getattr(tool, f"_{m.lastgroup}")(m[0], False)
+            out += t[at : m.start()] + (m[0] if new is None else new)
+            at, n = m.end(), n + (new is not None)
+        want.append((d, n, out + (t or "")[at:]))
+    assert pairs(feistel.pseudonymise(frame(spark, more)), "doc_id", "n_found", "text") == sorted(want, key=repr)
+
+
 def test_op6_leaves_the_rest():
     tool = feistel.Pseudonyms(b"key")
     for t in ("4111 1111 1111 1112 and 0000000000000000", "version 3.1.4.1591", "2024-02-31", "300.1.1.1", "a@b", "CC BY-NC 4.0", "token of thanks", "12345678901234567890123"):
@@ -363,6 +403,30 @@ def test_op7_ignores_held_out_labels_and_other_columns(spark):
     assert a == b
 
 
+def test_op7_votes_equal_plain_neighbours(spark, rows):
+    """Every score against a plain vote: one document at a time, all cosines sorted."""
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in sorted({d for d, _ in rows if d is not None})], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = lsa.fit_quality(docs, labels)
+    got = {(r.doc_id, r.text): r.score for r in lsa.score_quality(docs.select("doc_id", "text"), model).collect()}
+
+    def latent(t):
+        z = lsa.features(t.encode()).astype(np.float64) @ model.basis.astype(np.float64)
+        return z / max(np.linalg.norm(z), 1e-9)
+
+    for (_, t), score in got.items():
+        cosine = sorted(((float(v.astype(np.float64) @ latent(t or "")), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)
+        # rows of equal cosine may be taken in any order: the vote lies between the extremes
+        edge = cosine[lsa.NEIGHBOURS - 1][0]
+        sure = [c for c in cosine if c[0] > edge + 1e-5]
+        ties = sorted((y, c) for c, y in cosine if abs(c - edge) <= 1e-5)
+        bounds = []
+        for part in (ties[: lsa.NEIGHBOURS - len(sure)], ties[len(ties) - (lsa.NEIGHBOURS - len(sure)) :]):
+            votes = [(max(c, 1e-6) ** 4, y) for c, y in sure] + [(max(c, 1e-6) ** 4, y) for y, c in part]
+            bounds.append(sum(w * y for w, y in votes) / sum(w for w, _ in votes))
+        assert bounds[0] - 1e-3 <= score <= bounds[1] + 1e-3
+
+
 def test_op7_edges(spark, rows):
     labels = spark.createDataFrame([(d, (d or 0) % 2, 0) for d, _ in rows if d is not None] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     got = lsa.quality(frame(spark, rows, True), labels).collect()

@@ -10,9 +10,9 @@ its pairs; components of the forests over all groups are the result.
 
 near_copies() is the form for a similarity of shingle sets. At a Jaccard similarity of
 0.8 two fingerprints differ in about 10 of 64 bits, far beyond what blocks of the
-fingerprint can deal out. There the groups come from bands of minimum hashes; the index
-searches the fingerprints of a large group as before, and every link is checked on the
-whole sets of shingles."""
+fingerprint can deal out. There the groups come from bands of minimum hashes, the Gray
+order of the fingerprints says which neighbours in a large group to try first, and every
+link is checked on the whole sets of shingles."""
 
 from __future__ import annotations
 
@@ -99,20 +99,18 @@ class GrayIndex:
             self.levels[i].append(self.levels[i][0] & ~np.repeat(above, fan)[: len(self.levels[i][0])])
         self.levels[-1].append(self.levels[-1][0])
 
-    def links(self, distance: int, of: np.ndarray | None = None, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places a < b in self.leaf of all patterns within the distance; or, for places
-        `of` only, a of those and any other b."""
-        n, both = len(self.leaf), of is not None
-        of = np.arange(n) if of is None else of
-        for lo in range(0, len(of), block):
-            q = of[lo : lo + block]
+    def links(self, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places a < b in self.leaf of all patterns within the distance."""
+        n = len(self.leaf)
+        for lo in range(0, n, block):
+            q = np.arange(lo, min(n, lo + block))
             node, off = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             for level in range(len(self.levels) - 1, -1, -1):
                 shared, ones, own = self.levels[level]
                 if level < len(self.levels) - 1:
                     kids = node[:, None] * self.fan + np.arange(self.fan)
                     span = self.page * self.fan**level
-                    keep = (kids < len(ones)) & (both | ((kids + 1) * span > q[:, None]))
+                    keep = (kids < len(ones)) & ((kids + 1) * span > q[:, None])
                     q, off, node = np.repeat(q, keep.sum(1)), np.repeat(off, keep.sum(1)), kids[keep]
                 off = off + np.bitwise_count((self.leaf[q] ^ ones[node]) & own[node])
                 keep = off <= distance
@@ -120,7 +118,7 @@ class GrayIndex:
             for at in range(0, len(q), 1 << 17):
                 a = q[at : at + (1 << 17)]
                 b = node[at : at + (1 << 17), None] * self.page + np.arange(self.page)
-                ok = (b < n) & ((b != a[:, None]) if both else (b > a[:, None]))
+                ok = (b < n) & (b > a[:, None])
                 a, b = np.repeat(a, ok.sum(1)), b[ok]
                 near = np.bitwise_count(self.leaf[a] ^ self.leaf[b]) <= distance
                 yield a[near], b[near]
@@ -261,6 +259,10 @@ ROWS, BANDS = 5, 40
 WITHIN = 28
 #: Sets in a band up to which all its pairs are offered at once.
 SMALL = 8
+#: Single minimum hashes that deal out the members of large bands; sets of a block there.
+ALONE, CROWD = 10, 2048
+#: Centres of stars in a large band.
+STARS = 2
 _ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
@@ -314,50 +316,119 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 
 def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
-    """rows: key, node, size, fp. Rows a, b: candidates; rows a, size, fp, key: members of
-    bands of more than `small` sets, which offer a star and a chain only."""
+    """rows: key, node, size, fp. Rows a, b: candidates; rows a, key: members of bands of more
+    than `small` sets, which offer stars (from the sets nearest to what most of the band's
+    fingerprints have in common) and a chain in Gray order, so that neighbours are alike."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, (key, size, node, fp) in whole_groups(stream, ["key"], ["size", "node", "fp"]):
             count = np.diff(np.append(start, len(key)))
-            start, count = np.repeat(start, count), np.repeat(count, count)
-            at, crowd = np.arange(len(key)), count > small
-            pairs = [(start[crowd], at[crowd])]
+            pairs = []
+            for lo, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
+                index = GrayIndex(fp[lo : lo + n].view(np.uint64))
+                bits = np.unpackbits(index.leaf.view(np.uint8).reshape(-1, 8), axis=1)
+                common = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).view(np.uint64)[0]
+                centres = lo + index.order[np.argsort(np.bitwise_count(index.leaf ^ common), kind="stable")[:STARS]]
+                chain = lo + index.order
+                pairs += [(np.full(n, c), np.arange(lo, lo + n)) for c in centres] + [(chain[:-1], chain[1:])]
+            crowd = np.repeat(count > small, count)
             for d in range(1, small):
-                i = np.flatnonzero((key[d:] == key[: len(key) - d]) & (~crowd[d:] | (d == 1))) if d < len(key) else at[:0]
+                i = np.flatnonzero((key[d:] == key[: len(key) - d]) & ~crowd[d:]) if d < len(key) else np.zeros(0, np.int64)
                 pairs.append((i, i + d))
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            ok = (i < j) & (size[i] / np.maximum(size[j], 1) >= similarity) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WITHIN)
+            ok = (i != j) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WITHIN)
             if ok.any():
-                none = pa.nulls(int(ok.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), none, none, none], names=["a", "b", "size", "fp", "key"])
+                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), pa.nulls(int(ok.sum()), pa.int64())], names=["a", "b", "key"])
             if crowd.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(size[crowd]), pa.array(fp[crowd]), pa.array(key[crowd])], names=["a", "b", "size", "fp", "key"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long, size long, fp long, key long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(node[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(key[crowd])], names=["a", "b", "key"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long, key long")
+
+
+def _least(found: np.ndarray) -> np.ndarray:
+    """Keys of a set: one for each of ALONE minimum hashes."""
+    return mix64(mix64((found[:, None] * _ODD[:ALONE]).min(axis=0)) + _BAND[:ALONE])
+
+
+def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of `left` and of `right` (places) that join different parts, as a
+    spanning forest. Shared tokens are counted by matrix products over the tokens that
+    several sets have, some thousand at a time."""
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    token, column, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = n > 1
+    place = np.cumsum(shared) - 1
+    ok = shared[column]
+    row, column = row[ok], place[column[ok]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), 2048):
+        x, y = np.searchsorted(column, [lo, lo + 2048])
+        m = np.zeros((len(tokens), 2048), np.float32)
+        m[row[x:y], column[x:y] - lo] = 1
+        both += m[left] @ m[right].T
+    need = similarity / (1 + similarity) * (size[left][:, None] + size[right][None, :])
+    i, j = np.nonzero((both >= need - 1e-3) & (root[left][:, None] != root[right][None, :]))
+    i, j = left[i], right[j]
+    names, part = np.unique(root, return_inverse=True)
+    part = part.copy()
+    out = [np.zeros((2, 0), np.int64)]
+    while len(i):
+        a, b = part[i], part[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if not len(i):
+            break
+        # one link out of each part, then the parts that they join become one
+        _, pick = np.unique(np.minimum(a, b), return_index=True)
+        out.append(np.stack([i[pick], j[pick]]))
+        up = np.arange(len(names))
+        np.minimum.at(up, np.maximum(a[pick], b[pick]), np.minimum(a[pick], b[pick]))
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+    return tuple(np.concatenate(out, axis=1))
+
+
+def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int = 0) -> DataFrame:
+    """crowd: key, node, root of the members of large bands; known: node, found. A spanning
+    forest a, b of the links between different roots. Members of bands that hold several
+    roots are dealt out anew, by ALONE single minimum hashes (a pair at 0.8 shares none of
+    them with probability 1e-7), and compared where they meet, with their sets at hand: no
+    pairs are sent. A bucket of more than CROWD sets is cut into blocks, and each pair of
+    blocks is a group of its own, so no task holds more than two."""
+    block = block or CROWD
+    mixed = crowd.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = settle(crowd.join(mixed, "key", "left_semi").select("node", "root").distinct())
+    some = known.join(members.select("node"), "node", "left_semi")
+
+    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("found")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([_least(x).view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64()), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in found], pa.binary())], names=["node", "keys", "size", "tokens"])
 
-def remaining(crowd: DataFrame, similarity: float) -> DataFrame:
-    """crowd: key, node, size, fp, root. The candidates a, b of a band whose roots differ: the
-    index over the band's fingerprints is searched for all that aren't in its largest part."""
+    short = settle(some.mapInArrow(cut, "node long, keys array<long>, size long, tokens binary"))
+    keyed = short.select("node", F.explode("keys").alias("key")).join(members, "node")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    at = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    dealt = keyed.join(sizes, "key").select("key", "node", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "at", "node", "root")
+    full = dealt.join(short.select("node", "size", "tokens"), "node").select("key", "i", "j", "at", "node", "root", "size", "tokens")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for start, (_, node, size, fp, root) in whole_groups(stream, ["key"], ["node", "size", "fp", "root"]):
+        for start, (_, i, j, at, node, root, size, tokens) in whole_groups(stream, ["key", "i", "j"], ["at", "node", "root", "size", "tokens"], 2048):
             cuts = np.append(start, len(node))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                part, inside, n = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
-                if len(part) == 1:
+                if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
                     continue
-                index = GrayIndex(fp[lo:hi].view(np.uint64))
-                place = lo + index.order
-                few = np.flatnonzero(inside[index.order] != n.argmax())
-                for a, b in index.links(WITHIN, few):
-                    i, j = place[a], place[b]
-                    ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity)
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays(_pairs(node[i[ok]], node[j[ok]]), names=["a", "b"])
+                left, right = np.flatnonzero(at[lo:hi] == i[lo]), np.flatnonzero(at[lo:hi] == j[lo])
+                a, b = _tied([np.frombuffer(x, np.uint32) for x in tokens[lo:hi]], size[lo:hi], root[lo:hi], left, right, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(_pairs(node[lo + a], node[lo + b]), names=["a", "b"])
 
-    return crowd.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    key = ["key", "i", "j"]
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -401,13 +472,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, small: int = SM
     marks = settle(sketches(docs))
     first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     found = settle(offers(first.select(F.explode("bands").alias("key"), "node", "size", "fp"), similarity, small).distinct())
-    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"), "size", "fp")
+    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     known = settle(sets(docs, settle(first.select("node", "first").join(nodes, "node", "left_semi"))))
     links = settle(verified(pairs, known, similarity))
     root = components(links)
     if not crowd.isEmpty():
-        apart = settle(remaining(crowd.join(root, "node", "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("root")), similarity))
+        apart = settle(remaining(crowd.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), known, similarity))
         more = settle(verified(apart, known, similarity))
         if not more.isEmpty():
             root = components(links.union(more))

@@ -64,16 +64,18 @@ def test_near_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in pipeline.near(spark, frame(spark, rows), "").collect()) == want
 
 
-@pytest.mark.parametrize("small", [2, 8])
-def test_large_band(spark, small):
+@pytest.mark.parametrize(("small", "crowd"), [(2, 2048), (8, 2048), (2, 16)])
+def test_large_band(spark, small, crowd, monkeypatch):
     """A band that many sets share: near copies of two texts that have most words in common."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)  # the smallest cuts buckets into pairs of blocks
     r = random.Random(11)
     base = [f"v{r.randrange(5000)}" for _ in range(120)]
     other = base[:70] + [f"y{i}" for i in range(50)]
     rows = []
     for i in range(120):
         words = list(base if i % 3 else other)
-        words[r.randrange(120)] = f"x{i}"
+        for at in r.sample(range(120), 1 + i % 5):
+            words[at] = f"x{i}"
         rows.append((i, " ".join(words)))
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows), small=small).collect())
     assert got == sorted((d, c) for (d, _), c in zip(rows, components(rows)))

@@ -46,15 +46,18 @@ def content_role(title: Column, rules: Rules = ROLE_RULES, news_exempt: str = NE
     return first_match(tests, "UNKNOWN")
 
 
-def topic(df: DataFrame, title: str, text: str, role: str, rules: Rules, intro: int = 1800, skip: tuple[str, ...] = ("NEWS", "NON_STUDENT", "RESULT_ANNOUNCEMENT")) -> DataFrame:
+def topic(df: DataFrame, title: str, text: str, role: str, rules: Rules, intro: int = 1800, skip: tuple[str, ...] = ("NEWS", "NON_STUDENT", "RESULT_ANNOUNCEMENT"), hits: str | None = None) -> DataFrame:
     """Adds topic, origin and several: the first rule met by the title; without any, by
-    the start of the text unless the role rules that out; `several` if more than one was met."""
-    head, body = compact(F.col(title)), compact(F.substring(canonical_text(text), 1, intro))
-    hits = lambda c: F.array_compact(F.array(*[F.when(matches(c, p, "i"), F.lit(n)) for n, p in rules]))
-    df = df.withColumn("_t", hits(head))
-    df = df.withColumn("_h", F.when((F.size("_t") > 0) | F.col(role).isin(*skip), F.col("_t")).otherwise(hits(body)))
-    out = df.withColumns({"topic": F.coalesce(F.try_element_at("_h", F.lit(1)), F.lit("other")), "origin": F.when(F.size("_t") > 0, "title").otherwise("body_intro"), "several": F.size("_h") > 1})
-    return out.drop("_t", "_h")
+    the start of the text unless the role rules that out; `several` if more than one was met,
+    and under the name `hits`, if given, all that were. Title and start are columns of their
+    own before the rules are tried, so each is made once and only where it is needed."""
+    names = lambda c: F.array_compact(F.array(*[F.when(matches(F.col(c), p, "i"), F.lit(n)) for n, p in rules]))
+    df = df.withColumn("_head", compact(F.col(title))).withColumn("_t", names("_head"))
+    wanted = (F.size("_t") == 0) & ~F.coalesce(F.col(role).isin(*skip), F.lit(False))
+    df = df.withColumn("_intro", F.when(wanted, compact(F.substring(canonical_text(text), 1, intro))))
+    df = df.withColumn("_h", F.when(F.col("_intro").isNotNull(), names("_intro")).otherwise(F.col("_t")))
+    out = df.withColumns({"topic": F.coalesce(F.try_element_at("_h", F.lit(1)), F.lit("other")), "origin": F.when(F.size("_t") > 0, "title").otherwise("body_intro"), "several": F.size("_h") > 1} | ({hits: F.col("_h")} if hits else {}))
+    return out.drop("_head", "_intro", "_t", "_h")
 
 
 def audience(topic_: Column, role: Column, text: Column, under: str, grad: str, undergraduate_topics: list[str]) -> Column:
@@ -83,9 +86,14 @@ def id_cards(text: Column) -> Column:
     return F.filter(found, sound)
 
 
-def student_ids(text: Column, words: list[str] = STUDENT_ID_WORDS) -> Column:
+def public_contact(text: Column, phone: str) -> Column:
+    """Whether a text has both an e-mail address and a telephone number."""
+    return matches(text, r"[A-Za-z0-9._]+@[a-z0-9]+\.") & matches(text, phone)
+
+
+def student_ids(text: Column, words: list[str] = STUDENT_ID_WORDS, digits: str = "{8,20}") -> Column:
     """How often a word for a student number is followed by 8 to 20 digits."""
-    return F.regexp_count(text, F.lit(f"(?:{'|'.join(words)}){SPACE.replace('(?U)', '')}*[:：]?{SPACE.replace('(?U)', '')}*\\d{{8,20}}")).cast("long")
+    return F.regexp_count(text, F.lit(f"(?:{'|'.join(words)}){SPACE.replace('(?U)', '')}*[:：]?{SPACE.replace('(?U)', '')}*\\d{digits}")).cast("long")
 
 
 def mobiles(text: Column, pattern: str = r"(?<!\d)1[3-9]\d{9}(?!\d)") -> Column:

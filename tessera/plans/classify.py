@@ -9,13 +9,16 @@ from ..functions import text as X
 from ..operators import admission as A
 from ..operators import rules as R
 from ..operators.search import contains_join
+from ..sources.tables import settle
 from .registry import query
 
 #: Rules in the languages of the test documents, in place of those of the campus texts.
-ROLES = [("RESULT_ANNOUNCEMENT", "worthless|pathetic|idiot|moron|clown"), ("FORM_TEMPLATE", r" \| "), ("NEWS", "!!"), ("POLICY_REGULATION", "[Ll]icen[cs]e"), ("PROCEDURE_GUIDE", "^(The|And) "), ("ANNUAL_NOTICE", r"\d{4}"), ("PROGRAM_PLAN", "%%%|###")]
+ROLES = [("RESULT_ANNOUNCEMENT", "worthless|pathetic|idiot|moron|clown"), ("FORM_TEMPLATE", r"\|"), ("NEWS", "!!"), ("POLICY_REGULATION", "[Ll]icen[cs]e"), ("PROCEDURE_GUIDE", "^(The|And)"), ("ANNUAL_NOTICE", r"\d{4}"), ("PROGRAM_PLAN", "%%%|###")]
 TOPICS = [("scholarship", "license|andthe|ofthe"), ("exam", "unddie|derund|diemit"), ("library", "leslade|desle|etla"), ("holiday", "delos|quela|lasde"), ("network", "forthe|withthe")]
 HEAD = r"regexp_extract(text, '^([^\n]*)', 1)"
-ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h0, '{p}') THEN '{n}'" for n, p in ROLES) + " ELSE 'UNKNOWN' END"
+#: News that meets this is no news, as applications and examinations are in the campus rules.
+EXEMPT = "[Vv]ersion|ofthe"
+ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(head, '{p}')" + (f" AND NOT regexp_matches(head, '{EXEMPT}')" if n == "NEWS" else "") + f" THEN '{n}'" for n, p in ROLES) + " ELSE 'UNKNOWN' END"
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 HITS = lambda c: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, '(?i){p}') THEN '{n}' END" for n, p in TOPICS) + "], lambda x: x IS NOT NULL)"
 BASE = f"WITH b AS (SELECT doc_id, source, lang, text, n_chars, {HEAD} AS h0, regexp_replace({HEAD}, '{WS}', '', 'g') AS head, regexp_replace(left(trim(regexp_replace(text, '{WS}', ' ', 'g')), 1800), '{WS}', '', 'g') AS intro FROM documents), r AS (SELECT *, {ROLE_SQL} AS role FROM b), th AS (SELECT *, {HITS('head')} AS t FROM r), tt AS (SELECT *, CASE WHEN len(t) > 0 OR role IN ('NEWS', 'NON_STUDENT', 'RESULT_ANNOUNCEMENT') THEN t ELSE {HITS('intro')} END AS hits FROM th), c AS (SELECT *, coalesce(hits[1], 'other') AS topic, len(hits) > 1 AS several, CASE WHEN len(t) > 0 THEN 'title' ELSE 'body_intro' END AS origin FROM tt) "
@@ -26,7 +29,7 @@ def base(t):
 
 
 def with_role(t):
-    return base(t).withColumn("role", X.first_match([(n, F.col("title").rlike(p)) for n, p in ROLES], "UNKNOWN"))
+    return base(t).withColumn("role", R.content_role(F.col("title"), ROLES, EXEMPT))
 
 
 def classified(t):
@@ -51,10 +54,7 @@ def audience_assign(t):
 @query("topic_primary", BASE + ", p AS (SELECT c.doc_id, CASE WHEN c.topic = 'other' THEN coalesce(p.topic, 'other') ELSE c.topic END AS topic, c.hits FROM c LEFT JOIN c p ON p.doc_id = CAST(floor(c.doc_id / 10.0) AS BIGINT) AND c.doc_id % 4 = 1) SELECT doc_id, array_to_string(list_prepend(topic, list_filter(hits, lambda x: x <> topic)), ',') AS topics FROM p")
 def topic_primary(t):
     """The primary topic (an attachment without one inherits its parent's) before the others."""
-    head, body = X.compact("title"), X.compact(F.substring(X.canonical_text("text"), 1, 1800))
-    hits = lambda c: F.array_compact(F.array(*[F.when(R.matches(c, p, "i"), F.lit(n)) for n, p in TOPICS]))
-    d = with_role(t).withColumn("th", hits(head))
-    d = d.withColumn("hits", F.when((F.size("th") > 0) | F.col("role").isin("NEWS", "NON_STUDENT", "RESULT_ANNOUNCEMENT"), F.col("th")).otherwise(hits(body))).select("doc_id", "hits", F.coalesce(F.try_element_at("hits", F.lit(1)), F.lit("other")).alias("topic"))
+    d = settle(R.topic(with_role(t), "title", "text", "role", TOPICS, hits="hits").select("doc_id", "hits", "topic"))
     up = d.select(F.col("doc_id").alias("parent_id"), F.col("topic").alias("parent_topic"))
     rel = t.relations().select(F.col("child_id").alias("doc_id"), "parent_id")
     j = d.join(rel.join(up, "parent_id"), "doc_id", "left")
@@ -98,10 +98,10 @@ def pii_idcard(t):
     return t("orders").select(k, (F.size(R.id_cards(F.concat(F.lit("no. "), id_, F.lit(".")))) > 0).alias("valid"))
 
 
-@query("pii_student_id", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?:token|Version|version)\s*[ :=]?\s*\S{3,20}')) AS BIGINT) AS n FROM documents")
+@query("pii_student_id", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?:token|Version|version)\s*[:：]?\s*\d{2,20}')) AS BIGINT) AS n FROM documents")
 def pii_student_id(t):
-    """The detector with the context words and digit rule of the test texts."""
-    return t("documents").select("doc_id", F.regexp_count("text", F.lit(r"(?:token|Version|version)\s*[ :=]?\s*\S{3,20}")).cast("long").alias("n"))
+    """The detector with the context words of the test texts, whose numbers are shorter."""
+    return t("documents").select("doc_id", R.student_ids(F.col("text"), ["token", "Version", "version"], "{2,20}").alias("n"))
 
 
 @query("pii_mobile", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\d{3}-\d{4}')) AS BIGINT) AS n FROM documents")
@@ -109,14 +109,14 @@ def pii_mobile(t):
     return t("documents").select("doc_id", R.mobiles(F.col("text"), r"\d{3}-\d{4}").alias("n"))
 
 
-PII = r"WITH p AS (SELECT doc_id, len(regexp_extract_all(text, '(?:token|license)\s*[:=]?\s*\S{1,20}')) AS st, len(regexp_extract_all(text, '\d{3}-\d{4}')) AS mo, contains(regexp_extract(text, '^([^\n]*)', 1), 'the') AS roster FROM documents), q AS (SELECT *, mo >= 3 OR (mo > 0 AND (st > 0 OR roster)) AS many FROM p) "
+PII = r"WITH p AS (SELECT doc_id, len(regexp_extract_all(text, '(?:token|license)\s*[:：]?\s*\d{8,20}')) AS st, len(regexp_extract_all(text, '\d{3}-\d{4}')) AS mo, contains(regexp_extract(text, '^([^\n]*)', 1), 'the') AS roster FROM documents), q AS (SELECT *, mo >= 3 OR (mo > 0 AND (st > 0 OR roster)) AS many FROM p) "
 
 
 @query("pii_roster", PII + "SELECT doc_id, many FROM q")
 def pii_roster(t):
-    x = t("documents").withColumn("title", F.regexp_extract("text", r"^([^\n]*)", 1))
-    st, mo = F.regexp_count("text", F.lit(r"(?:token|license)\s*[:=]?\s*\S{1,20}")), R.mobiles(F.col("text"), r"\d{3}-\d{4}")
-    return x.select("doc_id", ((mo >= 3) | ((mo > 0) & ((st > 0) | F.col("title").contains("the")))).alias("many"))
+    x = t("documents").select("doc_id", "text", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"))
+    p = R.pii(x, "text", "title", mobile=r"\d{3}-\d{4}", id_words=["token", "license"], roster="the")
+    return p.select("doc_id", F.array_contains("pii_categories", "mobile").alias("many"))
 
 
 @query("pii_risk", r"WITH p AS (SELECT doc_id, len(regexp_extract_all(text, '\d{3}-\d{4}')) AS mo, contains(regexp_extract(text, '^([^\n]*)', 1), 'the') AS roster FROM documents) SELECT doc_id, CASE WHEN mo >= 3 OR (mo > 0 AND roster) THEN 'mobile' ELSE '' END AS categories, CAST(CASE WHEN mo >= 3 OR (mo > 0 AND roster) THEN mo ELSE 0 END AS BIGINT) AS n, CASE WHEN NOT (mo >= 3 OR (mo > 0 AND roster)) THEN 'NONE' WHEN mo >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM p")
@@ -127,8 +127,7 @@ def pii_risk(t):
 
 @query("contact_flag", r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._]+@[a-z0-9]+\.') AND regexp_matches(text, '\d{3}-\d{4}') AS contact FROM documents")
 def contact_flag(t):
-    x = F.col("text")
-    return t("documents").select("doc_id", (x.rlike(r"[A-Za-z0-9._]+@[a-z0-9]+\.") & x.rlike(r"\d{3}-\d{4}")).alias("contact"))
+    return t("documents").select("doc_id", R.public_contact(F.col("text"), r"\d{3}-\d{4}").alias("contact"))
 
 
 QUESTIONS = [("q_lic", "scholarship", "licen[cs]e"), ("q_ver", "scholarship", r"version \d"), ("q_mail", "scholarship", "@mail"), ("q_for", "exam", "und der|der und"), ("q_ung", "exam", "ung "), ("q_ion", "library", "ion "), ("q_eau", "library", "eau"), ("q_cion", "holiday", "ción"), ("q_num", "holiday", r"\d"), ("q_tok", "scholarship", "token"), ("q_wor", "scholarship", "worthless|idiot"), ("q_bar", "exam", r" \| ")]
@@ -167,9 +166,10 @@ ELIG = TAGS + f", e AS (SELECT doc_id, topic, tags, n_chars, lang FROM g WHERE l
 
 
 def eligible(t):
-    # the id keeps the filter above the projection: pushed below, it would test every pattern twice
-    d = tagged(t).withColumns({"reasons": _reasons(), "_row": F.monotonically_increasing_id()})
-    return d.where((F.size("reasons") == 0) & (F.col("_row") >= 0)).select("doc_id", "topic", "tags", "n_chars", "lang")
+    """What no rule rejects: settled, as several queries read it more than once, and so that
+    the filter isn't pushed below the projection, where it would test every pattern again."""
+    d = settle(tagged(t).select("doc_id", "topic", "tags", "n_chars", "lang", _reasons().alias("reasons")))
+    return d.where(F.size("reasons") == 0).drop("reasons")
 
 
 @query("latest_by_question", ELIG + ", u AS (SELECT doc_id, n_chars, unnest(tags) AS tag FROM e) SELECT tag, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS latest_id, count(*) AS n FROM u GROUP BY 1")
@@ -236,7 +236,7 @@ def scope_gate(t):
     return d.select("doc_id", A.in_scope(school="s1", topic="scholarship", period="2024").alias("allowed"))
 
 
-REVIEW = f"WITH v AS (SELECT d.doc_id, d.text, b.text AS proof, trim(regexp_replace(d.text, '{WS}', ' ', 'g')) AS body, trim(regexp_replace(b.text, '{WS}', ' ', 'g')) AS want FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) "
+REVIEW = f"WITH v AS (SELECT d.doc_id, d.text, b.text AS proof, trim(regexp_replace(d.text, '{WS}', ' ', 'g')) AS body, trim(regexp_replace(b.text, '{WS}', ' ', 'g')) AS want FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id) "
 
 
 def benchmark_size(t):
@@ -275,7 +275,7 @@ NOISE = DOC + ", z AS (SELECT *, CASE WHEN doc_id % 17 = 0 OR n_chars NOT BETWEE
 def noise(t):
     k = F.col("doc_id")
     d = documents(t).withColumns({"admission_status": F.when(k % 10 == 3, "READY").otherwise("HELD"), "semantic_status": F.lit(""), "parse_format": F.lit("html"), "publish_date": F.when(k % 2 == 0, "2020-01-01").otherwise("2024-01-01")})
-    return d.select("doc_id", "is_attachment", A.noise_reason().alias("reason"))
+    return settle(d.select("doc_id", "is_attachment", A.noise_reason().alias("reason")))
 
 
 @query("noise_reason", NOISE + "SELECT doc_id, reason FROM z")
@@ -342,7 +342,7 @@ def enrich_stats(t):
     return classified(t).agg(F.count("*").alias("rows_"), F.count_if(F.col("role") != "UNKNOWN").alias("role_changed"), F.count_if(F.col("topic") != "other").alias("topic_changed"))
 
 
-@query("ledger_admit", "WITH l AS (SELECT item_id, left(text, 4) AS excerpt FROM benchmark), j AS (SELECT d.doc_id, item_id, contains(d.text, excerpt) AS found FROM l JOIN documents d ON d.doc_id % 40 = item_id) SELECT doc_id, item_id FROM j WHERE found AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query("ledger_admit", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def ledger_admit(t):
     l = t("benchmark").select("item_id", F.col("text").alias("excerpt"))
     j = contains_join(t("documents").select("doc_id", "text"), l, "doc_id", "text", "excerpt")

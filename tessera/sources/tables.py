@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -102,10 +103,13 @@ def with_views(sql: str) -> str:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place."""
+    """The shared folder of the session's spark.checkpoint.dir. Only where that is unset and
+    all runs on one machine, as in tests, a temporary folder takes its place; on a cluster
+    each machine would have one of its own, so there it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tessera-")
     if not held.isDefined():
@@ -113,6 +117,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: several readers share one computation,
+    and what follows outlives any executor."""
+    path = f"{checkpoint_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

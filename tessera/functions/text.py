@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's \s knows it; Java's \s lacks \x1c-\x1f.
@@ -153,3 +153,16 @@ def snippet_around(text: Column | str, start: Column, end: Column, window: int =
 
 def media_type(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".txt"), "text/plain").otherwise("text/html")
+
+
+def tree_digest(files: DataFrame, tree: str, key: str, content: str, run: int = 4096) -> DataFrame:
+    """tree, digest and files: a digest of each tree over runs of keys. Runs of `run` consecutive
+    keys are digested from lines key:sha256 in order, then the tree from lines run:digest, so a
+    row gathers at most `run` lines, or one line for each run of the tree (a 4096th of its
+    files)."""
+    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(content, 256))
+    part = F.floor(F.col(key) / run)
+    joined = lambda k, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v.alias("l")))), lambda x: x["l"]), "\n"), 256)
+    parts = files.groupBy(tree, part.alias("_part")).agg(joined(key, line).alias("_d"), F.count("*").alias("_n"))
+    top = F.concat(F.col("_part").cast("string"), F.lit(":"), F.col("_d"))
+    return parts.groupBy(tree).agg(joined("_part", top).alias("digest"), F.sum("_n").alias("files"))

@@ -109,9 +109,10 @@ def evidence(candidates: DataFrame, resolved: DataFrame, domains: list[str], top
 
 def group_sources(items: DataFrame, key: str, ord_: str, content: str, limit: int = 1200) -> DataFrame:
     """Sources in the order of their first item, with distinct excerpts in order."""
-    x = truncated(content, limit)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(ord_, x.alias("x")))), lambda r: r["x"])
-    return items.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(ord_).alias("first_ord"), F.array_distinct(ordered).alias("excerpts"))
+    # excerpts are made distinct before they are gathered: a list holds no repeats
+    once = items.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key, truncated(content, limit).alias("_x")).agg(F.min(ord_).alias("_o"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_x"))), lambda r: r["_x"])
+    return once.groupBy(key).agg(F.min("_o").alias("first_ord"), ordered.alias("excerpts"))
 
 
 def merge_groups(*groups: DataFrame, key: str) -> DataFrame:

@@ -59,10 +59,10 @@ def version_group(t):
     return t("orders").select("o_orderkey", F.concat(y, F.lit("-"), (F.year(d) + 1).cast("string")).alias("academic_year"), F.when(F.month(d) < 7, 1).otherwise(2).alias("semester"), X.scoped_id("", "o_orderpriority", y).alias("version_group"))
 
 
-@query("version_family", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[Vv]ersion (\d+(?:\.\d+)?)', 1))), ',') AS labels, left(sha256(regexp_replace(left(text, 120), '\d+(\.\d+)*', '{v}', 'g')), 24) AS family FROM documents")
+@query("version_family", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[Vv]ersion (\d+(?:\.\d+)?)', 1))), ',') AS labels, left(sha256(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\d+(\.\d+)*', '{v}', 'g')), 24) AS family FROM documents")
 def version_family(t):
     labels = X.distinct_sorted(F.regexp_extract_all("text", F.lit(r"[Vv]ersion (\d+(?:\.\d+)?)"), F.lit(1)))
-    return t("documents").select("doc_id", F.array_join(labels, ",").alias("labels"), X.scoped_id("", F.regexp_replace(F.substring("text", 1, 120), r"\d+(\.\d+)*", "{v}")).alias("family"))
+    return t("documents").select("doc_id", F.array_join(labels, ",").alias("labels"), X.scoped_id("", F.regexp_replace(F.regexp_extract("text", r"^([^\n]*)", 1), r"\d+(\.\d+)*", "{v}")).alias("family"))
 
 
 @query("evidence_window", f"WITH b AS (SELECT item_id, trim(regexp_replace(text, '{WS}', ' ', 'g')) AS n FROM benchmark), d AS (SELECT doc_id, {CANON} AS c FROM documents), w AS (SELECT item_id, doc_id, c, n, instr(c, n) AS p FROM b JOIN d ON contains(c, n)) SELECT item_id, doc_id, substr(c, CAST(greatest(p - 100, 1) AS BIGINT), CAST(p - greatest(p - 100, 1) + length(n) + 100 AS BIGINT)) AS evidence FROM w")
@@ -143,10 +143,9 @@ def cache_lookup(t):
     return q.withColumn("key", F.sha2("text", 256)).join(c, "key", "left").select("conv_id", "turn", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
-@query("tree_digest", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("tree_digest", "WITH l AS (SELECT source, doc_id // 4096 AS part, doc_id, doc_id || ':' || sha256(text) AS line FROM documents), p AS (SELECT source, part, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS digest, count(*) AS files FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1")
 def tree_digest(t):
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256))
-    return t("documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("digest"))
+    return X.tree_digest(t("documents"), "source", "doc_id", "text").select("source", "digest")
 
 
 @query("name_color", "SELECT p_partkey, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(p_name, ''), lambda x: CAST(unicode(x) AS HUGEINT))), lambda a, b: (a * 31 + b) % 4294967296) AS BIGINT) % 5 AS colour FROM part")

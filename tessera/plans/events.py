@@ -142,12 +142,8 @@ def queue_transition(t):
 
 @query("crawl_order", "WITH r AS (SELECT page_id, row_number() OVER (ORDER BY contains(url, 'utm_') DESC, url DESC, page_id) AS rn FROM pages) SELECT page_id, (rn - 1) // 8 AS batch FROM r WHERE rn <= 200")
 def crawl_order(t):
-    """Batches of eight of the first 200 pages: a top-k, then numbers for these rows."""
-    from pyspark.sql.window import Window
-
-    first = t("pages").select("page_id", "url").orderBy(F.desc(F.col("url").contains("utm_")), F.desc("url"), "page_id").limit(200)
-    w = Window.orderBy(F.desc(F.col("url").contains("utm_")), F.desc("url"), "page_id")
-    return first.select("page_id", F.floor((F.row_number().over(w) - 1) / 8).alias("batch"))
+    order = [F.desc(F.col("url").contains("utm_")), F.desc("url"), F.col("page_id")]
+    return E.crawl_order(t("pages").select("page_id", "url"), order, pages=200, batch=8).select("page_id", "batch")
 
 
 @query("events_tumbling", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1, 2")
@@ -171,4 +167,5 @@ def stream_tumbling(t):
 @query("stream_terminal_once", f"SELECT run_id, min(sequence) AS sequence FROM run_events WHERE event_type IN {TERM} GROUP BY 1")
 def stream_terminal_once(t):
     """First terminal event of each run from a stream with state."""
-    return S.run_to_end(S.terminal_once(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "append")
+    told = S.run_to_end(S.terminal_once(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "append")
+    return S.settled_terminals(told)

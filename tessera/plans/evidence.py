@@ -14,7 +14,7 @@ from .registry import query
 FRESH = [("freshness_status_question", "le de|der und"), ("freshness_current_marker", "the of")]
 SCHEDULE, DYNAMIC, STABLE = "with", "que|was", "that|les"
 YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?: |-)()"
-TAIL = "left(regexp_replace(text, '\\s+', ' ', 'g'), 60)"
+TAIL = "regexp_replace(text, '\\s+', ' ', 'g')"
 
 
 def questions(t):
@@ -188,11 +188,11 @@ def section_topk(t):
     return R.section_topk(sections(t), "doc_id").select("doc_id", "ord", F.col("rank").cast("long").alias("rank"), "score", "text")
 
 
-@query("web_gather", TOPK + ", g AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY rank) AS excerpt FROM s GROUP BY 1), r AS (SELECT doc_id, source, left(text, 50) AS snippet, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang <> 'es') SELECT r.source, r.doc_id, coalesce(excerpt, snippet) AS excerpt FROM r LEFT JOIN g USING (doc_id) WHERE n <= 3")
+@query("web_gather", TOPK + ", g AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY rank) AS excerpt FROM s GROUP BY 1), r AS (SELECT doc_id, source, text AS snippet, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang <> 'es') SELECT r.source, r.doc_id, coalesce(excerpt, snippet) AS excerpt FROM r LEFT JOIN g USING (doc_id) WHERE n <= 3")
 def web_gather(t):
     """Allowed results, the first three of each source, their best sections or the snippet."""
     w = Window.partitionBy("source").orderBy("doc_id")
-    r = t("documents").where("lang <> 'es'").withColumn("n", F.row_number().over(w)).where("n <= 3").select("source", "doc_id", F.substring("text", 1, 50).alias("snippet"))
+    r = t("documents").where("lang <> 'es'").withColumn("n", F.row_number().over(w)).where("n <= 3").select("source", "doc_id", F.col("text").alias("snippet"))
     s = R.section_topk(sections(t).join(r.select("doc_id"), "doc_id", "left_semi"), "doc_id")
     g = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("excerpt"))
     return r.join(g, "doc_id", "left").select("source", "doc_id", F.coalesce("excerpt", "snippet").alias("excerpt"))
@@ -209,7 +209,7 @@ def citations_build(t):
     return cites(t).select("query_id", F.col("index").cast("long").alias("index"), "citation_id")
 
 
-@query("grounding_text", EVI + "SELECT query_id, string_agg('Evidence ' || rank || ': Office ' || source_id || chr(10) || left(trim(d.text), 20) || CASE WHEN length(trim(d.text)) > 20 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS material FROM evi JOIN documents d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
+@query("grounding_text", EVI + "SELECT query_id, string_agg('Evidence ' || rank || ': Office ' || source_id || chr(10) || left(trim(d.text), 1800) || CASE WHEN length(trim(d.text)) > 1800 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS material FROM evi JOIN documents d USING (doc_id) WHERE rank <= 4 GROUP BY 1")
 def grounding_text(t):
     e = evid(t).select("query_id", F.col("rank").alias("index"), F.col("source_name").alias("title"), "content")
     return R.grounding(e, "query_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import admission as A
+from ..operators import config
 from ..operators import events as E
 from ..operators import rules as R
 from ..operators.metrics import micros
@@ -178,11 +179,21 @@ def file_parse(t):
     return S.parse_files(t("pages").select(path.alias("path"), body.cast("binary").alias("content")))
 
 
-@query("delivery_packaging", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS files FROM documents GROUP BY 1")
+@query("delivery_packaging", "WITH l AS (SELECT source, doc_id // 4096 AS part, doc_id, doc_id || ':' || sha256(text) AS line FROM documents), p AS (SELECT source, part, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS digest, count(*) AS files FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest, CAST(sum(files) AS BIGINT) AS files FROM p GROUP BY 1")
 def delivery_packaging(t):
     """Digest of each source's files as a package's manifest lists them."""
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256))
-    return t("documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("digest"), F.count("*").alias("files"))
+    return X.tree_digest(t("documents"), "source", "doc_id", "text")
+
+
+@query("review_plans", "WITH RECURSIVE p AS (SELECT n_nationkey AS plan, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey // 4 * 4 WHEN n_nationkey % 8 = 4 THEN n_nationkey - 4 END AS parent FROM nation), l AS (SELECT plan, plan AS at FROM p UNION ALL SELECT l.plan, p.parent FROM l JOIN p ON p.plan = l.at WHERE p.parent IS NOT NULL), m AS (SELECT l.plan, l.at, p.parent IS NULL AS root FROM l JOIN p ON p.plan = l.at), r AS (SELECT m.plan, count(*) AS reviews FROM m JOIN supplier ON s_nationkey = m.at GROUP BY 1), g AS (SELECT DISTINCT m.plan, c_custkey FROM m JOIN customer ON c_custkey % 25 = m.at WHERE NOT root AND c_custkey % 3 = 0), d AS (SELECT m.plan, count(*) AS decisions, sum(c_custkey) AS documents FROM m JOIN customer ON c_nationkey = m.at WHERE root AND NOT EXISTS (SELECT 1 FROM g WHERE g.plan = m.plan AND g.c_custkey = customer.c_custkey) GROUP BY 1) SELECT p.plan, coalesce(reviews, 0) AS reviews, coalesce(decisions, 0) AS decisions, CAST(coalesce(documents, 0) AS BIGINT) AS documents FROM p LEFT JOIN r ON r.plan = p.plan LEFT JOIN d ON d.plan = p.plan")
+def review_plans(t):
+    """Plans that extend others, two generations deep, with their reviews and decisions."""
+    k = F.col("n_nationkey")
+    plans = t("nation").select(k.alias("plan"), F.when(k % 4 > 0, F.floor(k / 4).cast("int") * 4).when(k % 8 == 4, k - 4).alias("parent"))
+    reviews = t("supplier").select(F.col("s_nationkey").alias("plan"), F.col("s_suppkey").alias("review"))
+    decisions = t("customer").select(F.col("c_nationkey").alias("plan"), F.col("c_custkey").alias("document_id"))
+    drops = t("customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") % 25).cast("int").alias("plan"), F.col("c_custkey").alias("document_id"))
+    return config.plan_tables(plans, reviews, decisions, drops)
 
 
 @query("retained_bundles", "SELECT parent_id, count(*) AS children FROM relations WHERE child_id IN (SELECT doc_id FROM kb_documents WHERE review_status = 'ACCEPTED') GROUP BY 1")

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -99,35 +100,51 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, text string, flag string")
 
 
-def archive_faults(content: bytes, members: int = 50, total: int = 50 << 20) -> tuple[int, int, str]:
-    """Members, bytes unpacked, and the first breach of the archive contract."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            infos, seen, size = z.infolist(), set(), 0
-            for i in infos:
-                name = i.filename.replace("\\", "/")
-                if name.startswith("/") or ".." in name.split("/") or re.match("[A-Za-z]:", name):
-                    return len(infos), size, f"unsafe_archive_member:{i.filename}"
-                if i.filename in seen:
-                    return len(infos), size, f"duplicate_archive_member:{i.filename}"
-                if i.flag_bits & 1:
-                    return len(infos), size, f"encrypted_archive_member:{i.filename}"
-                seen.add(i.filename)
-                size += i.file_size
-            return len(infos), size, "archive_budget_exceeded" if len(infos) > members or size > total else ""
-    except zipfile.BadZipFile:
-        return 0, 0, "not_an_archive"
-
-
-def archive_contract(files: DataFrame) -> DataFrame:
-    """path, members, bytes, sha256, fault of each archive."""
+#: Names of the breaches of the archive contract, in the order in which one
+#: member is tested for them.
+BREACHES = ["unsafe_archive_member", "duplicate_archive_member", "encrypted_archive_member"]
+
+
+def archive_listing(files: DataFrame) -> DataFrame:
+    """path, sha256 and members (name, size, encrypted) of each archive; null members for what
+    is none."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("size", pa.int64()), ("encrypted", pa.bool_())]))
+
+    def listed(content: bytes) -> list[dict] | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return [{"name": i.filename, "size": i.file_size, "encrypted": bool(i.flag_bits & 1)} for i in z.infolist()]
+        except zipfile.BadZipFile:
+            return None
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
             content = [c.as_py() or b"" for c in b.column(1)]
-            got = [archive_faults(c) for c in content]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in content], pa.string()), pa.array([g[2] for g in got], pa.string())], names=["path", "members", "bytes", "sha256", "fault"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, members long, bytes long, sha256 string, fault string")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(c).hexdigest() for c in content], pa.string()), pa.array([listed(c) for c in content], kind)], names=["path", "sha256", "members"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, sha256 string, members array<struct<name:string,size:long,encrypted:boolean>>")
+
+
+def archive_contract(files: DataFrame, members: int = 50, total: int = 50 << 20) -> DataFrame:
+    """path, members, bytes, sha256, fault of each archive. The rules stand as a table of tests
+    on a member; the first member that fails one names the fault, then the budget counts."""
+    m = F.col("_members")
+    names = F.transform(m, lambda x: x["name"])
+    tests = {
+        "unsafe_archive_member": lambda x, i: F.translate(x["name"], "\\", "/").rlike(r"^/|(^|/)\.\.(/|$)|^[A-Za-z]:"),
+        "duplicate_archive_member": lambda x, i: F.array_position(names, x["name"]) <= i,
+        "encrypted_archive_member": lambda x, i: x["encrypted"],
+    }
+
+    def breach(x: Column, i: Column) -> Column:
+        return F.coalesce(*[F.when(tests[n](x, i), F.concat(F.lit(f"{n}:"), x["name"])) for n in BREACHES])
+
+    size = F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    first = F.try_element_at(F.array_compact(F.transform(m, breach)), F.lit(1))
+    over = F.when((F.size(m) > members) | (size > total), "archive_budget_exceeded")
+    fault = F.when(m.isNull(), "not_an_archive").otherwise(F.coalesce(first, over, F.lit("")))
+    # the list has another name than the count, which would hide it
+    return archive_listing(files).withColumnRenamed("members", "_members").select("path", F.coalesce(F.size(m), F.lit(0)).cast("long").alias("members"), F.coalesce(size, F.lit(0)).alias("bytes"), "sha256", fault.alias("fault"))
 
 
 def jsonl_member(content: bytes, suffix: str) -> list[dict]:

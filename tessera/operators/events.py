@@ -116,6 +116,13 @@ def model_cursor(calls: DataFrame, models: int, advance: list[str]) -> DataFrame
     return calls.withColumn("model", F.least(moves, F.lit(models - 1)).cast("int"))
 
 
+def crawl_order(found: DataFrame, order: list[Column], pages: int = 500, batch: int = 8) -> DataFrame:
+    """The first pages of a crawl in its order, in batches. The number of pages is the crawl's
+    budget: a top-k, so only these rows are numbered."""
+    first = found.orderBy(*order).limit(pages)
+    return first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / batch))
+
+
 def backoff(attempt: Column, base: float, most: float) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
 

@@ -49,16 +49,33 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "10 minutes") -
     return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def terminal_once(events: DataFrame) -> DataFrame:
-    """At most one terminal event of each run: later ones meet a flag in the state."""
+def terminal_once(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The terminal event of each run, as rows that settle: a run's row is sent when its first
+    terminal event comes, and again when one with a smaller sequence comes later, in whatever
+    order files and batches arrive; the smallest counts (settled_terminals). The state of a run
+    is let go once the watermark is `late` past its last event, so it doesn't grow for ever."""
     def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        if not state.exists:
-            state.update((True,))
-            yield pd.DataFrame({"run_id": [key[0]], "sequence": [int(rows["sequence"].min())]})
-
-    only = events.where(F.col("event_type").isin(TERMINAL)).select("run_id", "sequence")
-    return only.groupBy("run_id").applyInPandasWithState(first, "run_id string, sequence long", "ended boolean", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        least, at = state.get if state.exists else (None, 0)
+        for rows in parts:
+            at = max(at, int(rows["at_ms"].max()))
+            new = int(rows["sequence"].min())
+            if least is None or new < least:
+                least = new
+                yield pd.DataFrame({"run_id": [key[0]], "sequence": [least]})
+        state.update((least, at))
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + 1)
+
+    only = events.where(F.col("event_type").isin(TERMINAL)).withWatermark("created_at", late)
+    rows = only.select("run_id", "sequence", F.unix_millis("created_at").alias("at_ms"), "created_at")
+    return rows.groupBy("run_id").applyInPandasWithState(first, "run_id string, sequence long", "sequence long, at_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled_terminals(told: DataFrame) -> DataFrame:
+    """What terminal_once() has sent, with the row that counts of each run."""
+    return told.groupBy("run_id").agg(F.min("sequence").alias("sequence"))
 
 
 def rate_limited(events: DataFrame, limit: int, late: str = "2 minutes") -> DataFrame:

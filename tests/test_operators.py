@@ -241,6 +241,80 @@ def test_paged_source(spark, tmp_path):
     assert sorted(r.id for r in read.option("limit", "4").load().collect()) == ["0", "1", "2", "3"]
 
 
+def test_contains_join_many_short_passages(spark):
+    from tessera.operators.search import contains_join
+
+    import random
+
+    r = random.Random(6)
+    texts_ = [(i, " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(12))) for i in range(40)] + [(99, "")]
+    needles = sorted({t[a : a + n] for _, t in texts_ for n in (1, 2, 3, 5, 9, 17, 30) for a in (0, 4, 11)} | {"zz", "a  b", ""})
+    t = spark.createDataFrame(texts_, "doc_id long, body string")
+    p = spark.createDataFrame(list(enumerate(needles)), "item long, needle string")
+    got = sorted((x.doc_id, x.item) for x in contains_join(t, p, "doc_id", "body", "needle", few=0).collect())
+    assert got == sorted((d, i) for d, b in texts_ for i, n in enumerate(needles) if n in b)
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_terminal_once_over_files_out_of_order(spark, tmp_path, files):
+    """The least terminal sequence counts, whichever file brings it."""
+    import random
+
+    from tessera.streaming import events as S
+
+    rows = [(f"r{i % 7}", 1000 - i, "run.completed" if i % 3 else "run.failed", 1_700_000_000 + i * 30) for i in range(90)] + [("only", 5, "message.delta", 1_700_000_000)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "run_id string, sequence long, event_type string, at long").withColumn("created_at", F.timestamp_seconds("at")).drop("at")
+    for n in range(files):
+        df.where(F.pmod(F.xxhash64("sequence"), F.lit(files)) == n).coalesce(1).write.parquet(str(tmp_path / "e.parquet"), mode="append")
+    stream = S.source(spark, str(tmp_path), "e", files_per_trigger=1)
+    got = S.settled_terminals(S.run_to_end(S.terminal_once(stream), f"t{files}", "append"))
+    want = {}
+    for run, sequence, kind, _ in rows:
+        if kind in S.TERMINAL:
+            want[run] = min(want.get(run, sequence), sequence)
+    assert {x.run_id: x.sequence for x in got.collect()} == want
+
+
+def test_archive_rules(spark):
+    import io
+    import warnings
+    import zipfile
+
+    from tessera.sources import files
+
+    warnings.simplefilter("ignore")
+
+    def pack(*names, size=1):
+        f = io.BytesIO()
+        with zipfile.ZipFile(f, "w") as z:
+            for n in names:
+                z.writestr(n, "x" * size)
+        return f.getvalue()
+
+    cases = {"ok": (pack("a", "d/b"), ""), "up": (pack("a", "d/../../b", "a"), "unsafe_archive_member:d/../../b"), "root": (pack("/a"), "unsafe_archive_member:/a"), "drive": (pack("C:a"), "unsafe_archive_member:C:a"), "twice": (pack("a", "b", "a", "../c"), "duplicate_archive_member:a"), "many": (pack(*map(str, range(5))), "archive_budget_exceeded"), "large": (pack("a", size=200), "archive_budget_exceeded"), "none": (b"no", "not_an_archive"), "dots": (pack("a..b", "..c"), "")}
+    df = spark.createDataFrame([(k, bytearray(c)) for k, (c, _) in cases.items()], "path string, content binary")
+    assert {r.path: r.fault for r in files.archive_contract(df, members=4, total=100).collect()} == {k: f for k, (_, f) in cases.items()}
+
+
+def test_spans_and_tables():
+    assert html.expand([[("a", 3, 1), ("b", 1, 2)], [("c", 1, 1)], [("d", 1, 1), ("e", 1, 1)]]) == [["a", "b", "b"], ["a", "c", ""], ["a", "d", "e"]]
+    assert html.expand([]) == [] and html.expand([[]]) == [] and html.expand([[("x", 200, 2)]]) == [["x", "x"]]
+    assert html.table_markdown([["a|b"], ["c", "d"]]) == "| a\\|b |  |\n| --- | --- |\n| c | d |" and html.table_markdown([]) == ""
+
+
+def test_plan_lines():
+    from tessera.operators import config
+
+    plans = {"a": {"k": 1, "reviews": [1], "context_decisions": [{"document_id": d} for d in "xyz"], "drop_context_documents": ["z"]}, "b": {"extends": "a", "reviews": [2], "drop_context_documents": ["x"], "context_decisions": [{"document_id": "q"}]}, "c": {"extends": "b", "k": 3, "drop_context_documents": ["y"]}, "l": {"extends": "l"}}
+    assert config.lineage(plans, "c") == ["a", "b", "c"]
+    got = config.extended(plans, "c")
+    assert got["k"] == 3 and got["reviews"] == [1, 2] and got["context_decisions"] == [{"document_id": "z"}] and "extends" not in got
+    assert config.extended(plans, "a") == plans["a"]
+    with pytest.raises(ValueError):
+        config.lineage(plans, "l")
+
+
 def test_windows_and_plans():
     import datetime as dt
 

@@ -10,9 +10,9 @@ its pairs; components of the forests over all groups are the result.
 
 near_copies() is the form for a similarity of shingle sets. At a Jaccard similarity of
 0.8 two fingerprints differ in about 10 of 64 bits, far beyond what blocks of the
-fingerprint can deal out. There the groups come from bands of minimum hashes, the Gray
-order of the fingerprints says which neighbours in a large group to try first, and every
-link is checked on the whole sets of shingles."""
+fingerprint can deal out. There the groups come from bands of minimum hashes, the
+fingerprints of a large group say which set its others are tried with first (the Gray
+order breaks ties), and every link is checked on the whole sets of shingles."""
 
 from __future__ import annotations
 
@@ -261,8 +261,6 @@ WITHIN = 28
 SMALL = 8
 #: Single minimum hashes that deal out the members of large bands; sets of a block there.
 ALONE, CROWD = 10, 2048
-#: Centres of stars in a large band.
-STARS = 2
 _ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
@@ -317,8 +315,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
     """rows: key, node, size, fp. Rows a, b: candidates; rows a, key: members of bands of more
-    than `small` sets, which offer stars (from the sets nearest to what most of the band's
-    fingerprints have in common) and a chain in Gray order, so that neighbours are alike."""
+    than `small` sets, which offer one star, from the set nearest to what most of the band's
+    fingerprints have in common; what that leaves apart is for remaining()."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, (key, size, node, fp) in whole_groups(stream, ["key"], ["size", "node", "fp"]):
@@ -328,9 +326,8 @@ def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
                 index = GrayIndex(fp[lo : lo + n].view(np.uint64))
                 bits = np.unpackbits(index.leaf.view(np.uint8).reshape(-1, 8), axis=1)
                 common = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).view(np.uint64)[0]
-                centres = lo + index.order[np.argsort(np.bitwise_count(index.leaf ^ common), kind="stable")[:STARS]]
-                chain = lo + index.order
-                pairs += [(np.full(n, c), np.arange(lo, lo + n)) for c in centres] + [(chain[:-1], chain[1:])]
+                centre = lo + index.order[np.bitwise_count(index.leaf ^ common).argmin()]
+                pairs.append((np.full(n, centre), np.arange(lo, lo + n)))
             crowd = np.repeat(count > small, count)
             for d in range(1, small):
                 i = np.flatnonzero((key[d:] == key[: len(key) - d]) & ~crowd[d:]) if d < len(key) else np.zeros(0, np.int64)

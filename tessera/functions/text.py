@@ -78,22 +78,39 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _loose(phrase: Column | str) -> Column:
+    """A pattern for the characters of a phrase with or without a space between any two."""
+    spaced = F.regexp_replace(compact(phrase), "(?s)(.)", r"\\Q$1\\E ?")
+    return F.substring(spaced, F.lit(1), F.greatest(F.char_length(spaced) - 2, F.lit(0)))
+
+
+def _first(body: Column, phrase: Column | str) -> tuple[Column, Column]:
+    """Place (from 1; 0 if it isn't there) and length of a phrase in canonical text,
+    whatever the white space in either."""
+    pattern = _loose(phrase)
+    found = F.call_function("regexp_extract", body, pattern, F.lit(0))
+    at = F.when((found != "") | (pattern == ""), F.instr(body, found)).otherwise(F.when(found.isNotNull(), 0))
+    return at, F.char_length(found)
+
+
 def evidence_window(text: Column | str, needle: Column | str, margin: int = 100) -> Column:
-    """Canonical text around the first place of the needle (white space in it matches
-    any); null if it isn't there."""
-    body, want = canonical_text(text), canonical_text(needle)
-    at = F.instr(body, want)
+    """Canonical text around the first place of the needle, wherever either has white
+    space; null if it isn't there. An empty needle stands at the beginning."""
+    body = canonical_text(text)
+    at, length = _first(body, needle)
     start = F.greatest(at - margin, F.lit(1))
-    return F.when(at > 0, F.substring(body, start, at - start + F.char_length(want) + margin))
+    return F.when(at > 0, F.substring(body, start, at - start + length + margin))
 
 
 def quote_span(text: Column | str, start: Column | str, end: Column | str) -> Column:
-    """From the start phrase to the end phrase after it, on canonical text."""
-    body, a, b = canonical_text(text), canonical_text(start), canonical_text(end)
-    at = F.instr(body, a)
-    rest = F.substring(body, at + F.char_length(a), F.char_length(body))
-    stop = F.instr(rest, b)
-    return F.when((at > 0) & (stop > 0), F.substring(body, at, F.char_length(a) + stop - 1 + F.char_length(b)))
+    """Canonical text from the start phrase to the first end phrase that doesn't begin
+    before it (but may begin inside it), wherever any of them has white space; null if one
+    isn't there."""
+    body = canonical_text(text)
+    at, length = _first(body, start)
+    rest = F.substring(body, at, F.char_length(body))
+    stop, more = _first(rest, end)
+    return F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), F.greatest(length, stop - 1 + more)))
 
 
 def parse_units(c: Column | str, units: dict[str, int]) -> Column:

@@ -16,6 +16,14 @@ def replay(events: DataFrame, run: str, after: int) -> DataFrame:
     return events.where((F.col("run_id") == run) & (F.col("sequence") > after)).orderBy("sequence")
 
 
+def unseen(events: DataFrame, key: str, id: str, order: list[str]) -> DataFrame:
+    """Events whose id is greater than all ids that came before for the same key, in order
+    of arrival: ids grow, so one that doesn't is a repetition. A null id is dropped."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(id).over(before)
+    return events.withColumn("_last", last).where(F.col(id).isNotNull() & (F.col("_last").isNull() | (F.col(id) > F.col("_last")))).drop("_last")
+
+
 def run_state(events: DataFrame) -> DataFrame:
     """The state that each run has reached: the first terminal event ends it, else the
     furthest of its last events counts."""

@@ -65,22 +65,19 @@ def version_family(t):
     return t("documents").select("doc_id", F.array_join(labels, ",").alias("labels"), X.scoped_id("", F.regexp_replace(F.regexp_extract("text", r"^([^\n]*)", 1), r"\d+(\.\d+)*", "{v}")).alias("family"))
 
 
-@query("evidence_window", f"WITH b AS (SELECT item_id, trim(regexp_replace(text, '{WS}', ' ', 'g')) AS n FROM benchmark), d AS (SELECT doc_id, {CANON} AS c FROM documents), w AS (SELECT item_id, doc_id, c, n, instr(c, n) AS p FROM b JOIN d ON contains(c, n)) SELECT item_id, doc_id, substr(c, CAST(greatest(p - 100, 1) AS BIGINT), CAST(p - greatest(p - 100, 1) + length(n) + 100 AS BIGINT)) AS evidence FROM w")
+@query("evidence_window", f"WITH b AS (SELECT item_id, regexp_replace(text, '{WS}', '', 'g') AS n FROM benchmark), d AS (SELECT doc_id, {CANON} AS c, regexp_replace(text, '{WS}', '', 'g') AS k FROM documents), w AS (SELECT item_id, doc_id, c, length(n) AS l, instr(k, n) AS q, string_split(c, '') AS s FROM b JOIN d ON contains(k, n)), p AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: s[i] <> ' ') AS places FROM w), a AS (SELECT *, greatest(places[q] - 100, 1) AS b FROM p) SELECT item_id, doc_id, substr(c, b, places[q + l - 1] + 101 - b) AS evidence FROM a")
 def evidence_window(t):
-    b = t("benchmark").select("item_id", X.canonical_text("text").alias("needle"))
-    d = t("documents").select("doc_id", X.canonical_text("text").alias("body"))
+    """Passages are looked up without white space, as the window ignores it."""
+    b = t("benchmark").select("item_id", X.compact("text").alias("needle"))
+    d = t("documents").select("doc_id", X.compact("text").alias("body"), "text")
     j = contains_join(d, b, "doc_id", "body", "needle")
-    return j.select("item_id", "doc_id", X.evidence_window("body", "needle").alias("evidence"))
+    return j.select("item_id", "doc_id", X.evidence_window("text", "needle").alias("evidence"))
 
 
-@query("quote_span", f"WITH d AS (SELECT doc_id, {CANON} AS c FROM documents), p AS (SELECT doc_id, c, instr(c, '. ') AS a FROM d), r AS (SELECT *, substr(c, a + 2) AS rest FROM p WHERE a > 0) SELECT doc_id, '. ' || substr(rest, 1, CAST(instr(rest, '. ') + 1 AS BIGINT)) AS quote FROM r WHERE instr(rest, '. ') > 0")
+@query("quote_span", f"SELECT doc_id, regexp_extract({CANON}, 't ?h ?e.*?o ?f') AS quote FROM documents WHERE regexp_matches({CANON}, 't ?h ?e.*?o ?f')")
 def quote_span(t):
-    body = X.canonical_text("text")
-    at = F.instr(body, ". ")
-    d = t("documents").select("doc_id", body.alias("c"))
-    a = F.instr("c", ". ")
-    rest = F.expr("substring(c, instr(c, '. ') + 2)")
-    return d.where((a > 0) & (F.instr(rest, ". ") > 0)).select("doc_id", F.concat(F.lit(". "), F.substring(rest, F.lit(1), F.instr(rest, ". ") + 1)).alias("quote"))
+    q = X.quote_span("text", F.lit("the"), F.lit("o f")).alias("quote")
+    return t("documents").select("doc_id", q).where("quote IS NOT NULL")
 
 
 @query("artifact_normalize", r"SELECT page_id, sha256(trim(regexp_replace(replace(replace('# ' || url || chr(13) || chr(10) || html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(32) || chr(9))) AS sha FROM pages")

@@ -331,3 +331,28 @@ def test_windows_and_plans():
     plans = {"a": {"k": 1, "reviews": [1], "context_decisions": [{"document_id": "x"}, {"document_id": "y"}]}, "b": {"extends": "a", "k": 2, "reviews": [2], "drop_context_documents": ["x"]}}
     got = config.extended(plans, "b")
     assert got["k"] == 2 and got["reviews"] == [1, 2] and got["context_decisions"] == [{"document_id": "y"}]
+
+
+def test_evidence_and_quotes_ignore_white_space(spark):
+    import re
+
+    rows = [("x  ab\u3000c y", "a bc"), ("a.b*c", ". b *"), ("ab", "b a"), ("", "a"), ("abc", ""), (None, "a"), ("😀 \\E q", "😀\\ E"), ("y" * 150 + " a b " + "z" * 150, "ab"), ("aba b", "ab")]
+    loose = lambda n: r"\s*".join(re.escape(c) for c in re.sub(r"\s+", "", n))
+
+    def window(x, n):
+        x = " ".join((x or "").split())
+        m = re.search(loose(n), x)
+        return m and x[max(0, m.start() - 100) : m.end() + 100]
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, n string")
+    got = [r.e for r in df.select("i", X.evidence_window("x", "n").alias("e")).orderBy("i").collect()]
+    assert got == [window(*r) for r in rows]
+    quotes = [("p the  end o\nf it of", "th e", "of", "the end o f"), ("the", "the", "he", "the"), ("of the", "the", "of", None), ("a b", "x", "b", None), ("abcd", "abc", "bcd", "abcd"), (None, "a", "b", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(quotes)], "i int, x string, a string, b string, want string")
+    assert all(r.q == r.want for r in df.select("want", X.quote_span("x", F.col("a"), F.col("b")).alias("q")).collect())
+
+
+def test_unseen_events(spark):
+    rows = [("r", 1, 5), ("r", 2, 4), ("r", 3, 5), ("r", 4, 7), ("q", 1, 1), ("q", 2, None), ("q", 3, 2)]
+    got = events.unseen(spark.createDataFrame(rows, "run string, ord int, id int"), "run", "id", ["ord"])
+    assert sorted((r.run, r.id) for r in got.collect()) == [("q", 1), ("q", 2), ("r", 5), ("r", 7)]

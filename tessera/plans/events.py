@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import wire as W
 from ..operators.metrics import micros
 from ..streaming import events as S
 from .registry import query
@@ -172,3 +173,40 @@ def stream_terminal_once(t):
     """First terminal event of each run from a stream with state."""
     told = S.run_to_end(S.terminal_once(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "append")
     return S.settled_terminals(told)
+
+
+@query("event_append", "SELECT message_id, (SELECT max(sequence) FROM run_events) + row_number() OVER (ORDER BY session_id, turn) AS sequence FROM messages")
+def event_append(t):
+    """Messages appended to the log as events."""
+    batch = t.messages().select("message_id", "session_id", "turn")
+    return W.appended(t.run_events(), batch, ["session_id", "turn"]).select("message_id", "sequence")
+
+
+@query("fan_out_lag", "WITH s AS (SELECT user_id, event_id, event_type <> 'view' AS p, sum(CASE WHEN event_type <> 'view' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s), l AS (SELECT *, bool_or(p AND depth > 32) OVER (PARTITION BY user_id ORDER BY event_id) AS lost FROM d) SELECT user_id, count(*) FILTER (WHERE p) AS published, count(*) FILTER (WHERE p AND NOT lost) AS delivered, bool_or(lost) AS dropped FROM l GROUP BY 1")
+def fan_out_lag(t):
+    """A user reads whenever it views; all its other events are published to it."""
+    log = t("events").select(F.col("user_id").alias("subscriber"), F.col("event_id").alias("ord"), (F.col("event_type") != "view").alias("published"))
+    p, d = F.col("published"), F.col("delivered")
+    return W.fan_out(log).groupBy(F.col("subscriber").alias("user_id")).agg(F.count_if(p).alias("published"), F.count_if(d).alias("delivered"), F.max(p & ~d).alias("dropped"))
+
+
+def completion_lines(t):
+    """Each answer as the lines of a streamed completion, a word a chunk. Every seventh session
+    breaks off before the end mark, every eleventh starts with a broken chunk."""
+    m = t.messages().where("role = 'assistant'").select(F.col("message_id").alias("stream"), "session_id", F.split(F.coalesce("content", F.lit("")), " ", -1).alias("words"))
+    chunk = lambda words: F.to_json(F.struct(F.array(F.struct(F.struct(words.alias("content")).alias("delta"))).alias("choices")))
+    head = F.when(F.col("session_id") % 11 == 0, F.array(F.lit("data: {broken"))).otherwise(F.array(F.lit(": keep-alive"), F.lit("")))
+    told = F.transform("words", lambda w, i: F.concat(F.lit("data:"), chunk(F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))))
+    usage = F.format_string('data: {"model": "m1", "choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": %d}}', F.size("words"))
+    tail = F.when(F.col("session_id") % 7 == 0, F.array(usage)).otherwise(F.array(usage, F.lit("data: [DONE]"), F.concat(F.lit("data: "), chunk(F.lit("late")))))
+    return m.select("stream", F.posexplode(F.concat(head, told, tail)).alias("ord", "line"))
+
+
+@query("token_stream", "WITH r AS (SELECT message_id AS stream, coalesce(content, '') AS c, CASE WHEN session_id % 11 = 0 THEN 'invalid_stream' WHEN session_id % 7 = 0 THEN 'stream_incomplete' ELSE '' END AS error FROM messages WHERE role = 'assistant') SELECT stream, CASE WHEN error = '' THEN c END AS content, CASE WHEN error = '' THEN 'm1' END AS model, CAST(CASE WHEN error = '' THEN 3 END AS BIGINT) AS input_tokens, CAST(CASE WHEN error = '' THEN len(string_split(c, ' ')) END AS BIGINT) AS output_tokens, error FROM r")
+def token_stream(t):
+    return W.stream_results(completion_lines(t), "m0")
+
+
+@query("token_deltas", "SELECT stream, count(*) AS deltas, CAST(sum(length(w) + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS BIGINT) AS chars FROM (SELECT message_id AS stream, unnest(string_split(coalesce(content, ''), ' ')) AS w, generate_subscripts(string_split(coalesce(content, ''), ' '), 1) AS i FROM messages WHERE role = 'assistant' AND session_id % 11 <> 0) WHERE i > 1 OR w <> '' GROUP BY 1")
+def token_deltas(t):
+    return W.stream_deltas(completion_lines(t)).groupBy("stream").agg(F.count("*").alias("deltas"), F.sum(F.char_length("delta")).alias("chars"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import html as H
 from ..operators import retrieval as R
+from ..operators import store as ST
 from ..sources.tables import zip_members as scan_zip
 from .registry import query
 
@@ -128,38 +129,35 @@ def hybrid_outcome(t):
 
 @query("session_history", "SELECT session_id, count(*) AS turns, array_to_string(list(role || ':' || length(content) ORDER BY turn), ' ') AS history FROM messages GROUP BY 1")
 def session_history(t):
-    m = t.messages()
     item = F.concat_ws(":", "role", F.char_length("content"))
-    return m.groupBy("session_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]), " ").alias("history"))
+    return ST.session_history(t.messages(), item).withColumn("history", F.array_join("history", " "))
 
 
 @query("citations_by_message", "SELECT m.message_id, count(*) AS n, array_to_string(list(s.source_id ORDER BY s.source_id), ',') AS sources FROM messages m JOIN kb_sources s ON s.active AND (m.session_id + m.turn) % 20 = CAST(replace(s.source_id, 'src', '') AS BIGINT) WHERE m.role = 'assistant' GROUP BY 1")
 def citations_by_message(t):
     s = t.kb_sources().where("active").select("source_id", F.replace("source_id", F.lit("src"), F.lit("")).cast("long").alias("k"))
     m = t.messages().where("role = 'assistant'").withColumn("k", (F.col("session_id") + F.col("turn")) % 20)
-    return m.join(s, "k").groupBy("message_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("sources"))
+    return ST.citations(m, s, "k").withColumn("sources", F.array_join("sources", ","))
 
 
 @query("source_visible", "SELECT u.user_id, count(*) AS visible FROM users u JOIN kb_sources s ON u.user_id % 20 = CAST(replace(s.source_id, 'src', '') AS BIGINT) WHERE s.active GROUP BY 1")
 def source_visible(t):
     s = t.kb_sources().where("active").select(F.replace("source_id", F.lit("src"), F.lit("")).cast("long").alias("school"))
-    return t.users().withColumn("school", F.col("user_id") % 20).join(s, "school").groupBy("user_id").agg(F.count("*").alias("visible"))
+    return ST.visible(t.users().withColumn("school", F.col("user_id") % 20), s, "school")
 
 
 @query("owned_insert", "SELECT message_id FROM messages WHERE session_id IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0)")
 def owned_insert(t):
-    own = t("conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("session_id")).distinct()
-    return t.messages().join(own, "session_id", "left_semi").select("message_id")
+    own = t("conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("session_id"))
+    return ST.owned(t.messages(), own, "session_id").select("message_id")
 
 
 @query("upsert_sources", "WITH o AS (SELECT c_custkey AS id, c_nationkey AS school, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey END AS school, 'new ' || c_name AS name FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL OR n.school = o.school THEN coalesce(n.name, o.name) ELSE o.name END AS name FROM o FULL JOIN n ON o.id = n.id")
 def upsert_sources(t):
     """New rows come in; old ones change only within their school."""
     c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("school"), F.col("c_name").alias("name"))
-    o = c.where("id % 3 <> 0").select("id", F.col("school").alias("os"), F.col("name").alias("on"), F.lit(True).alias("old"))
-    n = c.where("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("school")).alias("ns"), F.concat(F.lit("new "), "name").alias("nn"))
-    take = F.col("old").isNull() | F.coalesce(F.col("ns") == F.col("os"), F.lit(False))
-    return o.join(n, "id", "full").select("id", F.when(take, F.coalesce("nn", "on")).otherwise(F.col("on")).alias("name"))
+    n = c.where("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("school")).alias("school"), F.concat(F.lit("new "), "name").alias("name"))
+    return ST.upsert(c.where("id % 3 <> 0"), n, "id", "school").select("id", "name")
 
 
 @query("query_terms")

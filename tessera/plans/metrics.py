@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import store as ST
 from .registry import query
 
 START, END, ZONE = "2024-01-03 00:00:00", "2024-01-20 00:00:00", "Asia/Shanghai"
@@ -91,14 +92,12 @@ def call_cost(t):
 
 @query("status_counts", "SELECT user_id, status, count(*) AS n, count(*) FILTER (WHERE status <> 'QUEUED') AS processed FROM agent_runs GROUP BY 1, 2")
 def status_counts(t):
-    return t.agent_runs().groupBy("user_id", "status").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "QUEUED").alias("processed"))
+    return ST.status_counts(t.agent_runs(), ["user_id"], "status", ["QUEUED"])
 
 
 @query("breakdown_share", "SELECT event_type AS name, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
 def breakdown_share(t):
-    g = t("events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
-    total = t("events").agg(F.count("*").alias("total"))
-    return g.crossJoin(total).select("name", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # one row of totals
+    return ST.breakdown(t("events"), F.col("event_type"))
 
 
 @query("chart_scale", "WITH m AS (SELECT greatest(1.0, CAST(max(value) AS DOUBLE)) AS m FROM events) SELECT ceil(m / pow(10, floor(log10(m)))) * pow(10, floor(log10(m))) AS scale FROM m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, feistel, grace, hilbert, lsa, mixing, mtree, simhash, templates
+from . import bpe, debruijn, feistel, grace, hilbert, lsa, mixing, mtree, simhash, spelling, templates
 from .common import load
 
 
@@ -50,10 +50,15 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_topk, op2_hilbert_shards, op3_grace_dedup, op4_debruijn_dedup, op5_bpe_segment_tree, op6_feistel_pseudonyms, op7_lsa_neighbours, op8_template_tree, op9_gray_simhash, op10_soft_mixing)}
+def op11_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_topk, op2_hilbert_shards, op3_grace_dedup, op4_debruijn_dedup, op5_bpe_segment_tree, op6_feistel_pseudonyms, op7_lsa_neighbours, op8_template_tree, op9_gray_simhash, op10_soft_mixing, op11_anagram_variants)}
 
 ORACLE_SQL = {
     "op1_mtree_topk": mtree.OP1_SQL,
     "op3_grace_dedup": grace.OP3_SQL,
     "op4_debruijn_dedup": debruijn.OP4_SQL,
+    "op11_anagram_variants": spelling.OP11_SQL,
 }

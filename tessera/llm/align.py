@@ -4,34 +4,37 @@ Texts are cut before runs of white space, where neither vocabulary can join what
 both sides: the byte-level tokenizer splits there before it merges, and no piece of the
 other holds white space behind another sign (this is read from its vocabulary). So the
 tokens of a text are those of its segments, one after the other. Scan tasks deal documents
-into packs and number the distinct segments of each; every distinct segment of the corpus is
-tokenised and aligned once, its token pairs are counted as often as it occurs, and the
-alignments go back to the packs, where documents are composed of them."""
+into packs and send the distinct segments of each to buckets by hash; there every distinct
+segment of the corpus is tokenised and aligned once. Its token pairs are counted as often as
+it occurs, and the alignments go back to the packs that asked, where documents are composed
+of them. A segment that every document holds reaches its bucket once for each pack."""
 
 from __future__ import annotations
 
 import functools
 import itertools
 import json
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import parts, settle
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Text of one pack, and of the segments that are aligned side by side.
-PACK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-#: Shares into which segments are dealt when they look up a token pair.
-SHARES = 16
+#: Text of one pack, text whose segments a bucket gets (the distinct ones of each pack), and
+#: text of the segments that are aligned side by side.
+PACK_BYTES, BUCKET_BYTES, SLICE_BYTES = 24 << 20, 64 << 20, 1 << 20
 
 
 class Tokenizers:
@@ -102,26 +105,50 @@ class _Numbers(dict):
         return n
 
 
-_PACKED = pa.schema([("_pack", pa.int64()), ("doc_id", pa.int64()), ("_n", pa.int64()), ("_order", pa.binary()), ("_no", pa.int32()), ("_seg", pa.string()), ("_times", pa.int64())])
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: all lowest bytes, then all next ones, and so on, as
+    small numbers then compress well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _pack_rows(pack: int, ids: list, orders: list[np.ndarray], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-    """Rows of one pack: its documents, each with the numbers of its segments in their
-    order, then its distinct segments with the times each occurs."""
-    kind = np.uint16 if len(numbers) <= 1 << 16 else np.uint32
+def _whole(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+_PACKED = pa.schema([("_pack", pa.int64()), ("_bucket", pa.int32()), ("doc_id", pa.int64()), ("_order", pa.binary()), ("_segs", pa.string()), ("_times", pa.binary())])
+
+
+def _rows(columns: dict[str, list], n: int, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
+
+
+def _pack_rows(pack: int, ids: list, orders: list[np.ndarray], numbers: _Numbers, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one pack. Its segments are numbered anew, the frequent ones first. Documents
+    have the numbers of their segments in order; one row has the bucket of each number
+    (without doc_id and _bucket); each bucket has one with its segments by number, and the
+    times of each."""
     times = np.bincount(np.concatenate(orders), minlength=len(numbers))
-    n, m = len(ids), len(numbers)
-    docs = [[pack] * n, ids, [len(x) for x in orders], [x.astype(kind).tobytes() for x in orders]] + [[None] * n] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(docs, _PACKED, strict=True)], schema=_PACKED)
+    by_times = np.argsort(-times, kind="stable")
+    new = np.empty(len(numbers), np.int64)
+    new[by_times] = np.arange(len(numbers))
     names = list(numbers)
-    for lo in range(0, m, 10_000):
-        k = min(m - lo, 10_000)
-        segs = [[pack] * k] + [[None] * k] * 3 + [range(lo, lo + k), names[lo : lo + k], times[lo : lo + k]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(segs, _PACKED, strict=True)], schema=_PACKED)
+    names, times = [names[i] for i in by_times.tolist()], times[by_times]
+    for lo in range(0, len(ids), 1000):
+        some = orders[lo : lo + 1000]
+        yield _rows({"_pack": [pack] * len(some), "_bucket": [-1] * len(some), "doc_id": ids[lo : lo + 1000], "_order": [_planes(new[x]) for x in some]}, len(some), _PACKED)
+    of = np.fromiter((zlib.crc32(s.encode()) % buckets for s in names), np.int64, len(names))
+    yield _rows({"_pack": [pack], "_order": [_planes(of)]}, 1, _PACKED)
+    order = np.argsort(of, kind="stable")
+    edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+    for at in np.split(order, edges[1:]) if len(order) else []:
+        yield _rows({"_pack": [pack], "_bucket": [int(of[at[0]])], "_segs": [MARK.join([names[i] for i in at.tolist()])], "_times": [_planes(times[at])]}, 1, _PACKED)
 
 
 def packed(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """Documents and distinct segments by pack, written to the shared folder."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = tokenizers(a_file, b_file)
@@ -134,13 +161,13 @@ def packed(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                 orders.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
                 held += len(text or "") + 1
                 if held >= PACK_BYTES:
-                    yield from _pack_rows(pack, ids, orders, numbers)
+                    yield from _pack_rows(pack, ids, orders, numbers, buckets)
                     pack, held, ids, orders, numbers = pack + 1, 0, [], [], _Numbers()
         if ids:
-            yield from _pack_rows(pack, ids, orders, numbers)
+            yield from _pack_rows(pack, ids, orders, numbers, buckets)
 
-    kinds = "_pack long, doc_id long, _n long, _order binary, _no int, _seg string, _times long"
-    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds))
+    kinds = "_pack long, _bucket int, doc_id long, _order binary, _segs string, _times binary"
+    return settle(docs.mapInArrow(run, kinds))
 
 
 def _aligned(tools: Tokenizers, segments: list[str]) -> dict[str, list | np.ndarray]:
@@ -169,63 +196,95 @@ def _aligned(tools: Tokenizers, segments: list[str]) -> dict[str, list | np.ndar
     return {
         "n_a": a_n, "n_b": b_n, "n_groups": np.diff(upto, prepend=0), "n_links": np.diff(links, prepend=0),
         "groups": [";".join(groups[x:y]) for x, y in itertools.pairwise([0, *upto.tolist()])],
-        "links": links, "a": np.repeat(a, width), "b": b[np.arange(int(width.sum())) + np.repeat(first - shift, width)],
+        "pairs": np.repeat(a, width) << 32 | b[np.arange(int(width.sum())) + np.repeat(first - shift, width)],
     }
 
 
-def aligned(segments: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """Segments (_seg, times) with a number, their sizes, groups and token pairs."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, number = tokenizers(a_file, b_file), TaskContext.get().partitionId() << 40
-        for batch in stream:
-            names, lo = batch.column("_seg").to_pylist(), 0
-            while lo < len(names):
-                hi, held = lo, 0
-                while hi < len(names) and held < SLICE_BYTES:
-                    held, hi = held + len(names[hi]), hi + 1
-                x = _aligned(tools, names[lo:hi])
-                offsets = pa.array(np.append(0, x["links"]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("_seg").slice(lo, hi - lo), batch.column("times").slice(lo, hi - lo), pa.array(np.arange(number, number + hi - lo)),
-                    *[pa.array(x[c]) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(x["groups"], pa.string()),
-                    *[pa.ListArray.from_arrays(offsets, pa.array(x[c].astype(np.int32))) for c in ("a", "b")],
-                ], names=["_seg", "times", "_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b"])
-                number, lo = number + hi - lo, hi
-
-    kinds = "_seg string, times long, _id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>"
-    return settle(segments.mapInArrow(run, kinds))
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+_FOUND = pa.schema([("_bucket", pa.int32()), ("_pack", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("times", pa.int64()), ("_which", pa.binary()), ("groups", pa.string()), *[(c, pa.binary()) for c in COUNTS], ("_links", pa.binary())])
+
+
+def aligned(packs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """Of each bucket, written to the shared folder: a row for each token pair with the times
+    its links occur, one with the alignments of its distinct segments, and for each pack that
+    asked one with the numbers of the segments asked for."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        tools, numbers = tokenizers(a_file, b_file), _Numbers()
+        bucket = asked.column("_bucket")[0].as_py()
+        which = [np.fromiter(map(numbers.__getitem__, s.split(MARK)), np.int64) for s in asked.column("_segs").to_pylist()]
+        times = np.zeros(len(numbers), np.int64)
+        for x, t in zip(which, asked.column("_times").to_pylist(), strict=True):
+            times[x] += _whole(t)  # a pack asks for a segment once
+        names, found, lo = list(numbers), [], 0
+        while lo < len(names):
+            hi, held = lo, 0
+            while hi < len(names) and held < SLICE_BYTES:
+                held, hi = held + len(names[hi]), hi + 1
+            found.append(_aligned(tools, names[lo:hi]))
+            lo = hi
+        count = {c: np.concatenate([x[c] for x in found]) for c in COUNTS}
+        pairs, links = np.unique(np.concatenate([x["pairs"] for x in found]), return_inverse=True)
+        seen = np.zeros(len(pairs), np.int64)
+        np.add.at(seen, links, np.repeat(times, count["n_links"]))
+        rows = [
+            _rows({"_bucket": [bucket] * len(pairs), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "times": seen}, len(pairs), _FOUND),
+            _rows({"_bucket": [bucket], "groups": ["\n".join(itertools.chain.from_iterable(x["groups"] for x in found))], "_links": [_planes(links)]} | {c: [_planes(v)] for c, v in count.items()}, 1, _FOUND),
+            _rows({"_bucket": [bucket] * len(which), "_pack": asked.column("_pack").to_pylist(), "_which": [_planes(x) for x in which]}, len(which), _FOUND),
+        ]
+        return pa.Table.from_batches(rows)
+
+    kinds = ", ".join(["_bucket int, _pack long, a int, b int, times long, _which binary, groups string", *[f"{c} binary" for c in COUNTS], "_links binary"])
+    return settle(packs.where("_bucket >= 0").select("_bucket", "_pack", "_segs", "_times").groupBy("_bucket").applyInArrow(run, kinds))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
-    """a, b, count, best: how many links of the corpus hold each pair of ids, and whether no
-    pair with the same b has more. A window holds the pairs of one id of b: at most as many
-    as the other vocabulary has ids."""
-    pairs = found.select("times", F.explode(F.arrays_zip("a", "b")).alias("_l")).groupBy(F.col("_l.a").alias("a"), F.col("_l.b").alias("b")).agg(F.sum("times").alias("count"))
-    return settle(pairs.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b"))))
+    """_of (the bucket), a, b, count, best: how many links of the corpus hold a bucket's pair
+    of ids, and whether no pair with the same b has more. A pair stands once in a bucket; the
+    largest counts by b are at most as many as the second vocabulary has ids."""
+    pairs = found.where(F.col("times").isNotNull()).select(F.col("_bucket").alias("_of"), "a", "b", F.sum("times").over(Window.partitionBy("a", "b")).alias("count"))
+    most = pairs.groupBy("b").agg(F.max("count").alias("_most"))
+    return pairs.join(F.broadcast(most), "b").select("_of", "a", "b", "count", (F.col("count") == F.col("_most")).alias("best"))
 
 
-def scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """_id, n_best, count_sum of each segment. A pair that very many segments hold is dealt
-    into shares; the table of pairs is bounded by the vocabularies."""
-    links = found.select("_id", F.pmod("_id", F.lit(SHARES)).cast("int").alias("_share"), F.explode(F.arrays_zip("a", "b")).alias("_l")).select("_id", "_share", "_l.a", "_l.b")
-    dealt = pairs.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return links.join(dealt, ["a", "b", "_share"]).groupBy("_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+SIZES = (*COUNTS, "n_best", "count_sum")
 
 
-SIZES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+def _replies(found: pa.Table, pairs: pa.Table) -> pa.Table:
+    """What each pack asked a bucket for: the alignments and scores of segments."""
+    pairs = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
+    rows = found.to_pylist()
+    whole = next(r for r in rows if r["_which"] is None)
+    groups, links = whole["groups"].split("\n"), _whole(whole["_links"])
+    size = {c: _whole(whole[c]) for c in COUNTS}
+    first = np.cumsum(size["n_links"]) - size["n_links"]
+    size["n_best"] = np.add.reduceat(pairs.column("best").to_numpy().astype(np.int64)[links], first)
+    size["count_sum"] = np.add.reduceat(pairs.column("count").to_numpy()[links], first)
+    asked = [(r["_pack"], _whole(r["_which"])) for r in rows if r["_which"] is not None]
+    columns = {"_to": pa.array([p for p, _ in asked], pa.int64()), "_bucket": pa.array([whole["_bucket"]] * len(asked), pa.int32())}
+    columns |= {c: pa.array([_planes(size[c][x]) for _, x in asked], pa.binary()) for c in SIZES}
+    return pa.table(columns | {"groups": pa.array(["\n".join(map(groups.__getitem__, x.tolist())) for _, x in asked], pa.string())})
 
 
 def _composed(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    replies = replies.sort_by("_no")
-    size = {c: replies.column(c).to_numpy() for c in SIZES}
-    groups = replies.column("groups").to_pylist()
+    head = docs.filter(pc.is_null(docs.column("_bucket")))
+    docs = docs.filter(pc.is_valid(docs.column("_bucket")))
+    of = _whole(head.column("_order")[0].as_py())
+    size, groups = {c: np.zeros(len(of), np.int64) for c in SIZES}, np.empty(len(of), object)
+    order = np.argsort(of, kind="stable")
+    ranked = of[order]
+    for r in replies.to_batches(max_chunksize=64):
+        for row in r.to_pylist():
+            at = order[np.searchsorted(ranked, row["_bucket"]) : np.searchsorted(ranked, row["_bucket"], side="right")]
+            for c in SIZES:
+                size[c][at] = _whole(row[c])
+            groups[at] = row["groups"].split("\n")
     out: dict[str, list] = {c: [] for c in (*SIZES, "groups")}
-    for n, raw in zip(docs.column("_n").to_pylist(), docs.column("_order").to_pylist(), strict=True):
-        order = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+    for raw in docs.column("_order").to_pylist():
+        x = _whole(raw)
         for c in SIZES:
-            out[c].append(int(size[c][order].sum()) if n else 0)
-        out["groups"].append(";".join(map(groups.__getitem__, order.tolist())))
+            out[c].append(int(size[c][x].sum()))
+        out["groups"].append(";".join(groups[x].tolist()))
     kinds = {c: pa.int64() for c in SIZES} | {"groups": pa.string()}
     return pa.table({"doc_id": docs.column("doc_id")} | {c: pa.array(v, kinds[c]) for c, v in out.items()})
 
@@ -242,10 +301,9 @@ def alignments(docs: DataFrame, a_file: str = BYTE_LEVEL, b_file: str = PIECES)
     rows; further columns, whatever their names, are left out. doc_id is an integer."""
     tokenizers(a_file, b_file)  # files that don't qualify are refused before anything runs
     packs = packed(docs, a_file, b_file)
-    asked = packs.where(F.col("_no").isNotNull()).select(F.col("_pack").alias("_of"), "_no", "_seg", "_times")
-    found = aligned(asked.groupBy("_seg").agg(F.sum("_times").alias("times")), a_file, b_file)
-    scored = found.drop("times", "a", "b").join(scores(found, pair_counts(found)), "_id")
-    replies = asked.select("_of", "_no", "_seg").join(scored, "_seg").select("_of", "_no", *SIZES, "groups")
-    held = packs.where(F.col("_no").isNull()).select("_pack", "doc_id", "_n", "_order")
+    found = aligned(packs, a_file, b_file)
+    answers = found.where(F.col("times").isNull()).drop("a", "b", "times").groupBy("_bucket").cogroup(pair_counts(found).groupBy("_of"))
+    replies = answers.applyInArrow(_replies, ", ".join(["_to long, _bucket int", *[f"{c} binary" for c in SIZES], "groups string"]))
+    held = packs.where("_bucket IS NULL OR _bucket < 0").select("_pack", "_bucket", "doc_id", "_order")
     kinds = ", ".join(["doc_id long", *[f"{c} long" for c in SIZES], "groups string"])
-    return held.groupBy("_pack").cogroup(replies.groupBy("_of")).applyInArrow(_composed, kinds)
+    return held.groupBy("_pack").cogroup(replies.groupBy("_to")).applyInArrow(_composed, kinds)

@@ -34,7 +34,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Text of one pack, text whose segments a bucket gets (the distinct ones of each pack), and
 #: text of the segments that are aligned side by side.
-PACK_BYTES, BUCKET_BYTES, SLICE_BYTES = 24 << 20, 64 << 20, 1 << 20
+PACK_BYTES, BUCKET_BYTES, SLICE_BYTES = 16 << 20, 24 << 20, 128 << 10
 
 
 class Tokenizers:

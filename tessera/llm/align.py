@@ -34,7 +34,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Text of one pack, text whose segments a bucket gets (the distinct ones of each pack), and
 #: text of the segments that are aligned side by side.
-PACK_BYTES, BUCKET_BYTES, SLICE_BYTES = 16 << 20, 24 << 20, 128 << 10
+PACK_BYTES, BUCKET_BYTES, SLICE_BYTES = 10 << 20, 8 << 20, 64 << 10
 
 
 class Tokenizers:
@@ -167,7 +167,7 @@ def packed(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
             yield from _pack_rows(pack, ids, orders, numbers, buckets)
 
     kinds = "_pack long, _bucket int, doc_id long, _order binary, _segs string, _times binary"
-    return settle(docs.mapInArrow(run, kinds))
+    return settle(docs.mapInArrow(run, kinds), "zstd")
 
 
 def _aligned(tools: Tokenizers, segments: list[str]) -> dict[str, list | np.ndarray]:
@@ -235,7 +235,7 @@ def aligned(packs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         return pa.Table.from_batches(rows)
 
     kinds = ", ".join(["_bucket int, _pack long, a int, b int, times long, _which binary, groups string", *[f"{c} binary" for c in COUNTS], "_links binary"])
-    return settle(packs.where("_bucket >= 0").select("_bucket", "_pack", "_segs", "_times").groupBy("_bucket").applyInArrow(run, kinds))
+    return settle(packs.where("_bucket >= 0").select("_bucket", "_pack", "_segs", "_times").groupBy("_bucket").applyInArrow(run, kinds), "zstd")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def _composed(docs: pa.Table, replies: pa.Table) -> pa.Table:
     size, groups = {c: np.zeros(len(of), np.int64) for c in SIZES}, np.empty(len(of), object)
     order = np.argsort(of, kind="stable")
     ranked = of[order]
-    for r in replies.to_batches(max_chunksize=64):
+    for r in replies.to_batches(max_chunksize=8):
         for row in r.to_pylist():
             at = order[np.searchsorted(ranked, row["_bucket"]) : np.searchsorted(ranked, row["_bucket"], side="right")]
             for c in SIZES:

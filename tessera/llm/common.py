@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_folder(spark)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, what
     follows is computed from files that outlive any executor, and several readers
-    share one computation."""
+    share one computation. compression: a codec of Parquet in place of the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

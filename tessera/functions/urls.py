@@ -11,6 +11,7 @@ from .text import any_of, col
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "from", "share_token", "weixin", "wx", "sid", "sessionid", "phpsessid", "jsessionid", "aspxsessionid"]
 #: File types without text.
 SKIPPED = ["jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "ico", "mp3", "mp4", "avi", "mov", "wmv", "flv", "css", "js", "json", "woff", "woff2", "ttf", "eot", "swf", "exe", "dmg", "apk", "iso"]
+#: Fixed: parts of an address that tell of a file.
 ATTACHMENT_HINTS = ["download", "attach", "upload", "file", "fujian", "getfile"]
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -162,6 +163,28 @@ def parent_page(u: Column | str) -> Column:
     return F.concat(scheme(c), F.lit("://"), net, full)
 
 
+def resolved(base: Column | str, href: Column | str) -> Column:
+    """A link as an absolute URL: `.` and `..` of its path are followed, its query and
+    fragment kept, those of the base left. '' for an empty link and for those that lead to no
+    page (scripts, mail, phone, inline data, places in the same page)."""
+    base, h = col(base), F.regexp_replace(col(href), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    root = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    above = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    p = F.regexp_extract(h, r"^[^?#]*", 0)
+    tail = F.substr(h, F.char_length(p) + 1)
+    whole = F.when(p == "", above).when(p.startswith("/"), p).otherwise(F.concat(F.regexp_replace(above, "[^/]*$", ""), p))
+    parts = F.split(F.regexp_replace(whole, "^/", ""), "/")
+    up = lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), up)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    full = F.concat(root, F.when(whole == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"))), tail)
+    return (
+        F.when(F.coalesce(h, F.lit("")) == "", "").when(h.rlike("^(?:javascript:|mailto:|tel:|data:|#)"), "")
+        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:", 0), h))
+        .when(root == "", h).otherwise(full)
+    )
+
+
 def crawl_allowed(u: Column, domain: str, prefixes: list[str], block: str) -> Column:
     h, p = host(u), port(u)
     return scheme(u).isin("http", "https") & (userinfo(u) == "") & p.isin("", "80", "443") & in_domains(h, [domain]) & ~any_of([h.startswith(x) for x in prefixes]) & ~path(u).rlike(f"(?i){block}")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions import urls as U
+from ..operators import dom as D
 from ..operators import html as H
 from ..operators import retrieval as R
 from ..operators import store as ST
@@ -224,44 +226,78 @@ def citable_filter(t):
     return cites(t).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("page_title", r"SELECT page_id, regexp_extract(html, '<html lang=\"(\w+)\"', 1) AS lang, length(regexp_extract(html, '<title>(.*?)</title>', 1)) > 0 AS titled FROM pages")
+#: For the oracle: the parts of these pages. A p ends where the next begins.
+PAGE = (
+    "WITH pg AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS ad FROM pages), "
+    "words AS (SELECT *, list_filter(list_transform(string_split_regex(art, '<[^>]*>'), lambda x: trim(x)), lambda x: x <> '') AS art_texts, trim(ad) AS ad_text FROM pg), "
+    "main AS (SELECT *, length(plain(array_to_string(art_texts, ' '))) > 200 AS big FROM words) "
+)
+
+
+def _plain(sql: str) -> str:
+    """plain(x) in a statement: x with the entities of these pages resolved."""
+    while (at := sql.find("plain(")) >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+            end += 1
+        inner = sql[at + 6 : end]
+        sql = sql[:at] + f"regexp_replace(replace(replace(replace({inner}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')" + sql[end + 1 :]
+    return sql
+
+
+_TITLE = "CASE WHEN length(plain(trim(regexp_extract(html, '<h1>([^<]*)', 1)))) >= 6 THEN plain(trim(regexp_extract(html, '<h1>([^<]*)', 1))) WHEN length(plain(trim(regexp_extract(html, '<title>([^<]*)', 1)))) >= 6 THEN plain(trim(regexp_extract(html, '<title>([^<]*)', 1))) ELSE '' END"
+
+
+def trees(t):
+    return D.dom(t("pages")).withColumn("found", D.elements("nodes"))
+
+
+@query("page_title", _plain(f"SELECT page_id, {_TITLE} AS title FROM pages"))
 def page_title(t):
-    h = F.col("html")
-    return t("pages").select("page_id", F.regexp_extract(h, r'<html lang="(\w+)"', 1).alias("lang"), (F.char_length(F.regexp_extract(h, "<title>(.*?)</title>", 1)) > 0).alias("titled"))
+    return trees(t).select("page_id", D.title("nodes", F.col("found")).alias("title"))
 
 
-def parsed(t):
-    return H.parse_pages(t("pages"))
+def normalized(t):
+    """Main text of every page as Markdown, without noise."""
+    pages = D.dom(t("pages"), drop=D.NOISE).withColumn("found", D.elements("nodes")).withColumn("box", D.main_container(F.col("found")))
+    return pages.select("page_id", "url", D.title("nodes", F.col("found")).alias("title"), D.markdown_walk("nodes", F.col("box")).alias("markdown"))
 
 
-@query("html_normalize")
+@query("html_normalize", _plain(PAGE + f"SELECT page_id, {_TITLE} AS title, CASE WHEN big THEN plain(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(art, '<h1>([^<]*)</h1>', chr(10) || chr(10) || '## \\1' || chr(10) || chr(10)), '\\s*</?(?:a|b)(?: [^>]*)?>\\s*', chr(10), 'g'), '\\s*</?(?:p|br|ul|li|div)>\\s*', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) ELSE plain(ad_text) END AS markdown FROM main"))
 def html_normalize(t):
-    return parsed(t).select("page_id", "title", "markdown")
+    return normalized(t).drop("url")
 
 
-@query("parse_html")
+@query("parse_html", _plain(PAGE + f"SELECT page_id, {_TITLE.replace("ELSE ''", "ELSE url")} AS title, 'html:article' AS parser, 'publication_date_unknown' AS flags, length(c) AS chars, sha256(c) AS content_sha FROM (SELECT page_id, url, html, plain(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(art, '<h1>([^<]*)</h1>', chr(10) || chr(10) || '## \\1' || chr(10) || chr(10)), '<br>', chr(10), 'g'), '</?(?:p|ul|li|div)>', chr(10) || chr(10), 'g'), '</?[a-z]+[^>]*>', '', 'g'), '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS c FROM main)"))
 def parse_html(t):
-    return parsed(t).select("page_id", "title", F.size("blocks").alias("blocks"), F.size("links").alias("links"), F.char_length("markdown").alias("chars"))
+    p = D.article(D.dom(t("pages")), "page_id", "url", ["pdf", "docx", "xlsx", "zip"], selectors=(*D.ARTICLES, "article"))
+    return p.select("page_id", "title", "parser", F.array_join("quality_flags", "|").alias("flags"), F.char_length("clean_content").alias("chars"), F.sha2("clean_content", 256).alias("content_sha"))
 
 
-@query("visible_blocks")
+@query("visible_blocks", _plain(PAGE + "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, tag, text FROM (SELECT page_id, i, CASE WHEN starts_with(x, '<h1>') THEN 'h1' ELSE 'p' END AS tag, plain(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text FROM (SELECT page_id, unnest(string_split_regex(art, '<p>|</p>|</h1>')) AS x, unnest(range(1, len(string_split_regex(art, '<p>|</p>|</h1>')) + 1)) AS i FROM pg)) WHERE text <> ''"))
 def visible_blocks(t):
-    return parsed(t).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.tag", "b.text")
+    blocks = D.visible_blocks("nodes")
+    return D.dom(t("pages"), drop=D.NOT_IN_BLOCKS).select("page_id", F.posexplode(blocks).alias("pos", "b")).select("page_id", "pos", "b.tag", "b.text")
 
 
-@query("main_block")
+@query("main_block", _plain(PAGE + "SELECT page_id, CASE WHEN big THEN 'article' ELSE 'longest' END AS selector, CASE WHEN big THEN plain(array_to_string(art_texts, ' ')) ELSE plain(ad_text) END AS main_block FROM main"))
 def main_block(t):
-    return parsed(t).select("page_id", "main_block")
+    p = D.dom(t("pages"), drop=D.NOISE).withColumn("box", D.main_container(D.elements("nodes")))
+    return p.select("page_id", "box.selector", D.text_of(D.subtree("nodes", F.col("box"))).alias("main_block"))
 
 
-@query("page_links")
+@query("page_links", _plain("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS ord, regexp_extract(url, '^[a-z]+://[^/?#]*') || plain(regexp_extract(x, 'href=\"([^\"]*)\"', 1)) AS url, title, CAST(NULL AS VARCHAR) AS parent, 'page' AS kind FROM (SELECT page_id, url, x, i, plain(trim(regexp_extract(x, '>([^<]*)<', 1))) AS title FROM (SELECT page_id, url, unnest(h) AS x, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS h FROM pages WHERE page_id % 3 <> 0))) WHERE regexp_matches(title, '[a-m]$|[.,]$') AND NOT regexp_matches(title, '^[A-C]')"))
 def page_links(t):
-    return parsed(t).select("page_id", F.explode("links").alias("l")).select("page_id", "l.url", "l.text")
+    """Links of listings (two of three pages) and articles, whose main element has none."""
+    return D.discovered(D.dom(t("pages")), "page_id", F.pmod("page_id", F.lit(3)) != 0, ["pdf", "docx", "xlsx", "zip"], ["[a-m]$", "[.,]$"], "^[A-C]")
 
 
 @query("link_resolve", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', ''), '[^/]+/$', '') || 'a?b=1#c' AS link FROM pages")
 def link_resolve(t):
-    return t("pages").select("page_id", H.resolve_link("url", F.lit("../a?b=1#c")).alias("link"))
+    return t("pages").select("page_id", U.resolved("url", F.lit("../a?b=1#c")).alias("link"))
 
 
 @query("decode_pages", "SELECT page_id, sha256(html) AS sha, 'utf-8' AS encoding FROM pages")
@@ -325,14 +361,16 @@ def span_expand(t):
     """Dense grids of tables with spans, one table per nation."""
     cell = lambda a, *x: F.concat(F.lit(f"<td {a}>"), *x, F.lit("</td>"))
     html = F.concat(F.lit("<table><tr>"), cell("rowspan=2", "n_name"), cell("colspan=2", F.lit("wide")), F.lit("</tr><tr>"), cell("", F.col("n_nationkey").cast("string")), cell("", F.lit("z")), F.lit("</tr></table>"))
-    p = H.parse_pages(t("nation").select("n_nationkey", F.lit("").alias("url"), html.alias("html")), key="n_nationkey")
-    return p.select("n_nationkey", F.posexplode(F.element_at("tables", 1)).alias("y", "row")).select("n_nationkey", "y", F.array_join("row", "|").alias("row"))
+    p = D.dom(t("nation").select("n_nationkey", F.lit("").alias("url"), html.alias("html")), key="n_nationkey")
+    table = F.get(F.filter("nodes", lambda n: n.tag == "table"), 0).text
+    lines = F.transform(F.split(table, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\| | \|$", ""), r" \| ", "|"))
+    return p.select("n_nationkey", F.posexplode(F.concat(F.slice(lines, 1, 1), F.slice(lines, 3, 100))).alias("y", "row"))
 
 
 @query("candidates")
 def candidates_assembly(t):
     """Frontier joined with what was fetched; attachments inherit a title from their parent."""
-    p = parsed(t).select(F.col("page_id").alias("doc_id"), F.col("title"))
+    p = trees(t).select(F.col("page_id").alias("doc_id"), D.title("nodes", F.col("found")).alias("title"))
     rel = t.relations().select(F.col("child_id").alias("doc_id"), "parent_id")
     up = p.select(F.col("doc_id").alias("parent_id"), F.col("title").alias("parent_title"))
     d = t("pages").select(F.col("page_id").alias("doc_id"), "url").join(p, "doc_id").join(rel, "doc_id", "left").join(up, "parent_id", "left")

@@ -32,9 +32,9 @@ def department_hint(t):
 @query("outline")
 def outline(t):
     """Headings of the pages' Markdown."""
-    from ..operators.html import parse_pages
+    from .evidence import normalized
 
-    return parse_pages(t("pages")).select("page_id", F.array_join(X.outline("markdown"), "|").alias("outline"))
+    return normalized(t).select("page_id", F.array_join(X.outline("markdown"), "|").alias("outline"))
 
 
 @query("snippet_around", r"WITH p AS (SELECT doc_id, text, instr(text, '@') - 1 AS a FROM documents WHERE contains(text, '@')) SELECT doc_id, trim(regexp_replace(substr(text, CAST(greatest(a - 40, 0) + 1 AS BIGINT), CAST(least(a + 1 + 40, length(text)) - greatest(a - 40, 0) AS BIGINT)), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS snippet FROM p")

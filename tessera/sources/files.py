@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.html import decode, parse, table_markdown
+from ..operators.dom import plain_text
+from ..operators.html import decode, table_markdown
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -80,7 +81,7 @@ def file_text(path: str, content: bytes) -> tuple[str, str]:
         if suffix == "csv":
             return table_markdown(list(csv.reader(io.StringIO(decode(content)[0])))), ""
         if suffix in ("html", "htm"):
-            return "\n\n".join(x for x in parse(decode(content)[0]).out if x), ""
+            return plain_text(decode(content)[0]), ""
         if suffix == "docx":
             return docx_text(content), ""
         if suffix == "xlsx":

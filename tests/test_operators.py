@@ -154,13 +154,6 @@ def test_lanes(spark):
     assert got == {1: (0, 2), 2: (1, 2), 3: (1, 2), 4: (0, 1)}
 
 
-def test_html_blocks_tables_and_noise():
-    p = html.parse("<title>T &amp; x</title><nav><p>no</p></nav><h1>Head</h1><p>a <b>b</b></p><script>var t='</p>';</script><table><tr><td rowspan=2>r</td><td>1</td></tr><tr><td>2</td></tr></table><a href='x'>go</a>")
-    assert p.title == "T & x" and [b for _, b in p.blocks][:2] == ["Head", "a b"]
-    assert p.tables == [[["r", "1"], ["r", "2"]]] and p.links == [("x", "go")]
-    assert html.link("http://a/b/c", "../d") == "http://a/d" and html.link("http://a", "mailto:x") == ""
-
-
 def test_decode():
     assert html.decode("中文".encode("gb18030"))[0] == "中文"
     assert html.decode("﻿x".encode())[0] == "x"

@@ -39,8 +39,13 @@ class Permutation:
         self.key, self.rounds = hashlib.sha256(key).digest(), rounds
 
     def _round(self, tweak: bytes, i: int, x: int, size: int) -> int:
-        data = b"%s|%d|%d" % (tweak, i, x)
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=24 + size.bit_length() // 8).digest(), "big") % size
+        wanted = 24 + size.bit_length() // 8
+        if wanted <= 64:
+            raw = hashlib.blake2b(b"%s|%d|%d" % (tweak, i, x), key=self.key, digest_size=wanted).digest()
+        else:  # more than one digest holds: as many as it takes, numbered
+            data = b"%s|%d|%x" % (tweak, i, x)
+            raw = b"".join(hashlib.blake2b(b"%d|%s" % (block, data), key=self.key).digest() for block in range(-(-wanted // 64)))[:wanted]
+        return int.from_bytes(raw, "big") % size
 
     def _sides(self, size: int) -> tuple[int, int]:
         a = math.isqrt(size)

@@ -168,6 +168,31 @@ def snippet_around(text: Column | str, start: Column, end: Column, window: int =
     return F.btrim(F.regexp_replace(F.substring(x, left + 1, F.least(end + window, F.char_length(x)) - left), SPACE + "+", " "))
 
 
+def matches(text: Column | str, pattern: str, most: int) -> Column:
+    """The first `most` matches of a pattern that never matches nothing, as start, end
+    (code points from 0, end exclusive) and the match. Places are sums of the lengths of
+    the pieces between matches, which a split at the same pattern gives."""
+    x = col(text)
+    found = F.slice(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), 1, most)
+    gaps = F.slice(F.split(x, pattern, most + 1), F.lit(1), F.size(found))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+
+    def add(state: Column, piece: Column) -> Column:
+        begin = state["at"] + F.char_length(piece["gap"])
+        end = begin + F.char_length(piece["match"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), piece["match"].alias("match")))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("match")), start, add, lambda s: s["out"])
+
+
+def mentions(text: Column | str, pattern: str, before: int = 45, after: int = 65, most: int = 40) -> Column:
+    """The first `most` matches with `before` and `after` code points around each; contexts
+    may overlap."""
+    x = col(text)
+    context = lambda m: F.substring(x, F.greatest(m["start"] - before, F.lit(0)) + 1, m["end"] + after - F.greatest(m["start"] - before, F.lit(0)))
+    return F.transform(matches(x, pattern, most), lambda m: F.struct(m["match"].alias("text"), context(m).alias("context")))
+
+
 def media_type(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".txt"), "text/plain").otherwise("text/html")
 

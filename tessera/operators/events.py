@@ -47,24 +47,33 @@ def recover(runs: DataFrame) -> DataFrame:
     return runs.where(~F.col("status").isin("COMPLETED", "FAILED", "CANCELLED")).select("run_id", F.lit("run.failed").alias("event_type"), F.lit("server_restarted").alias("code"), F.lit(True).alias("retryable"))
 
 
-def coalesce_deltas(events: DataFrame, size: int = 96, gap_ms: int = 120) -> DataFrame:
-    """Groups of deltas that are sent together: a group ends once it holds `size`
-    characters or its first delta is gap_ms old. Sessions are cut at gaps natively; the
-    size rule follows from the running length within a session."""
-    w = Window.partitionBy("run_id").orderBy("sequence")
-    late = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) > gap_ms, F.lit(True))
-    s = events.withColumn("session", F.sum(late.cast("int")).over(w))
-    ws = Window.partitionBy("run_id", "session").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    g = s.withColumn("chunk", F.floor(F.coalesce(F.sum(F.char_length("delta")).over(ws), F.lit(0)) / size))
+def coalesce_deltas(events: DataFrame, size: int = 96, tick_ms: int = 120, start_ms: str | None = None) -> DataFrame:
+    """What is sent of a run's deltas (run_id, sequence, at_ms, delta): what is pending goes out
+    as soon as it has `size` bytes, and with every tick; a tick comes every tick_ms from the
+    run's start (column start_ms; None: its first delta). Empty deltas count for nothing.
+    Between two ticks nothing is left over from before, so (run, tick) is folded as a key of
+    its own: a long run is dealt over many tasks. One row per flush: run_id, tick, flush,
+    first_sequence, deltas, bytes, text."""
+    start = F.col(start_ms) if start_ms else F.min("at_ms").over(Window.partitionBy("run_id"))
+    d = events.where(F.char_length("delta") > 0)
+    d = d.withColumn("tick", F.floor((F.col("at_ms") - start) / tick_ms).cast("long")).select("run_id", "tick", "sequence", F.octet_length("delta").alias("bytes"), "delta")
+
+    def step(state: dict, row: tuple) -> int:
+        if state.get("pending", 0) >= size:
+            state["flush"], state["pending"] = state["flush"] + 1, 0
+        state["flush"], state["pending"] = state.get("flush", 0), state.get("pending", 0) + row[3]
+        return state["flush"]
+
+    g = fold(d, ["run_id", "tick"], ["sequence"], dict, step, "flush", "int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "delta"))), lambda x: x["delta"]), "")
-    return g.groupBy("run_id", "session", "chunk").agg(F.min("sequence").alias("first_sequence"), F.count("*").alias("deltas"), text.alias("text"))
+    return g.groupBy("run_id", "tick", "flush").agg(F.min("sequence").alias("first_sequence"), F.count("*").alias("deltas"), F.sum("bytes").alias("bytes"), text.alias("text"))
 
 
 def rebuild_answer(events: DataFrame) -> DataFrame:
-    """Deltas in order, unless a final text overrides them."""
+    """Deltas in order, unless the last final text overrides them; an empty one doesn't."""
     deltas = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("sequence", "text")))), lambda x: x["text"]), "")
     final = F.max_by(F.when(F.col("kind") == "final", F.col("text")), F.when(F.col("kind") == "final", F.col("sequence")))
-    return events.groupBy("run_id").agg(F.coalesce(final, deltas).alias("answer"))
+    return events.groupBy("run_id").agg(F.coalesce(F.nullif(final, F.lit("")), deltas).alias("answer"))
 
 
 def rate_limit(events: DataFrame, limit: int, ms: Column, minutes: int = 1) -> DataFrame:
@@ -101,27 +110,40 @@ def login_limit(attempts: DataFrame, most: int = 5, window_us: int = 60_000_000)
 
 
 def host_pressure(log: DataFrame, streak: int = 5, penalty: float = 4.0, calm: int = 10) -> DataFrame:
-    """Delay factor of a host after each request: `penalty` once `streak` errors came in a
-    row, back to 1 after `calm` successes in a row. Columns host, sequence, error."""
+    """Delay factor of a host after each request: `penalty` once `streak` failures under
+    pressure (status 429, 503 or any 5xx) came without a success between, back to 1 after
+    `calm` successes in a row. Any other failure (404, no answer) only ends the row of
+    successes. Columns host, sequence, ok, status."""
     def step(state: dict, row: tuple) -> float:
-        bad, good = state.get("bad", 0), state.get("good", 0)
-        bad, good = (bad + 1, 0) if row[2] else (0, good + 1)
-        state["bad"], state["good"] = bad, good
-        if bad >= streak:
-            state["factor"] = penalty
-        elif good >= calm:
-            state["factor"] = 1.0
+        _, _, ok, status = row[:4]
+        if ok:
+            state["bad"], state["good"] = 0, state.get("good", 0) + 1
+            if state["good"] >= calm:
+                state["factor"] = 1.0
+        else:
+            state["good"] = 0
+            if status is not None and (status == 429 or 500 <= status < 600):
+                state["bad"] = state.get("bad", 0) + 1
+                if state["bad"] >= streak:
+                    state["factor"] = penalty
         return state.get("factor", 1.0)
 
-    return fold(log.select("host", "sequence", "error"), ["host"], ["sequence"], dict, step, "factor", "double")
+    return fold(log.select("host", "sequence", "ok", "status"), ["host"], ["sequence"], dict, step, "factor", "double")
 
 
 def model_cursor(calls: DataFrame, models: int, advance: list[str]) -> DataFrame:
-    """Which model of a pool each call uses: an error of a listed kind moves the pool on to
-    the next model, and it stays there. The cursor is the count of such errors before."""
-    w = Window.partitionBy("pool").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    moves = F.coalesce(F.sum(F.col("error").isin(advance).cast("int")).over(w), F.lit(0))
-    return calls.withColumn("model", F.least(moves, F.lit(models - 1)).cast("int"))
+    """Which model of a pool each call uses: an error of a listed code (case and white space
+    at its ends don't matter) moves the pool on to the next model, and it stays there. After
+    the last one the pool is exhausted: model is null and failure says so. Columns pool,
+    sequence, error. Only the first `models` such errors of a pool count; they are found by a
+    top-k before the shuffle, so a pool that makes most calls costs no task more."""
+    moving = calls.where(F.lower(F.btrim("error")).isin([a.lower() for a in advance])).select("pool", "sequence")
+    rank = F.row_number().over(Window.partitionBy("pool").orderBy("sequence"))
+    cuts = moving.withColumn("_n", rank).where(F.col("_n") <= models).groupBy("pool").agg(F.array_sort(F.collect_list("sequence")).alias("_cuts"))
+    passed = F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{calls.schema['sequence'].dataType.simpleString()}>")), lambda c: c < F.col("sequence")))
+    found = calls.join(cuts, "pool", "left").withColumn("_at", passed)
+    over = F.col("_at") >= models
+    return found.withColumn("model", F.when(~over, F.col("_at"))).withColumn("failure", F.when(over, "model_pool_exhausted")).drop("_at", "_cuts")
 
 
 def crawl_order(found: DataFrame, order: list[Column], pages: int = 500, batch: int = 8) -> DataFrame:

@@ -41,17 +41,18 @@ def run_recover(t):
     return E.recover(t.agent_runs())
 
 
-@query("delta_coalesce", """WITH d AS (SELECT run_id, sequence, payload AS delta, epoch_us(created_at) // 1000 AS at_ms FROM run_events WHERE event_type IN ('message.delta', 'route.resolved')),
-s AS (SELECT *, sum(CASE WHEN at_ms - p <= 14400000 THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY sequence) AS session FROM (SELECT *, lag(at_ms) OVER (PARTITION BY run_id ORDER BY sequence) AS p FROM d)),
-c AS (SELECT *, coalesce(sum(length(delta)) OVER (PARTITION BY run_id, session ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 24 AS chunk FROM s)
-SELECT run_id, min(sequence) AS first_sequence, count(*) AS deltas, string_agg(delta, '' ORDER BY sequence) AS text FROM c GROUP BY run_id, session, chunk""")
+@query("delta_coalesce", """WITH RECURSIVE d AS (SELECT run_id, sequence, payload AS delta, strlen(payload) AS bytes, epoch_us(created_at) // 1000 AS at_ms FROM run_events WHERE event_type IN ('message.delta', 'route.resolved') AND payload <> ''),
+k AS (SELECT *, (at_ms - min(at_ms) OVER (PARTITION BY run_id)) // 14400000 AS tick FROM d), e AS (SELECT *, row_number() OVER (PARTITION BY run_id, tick ORDER BY sequence) AS n FROM k),
+f AS (SELECT run_id, tick, sequence, delta, bytes, n, 0 AS flush, bytes AS pending FROM e WHERE n = 1
+UNION ALL SELECT e.run_id, e.tick, e.sequence, e.delta, e.bytes, e.n, CASE WHEN f.pending >= 24 THEN f.flush + 1 ELSE f.flush END, CASE WHEN f.pending >= 24 THEN e.bytes ELSE f.pending + e.bytes END FROM f JOIN e ON e.run_id = f.run_id AND e.tick = f.tick AND e.n = f.n + 1)
+SELECT run_id, tick, flush, min(sequence) AS first_sequence, count(*) AS deltas, sum(bytes)::BIGINT AS bytes, string_agg(delta, '' ORDER BY sequence) AS text FROM f GROUP BY run_id, tick, flush""")
 def delta_coalesce(t):
     e = t.run_events().where(F.col("event_type").isin("message.delta", "route.resolved"))
     d = e.select("run_id", "sequence", F.col("payload").alias("delta"), F.floor(micros("created_at") / 1000).alias("at_ms"))
-    return E.coalesce_deltas(d, 24, 14_400_000).select("run_id", "first_sequence", "deltas", "text")
+    return E.coalesce_deltas(d, 24, 14_400_000)
 
 
-@query("answer_rebuild", "WITH k AS (SELECT run_id, sequence, payload, CASE event_type WHEN 'message.delta' THEN 'delta' WHEN 'message.completed' THEN 'final' END AS kind FROM run_events) SELECT run_id, coalesce(arg_max(payload, sequence) FILTER (WHERE kind = 'final'), string_agg(payload, '' ORDER BY sequence) FILTER (WHERE kind = 'delta'), '') AS answer FROM k GROUP BY 1")
+@query("answer_rebuild", "WITH k AS (SELECT run_id, sequence, payload, CASE event_type WHEN 'message.delta' THEN 'delta' WHEN 'message.completed' THEN 'final' END AS kind FROM run_events) SELECT run_id, coalesce(nullif(arg_max(payload, sequence) FILTER (WHERE kind = 'final'), ''), string_agg(payload, '' ORDER BY sequence) FILTER (WHERE kind = 'delta'), '') AS answer FROM k GROUP BY 1")
 def answer_rebuild(t):
     kind = F.when(F.col("event_type") == "message.delta", "delta").when(F.col("event_type") == "message.completed", "final")
     return E.rebuild_answer(t.run_events().select("run_id", "sequence", kind.alias("kind"), F.col("payload").alias("text")))
@@ -77,18 +78,23 @@ def login_limit(t):
     return E.login_limit(t.run_events().select("user_id", "sequence", micros("created_at").alias("at_us")), 3, 86_400_000_000)
 
 
-@query("host_pressure", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS host, sequence, event_type = 'run.failed' AS error, row_number() OVER (PARTITION BY user_id ORDER BY sequence) AS n FROM run_events),
-f AS (SELECT host, sequence, error, n, CASE WHEN error THEN 1 ELSE 0 END AS bad, CASE WHEN error THEN 0 ELSE 1 END AS good, CAST(1.0 AS DOUBLE) AS factor FROM e WHERE n = 1 UNION ALL
-SELECT e.host, e.sequence, e.error, e.n, CASE WHEN e.error THEN f.bad + 1 ELSE 0 END, CASE WHEN e.error THEN 0 ELSE f.good + 1 END, CASE WHEN e.error AND f.bad + 1 >= 2 THEN 4.0 WHEN NOT e.error AND f.good + 1 >= 3 THEN 1.0 ELSE f.factor END FROM f JOIN e ON e.host = f.host AND e.n = f.n + 1)
-SELECT host, sequence, error, factor FROM f""")
+@query("host_pressure", """WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS host, sequence, event_type NOT IN ('run.failed', 'run.completed') AS ok, CASE event_type WHEN 'run.failed' THEN 503 WHEN 'run.completed' THEN 404 ELSE 200 END AS status FROM run_events),
+e AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY sequence) AS n FROM o),
+f AS (SELECT host, sequence, ok, status, n, CASE WHEN NOT ok AND status >= 500 THEN 1 ELSE 0 END AS bad, CASE WHEN ok THEN 1 ELSE 0 END AS good, CAST(1.0 AS DOUBLE) AS factor FROM e WHERE n = 1 UNION ALL
+SELECT e.host, e.sequence, e.ok, e.status, e.n, CASE WHEN e.ok THEN 0 WHEN e.status >= 500 THEN f.bad + 1 ELSE f.bad END, CASE WHEN e.ok THEN f.good + 1 ELSE 0 END, CASE WHEN NOT e.ok AND e.status >= 500 AND f.bad + 1 >= 2 THEN 4.0 WHEN e.ok AND f.good + 1 >= 3 THEN 1.0 ELSE f.factor END FROM f JOIN e ON e.host = f.host AND e.n = f.n + 1)
+SELECT host, sequence, ok, status, factor FROM f""")
 def host_pressure(t):
-    return E.host_pressure(t.run_events().select(F.col("user_id").cast("string").alias("host"), "sequence", (F.col("event_type") == "run.failed").alias("error")), 2, 4.0, 3)
+    """Failed runs as answers under pressure, completed ones as pages that don't exist."""
+    kind = F.col("event_type")
+    status = F.when(kind == "run.failed", 503).when(kind == "run.completed", 404).otherwise(200)
+    log = t.run_events().select(F.col("user_id").cast("string").alias("host"), "sequence", ~kind.isin("run.failed", "run.completed"), status.alias("status"))
+    return E.host_pressure(log.toDF("host", "sequence", "ok", "status"), 2, 4.0, 3)
 
 
-@query("model_cursor", "SELECT user_id AS pool, sequence, CAST(least(coalesce(sum(CASE WHEN event_type IN ('run.failed', 'message.completed') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS INTEGER) AS model FROM run_events")
+@query("model_cursor", "SELECT pool, sequence, CASE WHEN moves < 5 THEN moves END AS model, CASE WHEN moves >= 5 THEN 'model_pool_exhausted' END AS failure FROM (SELECT user_id AS pool, sequence, CAST(coalesce(sum(CASE WHEN event_type IN ('run.failed', 'message.completed') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS moves FROM run_events)")
 def model_cursor(t):
     c = t.run_events().select(F.col("user_id").alias("pool"), "sequence", F.col("event_type").alias("error"))
-    return E.model_cursor(c, 5, ["run.failed", "message.completed"]).select("pool", "sequence", "model")
+    return E.model_cursor(c, 5, ["RUN.failed", "message.completed"]).select("pool", "sequence", "model", "failure")
 
 
 @query("backoff", "SELECT l_orderkey, l_linenumber, least(1.5 * pow(2, l_linenumber - 1), 30.0) AS wait FROM lineitem")

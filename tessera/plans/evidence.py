@@ -311,9 +311,7 @@ def publish_date(t):
     """The first date after a hint; days that aren't in the calendar count as none."""
     k = F.col("o_orderkey")
     text = F.concat(F.lit("Posted by x. Published: "), F.when(k % 5 == 0, "2024-02-31").otherwise(F.date_format("o_orderdate", "yyyy-M-d")), F.lit(" views 12"))
-    parts = [F.regexp_extract(text, r"Published: *(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", i) for i in (1, 2, 3)]
-    day = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")).try_cast("date")
-    return t("orders").select(k, F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("")).alias("published"))
+    return t("orders").select(k, D.after_hint(text, ["Updated:", "Published:"], r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})").alias("published"))
 
 
 @query("title_evidence", r"WITH l AS (SELECT doc_id, i, trim(line) AS s FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:8] AS c FROM documents)) ), j AS (SELECT doc_id, i, CASE WHEN i > 1 AND length(lag(s) OVER w) < 12 THEN lag(s) OVER w || s ELSE s END AS s2, s FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, arg_min(s2, i) AS title FROM j WHERE NOT starts_with(s, '|') AND length(s2) BETWEEN 8 AND 140 GROUP BY 1")
@@ -326,11 +324,15 @@ def title_evidence(t):
     return j.where(ok).groupBy("doc_id").agg(F.min_by("s2", "i").alias("title"))
 
 
-@query("date_mentions", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS context FROM (SELECT doc_id, h, unnest(range(1, least(len(h), 40) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.{0,45}\b(?:\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?).{0,65})', 1) AS h FROM documents))")
+MENTION = r"\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?|[A-Za-z]+\.com"
+
+
+@query("date_mentions", rf"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g')) AS x FROM documents), m AS (SELECT doc_id, x, regexp_extract_all(x, '{MENTION}') AS h, list_transform(regexp_extract_all(x, '{MENTION}'), lambda y: length(y)) AS hl, list_transform(regexp_split_to_array(x, '{MENTION}'), lambda y: length(y)) AS gl FROM c), p AS (SELECT doc_id, x, i, h[i] AS text, list_sum(gl[1:i]) + coalesce(list_sum(hl[1:i - 1]), 0) AS s, hl[i] AS n FROM (SELECT *, unnest(range(1, least(len(h), 40) + 1)) AS i FROM m)) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, text, substr(x, CAST(greatest(s - 45, 0) + 1 AS BIGINT), CAST(s + n + 65 - greatest(s - 45, 0) AS BIGINT)) AS context FROM p")
 def date_mentions(t):
-    """Versions and years with the text around them."""
-    hits = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,45}\b(?:\d{4}-\d{2}-\d{2}|[Vv]ersion \d+(?:\.\d+)?).{0,65})"), F.lit(1))
-    return t("documents").select("doc_id", F.posexplode(F.slice(hits, 1, 40)).alias("pos", "context"))
+    """Dates, versions and hosts with the text around them; contexts overlap where mentions
+    stand close together."""
+    found = X.mentions(X.canonical_text("text"), MENTION)
+    return t("documents").select("doc_id", F.posexplode(found).alias("pos", "m")).select("doc_id", "pos", "m.text", "m.context")
 
 
 @query("zip_members", "SELECT 'a' || page_id || '.zip' AS path, member, size, CASE page_id % 50 WHEN 7 THEN 'File is not a zip file' WHEN 3 THEN 'unsafe_path' END AS error FROM (SELECT page_id, unnest(CASE WHEN page_id % 50 IN (3, 7) THEN [struct_pack(m := NULL::VARCHAR, s := NULL::BIGINT)] ELSE [struct_pack(m := 'p' || page_id || '.html', s := CAST(strlen(html) AS BIGINT)), struct_pack(m := 'b.txt', s := 1::BIGINT)] END, recursive := true) FROM pages) t(page_id, member, size)")

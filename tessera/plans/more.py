@@ -123,10 +123,10 @@ def token_rotate(t):
     return E.rotated(tok.drop("o_orderkey"), usr, used, F.lit(NOW), 900, 9000)
 
 
-@query("attempt_log", "SELECT user_id AS url_id, event_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS attempt, left(props, 5) AS error_message FROM events WHERE event_type = 'error'")
+@query("attempt_log", "SELECT user_id AS url_id, event_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS attempt, left(props, 2000) AS error_message FROM events WHERE event_type = 'error'")
 def attempt_log(t):
     c = t("events").where("event_type = 'error'").select(F.col("user_id").alias("url_id"), F.col("event_id").alias("sequence"), micros("ts").alias("started_us"), F.col("props").alias("error_message"))
-    return E.attempts(c, 5).select("url_id", "sequence", F.col("attempt").cast("long").alias("attempt"), "error_message")
+    return E.attempts(c).select("url_id", "sequence", F.col("attempt").cast("long").alias("attempt"), "error_message")
 
 
 @query("canary_export", "SELECT d.doc_id, d.source_id, a.attachment_id, 'doc-' || d.doc_id || '.md' AS file FROM kb_documents d LEFT JOIN kb_attachments a ON a.doc_id = d.doc_id AND a.ord = 1 WHERE d.review_status = 'ACCEPTED' AND NOT d.pii_detected")

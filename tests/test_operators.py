@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as X
 from tessera.functions import urls as U
@@ -131,8 +132,75 @@ def test_login_window(spark):
 
 
 def test_pressure(spark):
-    df = spark.createDataFrame([("h", i, e) for i, e in enumerate([1, 1, 0, 0, 1])], "host string, sequence long, error int").withColumn("error", F.col("error") == 1)
-    assert [r.factor for r in events.host_pressure(df, 2, 4.0, 2).orderBy("sequence").collect()] == [1.0, 4.0, 4.0, 1.0, 1.0]
+    def factors(outcomes, *limits):
+        df = spark.createDataFrame([("h", i, s == 200, s or None) for i, s in enumerate(outcomes)], "host string, sequence long, ok boolean, status int")
+        return [r.factor for r in events.host_pressure(df, *limits).orderBy("sequence").collect()]
+
+    assert factors([503, 500, 200, 200, 429], 2, 4.0, 2) == [1.0, 4.0, 4.0, 1.0, 1.0]
+    # a failure that is no pressure keeps the streak, and ends the calm
+    assert factors([503, 404, 503, 200, 0, 200, 200], 2, 4.0, 2) == [1.0, 1.0, 4.0, 4.0, 4.0, 4.0, 1.0]
+    assert factors([404] * 6, 2, 4.0, 2) == [1.0] * 6
+
+
+def sent(deltas, size, tick):
+    """Flushes of one run by a loop over its deltas and its ticks."""
+    out, pending, start, due = [], [], deltas[0][1], deltas[0][1] + tick
+    for sequence, at, text in deltas:
+        while at >= due:
+            if pending:
+                out.append(pending)
+                pending = []
+            due += tick
+        if text:
+            pending = [*pending, (sequence, text)]
+        if sum(len(t.encode()) for _, t in pending) >= size:
+            out.append(pending)
+            pending = []
+    return [("".join(t for _, t in p), p[0][0]) for p in [*out, *([pending] if pending else [])]]
+
+
+def test_deltas_are_coalesced_by_bytes_and_ticks(spark):
+    import random
+
+    r = random.Random(4)
+    runs = {"gaps": [(i, 100 * i, "abcde") for i in range(10)], "bytes": [(0, 0, "é" * 60), (1, 1, "é" * 60)], "reset": [(i, i, "x" * 70) for i in range(4)], "exact": [(0, 0, "x" * 96), (1, 120, "y"), (2, 239, "z"), (3, 240, "w")]}
+    for k in range(60):
+        at = 0
+        runs[f"r{k}"] = [(i, at := at + r.choice([0, 1, 30, 119, 120, 121, 500]), "aé漢"[r.randrange(3)] * r.choice([0, 1, 5, 40, 96, 97, 200])) for i in range(40)]
+    df = spark.createDataFrame([(k, *d) for k, v in runs.items() for d in v], "run_id string, sequence long, at_ms long, delta string").withColumn("from_ms", F.min("at_ms").over(Window.partitionBy("run_id")))
+    got = {}
+    for x in events.coalesce_deltas(df, start_ms="from_ms").orderBy("run_id", "tick", "flush").collect():
+        got.setdefault(x.run_id, []).append((x.text, x.first_sequence))
+        assert x.bytes == len(x.text.encode())
+    assert got == {k: sent(v, 96, 120) for k, v in runs.items() if any(t for *_, t in v)}
+    assert [len(t) for t, _ in got["bytes"]] == [60, 60] and [len(t) for t, _ in got["reset"]] == [140, 140]
+
+
+def test_pool_is_exhausted_after_its_last_model(spark):
+    def used(errors):
+        df = spark.createDataFrame([("p", i, e) for i, e in enumerate(errors)], "pool string, sequence long, error string")
+        return [(r.model, r.failure) for r in events.model_cursor(df, 2, ["ModelNotFound"]).orderBy("sequence").collect()]
+
+    gone = (None, "model_pool_exhausted")
+    assert used([" modelnotfound ", "timeout", "MODELNOTFOUND", None, "x"]) == [(0, None), (1, None), (1, None), gone, gone]
+    assert used(["ModelNotFound"] * 4) == [(0, None), (1, None), gone, gone]
+    assert used(["rate_limit", None, "rate_limit"]) == [(0, None)] * 3
+
+
+def test_final_text_unless_it_is_empty(spark):
+    rows = [("a", 1, "delta", "x"), ("a", 2, "delta", "y"), ("a", 3, "final", ""), ("b", 1, "delta", "x"), ("b", 2, "final", "z"), ("c", 1, "other", "q"), ("d", 1, "final", "old"), ("d", 2, "final", ""), ("d", 3, "delta", "new")]
+    df = spark.createDataFrame(rows, "run_id string, sequence long, kind string, text string")
+    assert {r.run_id: r.answer for r in events.rebuild_answer(df).collect()} == {"a": "xy", "b": "z", "c": "", "d": "new"}
+
+
+def test_mentions_overlap(spark):
+    import re
+
+    texts = ["due 2024-05-06 and 2024-06-07 end", "", None, "2024-01-01", "é😀 2024-01-02" + "x" * 200 + "2024-01-03", "2024-01-01 " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: [(m.text, m.context) for m in r.m or []] for r in df.select("i", X.mentions("t", r"\d{4}-\d\d-\d\d").alias("m")).collect()}
+    want = {i: [(m[0], t[max(0, m.start() - 45) : m.end() + 65]) for m in re.finditer(r"\d{4}-\d\d-\d\d", t or "")][:40] for i, t in enumerate(texts)}
+    assert got == want and len(got[0]) == 2
 
 
 def test_sse(spark):

@@ -259,8 +259,11 @@ ROWS, BANDS = 5, 40
 WITHIN = 28
 #: Sets in a band up to which all its pairs are offered at once.
 SMALL = 8
-#: Single minimum hashes that deal out the members of large bands; sets of a block there.
-ALONE, CROWD = 10, 2048
+#: Sets in a band beyond which it is dealt over several tasks.
+LARGE = 1024
+#: Single minimum hashes that deal out the members of large bands; sets and shingles of a
+#: block there, whichever is reached first.
+ALONE, CROWD, CROWD_SHINGLES = 10, 2048, 2 << 20
 _ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
@@ -313,33 +316,59 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
 
 
-def offers(rows: DataFrame, similarity: float, small: int) -> DataFrame:
+def offers(rows: DataFrame, similarity: float, small: int, large: int = 0) -> DataFrame:
     """rows: key, node, size, fp. Rows a, b: candidates; rows a, key: members of bands of more
     than `small` sets, which offer one star, from the set nearest to what most of the band's
-    fingerprints have in common; what that leaves apart is for remaining()."""
+    fingerprints have in common; what that leaves apart is for remaining(). A band of more
+    than `large` sets is dealt by hash into parts of about so many, each with its own star,
+    and the stars' centres are a band of their own, and so on: no task gets a whole band."""
+    large = large or LARGE
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
+    big = settle(counts.select("key", F.ceil(F.col("n") / large).cast("int").alias("_parts")))
+    split = not big.isEmpty()
+    dealt = rows.join(big, "key", "left") if split else rows.withColumn("_parts", F.lit(None).cast("int"))
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"), F.lit(-1))
+    dealt = dealt.select("key", part.alias("part"), "size", "node", "fp")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for start, (key, size, node, fp) in whole_groups(stream, ["key"], ["size", "node", "fp"]):
+        names = ["a", "b", "key", "size", "fp"]
+        for start, (key, part, size, node, fp) in whole_groups(stream, ["key", "part"], ["size", "node", "fp"]):
             count = np.diff(np.append(start, len(key)))
-            pairs = []
+            group = np.repeat(np.arange(len(start)), count)
+            pairs, centres = [], []
             for lo, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
                 index = GrayIndex(fp[lo : lo + n].view(np.uint64))
                 bits = np.unpackbits(index.leaf.view(np.uint8).reshape(-1, 8), axis=1)
                 common = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).view(np.uint64)[0]
                 centre = lo + index.order[np.bitwise_count(index.leaf ^ common).argmin()]
                 pairs.append((np.full(n, centre), np.arange(lo, lo + n)))
+                centres.append(centre)
             crowd = np.repeat(count > small, count)
             for d in range(1, small):
-                i = np.flatnonzero((key[d:] == key[: len(key) - d]) & ~crowd[d:]) if d < len(key) else np.zeros(0, np.int64)
+                i = np.flatnonzero((group[d:] == group[: len(key) - d]) & ~crowd[d:]) if d < len(key) else np.zeros(0, np.int64)
                 pairs.append((i, i + d))
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
             ok = (i != j) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WITHIN)
+            none = lambda n: pa.nulls(int(n), pa.int64())
             if ok.any():
-                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), pa.nulls(int(ok.sum()), pa.int64())], names=["a", "b", "key"])
-            if crowd.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(key[crowd])], names=["a", "b", "key"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long, key long")
+                n = ok.sum()
+                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), none(n), none(n), none(n)], names=names)
+            member = crowd | (part >= 0)
+            if member.any():
+                n = member.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(node[member]), none(n), pa.array(key[member]), none(n), none(n)], names=names)
+            # a part too small for a star stands for itself by its first set
+            up = np.array([*centres, *start[count <= small].tolist()], np.int64)
+            up = up[part[up] >= 0]
+            if len(up):
+                yield pa.RecordBatch.from_arrays([pa.array(node[up]), none(len(up)), pa.array(key[up]), pa.array(size[up]), pa.array(fp[up])], names=names)
+
+    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "size", "node").mapInArrow(run, "a long, b long, key long, size long, fp long")
+    if not split:
+        return found.select("a", "b", "key")
+    found = settle(found)
+    centres = found.where(F.col("size").isNotNull()).select("key", F.col("a").alias("node"), "size", "fp")
+    return found.select("a", "b", "key").union(offers(centres, similarity, small, large))
 
 
 def _least(found: np.ndarray) -> np.ndarray:
@@ -350,7 +379,8 @@ def _least(found: np.ndarray) -> np.ndarray:
 def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets of `left` and of `right` (places) that join different parts, as a
     spanning forest. Shared tokens are counted by matrix products over the tokens that
-    several sets have, some thousand at a time."""
+    several sets have, some thousand at a time; the counts are of whole sets, so every link
+    of the forest is one, and none has to be taken out of it later."""
     row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     token, column, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     shared = n > 1
@@ -367,7 +397,10 @@ def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np
         both += m[left] @ m[right].T
     need = similarity / (1 + similarity) * (size[left][:, None] + size[right][None, :])
     i, j = np.nonzero((both >= need - 1e-3) & (root[left][:, None] != root[right][None, :]))
+    shared_by = both[i, j].astype(np.float64)
     i, j = left[i], right[j]
+    exact = shared_by / (size[i] + size[j] - shared_by) >= similarity
+    i, j = i[exact], j[exact]
     names, part = np.unique(root, return_inverse=True)
     part = part.copy()
     out = [np.zeros((2, 0), np.int64)]
@@ -393,8 +426,8 @@ def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int
     forest a, b of the links between different roots. Members of bands that hold several
     roots are dealt out anew, by ALONE single minimum hashes (a pair at 0.8 shares none of
     them with probability 1e-7), and compared where they meet, with their sets at hand: no
-    pairs are sent. A bucket of more than CROWD sets is cut into blocks, and each pair of
-    blocks is a group of its own, so no task holds more than two."""
+    pairs are sent. A bucket of more than CROWD sets, or CROWD_SHINGLES shingles, is cut into
+    blocks, and each pair of blocks is a group of its own, so no task holds more than two."""
     block = block or CROWD
     mixed = crowd.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = settle(crowd.join(mixed, "key", "left_semi").select("node", "root").distinct())
@@ -403,11 +436,12 @@ def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
             found = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("found")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([_least(x).view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64()), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in found], pa.binary())], names=["node", "keys", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([_least(x).view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64()), b.column("found")], names=["node", "keys", "size", "tokens"])
 
     short = settle(some.mapInArrow(cut, "node long, keys array<long>, size long, tokens binary"))
-    keyed = short.select("node", F.explode("keys").alias("key")).join(members, "node")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    keyed = short.select("node", "size", F.explode("keys").alias("key")).join(members, "node")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / CROWD_SHINGLES)).cast("int")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", blocks.alias("n"))
     at = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     dealt = keyed.join(sizes, "key").select("key", "node", "root", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
     dealt = dealt.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "at", "node", "root")
@@ -420,7 +454,7 @@ def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int
                 if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
                     continue
                 left, right = np.flatnonzero(at[lo:hi] == i[lo]), np.flatnonzero(at[lo:hi] == j[lo])
-                a, b = _tied([np.frombuffer(x, np.uint32) for x in tokens[lo:hi]], size[lo:hi], root[lo:hi], left, right, similarity)
+                a, b = _tied([np.frombuffer(x, np.uint64) for x in tokens[lo:hi]], size[lo:hi], root[lo:hi], left, right, similarity)
                 if len(a):
                     yield pa.RecordBatch.from_arrays(_pairs(node[lo + a], node[lo + b]), names=["a", "b"])
 

@@ -83,3 +83,66 @@ def test_large_band(spark, small, crowd, monkeypatch):
 
 def test_empty(spark):
     assert simhash.near_copies(empty(spark)).collect() == []
+
+
+def test_a_forest_holds_only_links():
+    """A pair whose halves collide is no link, and doesn't stand in the way of a true one."""
+    import numpy as np
+
+    a = np.arange(1, 11, dtype=np.uint64) << np.uint64(32)
+    b = np.concatenate([a[:8], [np.uint64(90 << 32), np.uint64(91 << 32)]])  # 8 of 12: 0.667
+    b[8] = a[8] | np.uint64(7)  # equal to one of a in its upper half only
+    c = np.concatenate([a[:9], [np.uint64(95 << 32)]])  # 9 of 11: 0.818
+    sets = [np.unique(x) for x in (a, b, c)]
+    size, root, all_ = np.array([len(x) for x in sets]), np.arange(3), np.arange(3)
+    i, j = simhash._tied(sets, size, root, all_, all_, 0.8)
+    assert {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)} == {frozenset((0, 2))}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_forests_join_what_links_join(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 1 << 63, 40).astype(np.uint64)
+    # equal upper halves everywhere: only whole hashes tell them apart
+    sets = [np.unique(np.concatenate([r.choice(base, 30, replace=False), (base[:6] & ~np.uint64(0xFFFFFFFF)) | r.integers(0, 3, 6).astype(np.uint64)])) for _ in range(40)]
+    size = np.array([len(x) for x in sets])
+    left, right = np.arange(0, 20), np.arange(20, 40)
+    i, j = simhash._tied(sets, size, np.arange(40), left, right, 0.7)
+    linked = {(x, y) for x in left for y in right if len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y])) >= 0.7}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) <= linked
+
+    def parts(links):
+        up = list(range(40))
+        for x, y in links:
+            a, b = up[x], up[y]
+            up = [a if u == b else u for u in up]
+        return [up.index(u) for u in up]
+
+    assert parts(zip(i.tolist(), j.tolist(), strict=True)) == parts(linked)
+
+
+@pytest.mark.parametrize("large", [10, 37])
+def test_large_bands_are_dealt_and_lose_nothing(spark, monkeypatch, large):
+    """One text of which hundreds of near copies exist, so that its bands are dealt in two
+    levels and more."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    r = random.Random(9)
+    words = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        changed = list(words)
+        for at in r.sample(range(200), r.randrange(0, 5)):
+            changed[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(changed)))
+    rows += [(1000 + d, t) for d, t in near_corpus()]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows, False)).collect())
+    assert got == sorted(zip([d for d, _ in rows], components(rows), strict=True))
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD_SHINGLES", 500)
+    rows = [(1000 + d, t) for d, t in near_corpus()]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows, False), small=2).collect())
+    assert got == sorted(zip([d for d, _ in rows], components(rows), strict=True))

@@ -36,12 +36,27 @@ def run_state(events: DataFrame) -> DataFrame:
     return g.select("run_id", state.alias("state"), "events")
 
 
+def state_name(end: str | None, last: str) -> str:
+    """The state of a run by its first terminal event, if any, and its last event."""
+    if end:
+        return {"run.completed": "COMPLETED", "run.cancelled": "CANCELLED"}.get(end, "FAILED")
+    return {"route.resolved": "RETRIEVING", "message.delta": "GENERATING", "message.completed": "GENERATING"}.get(last, "ROUTING")
+
+
 def terminal_once(events: DataFrame) -> DataFrame:
     """Drops terminal events after the first of a run."""
     first = events.where(F.col("event_type").isin(TERMINAL)).groupBy("run_id").agg(F.min("sequence").alias("end"))
     return events.join(first, "run_id", "left").where(~F.col("event_type").isin(TERMINAL) | (F.col("sequence") == F.col("end"))).drop("end")
 
 
+def silent_runs(events: DataFrame, now_us: Column, silent_us: int) -> DataFrame:
+    """run_state() with runs that have no terminal event and had none at all for silent_us
+    before now closed as failed. Columns run_id, sequence, event_type, at_us."""
+    last = events.groupBy("run_id").agg(F.max("at_us").alias("_at"), F.bool_or(F.col("event_type").isin(TERMINAL)).alias("_ended"))
+    dead = ~F.col("_ended") & (F.col("_at") + silent_us <= now_us)
+    return run_state(events).join(last, "run_id").select("run_id", F.when(dead, "FAILED").otherwise(F.col("state")).alias("state"), "events", F.when(dead, "server_restarted").alias("code"))
+
+
 def recover(runs: DataFrame) -> DataFrame:
     """A failure event for each run that never ended."""
     return runs.where(~F.col("status").isin("COMPLETED", "FAILED", "CANCELLED")).select("run_id", F.lit("run.failed").alias("event_type"), F.lit("server_restarted").alias("code"), F.lit(True).alias("retryable"))
@@ -82,31 +97,41 @@ def rate_limit(events: DataFrame, limit: int, ms: Column, minutes: int = 1) -> D
     return events.withColumn("slot", F.floor(ms / (60_000_000 * minutes))).withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+def reservation_step(ttl_us: int, at: int):  # noqa: ANN201
+    """Step of a fold over a key's events: whether an event finds no live reservation. One
+    lasts ttl from the event that made it. at: where its microsecond stands in a row."""
+    def step(state: dict, row: tuple) -> bool:
+        fresh = "until" not in state or row[at] >= state["until"]
+        if fresh:
+            state["until"] = int(row[at]) + ttl_us
+        return fresh
+
+    return step
+
+
 def idempotent(events: DataFrame, key: list[str], ttl_us: int, us: str) -> DataFrame:
     """Events that find no live reservation of their key. A reservation lasts ttl from
     the event that made it, so the events of a key are folded in order."""
     df = events.select(*key, "sequence", us)
-    at = df.columns.index(us)
+    return fold(df, key, ["sequence"], dict, reservation_step(ttl_us, df.columns.index(us)), "reserved", "boolean")
 
+
+def login_step(most: int, window_us: int, at: int):  # noqa: ANN201
+    """Step of a fold over a user's attempts: whether one is let through. A window opens with
+    the first attempt and lets `most` through until it closes."""
     def step(state: dict, row: tuple) -> bool:
-        fresh = "until" not in state or row[at] >= state["until"]
-        if fresh:
-            state["until"] = row[at] + ttl_us
-        return fresh
+        if "start" not in state or row[at] - state["start"] >= window_us:
+            state["start"], state["n"] = int(row[at]), 0
+        state["n"] += 1
+        return state["n"] <= most
 
-    return fold(df, key, ["sequence"], dict, step, "reserved", "boolean")
+    return step
 
 
 def login_limit(attempts: DataFrame, most: int = 5, window_us: int = 60_000_000) -> DataFrame:
     """Attempts by user: a window opens with the first attempt and lets `most` through
     until it closes. Columns user_id, sequence, at_us."""
-    def step(state: dict, row: tuple) -> bool:
-        if "start" not in state or row[2] - state["start"] >= window_us:
-            state["start"], state["n"] = row[2], 0
-        state["n"] += 1
-        return state["n"] <= most
-
-    return fold(attempts.select("user_id", "sequence", "at_us"), ["user_id"], ["sequence"], dict, step, "allowed", "boolean")
+    return fold(attempts.select("user_id", "sequence", "at_us"), ["user_id"], ["sequence"], dict, login_step(most, window_us, 2), "allowed", "boolean")
 
 
 def host_pressure(log: DataFrame, streak: int = 5, penalty: float = 4.0, calm: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import events as E
 from ..operators import wire as W
 from ..operators.metrics import micros
 from ..streaming import events as S
+from ..streaming import state as ST
 from .registry import query
 
 TERM = "('run.completed', 'run.failed', 'run.cancelled')"
@@ -181,6 +182,38 @@ def stream_terminal_once(t):
     return S.settled_terminals(told)
 
 
+def _timed(t):
+    """The event log as a stream with its microseconds."""
+    e = S.run_events(S.source(t.spark, t.path, "events"))
+    return e.withColumn("user_id", F.split("run_id", "-")[0].cast("long")).withColumn("at_us", F.unix_micros("created_at"))
+
+
+SEEN = "w AS (SELECT max(epoch_us(created_at)) - 86400000000 AS mark FROM run_events), "
+
+
+@query("stream_idempotency", f"""WITH RECURSIVE {SEEN} e AS (SELECT user_id, event_type, sequence, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(created_at), sequence) AS n FROM run_events, w WHERE epoch_us(created_at) <= mark),
+f AS (SELECT user_id, event_type, sequence, n, us + 36000000000 AS until, true AS reserved FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_type, e.sequence, e.n, CASE WHEN e.us >= f.until THEN e.us + 36000000000 ELSE f.until END, e.us >= f.until FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+SELECT user_id, event_type, sequence, reserved FROM f""")
+def stream_idempotency(t):
+    """Reservations from a stream, for all that the watermark (a day) has passed."""
+    told = S.run_to_end(ST.reservations(_timed(t), ["user_id", "event_type"], 36_000_000_000, "1 day"), "stream_idempotency", "append")
+    return told.select("user_id", "event_type", "sequence", "reserved")
+
+
+@query("stream_login_limit", f"""WITH RECURSIVE {SEEN} e AS (SELECT user_id, sequence, epoch_us(created_at) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(created_at), sequence) AS n FROM run_events, w WHERE epoch_us(created_at) <= mark),
+f AS (SELECT user_id, sequence, at_us, n, at_us AS st, 1 AS c FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.sequence, e.at_us, e.n, CASE WHEN e.at_us - f.st >= 86400000000 THEN e.at_us ELSE f.st END, CASE WHEN e.at_us - f.st >= 86400000000 THEN 1 ELSE f.c + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, sequence, at_us, c <= 3 AS allowed FROM f""")
+def stream_login_limit(t):
+    """Attempts let through, from a stream, for all that the watermark (a day) has passed."""
+    return S.run_to_end(ST.logins(_timed(t), 3, 86_400_000_000, "1 day"), "stream_login_limit", "append").select("user_id", "sequence", "at_us", "allowed")
+
+
+@query("stream_run_state", f"WITH {SEEN} t AS (SELECT run_id, min(sequence) AS s FROM run_events WHERE event_type IN {TERM} GROUP BY 1), g AS (SELECT e.run_id, max(CASE WHEN e.sequence = t.s THEN e.event_type END) AS te, arg_max(e.event_type, e.sequence) AS l, count(*) AS events, max(epoch_us(created_at)) AS last_us FROM run_events e LEFT JOIN t USING (run_id) GROUP BY 1) SELECT run_id, events, CASE WHEN te = 'run.completed' THEN 'COMPLETED' WHEN te = 'run.cancelled' THEN 'CANCELLED' WHEN te IS NOT NULL OR last_us + 172800000000 <= mark THEN 'FAILED' WHEN l = 'route.resolved' THEN 'RETRIEVING' WHEN l IN ('message.delta', 'message.completed') THEN 'GENERATING' ELSE 'ROUTING' END AS state, CASE WHEN te IS NULL AND last_us + 172800000000 <= mark THEN 'server_restarted' END AS code FROM g, w")
+def stream_run_state(t):
+    """States of runs from a stream; one that was silent for two days has failed."""
+    return ST.settled_states(S.run_to_end(ST.run_states(_timed(t), "2 days", "1 day"), "stream_run_state", "update"))
+
+
 @query("event_append", "SELECT message_id, (SELECT max(sequence) FROM run_events) + row_number() OVER (ORDER BY session_id, turn) AS sequence FROM messages")
 def event_append(t):
     """Messages appended to the log as events."""

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.metrics import micros
 from ..sources.tables import checkpoint_folder
+from .state import rocksdb
 
 TERMINAL = ["run.completed", "run.failed", "run.cancelled"]
 
@@ -96,6 +97,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
         target = out if mode == "complete" else f"{out}/batch={number}"
         batch.write.mode("overwrite").parquet(target)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    with rocksdb(spark):
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators.search import contains_join
+from ..sources import sinks as SK
+from ..sources import versioned as V
+from ..sources.tables import checkpoint_folder
 from .registry import query
 
 WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
@@ -255,14 +260,40 @@ def crawl_pending(t):
 @query("import_actions", "WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 <> 0) SELECT o.doc_id, CASE WHEN n.doc_id IS NULL THEN 'upload' WHEN n.h = o.h THEN 'reuse' ELSE 'conflict' END AS action FROM o LEFT JOIN n USING (doc_id)")
 def import_actions(t):
     d = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    there = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "changed").otherwise(F.col("h")).alias("h2"))
-    return d.join(there, "doc_id", "left").select("doc_id", F.when(F.col("h2").isNull(), "upload").when(F.col("h2") == F.col("h"), "reuse").otherwise("conflict").alias("action"))
+    there = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "changed").otherwise(F.col("h")).alias("h"))
+    return SK.import_actions(d, there, "doc_id", "h").select("doc_id", "action")
+
+
+@query("import_documents", "SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 3 = 0 THEN 'upload' ELSE 'reuse' END AS action, sha256(text) AS digest FROM documents")
+def import_documents(t):
+    """Two imports into a new store: the second finds two thirds of its documents there."""
+    d = t("documents").select(F.col("doc_id").cast("string").alias("key"), F.sha2("text", 256).alias("digest"), F.col("text").alias("item"))
+    store = f"{checkpoint_folder(t.spark)}/stores/{uuid.uuid4().hex}"
+    SK.import_documents(d.where("cast(key as long) % 3 <> 0"), store, "first")
+    acted = SK.import_documents(d, store, "second")
+    return acted.join(SK.documents(t.spark, store).select("key", "digest"), "key").select("key", "action", "digest")
 
 
 @query("catalog_upsert", "WITH o AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1), w AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' AND source <> 'src1' GROUP BY 1) SELECT coalesce(w.source, o.source) AS source, coalesce(w.n, o.n) AS n, CASE WHEN o.source IS NULL THEN 'insert' WHEN w.source IS NULL THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN w ON o.source = w.source")
 def catalog_upsert(t):
-    """New rows replace old ones of the same key; the result is written as a new version."""
+    """New rows replace old ones of the same key in the next version of a table; both versions
+    tell what happened."""
     g = lambda lang: t("documents").where(F.col("lang") == lang).groupBy("source").agg(F.count("*").alias("n"))
-    o, w = g("en").withColumnRenamed("n", "old"), g("de").where("source <> 'src1'").withColumnRenamed("n", "new")
-    j = o.join(w, "source", "full")
-    return j.select("source", F.coalesce("new", "old").alias("n"), F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "keep").otherwise("update").alias("action"))
+    at = f"{checkpoint_folder(t.spark)}/tables/{uuid.uuid4().hex}"
+    new = g("de").where("source <> 'src1'")
+    first = V.create(g("en"), at, ["source"], buckets=4)
+    second = V.upsert(new, at, based_on=first)
+    was = V.read(t.spark, at, first).select("source", F.lit(True).alias("_was"))
+    now = V.read(t.spark, at, second).join(was, "source", "left").join(new.select("source", F.lit(True).alias("_new")), "source", "left")
+    return now.select("source", "n", F.when(F.col("_was").isNull(), "insert").when(F.col("_new").isNull(), "keep").otherwise("update").alias("action"))
+
+
+@query("raw_landing", "SELECT page_id, url, sha256(html) || CASE WHEN regexp_extract(lower(regexp_extract(url, '^[^?#]*')), '\\.[a-z0-9]+$') = '.pdf' THEN '.pdf' ELSE '.html' END AS raw_file, CAST(strlen(html) AS BIGINT) AS size FROM (SELECT DISTINCT ON (url) * FROM pages ORDER BY url, page_id)")
+def raw_landing(t):
+    """Pages landed by content in two goes; the second adds what the first left."""
+    base = f"{checkpoint_folder(t.spark)}/landed/{uuid.uuid4().hex}"
+    once = t("pages").groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"))
+    fetched = once.select("url", F.encode("p.html", "UTF-8").alias("content"), "p.page_id")
+    SK.land(fetched.where("page_id % 2 = 0"), f"{base}/raw", f"{base}/ledger", (".pdf",))
+    SK.land(fetched, f"{base}/raw", f"{base}/ledger", (".pdf",))
+    return t.spark.read.schema("page_id long, url string, raw_file string, size long").parquet(f"{base}/ledger")

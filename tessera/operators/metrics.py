@@ -5,10 +5,14 @@ aggregates are partial before each shuffle, so a hot run, user or day is no burd
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import settle
+
 
 def micros(c: Column | str) -> Column:
     """Microseconds since 1970 of a wall-clock timestamp."""
@@ -59,6 +63,50 @@ def run_facts(runs: DataFrame, events: DataFrame, route_path: str = "$.k", messa
     return runs.join(facts, "run_id", "left").select("run_id", "status", "error_code", F.coalesce("route", F.lit("")).alias("route"), F.coalesce("message", F.lit("")).alias("assistant_message_id"), ms("terminal").alias("latency_ms"), ms("first_delta").alias("ttft_ms"))
 
 
+#: Rows among which an order statistic is picked at once, and parts of a pass before that.
+FEW, PARTS = 4096, 1024
+
+
+def exact_percentiles(values: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact continuous percentiles (between two values in proportion, as percentile() gives
+    them) without holding the values in one task: each pass counts the values in PARTS parts
+    of the ranges that still hold a wanted rank, so a range shrinks to one part of it, until
+    it holds one value or FEW rows. Nulls and NaN are left out; without values all are None.
+    Only counts and FEW rows come to the driver."""
+    v = F.col("_v")
+    rows = settle(values.select(F.col(column).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v)))
+    n, low, high = rows.agg(F.count("*"), F.min(v), F.max(v)).first()
+    if not n:
+        return [None] * len(shares)
+    places = {p: p * (n - 1) for p in shares}
+    open_ = {r: (low, high, 0, n) for p in places.values() for r in (math.floor(p), math.ceil(p))}  # range, rows below and in it
+    found: dict[int, float] = {}
+    while open_:
+        for r, (a, b, _, _) in list(open_.items()):
+            if a == b:
+                found[r] = a
+                del open_[r]
+        ranges = sorted({x for x in open_.values()})
+        small = [x for x in ranges if x[3] <= FEW]
+        for a, b, below, _ in small:
+            held = sorted(r[0] for r in rows.where(v.between(a, b)).collect())
+            for r in [r for r, x in open_.items() if x[0] == a and x[1] == b]:
+                found[r] = held[r - below]
+                del open_[r]
+        wide = [x for x in ranges if x[3] > FEW]
+        if not wide:
+            continue
+        of = F.coalesce(*[F.when(v.between(a, b), i) for i, (a, b, _, _) in enumerate(wide)])
+        part = F.coalesce(*[F.when(v.between(a, b), F.least(F.floor((v / 2 - a / 2) / (b / 2 - a / 2) * PARTS), F.lit(PARTS - 1))) for a, b, _, _ in wide])
+        counts = rows.select(of.alias("of"), part.alias("part"), v).where("of is not null").groupBy("of", "part").agg(F.count("*").alias("n"), F.min(v).alias("a"), F.max(v).alias("b")).orderBy("of", "part").collect()
+        for i, (a, b, below, _) in enumerate(wide):
+            for c in (c for c in counts if c.of == i):
+                for r in [r for r, x in open_.items() if x[:2] == (a, b) and below <= r < below + c.n]:
+                    open_[r] = (c.a, c.b, below, c.n)
+                below += c.n
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places.values()]
+
+
 def run_quality(facts: DataFrame, cited: DataFrame | None = None, controlled: str = "controlled") -> DataFrame:
     """Counts by status, answers without sources, latency and first-delta statistics.
     cited: message_id of messages with citations."""
@@ -68,7 +116,10 @@ def run_quality(facts: DataFrame, cited: DataFrame | None = None, controlled: st
         facts = facts.withColumn("cited", F.lit(None).cast("boolean"))
     done = F.col("status") == "COMPLETED"
     none = done & (F.col("route") != controlled) & (F.col("assistant_message_id") != "") & F.col("cited").isNull()
-    pct = lambda c, p: F.round(F.coalesce(F.percentile(c, p), F.lit(0.0)), 6)
+    facts = settle(facts.select("status", "route", "assistant_message_id", "cited", "latency_ms", "ttft_ms"))
+    exact = dict(zip((("latency_ms", 0.5), ("latency_ms", 0.95)), exact_percentiles(facts, "latency_ms", [0.5, 0.95]), strict=True))
+    exact["ttft_ms", 0.95] = exact_percentiles(facts, "ttft_ms", [0.95])[0]
+    pct = lambda c, p: F.round(F.lit(exact[c, p] or 0.0), 6)
     avg = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
     return facts.agg(F.count("*").alias("runs"), F.count_if(done).alias("completed_runs"), F.count_if(F.col("status") == "FAILED").alias("failed_runs"), F.count_if(F.col("status") == "CANCELLED").alias("cancelled_runs"), F.count_if(none).alias("no_source_answers"), avg("latency_ms").alias("avg_latency_ms"), pct("latency_ms", 0.5).alias("p50_latency_ms"), pct("latency_ms", 0.95).alias("p95_latency_ms"), avg("ttft_ms").alias("avg_ttft_ms"), pct("ttft_ms", 0.95).alias("p95_ttft_ms"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import hops as HOPS
 from .registry import query
 
 DOMAINS, DENIED = ["example.org", "example.com"], ["spam-farm.example.org"]
@@ -152,3 +153,31 @@ def source_route(t):
 @query("transport_url", URLS + P + "SELECT url, CASE WHEN host IN ('example.org', 'www.example.org') THEN 'http:' || regexp_replace(url, '^[^:]*:', '') ELSE url END AS transport FROM k")
 def transport_url(t):
     return urls(t).select("url", U.transport(F.col("url"), ["example.org", "www.example.org"]).alias("transport"))
+
+
+@query("robots_allowed", r"""SELECT page_id, CASE WHEN length(host) % 2 = 1 THEN true WHEN regexp_matches(place, '^/.*\?page=') THEN false WHEN starts_with(place, '/en/1') THEN true WHEN starts_with(place, '/en/') THEN false ELSE true END AS allowed
+FROM (SELECT page_id, regexp_extract(url, '//([^/?#:]*)', 1) AS host, CASE WHEN regexp_extract(url, '//[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '//[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '\?[^#]+') AS place FROM pages)""")
+def robots_allowed(t):
+    """Pages that the robots files of their hosts let through; hosts of odd length have none."""
+    hosts = t("pages").select(U.host("url").alias("host")).distinct()
+    content = F.lit("User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\n\nUser-agent: other\nDisallow: /\n")
+    rules = HOPS.robots_rules(hosts.where("length(host) % 2 = 0").withColumn("content", content), "tessera")
+    return HOPS.robots_allowed(t("pages").select("page_id", "url"), rules).select("page_id", "allowed")
+
+
+@query("redirect_chains", """WITH RECURSIVE p AS (SELECT url, min(page_id) AS pid FROM pages GROUP BY url), m AS (SELECT max(pid) + 1 AS n FROM p),
+hop AS (SELECT p.url, CASE WHEN p.pid % 4 = 0 THEN 200 ELSE 302 END AS status, CASE WHEN p.pid % 4 = 0 THEN NULL WHEN p.pid % 15 = 1 THEN '' ELSE coalesce(q.url, 'http://gone.example/') END AS location FROM (SELECT p.*, (pid * 7 + 3) % n AS nxt FROM p, m) p LEFT JOIN p q ON q.pid = p.nxt),
+walk AS (SELECT url, url AS place, 0 AS hops, CAST(NULL AS VARCHAR) AS fault, false AS done FROM hop
+UNION ALL SELECT w.url, CASE WHEN h.status = 302 AND h.location <> '' AND w.hops < 4 THEN h.location ELSE w.place END, CASE WHEN h.status = 302 AND h.location <> '' AND w.hops < 4 AND NOT contains(h.location, 'spam') THEN w.hops + 1 ELSE w.hops END,
+CASE WHEN h.url IS NULL THEN 'not_landed' WHEN h.status <> 302 THEN NULL WHEN h.location = '' THEN 'redirect_without_location' WHEN w.hops >= 4 THEN 'too_many_redirects' WHEN contains(h.location, 'spam') THEN 'redirect_disallowed' END,
+h.url IS NULL OR h.status <> 302 OR h.location = '' OR w.hops >= 4 OR contains(h.location, 'spam') FROM walk w LEFT JOIN hop h ON h.url = w.place WHERE NOT w.done)
+SELECT w.url, w.place AS final_url, CASE WHEN coalesce(w.fault, '') <> 'redirect_disallowed' THEN h.status END AS status, w.hops, w.fault FROM walk w LEFT JOIN hop h ON h.url = w.place WHERE w.done""")
+def redirect_chains(t):
+    """Three of four pages are taken for redirects to another page."""
+    p = t("pages").groupBy("url").agg(F.min("page_id").alias("pid"))
+    total = p.agg((F.max("pid") + 1).alias("n"))  # one row
+    nxt = p.crossJoin(total).withColumn("nxt", (F.col("pid") * 7 + 3) % F.col("n"))
+    to = p.select(F.col("pid").alias("nxt"), F.col("url").alias("to"))
+    location = F.when(F.col("pid") % 4 == 0, None).when(F.col("pid") % 15 == 1, "").otherwise(F.coalesce("to", F.lit("http://gone.example/")))
+    hops = nxt.join(to, "nxt", "left").select("url", F.when(F.col("pid") % 4 == 0, 200).otherwise(302).alias("status"), location.alias("location"))
+    return HOPS.redirect_chains(hops, lambda u: ~F.contains(u, F.lit("spam")))

@@ -15,7 +15,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators.dom import plain_text
@@ -227,5 +227,71 @@ class PagedJson(DataSource):
         return _PagedReader(dict(self.options))
 
 
+class _Query(InputPartition):
+    def __init__(self, query: str) -> None:
+        self.value = query
+
+
+class _SearchReader(DataSourceReader):
+    """Asks only for the queries that the filter names, and for no more rows than the bound."""
+
+    def __init__(self, options: dict) -> None:
+        o = {k.lower(): v for k, v in options.items()}
+        self.url, self.limit = o["url"], int(o.get("limit", 0))
+        self.items, self.domains = o.get("items", "results").split("."), [d.strip().lower() for d in o.get("domains", "").split(",") if d.strip()]
+        self.fields = dict(x.split("=") for x in o.get("fields", "title=title,url=url,snippet=content,published=publishedDate").split(","))
+        self.most, self.queries = int(o.get("maxbytes", 2 << 20)), None
+
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
+        for f in filters:
+            asked = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if asked is None or f.attribute != ("query",):
+                yield f
+            else:
+                self.queries = asked if self.queries is None else self.queries & asked
+
+    def partitions(self) -> list[InputPartition]:
+        if self.queries is None:
+            raise ValueError("a search needs a filter on query: equal to a text or one of several")
+        return [_Query(q) for q in sorted(q for q in self.queries if q and q.strip())] or [_Query("")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from urllib.parse import quote
+        from urllib.request import urlopen
+
+        if not partition.value:
+            return
+        wide = [d for d in self.domains if not any(d != x and d.endswith("." + x) for x in self.domains)]
+        scoped = f"{partition.value.strip()} {' OR '.join('site:' + d for d in dict.fromkeys(wide))}".strip()
+        with urlopen(self.url.replace("{query}", quote(scoped)).replace("{limit}", str(self.limit or "")), timeout=30) as f:
+            found = json.loads(f.read(self.most))
+        for name in self.items:
+            found = (found or {}).get(name) or []
+        for rank, row in enumerate(found[: self.limit or None], 1):
+            yield (partition.value, rank, *[None if row.get(v) is None else str(row[v]) for v in self.fields.values()])
+
+
+class SearchResults(DataSource):
+    """spark.read.format("search_results").load().where("query IN (...)"): results of a search
+    provider, one request for each query that the filter names (it must name some). Options:
+    url with {query} and {limit}; limit, the bound on rows of a query, which the provider is
+    told and which holds even if it sends more; domains, to which queries are scoped; items,
+    the path of the list in the answer; fields, column=name pairs; maxBytes of an answer.
+    Needs spark.sql.python.filterPushdown.enabled. An answer that fails fails the read. Load
+    anew for each filter: Spark keeps what it has pushed into a loaded source."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "search_results"
+
+    def schema(self) -> str:
+        fields = {k.lower(): v for k, v in self.options.items()}.get("fields", "title=,url=,snippet=,published=")
+        return "query string, rank int, " + ", ".join(f"{x.split('=')[0]} string" for x in fields.split(","))
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _SearchReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedJson)
+    spark.dataSource.register(SearchResults)

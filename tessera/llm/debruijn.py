@@ -8,10 +8,10 @@ same paths wherever it stands.
 
 1. Anchors that only one document holds are filtered out (recurring.py): their windows
    can't repeat.
-2. The paths at the other anchors travel to their anchor with their words and the
-   coordinate (doc_id, place) at which they stand. Paths are equal if their words are: the
-   words that the first holder brings from its coordinate verify each of the others, no
-   hash decides. Where all paths at an anchor are one, every node inside has one edge in
+2. The paths at the other anchors travel to their anchor with their words and the doc_id
+   that holds them. Paths are equal if their words are, no hash decides; so spans are
+   verified by the words that travel with them, not by a second look at the place where
+   they stand (coordinates aren't sent). Where all paths at an anchor are one, every node inside has one edge in
    and one out: the path is nonbranching and stands or falls as a whole. Where they are
    several, nodes branch, and the edges are told apart one by one, by their words.
 3. The verdicts go back to the packs of documents: a path is cut out of every document
@@ -97,8 +97,7 @@ def anchor_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(docs: pa.Table, keys: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[dict[bytes, int], list[list]]:
     """The distinct units of a pack: the place of each by its words, and for each: key,
-    least doc_id, whether several documents hold it, edges, place of its first word in the
-    document with that id."""
+    least doc_id, whether several documents hold it."""
     place, found = {}, []
     for block in blocks(docs):
         p = Paths(block)
@@ -107,19 +106,17 @@ def _distinct(docs: pa.Table, keys: np.ndarray, hot: np.ndarray, buckets: int) -
             continue
         p.spelled()
         lo, hi = p.starts[first].tolist(), p.ends[first + size + K - 2].tolist()
-        within = (first - p.first_word[doc]).tolist()
-        for k, d, a, b, n, w in zip(key.tolist(), block.ids[doc].tolist(), lo, hi, size.tolist(), within, strict=True):
+        for k, d, a, b in zip(key.tolist(), block.ids[doc].tolist(), lo, hi, strict=True):
             words = p.words[a:b]
             at = place.get(words)
             if at is None:
                 place[words] = len(found)
-                found.append([k, d, False, n, w])
+                found.append([k, d, False])
             else:
                 held = found[at]
                 if d != held[1]:
                     held[2] = True
-                    if d < held[1]:
-                        held[1], held[4] = d, w
+                    held[1] = min(held[1], d)
     return place, found
 
 

@@ -193,6 +193,51 @@ def mentions(text: Column | str, pattern: str, before: int = 45, after: int = 65
     return F.transform(matches(x, pattern, most), lambda m: F.struct(m["match"].alias("text"), context(m).alias("context")))
 
 
+def chunks(text: Column | str, joint: str = "\n\n") -> Column:
+    """A text cut behind every joint, which each piece but the last keeps; pieces put together
+    give the text back. Null gives null, an empty text no piece."""
+    parts = F.split(col(text), joint.replace("\n", "\\n"), -1)
+    kept = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(joint))).otherwise(x))
+    return F.filter(kept, lambda x: x != "")
+
+
+#: Markdown lines: kind, pattern, part that is the content.
+_LINES = (("heading", r"(?s)^(#{1,3})\s+(.+)$", 2), ("bullet", r"(?s)^[-*]\s+(.+)$", 1), ("numbered", r"(?s)^\d+[.)]\s+(.+)$", 1))
+
+
+def md_blocks(markdown: Column | str) -> Column:
+    """Blocks of a Markdown answer as type, level, items: headings of level 1 to 3; runs of
+    bullets and of numbered lines, one item a line; other lines as paragraphs, those that
+    follow each other joined by a space. Empty lines end a block. Blocks are slices of the
+    lines between the places where a kind begins, so each line is looked at once."""
+    lines = F.transform(F.split(F.replace(col(markdown), F.lit("\r\n"), F.lit("\n")), "\n", -1), canonical_ends)
+
+    def told(x: Column) -> Column:
+        kind = F.when(x == "", "blank")
+        value = F.when(x == "", "")
+        for name, pattern, part in _LINES:
+            kind, value = kind.when(x.rlike(pattern), name), value.when(x.rlike(pattern), F.regexp_extract(x, pattern, part))
+        level = F.when(x.rlike(_LINES[0][1]), F.char_length(F.regexp_extract(x, _LINES[0][1], 1)))
+        return F.struct(kind.otherwise("paragraph").alias("kind"), level.alias("level"), value.otherwise(x).alias("value"))
+
+    kinds = F.transform(lines, told)
+    # in a lambda, so that the lines are told apart once
+    def cut(k: Column) -> Column:
+        begins = lambda i: (F.get(k, i)["kind"] != "blank") & ((i == 0) | (F.get(k, i)["kind"] == "heading") | (F.get(k, i)["kind"] != F.get(k, i - 1)["kind"]))
+        starts = F.filter(F.sequence(F.lit(0), F.size(k) - 1), begins)
+
+        def block(at: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1), F.size(k))
+            first = F.get(k, at)
+            own = F.filter(F.slice(k, at + 1, end - at), lambda x: x["kind"] == first["kind"])
+            items = F.transform(own, lambda x: x["value"])
+            return F.struct(first["kind"].alias("type"), first["level"].alias("level"), F.when(first["kind"] == "paragraph", F.array(F.array_join(items, " "))).otherwise(items).alias("items"))
+
+        return F.transform(starts, block)
+
+    return F.get(F.transform(F.array(kinds), cut), 0)
+
+
 def media_type(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".txt"), "text/plain").otherwise("text/html")
 

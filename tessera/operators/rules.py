@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..functions.text import SPACE, any_of, canonical_text, compact, first_match
 
 Rules = list[tuple[str, str]]
@@ -152,3 +153,35 @@ def rewritten(df: DataFrame, rules: list[tuple[Column, dict[str, str]]]) -> Data
             e = F.when(test, value) if e is None else e.when(test, value)
         out[c] = e.otherwise(F.col(c))
     return df.withColumns(out)
+
+
+def document_type(title: Column, patterns: dict[str, str], attachment: Column) -> Column:
+    """The kind of a document by its title, where later rules override earlier ones:
+    regulation, else guide, else notice; calendar; an attachment that is a notice so far is
+    `attachment`; form; result. patterns: one for each kind but notice and attachment."""
+    fits = lambda kind: F.coalesce(title.rlike(patterns[kind]), F.lit(False))
+    first = F.when(fits("regulation"), "regulation").when(fits("guide"), "guide").otherwise("notice")
+    first = F.when(fits("calendar"), "calendar").otherwise(first)
+    first = F.when(F.coalesce(attachment, F.lit(False)) & (first == "notice"), "attachment").otherwise(first)
+    return F.when(fits("result"), "result").when(fits("form"), "form").otherwise(first)
+
+
+def source_metadata(pages: DataFrame, url: str, title: str, names: DataFrame, portal: str, portal_name: str, desks: list[tuple[str, str]], schoolwide: list[str], official: list[str], bracket: str = "^【([^】]+)】") -> DataFrame:
+    """pages with source_name, department, college, scope and authority, by the first label of
+    the url's host. names: label, name, kind (`college` or `department`), one row a label. On
+    the host of all departments (label `portal`) the desk is told by a part of the path, else
+    by what the title begins with in brackets; desks that serve the whole school have that
+    scope. Labels of `official` speak for the school. An unknown label has no name."""
+    label = F.split_part(U.host(url), F.lit("."), F.lit(1))
+    known = names.select(F.col("label").alias("_label"), F.col("name").alias("_name"), F.col("kind").alias("_kind"))
+    p = pages.withColumn("_label", label).join(known, "_label", "left")
+    desk = F.coalesce(*[F.when(F.contains(F.col(url), F.lit(part)), name) for part, name in desks], F.nullif(F.regexp_extract(F.coalesce(title, F.lit("")), bracket, 1), F.lit("")))
+    college, here = F.col("_kind") == "college", F.col("_label") == portal
+    college = F.coalesce(college, F.lit(False))
+    named = F.when(college, F.col("_name")).when(here, desk).otherwise(F.col("_name"))
+    return p.select(
+        *pages.columns,
+        F.when(~college & here, portal_name).otherwise(F.col("_name")).alias("source_name"), named.alias("department"), F.when(college, F.col("_name")).alias("college"),
+        F.when(college, "college").when(here, F.when(desk.isin(schoolwide), "school")).when(F.col("_name").isNotNull(), "school").alias("scope"),
+        F.when(college, "OFFICIAL_COLLEGE").when(~here & F.col("_label").isin(official), "OFFICIAL_SCHOOL").otherwise("OFFICIAL_DEPARTMENT").alias("authority"),
+    )

@@ -62,17 +62,29 @@ def topic_primary(t):
     return j.select("doc_id", F.array_join(F.array_union(F.array(topic), "hits"), ",").alias("topics"))
 
 
-@query("doc_type", "SELECT doc_id, CASE WHEN contains(text, '!!') THEN 'result' WHEN contains(text, ' | ') THEN 'form' WHEN n_chars > 5000 THEN 'regulation' WHEN n_chars > 1500 THEN 'guide' ELSE 'notice' END AS document_type FROM documents")
+KINDS = {"regulation": "^[A-F]", "guide": "[aeiou]{3}", "calendar": " (?:de|le) ", "form": r"[|]", "result": "!!|idiot"}
+
+
+@query("doc_type", f"SELECT doc_id, CASE WHEN regexp_matches(head, '{KINDS['result']}') THEN 'result' WHEN regexp_matches(head, '{KINDS['form']}') THEN 'form' WHEN regexp_matches(head, '{KINDS['calendar']}') THEN 'calendar' WHEN regexp_matches(head, '{KINDS['regulation']}') THEN 'regulation' WHEN regexp_matches(head, '{KINDS['guide']}') THEN 'guide' WHEN doc_id % 4 = 1 THEN 'attachment' ELSE 'notice' END AS document_type FROM (SELECT doc_id, left({HEAD}, 60) AS head FROM documents)")
 def doc_type(t):
-    x, n = F.col("text"), F.col("n_chars")
-    return t("documents").select("doc_id", R.last_match([("guide", n > 1500), ("regulation", n > 5000), ("form", x.contains(" | ")), ("result", x.contains("!!"))], "notice").alias("document_type"))
+    """Kinds of documents by the beginning of their first line; every fourth is an attachment."""
+    head = F.substring(F.regexp_extract("text", "^([^\n]*)", 1), 1, 60)
+    return t("documents").select("doc_id", R.document_type(head, KINDS, F.pmod("doc_id", F.lit(4)) == 1).alias("document_type"))
 
 
-@query("source_meta", "SELECT page_id, coalesce(n_name, 'unknown') AS college FROM (SELECT page_id, split_part(regexp_extract(url, '//([^/]*)', 1), '.', 1) AS label FROM pages) LEFT JOIN nation ON n_nationkey = length(label) AND n_nationkey < 10")
+@query("source_meta", """WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(lower(regexp_extract(url, '//([^/:?#]*)', 1)), '.', 1) AS label FROM pages),
+n AS (SELECT label, CASE WHEN length(label) % 2 = 0 THEN 'College ' ELSE 'Office ' END || label AS name, CASE WHEN length(label) % 2 = 0 THEN 'college' ELSE 'department' END AS kind FROM (SELECT DISTINCT label FROM p WHERE length(label) <> 7 AND label <> 'blog')),
+d AS (SELECT p.*, n.name, coalesce(n.kind = 'college', false) AS college_, label = 'blog' AS portal, CASE WHEN contains(url, '/en/') THEN 'English desk' WHEN contains(url, '/de/') THEN 'German desk' ELSE nullif(regexp_extract(title, '^([A-M][a-z]+) ', 1), '') END AS desk FROM p LEFT JOIN n USING (label))
+SELECT page_id, CASE WHEN NOT college_ AND portal THEN 'The portal' ELSE name END AS source_name, CASE WHEN college_ THEN name WHEN portal THEN desk ELSE name END AS department, CASE WHEN college_ THEN name END AS college,
+CASE WHEN college_ THEN 'college' WHEN portal THEN CASE WHEN desk = 'English desk' THEN 'school' END WHEN name IS NOT NULL THEN 'school' END AS scope, CASE WHEN college_ THEN 'OFFICIAL_COLLEGE' WHEN NOT portal AND label = 'www' THEN 'OFFICIAL_SCHOOL' ELSE 'OFFICIAL_DEPARTMENT' END AS authority FROM d""")
 def source_meta(t):
-    label = F.split_part(F.regexp_extract("url", "//([^/]*)", 1), F.lit("."), F.lit(1))
-    n = t("nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), "n_name")
-    return t("pages").select("page_id", F.char_length(label).alias("k")).join(n, "k", "left").select("page_id", F.coalesce("n_name", F.lit("unknown")).alias("college"))
+    """Who publishes a page. Names of hosts are made of their first labels; some have none."""
+    p = t("pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    label, even = F.col("label"), F.char_length("label") % 2 == 0
+    known = p.select(F.split_part(F.lower(F.regexp_extract("url", "//([^/:?#]*)", 1)), F.lit("."), F.lit(1)).alias("label")).where("length(label) <> 7 AND label <> 'blog'").distinct()
+    names = known.select("label", F.concat(F.when(even, "College ").otherwise("Office "), label).alias("name"), F.when(even, "college").otherwise("department").alias("kind"))
+    found = R.source_metadata(p, "url", "title", names, "blog", "The portal", [("/en/", "English desk"), ("/de/", "German desk")], ["English desk"], ["www"], "^([A-M][a-z]+) ")
+    return found.drop("url", "title")
 
 
 FLAGS = [("contains_url", "https?://"), ("long_token", r"[^\s]{30}"), ("shouting", "!!"), ("table_layout", r" \| "), ("unicode_corruption", "�")]
@@ -349,6 +361,39 @@ def ledger_admit(t):
     return j.join(t("labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id", "item_id")
 
 
+@query("ledger_reasons", r"""WITH p AS (SELECT min(page_id) AS sid, url FROM pages GROUP BY url), m AS (SELECT sid, url, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^[a-z]+://', ''), '/$', '') AS k FROM p),
+own AS (SELECT m.sid, d.text, d.source, d.lang FROM m JOIN documents d ON d.doc_id = m.sid WHERE m.sid % 6 <> 5),
+by_key AS (SELECT m.k, min(m.sid) AS doc_id FROM m JOIN own USING (sid) GROUP BY 1), inv AS (SELECT k FROM m WHERE sid % 13 = 0),
+c AS (SELECT m.sid, m.url, m.k, d.doc_id, d.text, d.source, d.lang, regexp_replace(d.text, '[\s\x1c-\x1f\x{85}\p{Z}]+', '', 'g') AS body FROM m JOIN by_key b ON b.k = m.k JOIN documents d ON d.doc_id = b.doc_id),
+led AS (SELECT sid, source AS topic, CASE WHEN sid % 7 = 0 THEN 'an excerpt that no document has' ELSE substr(text, 11, 30) END AS ex, CASE WHEN sid % 5 = 0 THEN [lang, 'fees'] ELSE [lang] END AS intents FROM own WHERE sid % 8 <> 3),
+r AS (SELECT m.sid, c.doc_id, list_filter([
+CASE WHEN m.sid % 9 = 2 THEN 'route_not_static_document' END, CASE WHEN led.sid IS NULL THEN 'no_completed_evidence_review' END, CASE WHEN c.sid IS NULL THEN 'source_body_not_parsed' END,
+CASE WHEN c.sid IS NOT NULL AND contains(c.text, '!!') THEN 'quality:shouting' END, CASE WHEN c.sid IS NOT NULL AND contains(c.text, '@') THEN 'pii_detected' END, CASE WHEN length(c.body) < 120 THEN 'content_too_short' END,
+CASE WHEN c.sid IS NOT NULL AND (c.doc_id % 11 = 0 OR m.k IN (SELECT k FROM inv)) THEN 'already_in_current_knowledge_base' END, CASE WHEN c.sid IS NOT NULL AND sha256(c.text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 17 = 0) THEN 'duplicate_current_clean_content' END,
+CASE WHEN led.sid IS NOT NULL AND led.topic = 'src1' THEN 'topic_not_in_taxonomy' END, CASE WHEN led.sid IS NOT NULL AND c.sid IS NOT NULL AND NOT contains(c.body, regexp_replace(led.ex, '[\s\x1c-\x1f\x{85}\p{Z}]+', '', 'g')) THEN 'evidence_excerpt_missing:' || left(led.ex, 24) END,
+CASE WHEN led.sid IS NOT NULL AND c.sid IS NOT NULL AND m.sid % 5 = 0 AND m.sid % 10 <> 0 THEN 'intent_not_declared_for_source:fees' END], lambda x: x IS NOT NULL) AS reasons FROM m LEFT JOIN c USING (sid) LEFT JOIN led USING (sid))
+SELECT sid AS source_id, doc_id AS candidate_id, array_to_string(list_sort(reasons), '|') AS reasons FROM r""")
+def ledger_reasons(t):
+    """Reviewed sources against parsed candidates and what is there already; pages stand for
+    sources, documents of the same number for their text."""
+    p = t("pages").groupBy("url").agg(F.min("page_id").alias("source_id"))
+    k = F.col("source_id")
+    sources = p.select("source_id", "url", F.when(k % 9 == 2, "other").otherwise("static").alias("source_route"))
+    d = p.join(t("documents").withColumnRenamed("doc_id", "source_id"), "source_id").where(k % 6 != 5)
+    flags = F.array_compact(F.array(F.when(F.contains("text", F.lit("!!")), "shouting"), F.when(F.contains("text", F.lit("a")), "harmless")))
+    candidates = d.select(k.alias("candidate_id"), F.regexp_replace("url", "^https?:", "http:").alias("url"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), flags.alias("quality_flags"), F.contains("text", F.lit("@")).alias("contains_pii"))
+    excerpt = F.when(k % 7 == 0, "an excerpt that no document has").otherwise(F.substring("text", 11, 30))
+    ledger = d.where(k % 8 != 3).select("source_id", F.col("source").alias("topic"), F.array(excerpt).alias("excerpts"), F.when(k % 5 == 0, F.array("lang", F.lit("fees"))).otherwise(F.array("lang")).alias("intents"))
+    questions = d.select("source_id", F.explode(F.when(k % 10 == 0, F.array("lang", F.lit("fees"))).otherwise(F.array("lang"))).alias("intent"))
+    none = F.lit(None).cast("string")
+    by_id = t("documents").where("doc_id % 11 = 0").select(F.col("doc_id").alias("candidate_id"), none.alias("url"), none.alias("content_hash"))
+    by_url = p.where(k % 13 == 0).select(F.lit(None).cast("long").alias("candidate_id"), "url", none.alias("content_hash"))
+    by_hash = t("documents").where("doc_id % 17 = 0").select(F.lit(None).cast("long").alias("candidate_id"), none.alias("url"), F.sha2("text", 256).alias("content_hash"))
+    topics = [f"src{i}" for i in range(100) if i != 1]
+    found = A.ledger_admission(sources, candidates, ledger, questions, by_id.union(by_url).union(by_hash), topics, "static", ["shouting"])
+    return found.withColumn("reasons", F.array_join("reasons", "|"))
+
+
 @query("intent_support", ELIG + ", u AS (SELECT doc_id, n_chars, unnest(tags) AS tag FROM e) SELECT tag, count(*) FILTER (WHERE n_chars > 3000) AS full_, count(*) FILTER (WHERE n_chars <= 3000) AS partial_, array_to_string(list_sort(list(doc_id) FILTER (WHERE n_chars > 3000))[1:3], ',') AS examples FROM u GROUP BY 1")
 def intent_support(t):
     u = eligible(t).select("doc_id", "n_chars", F.explode("tags").alias("tag"))

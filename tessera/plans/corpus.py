@@ -161,30 +161,26 @@ def text_blocks(t):
     return t("documents").select("doc_id", F.posexplode(b).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "block")
 
 
-@query("answer_chunks", "WITH p AS (SELECT conv_id, turn, string_split(text, chr(10)) AS c FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, i AS pos, c[i] || CASE WHEN i = len(c) THEN '' ELSE chr(10) END AS chunk FROM (SELECT conv_id, turn, c, unnest(range(1, len(c) + 1)) AS i FROM p)")
+@query("answer_chunks", "WITH p AS (SELECT conv_id, turn, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)) AS c FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS BIGINT) AS pos, chunk FROM (SELECT conv_id, turn, i, c[i] || CASE WHEN i = len(c) THEN '' ELSE chr(10) || chr(10) END AS chunk FROM (SELECT conv_id, turn, c, unnest(range(1, len(c) + 1)) AS i FROM p)) WHERE chunk <> ''")
 def answer_chunks(t):
-    p = t("conversations").where("role = 'assistant'").withColumn("c", F.split("text", "\n"))
-    e = p.select("conv_id", "turn", F.size("c").alias("n"), F.posexplode("c").alias("p", "x"))
-    return e.select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), F.when(F.col("p") + 1 == F.col("n"), F.col("x")).otherwise(F.concat("x", F.lit("\n"))).alias("chunk"))
+    """Paragraphs of answers, a sentence each."""
+    p = t("conversations").where("role = 'assistant'")
+    e = p.select("conv_id", "turn", F.posexplode(X.chunks(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")))).alias("p", "chunk"))
+    return e.select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), "chunk")
 
 
-@query("md_blocks", """WITH l AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS s FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents))),
-k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN contains(s, ' | ') THEN 'bullet' WHEN contains(s, '!!') THEN 'numbered' WHEN length(s) < 20 THEN 'heading' ELSE 'paragraph' END AS kind FROM l),
-g AS (SELECT *, CASE WHEN kind = 'heading' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM k),
+@query("md_blocks", rf"""WITH m AS (SELECT doc_id, '## ' || source || chr(10) || chr(10) || regexp_replace(regexp_replace(text, chr(10) || '([A-L])', chr(10) || '- \1', 'g'), chr(10) || '([M-Z])', chr(10) || '12) \1', 'g') AS x FROM documents),
+l AS (SELECT doc_id, i, regexp_replace(line, '^{WS}|{WS}$', '', 'g') AS s FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(x, chr(10)) AS c FROM m))),
+k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '(?s)^#{{1,3}}\s+.') THEN 'heading' WHEN regexp_matches(s, '(?s)^[-*]\s+.') THEN 'bullet' WHEN regexp_matches(s, '(?s)^\d+[.)]\s+.') THEN 'numbered' ELSE 'paragraph' END AS kind FROM l),
+v AS (SELECT *, CASE kind WHEN 'heading' THEN regexp_replace(s, '^#+\s+', '') WHEN 'bullet' THEN regexp_replace(s, '^[-*]\s+', '') WHEN 'numbered' THEN regexp_replace(s, '^\d+[.)]\s+', '') ELSE s END AS y FROM k),
+g AS (SELECT *, CASE WHEN kind = 'heading' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM v),
 h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM g)
-SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY block) AS pos, kind, n, content FROM (SELECT doc_id, block, kind, count(*) AS n, CASE WHEN kind = 'paragraph' THEN string_agg(s, ' ' ORDER BY i) ELSE string_agg(s, chr(10) ORDER BY i) END AS content FROM h WHERE kind <> 'blank' GROUP BY 1, 2, 3)""")
+SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY block) AS pos, kind, level, n, content FROM (SELECT doc_id, block, kind, CAST(max(CASE WHEN kind = 'heading' THEN length(regexp_extract(s, '^#+')) END) AS INTEGER) AS level, CAST(CASE WHEN kind = 'paragraph' THEN 1 ELSE count(*) END AS BIGINT) AS n, CASE WHEN kind = 'paragraph' THEN string_agg(y, ' ' ORDER BY i) ELSE string_agg(y, chr(10) ORDER BY i) END AS content FROM h WHERE kind <> 'blank' GROUP BY 1, 2, 3)""")
 def md_blocks(t):
-    """Runs of lines of one kind (headings stand alone): gaps and islands in a document."""
-    l = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("s", F.btrim("line", F.lit(" \t\r")))
-    s = F.col("s")
-    k = l.withColumn("kind", F.when(s == "", "blank").when(s.contains(" | "), "bullet").when(s.contains("!!"), "numbered").when(F.char_length(s) < 20, "heading").otherwise("paragraph"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    new = (F.col("kind") == "heading") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
-    h = k.withColumn("new", new.cast("int")).withColumn("block", F.sum("new").over(w)).where("kind <> 'blank'")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"])
-    g = h.groupBy("doc_id", "block", "kind").agg(F.count("*").alias("n"), items.alias("items"))
-    g = g.withColumn("content", F.when(F.col("kind") == "paragraph", F.array_join("items", " ")).otherwise(F.array_join("items", "\n")))
-    return g.select("doc_id", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("block")).cast("long").alias("pos"), "kind", "n", "content")
+    """Documents with marks before some of their lines, as blocks."""
+    marked = F.regexp_replace(F.regexp_replace("text", "\n([A-L])", "\n- $1"), "\n([M-Z])", "\n12) $1")
+    b = t("documents").select("doc_id", F.posexplode(X.md_blocks(F.concat(F.lit("## "), "source", F.lit("\n\n"), marked))).alias("p", "b"))
+    return b.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("b.type").alias("kind"), "b.level", F.size("b.items").cast("long").alias("n"), F.array_join("b.items", "\n").alias("content"))
 
 
 @query("table_pad", "WITH r AS (SELECT doc_id, i, string_split(line, ' | ') AS cells FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)) WHERE contains(line, ' | ')), w AS (SELECT doc_id, max(len(cells)) AS w FROM r GROUP BY 1) SELECT doc_id, string_agg('| ' || array_to_string(list_transform(list_resize(cells, w, ''), lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |', chr(10) ORDER BY i) AS md FROM r JOIN w USING (doc_id) GROUP BY 1")

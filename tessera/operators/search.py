@@ -15,8 +15,9 @@ def _anchors(needle: Column, body: Column, kind: int) -> tuple[Column, Column]:
     """The hash that a passage of a kind is looked up by, and all such of a text."""
     if kind > 100:
         q = kind - 100
-        places = F.sequence(F.lit(1), F.greatest(F.char_length(body) - q + 1, F.lit(1)))
-        return F.xxhash64(F.substring(needle, 1, q)), F.transform(places, lambda i: F.xxhash64(F.substring(body, i, F.lit(q))))
+        signs = F.split(body, "")  # once, as to find the n-th sign of a string takes n steps
+        places = F.sequence(F.lit(1), F.greatest(F.size(signs) - q + 1, F.lit(1)))
+        return F.xxhash64(F.substring(needle, 1, q)), F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(signs, i, F.lit(q)), "")))
     words = F.split(body, " ")
     places = F.sequence(F.lit(1), F.greatest(F.size(words) - kind + 1, F.lit(1)))
     return F.xxhash64(F.array_join(F.slice(F.split(needle, " "), 2, kind), " ")), F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(kind)), " ")))

@@ -30,16 +30,27 @@ def normalise(rows: DataFrame, sections: int = 16) -> DataFrame:
     return r.withColumn("state", F.when(~F.col("ok"), "skipped").when(F.col("ord") == first, "kept").otherwise("repeated")).drop("ok")
 
 
+def week_label(weeks: Column) -> Column:
+    """Text of a list of weeks: ranges of neighbours, first to last with odd or even if they go
+    in steps of two (three or more), or that there are none. Order and repeats don't matter."""
+    s = F.array_sort(F.array_distinct(weeks))
+    n = F.size(s)
+    inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i > 0)
+    steps = F.forall(inner, lambda i: F.get(s, i) == F.get(s, i - 1) + 2)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1) + 1))
+    first, last = F.get(s, 0), F.get(s, n - 1)
+
+    def written(at: Column, k: Column) -> Column:
+        a, b = F.get(s, at), F.get(s, F.coalesce(F.get(starts, k + 1), n) - 1)
+        return F.when(a == b, a.cast("string")).otherwise(F.concat_ws("–", a.cast("string"), b.cast("string")))
+
+    odd = F.concat(F.concat_ws("–", first.cast("string"), last.cast("string")), F.lit("周（"), F.when(first % 2 == 1, "单").otherwise("双"), F.lit("）"))
+    return F.when(n == 0, "无上课周次").when((n >= 3) & steps, odd).otherwise(F.concat(F.array_join(F.transform(starts, written), "、"), F.lit("周")))
+
+
 def week_ranges(weeks: DataFrame, key: str) -> DataFrame:
-    """weeks: key, week. Text of the weeks: ranges of neighbours, or first-last with odd or
-    even if they go in steps of two (three or more)."""
-    w = Window.partitionBy(key).orderBy("week")
-    d = weeks.select(key, "week").distinct().withColumn("step", F.col("week") - F.lag("week").over(w)).withColumn("island", F.col("week") - F.row_number().over(w))
-    ranges = d.groupBy(key, "island").agg(F.min("week").alias("a"), F.max("week").alias("b"))
-    text = ranges.select(key, F.struct("a", F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("–", "a", "b")).alias("r")).alias("x")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]), "、").alias("plain"))
-    alt = d.groupBy(key).agg(F.min("week").alias("lo"), F.max("week").alias("hi"), F.count("*").alias("n"), F.min("step").alias("s1"), F.max("step").alias("s2"))
-    odd = F.concat(F.concat_ws("–", "lo", "hi"), F.lit("周（"), F.when(F.col("lo") % 2 == 1, "单").otherwise("双"), F.lit("）"))
-    return text.join(alt, key).select(key, F.when((F.col("n") >= 3) & (F.col("s1") == 2) & (F.col("s2") == 2), odd).otherwise(F.concat("plain", F.lit("周"))).alias("label"))
+    """weeks: key, week. The label of each key's weeks; a key has few (LONGEST at most)."""
+    return weeks.groupBy(key).agg(week_label(F.collect_set("week")).alias("label"))
 
 
 def overlap_groups(courses: DataFrame, day: str) -> DataFrame:

@@ -194,11 +194,12 @@ def greedy_cover(t):
     return A.greedy_cover(eligible(t), "topic", "doc_id", "tags", ["n_chars"])
 
 
-@query("capped_extras", ELIG + ", f AS (SELECT topic, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM e GROUP BY 1), x AS (SELECT e.topic, e.doc_id, row_number() OVER (PARTITION BY e.topic ORDER BY n_chars DESC, e.doc_id DESC) AS n FROM e WHERE doc_id NOT IN (SELECT id FROM f)) SELECT topic, id, 'cover' AS kind FROM f UNION ALL SELECT topic, doc_id, 'extra' FROM x WHERE n <= CASE WHEN topic = 'scholarship' THEN 31 ELSE 11 END")
+@query("capped_extras", ELIG + ", f AS (SELECT topic, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM e GROUP BY 1), l AS (SELECT arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM (SELECT doc_id, n_chars, unnest(tags) AS tag FROM e) GROUP BY tag), x AS (SELECT e.topic, e.doc_id, row_number() OVER (PARTITION BY e.topic ORDER BY n_chars DESC, e.doc_id DESC) AS n FROM e WHERE doc_id NOT IN (SELECT id FROM f) AND doc_id IN (SELECT id FROM l)) SELECT topic, id, 'cover' AS kind FROM f UNION ALL SELECT topic, doc_id, 'extra' FROM x WHERE n <= CASE WHEN topic = 'scholarship' THEN 31 ELSE 11 END")
 def capped_extras(t):
     e = eligible(t)
     cover = e.groupBy("topic").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("id"))
-    return A.capped_extras(e, cover, "topic", "doc_id", [F.desc("n_chars"), F.desc("doc_id")], F.when(F.col("topic") == "scholarship", 32).otherwise(12))
+    latest = A.latest_by_tag(e, "doc_id", "tags", ["n_chars"])
+    return A.capped_extras(e, cover, latest, "topic", "doc_id", [F.desc("n_chars"), F.desc("doc_id")], F.when(F.col("topic") == "scholarship", 32).otherwise(12), 32)
 
 
 @query("accept_split", ELIG + "SELECT d.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN 'ACCEPTED' ELSE 'REVIEW' END AS status FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")

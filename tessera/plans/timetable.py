@@ -32,10 +32,10 @@ def course_in_week(t):
 
 @query("week_ranges", PARTS + """, e AS (SELECT p_partkey, unnest(weeks) AS week FROM w), d AS (SELECT *, week - lag(week) OVER (PARTITION BY p_partkey ORDER BY week) AS step, week - row_number() OVER (PARTITION BY p_partkey ORDER BY week) AS g FROM e),
 r AS (SELECT p_partkey, g, min(week) AS a, max(week) AS b FROM d GROUP BY 1, 2), s AS (SELECT p_partkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, '、' ORDER BY a) AS plain FROM r GROUP BY 1),
-q AS (SELECT p_partkey, min(week) AS lo, max(week) AS hi, count(*) AS n, min(step) AS s1, max(step) AS s2 FROM d GROUP BY 1) SELECT p_partkey, CASE WHEN n >= 3 AND s1 = 2 AND s2 = 2 THEN lo || '–' || hi || '周（' || CASE WHEN lo % 2 = 1 THEN '单' ELSE '双' END || '）' ELSE plain || '周' END AS label FROM s JOIN q USING (p_partkey)""")
+q AS (SELECT p_partkey, min(week) AS lo, max(week) AS hi, count(*) AS n, min(step) AS s1, max(step) AS s2 FROM d GROUP BY 1) SELECT p_partkey, CASE WHEN n >= 3 AND s1 = 2 AND s2 = 2 THEN lo || '–' || hi || '周（' || CASE WHEN lo % 2 = 1 THEN '单' ELSE '双' END || '）' WHEN n IS NULL THEN '无上课周次' ELSE plain || '周' END AS label FROM (SELECT p_partkey FROM w WHERE weeks IS NOT NULL) LEFT JOIN s USING (p_partkey) LEFT JOIN q USING (p_partkey)""")
 def week_ranges(t):
-    e = parts(t).select("p_partkey", F.explode(T.week_bitmap(F.col("bits"))).alias("week"))
-    return T.week_ranges(e, "p_partkey")
+    weeks = T.week_bitmap(F.col("bits"))
+    return parts(t).where(weeks.isNotNull()).select("p_partkey", T.week_label(weeks).alias("label"))
 
 
 def _rows(t):

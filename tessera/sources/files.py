@@ -20,15 +20,24 @@ from pyspark.sql.types import StructType
 
 from ..operators.dom import plain_text
 from ..operators.html import decode, table_markdown
+from .tables import EACH, MEMBERS, RATIO, TOTAL
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+def _bounded(z: zipfile.ZipFile) -> None:
+    """Raises ValueError for an archive beyond the budgets of zip_members."""
+    infos = z.infolist()
+    if len(infos) > 10 * MEMBERS or sum(i.file_size for i in infos) > TOTAL or any(i.file_size > EACH or i.file_size > RATIO * max(1, i.compress_size) for i in infos):
+        raise ValueError("archive_budget")
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs and tables of a Word file in their order, as Markdown."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        _bounded(z)
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     words = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
     out = []
@@ -43,6 +52,7 @@ def docx_text(content: bytes) -> str:
 def xlsx_text(content: bytes) -> str:
     """Each sheet as a Markdown table under its name."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        _bounded(z)
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:

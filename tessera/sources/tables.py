@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,17 +119,45 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: several readers share one computation,
-    and what follows outlives any executor."""
-    path = f"{checkpoint_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Folders that settle() writes within are removed at its end: write or collect the result
+    before. Scopes may stand within each other; a folder goes with the innermost one. Without
+    a scope what was settled stays, as a result may be read at any later time."""
+    held: list[str] = []
+    before = _SCOPES.set((*_SCOPES.get(), held))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(before)
+        for path in held:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def kept_in_scope(path: str) -> str:
+    """A folder of intermediate rows that the innermost scope removes."""
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
+    return path
+
+
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage is cut, what follows is
+    computed from files that outlive any executor, and several readers share one computation.
+    compression: a codec of Parquet in place of the session's. See scope() for its removal."""
+    path = kept_in_scope(f"{checkpoint_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}")
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+    """JSON lines with a declared schema; blank lines are skipped. A broken line fails the
+    read; if not strict it gives a row of nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.metrics import micros
-from ..sources.tables import checkpoint_folder
+from ..sources.tables import checkpoint_folder, kept_in_scope
 from .state import rocksdb
 
 TERMINAL = ["run.completed", "run.failed", "run.cancelled"]
@@ -89,7 +89,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs the stream over what its source holds now and returns the result. The rows go to
     Parquet in the shared folder (append) or to the table that foreachBatch last wrote."""
     spark = stream.sparkSession
-    base = f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = kept_in_scope(f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}")
     out = f"{base}/out"
 
     def put(batch: DataFrame, number: int) -> None:

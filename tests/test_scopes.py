@@ -40,7 +40,7 @@ def test_scopes_remove_what_was_settled_in_them(spark):
     assert kept.count() == 7 and len(held(spark) - before) == 1
 
 
-@pytest.mark.parametrize("name", ["capped_extras", "run_quality", "stream_tumbling", "admission_gate"])
+@pytest.mark.parametrize("name", ["capped_extras", "run_quality", "stream_tumbling"])
 def test_queries_leave_nothing_behind(spark, name):
     before = held(spark)
     with scope(spark):

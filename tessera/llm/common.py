@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpoint_folder
+from ..sources.tables import checkpoint_folder, kept_in_scope, settle
 
 #: What counts as white space in every word rule of this subpackage.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -27,16 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_folder(spark)
 
 
-def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, what
-    follows is computed from files that outlive any executor, and several readers
-    share one computation. compression: a codec of Parquet in place of the session's."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import kept_in_scope, shared_dir
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None
     names, are left out. Findings of rules that are not asked for, or of other versions of
     them, stay in the ledger and are not returned."""
     spark = docs.sparkSession
-    ledger = ledger or f"{shared_dir(spark)}/tessera/ledger-{uuid.uuid4().hex}"
+    ledger = ledger or kept_in_scope(f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}")
     scan(docs, ledger, rules)
     keys, kinds = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
     found = read(spark, ledger).select("blob", F.explode("findings").alias("f")).where(F.array_contains(keys, F.concat("f.kind", F.lit("@"), "f.version")))

@@ -162,7 +162,10 @@ def upsert_sources(t):
     return ST.upsert(c.where("id % 3 <> 0"), n, "id", "school").select("id", "name")
 
 
-@query("query_terms")
+@query("query_terms", r"""WITH q AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM conversations WHERE role = 'user'),
+w AS (SELECT *, list_filter(regexp_split_to_array(q, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM q),
+e AS (SELECT *, flatten(list_transform(words, lambda x: list_prepend([x, 'word'], CASE WHEN length(x) > 4 THEN list_transform(range(1, length(x)), lambda i: [substr(x, i, 2), 'part']) ELSE [] END))) AS terms FROM w)
+SELECT conv_id, turn, array_to_string(list_reduce(list_prepend(CASE WHEN length(q) >= 2 THEN [q] ELSE [] END, terms), lambda acc, t: CASE WHEN length(t[1]) < 2 OR list_contains(acc, t[1]) OR (t[2] = 'part' AND len(acc) >= 12) THEN acc ELSE list_append(acc, t[1]) END), '|') AS terms FROM e""")
 def query_terms(t):
     return questions(t).select("conv_id", "turn", F.array_join(R.query_terms(F.col("q")), "|").alias("terms"))
 
@@ -369,7 +372,7 @@ def span_expand(t):
     return p.select("n_nationkey", F.posexplode(F.concat(F.slice(lines, 1, 1), F.slice(lines, 3, 100))).alias("y", "row"))
 
 
-@query("candidates")
+@query("candidates", _plain(f"WITH p AS (SELECT page_id AS doc_id, url, {_TITLE} AS title FROM pages) SELECT p.doc_id, p.url, CASE WHEN p.title <> '' THEN p.title ELSE coalesce(u.title, '') END AS title, r.parent_id IS NOT NULL AS attachment FROM p LEFT JOIN relations r ON r.child_id = p.doc_id LEFT JOIN p u ON u.doc_id = r.parent_id"))
 def candidates_assembly(t):
     """Frontier joined with what was fetched; attachments inherit a title from their parent."""
     p = trees(t).select(F.col("page_id").alias("doc_id"), D.title("nodes", F.col("found")).alias("title"))

@@ -12,6 +12,7 @@ from ..operators import events as E
 from ..operators import rules as R
 from ..operators.metrics import micros
 from ..sources import files as S
+from .evidence import PAGE, _plain, normalized
 from .registry import query
 
 NOW = 1_705_000_000_000_000
@@ -29,11 +30,9 @@ def department_hint(t):
     return t("documents").select("doc_id", X.after_hint("text", ["Licensed under "]).alias("department"))
 
 
-@query("outline")
+@query("outline", _plain(PAGE + "SELECT page_id, CASE WHEN big THEN plain(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '[ \\t]+', ' ', 'g'))) ELSE '' END AS outline FROM main"))
 def outline(t):
     """Headings of the pages' Markdown."""
-    from .evidence import normalized
-
     return normalized(t).select("page_id", F.array_join(X.outline("markdown"), "|").alias("outline"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, however often and in whatever lambda it stands."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def canonical_text(c: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.btrim(F.regexp_replace(col(c), SPACE + "+", " "))
@@ -173,8 +179,6 @@ def matches(text: Column | str, pattern: str, most: int) -> Column:
     (code points from 0, end exclusive) and the match. Places are sums of the lengths of
     the pieces between matches, which a split at the same pattern gives."""
     x = col(text)
-    found = F.slice(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), 1, most)
-    gaps = F.slice(F.split(x, pattern, most + 1), F.lit(1), F.size(found))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
     def add(state: Column, piece: Column) -> Column:
@@ -182,15 +186,21 @@ def matches(text: Column | str, pattern: str, most: int) -> Column:
         end = begin + F.char_length(piece["match"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), piece["match"].alias("match")))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("match")), start, add, lambda s: s["out"])
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(x, pattern, most + 1), F.lit(1), F.size(found))
+        return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("match")), start, add, lambda s: s["out"])
+
+    return let(F.slice(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), 1, most), placed)
 
 
 def mentions(text: Column | str, pattern: str, before: int = 45, after: int = 65, most: int = 40) -> Column:
     """The first `most` matches with `before` and `after` code points around each; contexts
     may overlap."""
-    x = col(text)
-    context = lambda m: F.substring(x, F.greatest(m["start"] - before, F.lit(0)) + 1, m["end"] + after - F.greatest(m["start"] - before, F.lit(0)))
-    return F.transform(matches(x, pattern, most), lambda m: F.struct(m["match"].alias("text"), context(m).alias("context")))
+    def told(x: Column) -> Column:
+        context = lambda m: F.substring(x, F.greatest(m["start"] - before, F.lit(0)) + 1, m["end"] + after - F.greatest(m["start"] - before, F.lit(0)))
+        return F.transform(matches(x, pattern, most), lambda m: F.struct(m["match"].alias("text"), context(m).alias("context")))
+
+    return let(col(text), told)
 
 
 def chunks(text: Column | str, joint: str = "\n\n") -> Column:
@@ -221,21 +231,48 @@ def md_blocks(markdown: Column | str) -> Column:
         return F.struct(kind.otherwise("paragraph").alias("kind"), level.alias("level"), value.otherwise(x).alias("value"))
 
     kinds = F.transform(lines, told)
-    # in a lambda, so that the lines are told apart once
+
     def cut(k: Column) -> Column:
         begins = lambda i: (F.get(k, i)["kind"] != "blank") & ((i == 0) | (F.get(k, i)["kind"] == "heading") | (F.get(k, i)["kind"] != F.get(k, i - 1)["kind"]))
-        starts = F.filter(F.sequence(F.lit(0), F.size(k) - 1), begins)
+        return let(F.filter(F.sequence(F.lit(0), F.size(k) - 1), begins), lambda starts: F.transform(starts, lambda at, i: block(k, starts, at, i)))
+
+    def block(k: Column, starts: Column, at: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), F.size(k))
+        first = F.get(k, at)
+        own = F.filter(F.slice(k, at + 1, end - at), lambda x: x["kind"] == first["kind"])
+        items = F.transform(own, lambda x: x["value"])
+        return F.struct(first["kind"].alias("type"), first["level"].alias("level"), F.when(first["kind"] == "paragraph", F.array(F.array_join(items, " "))).otherwise(items).alias("items"))
+
+    return let(kinds, cut)
+
+
+#: Where str.splitlines() ends a line.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def first_heading(text: Column | str, subject: str, skipped: list[str], most: int = 8, short: int = 12, least: int = 8, longest: int = 140) -> Column:
+    """What stands for the title of a text without one: of its first `most` lines that aren't
+    blank (marks of headings left out), the first that has the pattern `subject` and least to
+    longest code points. A line that follows one of fewer than `short` code points without a
+    digit is read with it. Lines that begin with one of `skipped` don't count. Null if none."""
+    lines = F.filter(F.transform(F.split(col(text), LINE_END, -1), canonical_ends), lambda x: x != "")
+    first = F.transform(F.slice(lines, 1, most), lambda x: F.regexp_replace(x, rf"^#+{SPACE}*", ""))
+
+    def read(lines: Column, x: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        joined = F.when((i > 0) & (F.char_length(before) < short) & ~before.rlike(r"\d"), F.concat(before, x)).otherwise(x)
+        return F.when(~any_of([x.startswith(k) for k in skipped]) & F.char_length(joined).between(least, longest) & joined.rlike(subject), joined)
 
-        def block(at: Column, i: Column) -> Column:
-            end = F.coalesce(F.get(starts, i + 1), F.size(k))
-            first = F.get(k, at)
-            own = F.filter(F.slice(k, at + 1, end - at), lambda x: x["kind"] == first["kind"])
-            items = F.transform(own, lambda x: x["value"])
-            return F.struct(first["kind"].alias("type"), first["level"].alias("level"), F.when(first["kind"] == "paragraph", F.array(F.array_join(items, " "))).otherwise(items).alias("items"))
+    return let(first, lambda k: F.get(F.array_compact(F.transform(k, lambda x, i: read(k, x, i))), 0))
 
-        return F.transform(starts, block)
 
-    return F.get(F.transform(F.array(kinds), cut), 0)
+def evidence_title(raw: Column, generic: str, attachment: Column, heading: Column, original: Column, suffix: str) -> Column:
+    """title and source: the heading of the raw page unless it meets `generic`; else, of an
+    attachment, its first heading; else the title as it was, without what `suffix` finds."""
+    good = F.coalesce((raw != "") & ~raw.rlike(generic), F.lit(False))
+    found = F.coalesce(attachment, F.lit(False)) & heading.isNotNull()
+    legacy = canonical_ends(F.regexp_replace(F.coalesce(original, F.lit("")), suffix, ""))
+    return F.when(good, F.struct(raw.alias("title"), F.lit("raw_html_heading").alias("source"))).when(found, F.struct(heading.alias("title"), F.lit("attachment_first_heading").alias("source"))).otherwise(F.struct(legacy.alias("title"), F.lit("legacy_title").alias("source")))
 
 
 def media_type(path: Column) -> Column:

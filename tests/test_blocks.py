@@ -104,3 +104,30 @@ def test_ledger_reasons_one_by_one(spark):
         1: [], 2: ["route_not_static_document"], 3: ["source_body_not_parsed"], 4: ["quality:shouting"], 5: ["pii_detected"], 6: ["content_too_short", "evidence_excerpt_missing:fees are  due"], 7: ["already_in_current_knowledge_base"],
         8: ["duplicate_current_clean_content"], 9: ["no_completed_evidence_review"], 10: ["topic_not_in_taxonomy"], 11: ["evidence_excerpt_missing:nothing of the kind stan"], 12: ["evidence_excerpt_missing:Fees", "intent_not_declared_for_source:how,who"],
     }
+
+
+def plain_heading(text, subject, skipped):
+    lines = [re.sub(r"^#+\s*", "", x.strip()) for x in text.splitlines() if x.strip()]
+    for i, line in enumerate(lines[:8]):
+        if line.startswith(tuple(skipped)):
+            continue
+        joined = lines[i - 1] + line if i and len(lines[i - 1]) < 12 and not re.search(r"\d", lines[i - 1]) else line
+        if 8 <= len(joined) <= 140 and re.search(subject, joined):
+            return joined
+    return None
+
+
+def test_first_headings_equal_a_walk(spark):
+    r = random.Random(8)
+    lines = ["", "  ", "# Notice", "on fees", "Annex 3", "| a | b |", "> quote", "Rules for the use of rooms", "Rules " * 40, "short", "x\x0brules y of it", "12", "##", "notice of rules here\r"]
+    texts = ["", "Rules", "Rules of 2024"] + ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.h for x in df.select("i", X.first_heading("t", "(?i)rules|notice", ["|", ">", "Annex"]).alias("h")).collect()}
+    assert got == {i: plain_heading(t, "(?i)rules|notice", ["|", ">", "Annex"]) for i, t in enumerate(texts)}
+
+
+def test_titles_by_their_evidence(spark):
+    rows = [("Real heading", True, "Found", "old-Site X"), ("Welcome all", True, "Found", "old"), ("", True, None, "old-Site X"), (None, False, "Found", " old "), ("Welcome", None, "Found", None)]
+    df = spark.createDataFrame(rows, "raw string, a boolean, h string, o string")
+    got = [tuple(r.t) for r in df.select(X.evidence_title(F.col("raw"), "^Welcome", F.col("a"), F.col("h"), F.col("o"), "-Site.*$").alias("t")).collect()]
+    assert got == [("Real heading", "raw_html_heading"), ("Found", "attachment_first_heading"), ("old", "legacy_title"), ("old", "legacy_title"), ("", "legacy_title")]

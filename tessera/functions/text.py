@@ -246,6 +246,44 @@ def md_blocks(markdown: Column | str) -> Column:
     return let(kinds, cut)
 
 
+def plain_blocks(text: Column | str) -> Column:
+    """The lines of a plain text that aren't empty."""
+    return F.filter(F.split(col(text), "[\r\n]+"), lambda x: x != "")
+
+
+def normalized_title(title: Column | str, lead: str, cut: str, site: str) -> Column:
+    """A title without what `lead` finds at its beginning (a date), from where `cut` matches
+    first (a note on publication), and without what `site` finds (the site's name)."""
+    x = F.regexp_replace(canonical_ends(title), f"^(?:{lead})", "")
+    return canonical_ends(F.regexp_replace(F.get(F.split(x, cut, 2), 0), site, ""))
+
+
+def normalized_artifact(text: Column | str, title: Column, attachment: Column) -> Column:
+    """A text with plain line ends and at most one empty line; words and numbers stay. The
+    heading of one that is no attachment becomes the title."""
+    x = F.replace(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    swap = ~F.coalesce(attachment, F.lit(False)) & x.startswith("# ") & (F.coalesce(title, F.lit("")) != "")
+    body = F.when(F.instr(x, "\n") > 0, F.substr(x, F.instr(x, "\n") + 1)).otherwise("")
+    return canonical_ends(F.regexp_replace(F.when(swap, F.concat(F.lit("# "), title, F.lit("\n"), body)).otherwise(x), "\n{3,}", "\n\n"))
+
+
+def date_label(day: Column, today: Column, unknown: Column) -> Column:
+    """today, yesterday or month-day; `unknown` where that holds, and for null."""
+    d = day.cast("date")
+    return F.when(unknown | d.isNull(), "unknown").when(d == today, "today").when(d == F.date_sub(today, 1), "yesterday").otherwise(F.concat_ws("-", F.month(d), F.day(d)))
+
+
+def markdown_table(rows: Column) -> Column:
+    """Rows of cells as a Markdown table under the first: short rows are filled up, bars
+    escaped, line ends written as <br>. '' without cells."""
+    width = F.array_max(F.transform(rows, F.size))
+    cell = lambda c: F.replace(F.regexp_replace(canonical_ends(c), r"\s*(?:\r\n|\r|\n)\s*", "<br>"), F.lit("|"), F.lit("\\|"))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    filled = F.transform(rows, lambda r: line(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), (width - F.size(r)).cast("int")))))
+    rule = F.array(line(F.array_repeat(F.lit("---"), width.cast("int"))))
+    return F.when(F.coalesce(width, F.lit(0)) < 1, "").otherwise(F.array_join(F.concat(F.slice(filled, 1, 1), rule, F.slice(filled, F.lit(2), F.greatest(F.size(filled) - 1, F.lit(0)))), "\n"))
+
+
 #: Where str.splitlines() ends a line.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 

@@ -53,3 +53,19 @@ def merge_frontier(df: DataFrame, url: str, title: str, parent: str, ord_: str)
 def pending(frontier: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """What the ledger doesn't hold yet."""
     return frontier.join(ledger.select(key).distinct(), key, "left_anti")
+
+
+def by_signature(rows: DataFrame, signature: list[str], keep: str) -> DataFrame:
+    """One row for each signature, null-safe: the signature and the least value of `keep`."""
+    g = rows.groupBy(F.struct(*signature).alias("_s")).agg(F.min(keep).alias(keep))
+    return g.select("_s.*", keep)
+
+
+def cached(asked: DataFrame, entries: DataFrame, key: str, now: Column, valid: Column | None = None) -> DataFrame:
+    """asked with the entry of its key and whether it is a hit: it is there, hasn't expired
+    (column expires_at) and `valid`, tested on what was read, holds. Anything else, a null
+    included, is a miss: the answer is made anew, no error. Of several entries of a key the
+    one that lasts longest counts."""
+    last = entries.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), "expires_at").alias("entry"))
+    good = F.col("entry.expires_at") > now
+    return asked.join(last, key, "left").withColumn("hit", F.coalesce(good if valid is None else good & valid, F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import first_present, scoped_id, truncated
+from ..functions.text import canonical_ends, first_present, scoped_id, truncated
 from ..functions.urls import allowed_or_empty, public_or_empty
 
 #: Greetings, polite openings and the separators after them.
@@ -197,3 +197,14 @@ def cacheable(answers: DataFrame, cites: DataFrame, key: str) -> DataFrame:
     g = cites.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("index").alias("d"), F.max("index").alias("hi"), F.min("index").alias("lo"), F.min(F.col("official") & (F.col("url") != "")).alias("ok"))
     ok = F.col("ok") & (F.col("n") == F.col("d")) & (F.col("hi") == F.col("n")) & (F.col("lo") == 1)
     return answers.join(g, key, "left").select(key, F.coalesce(ok, F.lit(False)).alias("cacheable"))
+
+
+def metadata_text(json: Column | str, keys: list[str], default: str | None = None) -> Column:
+    """The first of the keys of a JSON object that has a text that isn't blank; strings come
+    out without white space at their ends, other values as they are written."""
+    return F.coalesce(*[F.nullif(canonical_ends(F.get_json_object(json, f"$.{k}")), F.lit("")) for k in keys], F.lit(default))
+
+
+def metadata_long(json: Column | str, keys: list[str], default: int | None = None) -> Column:
+    """The first of the keys of a JSON object that holds a whole number."""
+    return F.coalesce(*[F.get_json_object(json, f"$.{k}").try_cast("long") for k in keys], F.lit(default).cast("long"))

@@ -83,3 +83,12 @@ def academic_week(day: Column, term_start: Column) -> Column:
 
 def week_monday(term_start: Column, week: Column) -> Column:
     return F.date_add(F.date_sub(term_start, F.weekday(term_start)), (week - 1) * 7)
+
+
+def snapshot_faults(rows: DataFrame, snapshot: str, id_: str, source: str, start: Column, end: Column, last: int) -> DataFrame:
+    """For each snapshot: ids that repeat, whether its rows are of several sources, and rows
+    whose sections don't lie in order within 1 to `last`. A snapshot without faults is valid."""
+    fine = F.coalesce((start >= 1) & (start <= end) & (end <= last), F.lit(False))
+    by_id = rows.groupBy(snapshot, id_).agg(F.count("*").alias("_n"), F.min(source).alias("_a"), F.max(source).alias("_b"), F.count_if(~fine).alias("_bad"))
+    g = by_id.groupBy(snapshot).agg((F.sum("_n") - F.count("*")).alias("repeated_ids"), (F.min("_a") != F.max("_b")).alias("mixed_source"), F.sum("_bad").alias("out_of_range"))
+    return g.withColumn("valid", (F.col("repeated_ids") == 0) & ~F.col("mixed_source") & (F.col("out_of_range") == 0))

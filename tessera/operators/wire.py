@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import settle
+from .events import unseen
 
 
 def appended(log: DataFrame, batch: DataFrame, order: list[str], sequence: str = "sequence") -> DataFrame:
@@ -81,3 +82,22 @@ def stream_results(lines: DataFrame, model: str = "") -> DataFrame:
     whole = lambda value: F.when(error == "", value)
     zero = lambda name: F.coalesce(name, F.lit(0))
     return every.select("stream", whole(F.col("content")).alias("content"), whole(F.coalesce("model", F.lit(model))).alias("model"), whole(zero("input_tokens")).alias("input_tokens"), whole(zero("output_tokens")).alias("output_tokens"), error.alias("error"))
+
+
+def product_event(kind: Column, known: dict[str, str]) -> Column:
+    """What a wire event means to the client; null for kinds that it passes over."""
+    return F.coalesce(*[F.when(kind == wire, name) for wire, name in known.items()])
+
+
+def client_events(received: DataFrame, key: str, known: dict[str, str], terminal: list[str], tries: int = 3) -> DataFrame:
+    """What a client shows of a stream (key, attempt from 0, ord, id, event_type) over its
+    reconnects: of the first `tries` attempts the events whose id is above all ids before,
+    up to the first terminal one, by their meaning; then, without a terminal event, one
+    run_failed. Columns key, n (order), id, kind."""
+    heard = received.where(F.col("attempt") < tries)
+    new = unseen(heard, key, "id", ["attempt", "ord"])
+    end = new.where(F.col("event_type").isin(terminal)).groupBy(key).agg(F.min("id").alias("_end"))
+    shown = new.join(end, key, "left").where(F.col("_end").isNull() | (F.col("id") <= F.col("_end"))).select(key, "id", product_event(F.col("event_type"), known).alias("kind")).where("kind is not null")
+    lost = received.select(key).distinct().join(end, key, "left_anti").select(key, F.lit(None).cast(received.schema["id"].dataType).alias("id"), F.lit("run_failed").alias("kind"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col("id").asc_nulls_last()))
+    return shown.union(lost).select(key, n.alias("n"), "id", "kind")

@@ -276,10 +276,13 @@ def release_split(t):
     return d.join(review, "doc_id", "left").select("doc_id", F.coalesce("override", gate).alias("outcome"))
 
 
-@query("attachment_parent", "SELECT child_id FROM relations WHERE parent_id IN (SELECT doc_id FROM kb_documents WHERE review_status = 'ACCEPTED')")
+@query("attachment_parent", "SELECT DISTINCT child_id FROM relations WHERE parent_id IN (SELECT doc_id FROM kb_documents WHERE review_status = 'ACCEPTED') AND (child_id % 3 <> 1 OR child_id % 2 = 1)")
 def attachment_parent(t):
-    ok = t.kb_documents().where("review_status = 'ACCEPTED'").select(F.col("doc_id").alias("parent_id"))
-    return t.relations().join(ok, "parent_id", "left_semi").select("child_id")
+    """Attachments of reviewed parents; for every third a parent was chosen, for the even ones
+    of these another than it has."""
+    r = t.relations()
+    chosen = r.where("child_id % 3 = 1").select("child_id", F.when(F.col("child_id") % 2 == 1, F.col("parent_id")).otherwise(-1).alias("parent_id"))
+    return A.reviewed_attachments(r, t.kb_documents().where("review_status = 'ACCEPTED'"), chosen)
 
 
 NOISE = DOC + ", z AS (SELECT *, CASE WHEN doc_id % 17 = 0 OR n_chars NOT BETWEEN 100 AND 100000 THEN 'INVALID_PARSE_PII_OR_TEXT' WHEN doc_id % 10 = 3 THEN NULL WHEN role IN ('NEWS', 'RESULT_ANNOUNCEMENT', 'NON_STUDENT') THEN 'NEWS_RESULT_OR_NON_STUDENT' WHEN role = 'FORM_TEMPLATE' THEN 'FORM_OR_UNSUPPORTED_ARCHIVE' WHEN topic = 'other' OR role = 'UNKNOWN' OR audience = 'UNKNOWN' THEN 'UNRESOLVED_SEMANTIC_SCOPE' WHEN role = 'ANNUAL_NOTICE' AND doc_id % 2 = 0 THEN 'STALE_ANNUAL_NOTICE' END AS reason FROM k) "
@@ -322,8 +325,7 @@ def bundles(t):
 
 @query("relations_ready", "SELECT child_id, parent_id FROM relations WHERE child_id IN (SELECT doc_id FROM kb_documents WHERE rag_eligible) AND parent_id IN (SELECT doc_id FROM kb_documents WHERE rag_eligible)")
 def relations_ready(t):
-    ok = t.kb_documents().where("rag_eligible").select("doc_id")
-    return t.relations().join(ok.withColumnRenamed("doc_id", "child_id"), "child_id", "left_semi").join(ok.withColumnRenamed("doc_id", "parent_id"), "parent_id", "left_semi").select("child_id", "parent_id")
+    return A.ready_relations(t.relations(), t.kb_documents().where("rag_eligible"))
 
 
 @query("delivery_checks", "WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 9 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'changed' END AS kind FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h OR a.doc_id IS NULL OR b.doc_id IS NULL")
@@ -337,17 +339,15 @@ def delivery_checks(t):
 def canary_minimums(t):
     need = t.spark.createDataFrame([("en", 100), ("de", 5000), ("xx", 1)], "lang string, need long")
     o = t("documents").groupBy("lang").agg(F.count_if(F.col("n_chars") > 1000).alias("n"), F.countDistinct("source").alias("sources"))
-    j = need.join(o, "lang", "left").select("lang", "need", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sources", F.lit(0)).alias("sources"))
-    return j.select("lang", "n", "sources", (F.col("n") >= F.col("need")).alias("ok"))
+    return A.minimums(need, o, "lang").select("lang", "n", "sources", "ok")
 
 
-@query("export_validate", "WITH e AS (SELECT doc_id, sha256(text) AS h, lang FROM documents) SELECT (SELECT count(*) FROM (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1)) AS duplicate_hashes, count(*) FILTER (WHERE f.doc_id IS NULL) AS missing_files, count(*) FILTER (WHERE f.h <> e.h) AS hash_mismatches, count(*) FILTER (WHERE lang = '') AS missing_metadata FROM e LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0) f ON f.doc_id = e.doc_id")
+@query("export_validate", "WITH e AS (SELECT doc_id, sha256(text) AS h, lang FROM documents UNION ALL SELECT doc_id, sha256(text), lang FROM documents WHERE doc_id % 40 = 1) SELECT (SELECT count(*) FROM (SELECT doc_id FROM e GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids, (SELECT count(*) FROM (SELECT h FROM e GROUP BY 1 HAVING count(*) > 1)) AS duplicate_hashes, count(*) FILTER (WHERE f.doc_id IS NULL) AS missing_files, count(*) FILTER (WHERE f.h <> e.h) AS hash_mismatches, count(*) FILTER (WHERE coalesce(lang, '') = '') AS missing_metadata FROM e LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0) f ON f.doc_id = e.doc_id")
 def export_validate(t):
+    """Every fortieth document is exported twice; files are missing or differ."""
     e = t("documents").select("doc_id", F.sha2("text", 256).alias("h"), "lang")
-    f = e.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("h")).alias("fh"), F.lit(True).alias("there"))
-    main = e.join(f, "doc_id", "left").agg(F.count_if(F.col("there").isNull()).alias("missing_files"), F.count_if(F.col("fh") != F.col("h")).alias("hash_mismatches"), F.count_if(F.col("lang") == "").alias("missing_metadata"))
-    dup = e.groupBy("h").count().where("count > 1").agg(F.count("*").alias("duplicate_hashes"))
-    return dup.crossJoin(main)  # two rows of totals
+    f = e.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("h")).alias("h"))
+    return A.export_faults(e.union(e.where("doc_id % 40 = 1")), f, "doc_id", "h", ["lang"])
 
 
 @query("enrich_stats", BASE + "SELECT count(*) AS rows_, count(*) FILTER (WHERE role <> 'UNKNOWN') AS role_changed, count(*) FILTER (WHERE topic <> 'other') AS topic_changed FROM c")

@@ -51,10 +51,10 @@ def doc_emails(t):
     return t("documents").select("doc_id", F.array_join(X.distinct_sorted(found, 5), ",").alias("emails"), F.size(F.regexp_extract_all("text", F.lit(r"\d{3}-\d{4}"), F.lit(0))).alias("phones"))
 
 
-@query("title_normalize", r"SELECT page_id, regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '^(The|De|La|Die)\b\W*', ''), '\s*[.*%$&#]+$', '') AS title FROM pages")
+@query("title_normalize", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '^(The|De|La|Die) ', ''), ' (of|que|der) .*$', ''), '[.*%$&#]+$', '')) AS title FROM pages")
 def title_normalize(t):
-    title = F.btrim(F.regexp_extract("html", "<title>(.*?)</title>", 1))
-    return t("pages").select("page_id", F.regexp_replace(F.regexp_replace(title, r"^(The|De|La|Die)\b\W*", ""), r"\s*[.*%$&#]+$", "").alias("title"))
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return t("pages").select("page_id", X.normalized_title(title, "(?:The|De|La|Die) ", " (?:of|que|der) ", r"[.*%$&#]+$").alias("title"))
 
 
 @query("version_group", "SELECT o_orderkey, strftime(o_orderdate, '%Y') || '-' || CAST(year(o_orderdate) + 1 AS VARCHAR) AS academic_year, CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 2 END AS semester, left(sha256(o_orderpriority || chr(0) || strftime(o_orderdate, '%Y')), 24) AS version_group FROM orders")
@@ -85,18 +85,17 @@ def quote_span(t):
     return t("documents").select("doc_id", q).where("quote IS NOT NULL")
 
 
-@query("artifact_normalize", r"SELECT page_id, sha256(trim(regexp_replace(replace(replace('# ' || url || chr(13) || chr(10) || html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(32) || chr(9))) AS sha FROM pages")
+@query("artifact_normalize", r"WITH a AS (SELECT page_id, page_id % 3 = 0 AS attachment, '# ' || url || chr(13) || chr(10) || html AS x, url FROM pages), b AS (SELECT page_id, replace(replace(CASE WHEN attachment THEN x ELSE '# Title of ' || page_id || chr(10) || substr(x, length('# ' || url || chr(13) || chr(10)) + 1) END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS y FROM a) SELECT page_id, sha256(trim(regexp_replace(y, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(32) || chr(9))) AS sha FROM b")
 def artifact_normalize(t):
     x = F.concat(F.lit("# "), "url", F.lit("\r\n"), "html")
-    x = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return t("pages").select("page_id", F.sha2(F.btrim(F.regexp_replace(x, "\n{3,}", "\n\n"), F.lit("\n \t")), 256).alias("sha"))
+    title = F.concat(F.lit("Title of "), F.col("page_id").cast("string"))
+    return t("pages").select("page_id", F.sha2(X.normalized_artifact(x, title, F.pmod("page_id", F.lit(3)) == 0), 256).alias("sha"))
 
 
 @query("date_label", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 'unknown' WHEN CAST(o_orderdate AS DATE) = DATE '1998-03-05' THEN 'today' WHEN CAST(o_orderdate AS DATE) = DATE '1998-03-04' THEN 'yesterday' ELSE month(o_orderdate) || '-' || day(o_orderdate) END AS label FROM orders")
 def date_label(t):
-    d, today = F.col("o_orderdate"), F.lit("1998-03-05").cast("date")
-    label = F.when(d < F.lit("1995-06-01").cast("timestamp_ntz"), "unknown").when(d.cast("date") == today, "today").when(d.cast("date") == F.date_sub(today, 1), "yesterday").otherwise(F.concat_ws("-", F.month(d), F.day(d)))
-    return t("orders").select("o_orderkey", label.alias("label"))
+    d = F.col("o_orderdate")
+    return t("orders").select("o_orderkey", X.date_label(d, F.lit("1998-03-05").cast("date"), d < F.lit("1995-06-01").cast("timestamp_ntz")).alias("label"))
 
 
 @query("parse_dates", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events")
@@ -135,14 +134,15 @@ def cache_keys(t):
     return t("conversations").select("conv_id", "turn", F.concat(F.lit("query:"), seg, F.lit(":"), F.substring(F.sha2(material, 256), 1, 32)).alias("key"))
 
 
-@query("cache_lookup", "WITH c AS (SELECT sha256(text) AS key, min(turn) AS answer, max(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE) AS expires_at FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT q.conv_id, q.turn, c.answer IS NOT NULL AND c.expires_at > TIMESTAMP '2024-01-01 00:02:00' AS hit FROM conversations q LEFT JOIN c ON c.key = sha256(q.text)")
+@query("cache_lookup", "WITH c AS (SELECT sha256(text) AS key, max(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE) AS expires_at, arg_max(turn, turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT q.conv_id, q.turn, coalesce(c.expires_at > TIMESTAMP '2024-01-01 00:02:00' AND c.turn % 5 <> 0, false) AS hit FROM conversations q LEFT JOIN c ON c.key = sha256(q.text)")
 def cache_lookup(t):
-    """Answers whose entry hasn't expired; what is missing or expired is a miss."""
+    """Answers whose entry hasn't expired and still holds (every fifth turn doesn't); what is
+    missing, expired or doesn't hold is a miss."""
     q = t("conversations")
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(turn as int), 0)")
-    c = q.where("role = 'assistant'").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("turn").alias("answer"), F.max(at).alias("expires_at"))
-    hit = F.col("answer").isNotNull() & (F.col("expires_at") > F.lit("2024-01-01 00:02:00").cast("timestamp_ntz"))
-    return q.withColumn("key", F.sha2("text", 256)).join(c, "key", "left").select("conv_id", "turn", F.coalesce(hit, F.lit(False)).alias("hit"))
+    entries = q.where("role = 'assistant'").select(F.sha2("text", 256).alias("key"), at.alias("expires_at"), F.col("turn").alias("answer"))
+    now = F.lit("2024-01-01 00:02:00").cast("timestamp_ntz")
+    return D.cached(q.withColumn("key", F.sha2("text", 256)), entries, "key", now, F.col("entry.answer") % 5 != 0).select("conv_id", "turn", "hit")
 
 
 @query("tree_digest", "WITH l AS (SELECT source, doc_id // 4096 AS part, doc_id, doc_id || ':' || sha256(text) AS line FROM documents), p AS (SELECT source, part, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS digest, count(*) AS files FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1")
@@ -157,8 +157,7 @@ def name_color(t):
 
 @query("text_blocks", "SELECT doc_id, i AS pos, block FROM (SELECT doc_id, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS block FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: x <> '') AS b FROM documents))")
 def text_blocks(t):
-    b = F.filter(F.split("text", "[\r\n]+"), lambda x: x != "")
-    return t("documents").select("doc_id", F.posexplode(b).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "block")
+    return t("documents").select("doc_id", F.posexplode(X.plain_blocks("text")).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "block")
 
 
 @query("answer_chunks", "WITH p AS (SELECT conv_id, turn, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)) AS c FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS BIGINT) AS pos, chunk FROM (SELECT conv_id, turn, i, c[i] || CASE WHEN i = len(c) THEN '' ELSE chr(10) || chr(10) END AS chunk FROM (SELECT conv_id, turn, c, unnest(range(1, len(c) + 1)) AS i FROM p)) WHERE chunk <> ''")
@@ -183,12 +182,11 @@ def md_blocks(t):
     return b.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("b.type").alias("kind"), "b.level", F.size("b.items").cast("long").alias("n"), F.array_join("b.items", "\n").alias("content"))
 
 
-@query("table_pad", "WITH r AS (SELECT doc_id, i, string_split(line, ' | ') AS cells FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)) WHERE contains(line, ' | ')), w AS (SELECT doc_id, max(len(cells)) AS w FROM r GROUP BY 1) SELECT doc_id, string_agg('| ' || array_to_string(list_transform(list_resize(cells, w, ''), lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |', chr(10) ORDER BY i) AS md FROM r JOIN w USING (doc_id) GROUP BY 1")
+@query("table_pad", "WITH r AS (SELECT doc_id, i, string_split(line, ' | ') AS cells FROM (SELECT doc_id, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents)) WHERE contains(line, ' | ')), w AS (SELECT doc_id, max(len(cells)) AS w, min(i) AS top FROM r GROUP BY 1) SELECT doc_id, string_agg('| ' || array_to_string(list_transform(list_resize(cells, w, ''), lambda x: replace(trim(x), '|', chr(92) || '|')), ' | ') || ' |' || CASE WHEN i = top THEN chr(10) || '| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY i) AS md FROM r JOIN w USING (doc_id) GROUP BY 1")
 def table_pad(t):
-    r = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.col("line").contains(" | ")).withColumn("cells", F.split("line", r" \| "))
-    g = r.groupBy("doc_id").agg(F.max(F.size("cells")).alias("w"), F.array_sort(F.collect_list(F.struct("i", "cells"))).alias("rows"))
-    row = lambda x: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(x["cells"], F.array_repeat(F.lit(""), (F.col("w") - F.size(x["cells"])).cast("int"))), lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    return g.select("doc_id", F.array_join(F.transform("rows", row), "\n").alias("md"))
+    """The lines with bars of a document as a table."""
+    rows = F.transform(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" | "))), lambda x: F.split(x, r" \| "))
+    return t("documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0).select("doc_id", X.markdown_table(F.col("rows")).alias("md"))
 
 
 @query("dedup_url_latest", "SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]*)', 1) ORDER BY page_id % 7 DESC, page_id DESC) = 1 AS kept FROM pages")
@@ -236,8 +234,7 @@ def results_distinct(t):
 
 @query("course_dedup", "SELECT p_brand, p_type, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3")
 def course_dedup(t):
-    p = t("part").select(F.struct("p_brand", "p_type", "p_size").alias("k"), "p_partkey")
-    return p.groupBy("k").agg(F.min("p_partkey").alias("p_partkey")).select("k.*", "p_partkey")
+    return D.by_signature(t("part"), ["p_brand", "p_type", "p_size"], "p_partkey")
 
 
 @query("frontier_merge", "WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS title, CAST(page_id // 10 AS VARCHAR) AS parent FROM pages) SELECT url, coalesce(arg_min(title, page_id) FILTER (WHERE title <> ''), '') AS title, array_to_string(list_sort(list(DISTINCT parent)), ',') AS parents FROM p GROUP BY 1")

@@ -77,8 +77,7 @@ def doc_attachments(t):
 
 @query("metadata_coalesce", "SELECT event_id, coalesce(nullif(props->>'$.title', ''), props->>'$.k', 'none') AS title, coalesce(TRY_CAST(props->>'$.k' AS BIGINT), -1) AS k FROM events")
 def metadata_coalesce(t):
-    get = lambda p: F.get_json_object("props", f"$.{p}")
-    return t("events").select("event_id", F.coalesce(F.nullif(get("title"), F.lit("")), get("k"), F.lit("none")).alias("title"), F.coalesce(get("k").try_cast("long"), F.lit(-1)).alias("k"))
+    return t("events").select("event_id", R.metadata_text("props", ["title", "k"], "none").alias("title"), R.metadata_long("props", ["k"], -1).alias("k"))
 
 
 #: Candidates: for every source as a query its documents in order, some blank.

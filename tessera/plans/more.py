@@ -10,6 +10,7 @@ from ..operators import admission as A
 from ..operators import config
 from ..operators import events as E
 from ..operators import rules as R
+from ..operators import timetable as T
 from ..operators.metrics import micros
 from ..sources import files as S
 from .evidence import PAGE, _plain, normalized
@@ -130,14 +131,14 @@ def attempt_log(t):
 
 @query("canary_export", "SELECT d.doc_id, d.source_id, a.attachment_id, 'doc-' || d.doc_id || '.md' AS file FROM kb_documents d LEFT JOIN kb_attachments a ON a.doc_id = d.doc_id AND a.ord = 1 WHERE d.review_status = 'ACCEPTED' AND NOT d.pii_detected")
 def canary_export(t):
-    d = t.kb_documents().where("review_status = 'ACCEPTED' and not pii_detected")
-    a = t.kb_attachments().where("ord = 1").select("doc_id", "attachment_id")
-    return d.join(a, "doc_id", "left").select("doc_id", "source_id", "attachment_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+    return A.export_rows(t.kb_documents(), t.kb_attachments())
 
 
-@query("timetable_valid", "SELECT p_brand, count(*) - count(DISTINCT p_partkey) AS repeated_ids, count(DISTINCT p_type) > 1 AS mixed_source, count(*) FILTER (WHERE p_size NOT BETWEEN 1 AND 45) AS out_of_range FROM part GROUP BY 1")
+@query("timetable_valid", "SELECT *, repeated_ids = 0 AND NOT mixed_source AND out_of_range = 0 AS valid FROM (SELECT p_brand, CAST(count(*) - count(DISTINCT p_partkey // 2) AS BIGINT) AS repeated_ids, count(DISTINCT p_type) > 1 AS mixed_source, count(*) FILTER (WHERE p_size NOT BETWEEN 1 AND 45) AS out_of_range FROM part GROUP BY 1)")
 def timetable_valid(t):
-    return t("part").groupBy("p_brand").agg((F.count("*") - F.countDistinct("p_partkey")).alias("repeated_ids"), (F.countDistinct("p_type") > 1).alias("mixed_source"), F.count_if(~F.col("p_size").between(1, 45)).alias("out_of_range"))
+    """Parts as rows of timetables, two of neighbouring keys with one id."""
+    p = t("part").withColumn("id", F.floor(F.col("p_partkey") / 2))
+    return T.snapshot_faults(p, "p_brand", "id", "p_type", F.col("p_size"), F.col("p_size"), 45)
 
 
 @query("mock_route", "SELECT conv_id, turn, CASE WHEN contains(lower(trim(text)), 'idiot') THEN 'mock_failure_test' WHEN contains(lower(text), 'worthless') THEN 'no_reliable_source' WHEN contains(text, 'with') THEN 'freshness_requires_official_search' ELSE 'no_retrieval_required_for_integration' END AS reason FROM conversations")

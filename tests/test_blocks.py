@@ -131,3 +131,56 @@ def test_titles_by_their_evidence(spark):
     df = spark.createDataFrame(rows, "raw string, a boolean, h string, o string")
     got = [tuple(r.t) for r in df.select(X.evidence_title(F.col("raw"), "^Welcome", F.col("a"), F.col("h"), F.col("o"), "-Site.*$").alias("t")).collect()]
     assert got == [("Real heading", "raw_html_heading"), ("Found", "attachment_first_heading"), ("old", "legacy_title"), ("old", "legacy_title"), ("", "legacy_title")]
+
+
+def test_titles_and_artifacts_are_normalised(spark):
+    title = X.normalized_title(F.col("t"), r"20\d\d-\d\d-\d\d\s+", r"\s*(?:Published|Updated)[:：]", r"[-_—]\s*The Site.*$")
+    rows = [("2024-01-02  Rules of 2024 - The Site News",), (" Rules Published: 2024 by x",), ("Updated: x",), (None,), ("2024-01-02",)]
+    assert [r.x for r in spark.createDataFrame(rows, "t string").select(title.alias("x")).collect()] == ["Rules of 2024", "Rules", "", None, "2024-01-02"]
+    cases = [("# old\r\nbody\r\n\n\n\nend \n", "New", False), ("# old\nbody", "New", True), ("# old", "New", None), ("# old\nx", "", False), ("no head\n\n\n\nx", "New", False)]
+    df = spark.createDataFrame(cases, "x string, t string, a boolean")
+    assert [r.y for r in df.select(X.normalized_artifact("x", F.col("t"), F.col("a")).alias("y")).collect()] == ["# New\nbody\n\nend", "# old\nbody", "# New", "# old\nx", "no head\n\nx"]
+
+
+def test_tables_equal_the_other_form(spark):
+    from tessera.operators.html import table_markdown
+
+    r = random.Random(3)
+    tables = [[], [[]], [["a|b"], ["c", "d"]]] + [[[r.choice(["x", "a|b", " y ", "", "two\nlines", "p\r\nq"]) for _ in range(r.randrange(0, 4))] for _ in range(r.randrange(1, 5))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(tables)), "i int, rows array<array<string>>")
+    got = {x.i: x.m for x in df.select("i", X.markdown_table(F.col("rows")).alias("m")).collect()}
+    assert got == {i: table_markdown(t) if any(t) else "" for i, t in enumerate(tables)}
+
+
+def test_clients_show_each_event_once_and_end(spark):
+    from tessera.operators import wire
+
+    known = {"run.started": "started", "message.delta": "text", "run.failed": "run_failed"}
+    wires = [
+        ("a", 0, 1, 1, "run.started"), ("a", 0, 2, 2, "message.delta"), ("a", 0, 3, 2, "message.delta"), ("a", 1, 1, 1, "run.started"), ("a", 1, 2, 3, "message.delta"), ("a", 1, 3, 4, "run.completed"), ("a", 1, 4, 5, "message.delta"),
+        ("b", 0, 1, 1, "run.started"), ("b", 1, 1, 2, "unknown"), ("c", 3, 1, 1, "message.delta"), ("d", 0, 1, 1, "run.failed"),
+    ]
+    df = spark.createDataFrame(wires, "k string, attempt int, ord int, id long, event_type string")
+    got = {}
+    for r in wire.client_events(df, "k", known, ["run.completed", "run.failed"]).orderBy("k", "n").collect():
+        got.setdefault(r.k, []).append((r.id, r.kind))
+    assert got == {"a": [(1, "started"), (2, "text"), (3, "text")], "b": [(1, "started"), (None, "run_failed")], "c": [(None, "run_failed")], "d": [(1, "run_failed")]}
+
+
+def test_checks_of_exports_caches_and_snapshots(spark):
+    from tessera.operators import dedup, timetable
+
+    e = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (2, "b", "y"), (3, "c", "z")], "id long, h string, lang string")
+    f = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, h string")
+    assert A.export_faults(e, f, "id", "h", ["lang"]).first().asDict() == {"duplicate_ids": 1, "duplicate_hashes": 1, "missing_files": 1, "hash_mismatches": 1, "missing_metadata": 1}
+    c = spark.createDataFrame([("k", 5, "old"), ("k", 9, "new"), ("e", 1, "x")], "key string, expires_at int, answer string")
+    q = spark.createDataFrame([("k",), ("e",), ("m",), (None,)], "key string")
+    assert {r.key: (r.hit, r.entry and r.entry.answer) for r in dedup.cached(q, c, "key", F.lit(4)).collect()} == {"k": (True, "new"), "e": (False, "x"), "m": (False, None), None: (False, None)}
+    assert not any(r.hit for r in dedup.cached(q, c, "key", F.lit(4), F.col("entry.answer") == "old").collect())
+    t = spark.createDataFrame([("s", 1, "a", 1, 2), ("s", 1, "a", 3, 3), ("v", 1, "a", 1, 9), ("w", 1, "a", 2, 1), ("w", 2, "b", 1, 1)], "s string, id long, src string, a int, b int")
+    got = {r.s: (r.repeated_ids, r.mixed_source, r.out_of_range, r.valid) for r in timetable.snapshot_faults(t, "s", "id", "src", F.col("a"), F.col("b"), 9).collect()}
+    assert got == {"s": (1, False, 0, False), "v": (0, False, 0, True), "w": (0, True, 1, False)}
+    rel = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 10)], "child_id long, parent_id long")
+    ok = spark.createDataFrame([(10,), (11,)], "doc_id long")
+    assert sorted(r.child_id for r in A.reviewed_attachments(rel, ok).collect()) == [1, 3]
+    assert sorted(r.child_id for r in A.reviewed_attachments(rel, ok, spark.createDataFrame([(1, 11), (3, 12)], "child_id long, parent_id long")).collect()) == [1]

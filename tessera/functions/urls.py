@@ -11,7 +11,7 @@ from .text import any_of, col
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "from", "share_token", "weixin", "wx", "sid", "sessionid", "phpsessid", "jsessionid", "aspxsessionid"]
 #: File types without text.
 SKIPPED = ["jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "ico", "mp3", "mp4", "avi", "mov", "wmv", "flv", "css", "js", "json", "woff", "woff2", "ttf", "eot", "swf", "exe", "dmg", "apk", "iso"]
-#: Fixed: parts of an address that tell of a file.
+#: Parts of an address that tell of a file.
 ATTACHMENT_HINTS = ["download", "attach", "upload", "file", "fujian", "getfile"]
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"

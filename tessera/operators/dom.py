@@ -23,27 +23,32 @@ from .html import expand, table_markdown
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SECTIONS = ("p", "div", "section", "article", "blockquote")
-#: Elements of which visible_blocks returns the text.
+#: Elements of which visible_blocks returns the text.
 BLOCKS = ("p", "li", "h1", "h2", "h3", "td")
-#: Elements without anything to read, for each kind of reading.
+#: Elements without anything to read.
 UNSEEN = ("script", "style", "noscript", "template")
-NOT_IN_BLOCKS = (*UNSEEN, "nav", "header", "footer", "form", "svg")
-NOT_IN_ARTICLES = (*UNSEEN, "iframe", "form", "input", "button")
+#: What is passed over when visible blocks are read.
+NOT_IN_BLOCKS = ("script", "style", "nav", "header", "footer", "form", "svg", "noscript", "template")
+#: What is left out of articles.
+NOT_IN_ARTICLES = ("script", "style", "noscript", "iframe", "form", "input", "button", "template")
+#: What counts as noise when a page is normalised.
 NOISE = (
-    *UNSEEN, "iframe", "svg", "canvas", "form", "input", "select", "textarea", "button",
-    *[f"[class*={x}]" for x in ("nav", "menu", "footer", "header", "friend", "link-list", "bread", "slide", "banner", "carousel", "share", "qrcode", "weixin", "comment", "stat", "counter")],
-    *[f"[id*={x}]" for x in ("nav", "menu", "footer", "friend")],
+    "script", "style", "noscript", "iframe", "svg", "canvas", "template", "form", "input", "select", "textarea", "button",
+    "[class*=nav]", "[class*=menu]", "[class*=footer]", "[class*=header]", "[class*=friend]", "[class*=link-list]", "[class*=bread]",
+    "[id*=nav]", "[id*=menu]", "[id*=footer]", "[id*=friend]",
+    "[class*=slide]", "[class*=banner]", "[class*=carousel]", "[class*=share]", "[class*=qrcode]", "[class*=weixin]", "[class*=comment]", "[class*=stat]", "[class*=counter]",
 )
-#: Where a page's main text is looked for: those that need only some text, then those that
-#: need more than 200 code points of it.
+#: Where a page's main text is looked for; those that need only some text, then
+#: those that need more than 200 code points of it.
 NAMED = (".TRS_Editor", ".TRS_UEDITOR", ".v_news_content", "#vsb_content")
-LIKELY = (*[f"[{a}*={x}]" for a in ("class", "id") for x in ("content", "article", "detail")], "article", "main")
-#: Bodies of articles in the order in which they are tried, and those tried after them.
+LIKELY = ("[class*=content]", "[class*=article]", "[class*=detail]", "[id*=content]", "[id*=article]", "[id*=detail]", "article", "main")
+#: Bodies of articles in the order in which they are tried, then the last resorts.
 ARTICLES = (
     "#editor1", "#bfArticleContent", ".TRS_Editor", ".TRS_UEDITOR", "#vsb_content_2", "#vsb_content", ".v_news_content", ".article_content", ".news-content",
     ".article-content", ".newsDetail", ".news_detail", ".detail-content", ".content-detail", ".detail_con", ".guide-section",
 )
 LAST_RESORT = (".text", ".nr", ".con", ".detail", ".content")
+#: Where titles and dates stand, and what a date looks like.
 TITLE_METAS = ("ArticleTitle", "article:title", "og:title")
 TITLE_NODES = (".article_title", ".arti_title", ".news_title", "h1", "h2", "h3", "title")
 DATE_METAS = ("publishdate", "pubdate", "publish_date", "article:published_time", "date")
@@ -471,7 +476,7 @@ def anchors(nodes: Column | str, found: Column, base: Column | str) -> Column:
 
 def article(pages: DataFrame, key: str, hint: Column | str, extensions: Sequence[str], generic: str | None = None, image: str = "image", hints: Sequence[str] = DATE_HINTS, title_rule=lambda c: c, pattern: str = DATE, selectors: Sequence[str] = ARTICLES) -> DataFrame:  # noqa: ANN001
     """key, title, clean_content, published_at, quality_flags, attachment_links (url,
-    filename) and parser of pages (key, url, nodes): the article that a page holds. The hint
+    filename) and parser of pages (key, url, nodes, parsed with drop=NOT_IN_ARTICLES): the article that a page holds. The hint
     stands for a title that the page lacks. Without a body the content is empty: the whole
     page is never taken for one."""
     p = pages.withColumn("_found", elements("nodes"))

@@ -189,7 +189,12 @@ def latest_by_question(t):
     return A.latest_by_tag(eligible(t), "doc_id", "tags", ["n_chars"])
 
 
-@query("greedy_cover")
+@query("greedy_cover", ELIG.replace("WITH ", "WITH RECURSIVE ", 1) + """, best_of AS (SELECT topic, list_sort(tags) AS tags, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id, max(n_chars) AS n FROM e WHERE len(tags) > 0 GROUP BY topic, list_sort(tags)),
+all_tags AS (SELECT topic, list(DISTINCT tag) AS missing FROM (SELECT topic, unnest(tags) AS tag FROM best_of) GROUP BY 1),
+rounds AS (SELECT b.topic, b.tags, b.id, b.n, a.missing, CAST([] AS BIGINT[]) AS past, 0 AS pick, 0::BIGINT AS gain, false AS taken FROM best_of b JOIN all_tags a USING (topic)
+UNION ALL SELECT topic, tags, id, n, list_filter(missing, lambda x: NOT list_contains(best, x)), list_prepend(now, past), pick + 1, now, r = 1
+FROM (SELECT *, row_number() OVER w AS r, first_value(tags) OVER w AS best FROM (SELECT *, len(list_intersect(tags, missing)) AS now FROM rounds WHERE NOT taken AND len(missing) > 0) WINDOW w AS (PARTITION BY topic ORDER BY now DESC, n DESC, past DESC, id DESC)))
+SELECT topic, id, CAST(pick AS INTEGER) AS pick, CAST(gain AS INTEGER) AS gain FROM rounds WHERE taken""")
 def greedy_cover(t):
     return A.greedy_cover(eligible(t), "topic", "doc_id", "tags", ["n_chars"])
 
@@ -312,7 +317,10 @@ def cascade_delete(t):
     return a.union(b.select(F.lit("relations"), "n"))
 
 
-@query("orphan_prune")
+@query("orphan_prune", NOISE.replace("WITH ", "WITH RECURSIVE ", 1) + """, kids AS (SELECT DISTINCT r.child_id, r.parent_id FROM relations r JOIN z ON z.doc_id = r.child_id WHERE z.doc_id % 4 = 1),
+rounds AS (SELECT 0 AS n, doc_id, reason IS NOT NULL AS removed, doc_id % 4 = 1 AS is_attachment, reason IS NOT NULL OR (doc_id % 4 = 1 AND doc_id NOT IN (SELECT child_id FROM kids)) AS gone FROM z WHERE doc_id % 4 = 1 OR reason IS NOT NULL
+UNION ALL SELECT c.n + 1, c.doc_id, c.removed, c.is_attachment, c.gone OR (c.is_attachment AND bool_and(coalesce(p.gone, false))) FROM rounds c LEFT JOIN kids k ON k.child_id = c.doc_id LEFT JOIN rounds p ON p.doc_id = k.parent_id WHERE c.n < 25 GROUP BY c.n, c.doc_id, c.removed, c.is_attachment, c.gone)
+SELECT doc_id FROM rounds WHERE n = 25 AND gone AND NOT removed""")
 def orphan_prune(t):
     d = noise(t)
     return A.prune_orphans(d.select("doc_id", "is_attachment"), t.relations(), d.where("reason is not null").select("doc_id"))

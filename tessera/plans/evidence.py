@@ -275,7 +275,7 @@ def html_normalize(t):
 
 @query("parse_html", _plain(PAGE + f"SELECT page_id, {_TITLE.replace("ELSE ''", "ELSE url")} AS title, 'html:article' AS parser, 'publication_date_unknown' AS flags, length(c) AS chars, sha256(c) AS content_sha FROM (SELECT page_id, url, html, plain(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(art, '<h1>([^<]*)</h1>', chr(10) || chr(10) || '## \\1' || chr(10) || chr(10)), '<br>', chr(10), 'g'), '</?(?:p|ul|li|div)>', chr(10) || chr(10), 'g'), '</?[a-z]+[^>]*>', '', 'g'), '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS c FROM main)"))
 def parse_html(t):
-    p = D.article(D.dom(t("pages")), "page_id", "url", ["pdf", "docx", "xlsx", "zip"], selectors=(*D.ARTICLES, "article"))
+    p = D.article(D.dom(t("pages"), drop=D.NOT_IN_ARTICLES), "page_id", "url", ["pdf", "docx", "xlsx", "zip"], selectors=(*D.ARTICLES, "article"))
     return p.select("page_id", "title", "parser", F.array_join("quality_flags", "|").alias("flags"), F.char_length("clean_content").alias("chars"), F.sha2("clean_content", 256).alias("content_sha"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import any_of, col
+from .text import any_of, col, let
 
 #: Parameters that only track visits.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "from", "share_token", "weixin", "wx", "sid", "sessionid", "phpsessid", "jsessionid", "aspxsessionid"]
@@ -167,21 +167,28 @@ def resolved(base: Column | str, href: Column | str) -> Column:
     """A link as an absolute URL: `.` and `..` of its path are followed, its query and
     fragment kept, those of the base left. '' for an empty link and for those that lead to no
     page (scripts, mail, phone, inline data, places in the same page)."""
-    base, h = col(base), F.regexp_replace(col(href), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    trimmed = F.regexp_replace(col(href), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return let(F.struct(col(base).alias("base"), trimmed.alias("href")), lambda x: _resolved(x["base"], x["href"]))
+
+
+def _resolved(base: Column, h: Column) -> Column:
     root = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
     above = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    p = F.regexp_extract(h, r"^[^?#]*", 0)
-    tail = F.substr(h, F.char_length(p) + 1)
-    whole = F.when(p == "", above).when(p.startswith("/"), p).otherwise(F.concat(F.regexp_replace(above, "[^/]*$", ""), p))
-    parts = F.split(F.regexp_replace(whole, "^/", ""), "/")
     up = lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.concat(seen, F.array(x)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), up)
-    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    full = F.concat(root, F.when(whole == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"))), tail)
+
+    def walked(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), up)
+        return F.array_join(F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+
+    def joined(p: Column) -> Column:
+        whole = F.when(p == "", above).when(p.startswith("/"), p).otherwise(F.concat(F.regexp_replace(above, "[^/]*$", ""), p))
+        way = let(whole, lambda w: F.when(w == "", "").otherwise(F.concat(F.lit("/"), let(F.split(F.regexp_replace(w, "^/", ""), "/"), walked))))
+        return F.concat(root, way, F.substr(h, F.char_length(p) + 1))
+
     return (
         F.when(F.coalesce(h, F.lit("")) == "", "").when(h.rlike("^(?:javascript:|mailto:|tel:|data:|#)"), "")
         .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:", 0), h))
-        .when(root == "", h).otherwise(full)
+        .when(root == "", h).otherwise(let(F.regexp_extract(h, r"^[^?#]*", 0), joined))
     )
 
 

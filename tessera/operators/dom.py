@@ -314,21 +314,22 @@ def lines_tidied(c: Column) -> Column:
     return X.tidy(F.regexp_replace(c, " ?\n ?", "\n"), strict=True)
 
 
+#: What is told of a container.
+_BOX = ("open", "close", "in_a", "in_table", "in_li", "in_h")
+
+
 def main_container(found: Column, named: Sequence[str] = NAMED, likely: Sequence[str] = LIKELY, least: int = 200) -> Column:
     """The element that holds the main text, as selector, open, close: of each selector in
     turn the first element, if it has text (for likely ones, more than `least` code points);
     else the first of the longest div, td or section; else the body, or the whole page."""
-    box = lambda n, how: F.struct(how.alias("selector"), n.open.alias("open"), n.close.alias("close"), n.in_a.alias("in_a"), n.in_table.alias("in_table"), n.in_li.alias("in_li"), n.in_h.alias("in_h"))
+    box = lambda n, how: F.struct(F.lit(how).alias("selector"), *[n[c].alias(c) for c in _BOX])
     tries = []
     for s, floor in [(s, 0) for s in named] + [(s, least) for s in likely]:
-        n = _first(found, [s])
-        tries.append(F.when(length(n) > floor, box(n, F.lit(s))))
+        tries.append(X.let(_first(found, [s]), lambda n: F.when(length(n) > floor, box(n, s))))  # noqa: B023
     wide = F.filter(found, lambda n: n.tag.isin("div", "td", "section") & (n.chars > 0))
-    longest = F.array_max(F.transform(wide, lambda n: F.struct(length(n).alias("size"), (-n.open).alias("less"))))
-    n = F.get(F.filter(wide, lambda x: x.open == -longest.less), 0)
-    tries.append(F.when(longest.isNotNull(), box(n, F.lit("longest"))))
-    whole = F.coalesce(_first(found, ["body"]), F.get(found, 0))
-    return F.coalesce(*tries, box(whole, F.lit("body")))
+    best = lambda w: X.let(F.array_max(F.transform(w, lambda n: F.struct(length(n).alias("size"), (-n.open).alias("less")))), lambda m: F.get(F.filter(w, lambda x: x.open == -m.less), 0))
+    tries.append(X.let(wide, lambda w: X.let(best(w), lambda n: F.when(n.isNotNull(), box(n, "longest")))))
+    return F.coalesce(*tries, X.let(F.coalesce(_first(found, ["body"]), F.get(found, 0)), lambda n: box(n, "body")))
 
 
 def article_container(found: Column, selectors: Sequence[str] = ARTICLES, last: Sequence[str] = LAST_RESORT) -> Column:
@@ -336,15 +337,15 @@ def article_container(found: Column, selectors: Sequence[str] = ARTICLES, last:
     resort; null if there is none. Each selector's first element is taken if it has text or
     an image; then, of the last resorts, the first element with more than 150 code points,
     without a nav and with fewer than 12 links."""
-    box = lambda n, how, late: F.struct(F.lit(how).alias("selector"), n.open.alias("open"), n.close.alias("close"), n.in_a.alias("in_a"), n.in_table.alias("in_table"), n.in_li.alias("in_li"), n.in_h.alias("in_h"), F.lit(late).alias("fallback"))
+    box = lambda n, how, late: F.struct(F.lit(how).alias("selector"), *[n[c].alias(c) for c in _BOX], F.lit(late).alias("fallback"))
     inside = lambda n, tag: F.filter(found, lambda x: (x.tag == tag) & (x.open > n.open) & (x.close < n.close))
     tries = []
     for s in selectors:
-        n = _first(found, [s])
-        tries.append(F.when((n.chars > 0) | (F.size(inside(n, "img")) > 0), box(n, s, False)))
+        tries.append(X.let(_first(found, [s]), lambda n: F.when((n.chars > 0) | (F.size(inside(n, "img")) > 0), box(n, s, False))))  # noqa: B023
     for s in last:
-        n = F.get(F.filter(F.filter(found, lambda n: matches(n, s) & (n.chars > 150)), lambda n: (F.size(inside(n, "nav")) == 0) & (F.size(inside(n, "a")) < 12)), 0)  # noqa: B023
-        tries.append(F.when(n.isNotNull(), box(n, s, True)))
+        long = F.filter(found, lambda n: matches(n, s) & (n.chars > 150))  # noqa: B023
+        n = F.get(F.filter(long, lambda n: (F.size(inside(n, "nav")) == 0) & (F.size(inside(n, "a")) < 12)), 0)
+        tries.append(X.let(n, lambda n: F.when(n.isNotNull(), box(n, s, True))))  # noqa: B023
     return F.coalesce(*tries)
 
 
@@ -396,12 +397,16 @@ def markdown_full(nodes: Column | str, box: Column, base: Column | str, image: s
     def piece(n: Column) -> Column:
         tag = F.regexp_replace(n.tag, "^/", "")
         inner = F.array_join(F.transform(F.slice(nodes, n.open + 1, n.close - n.open + 1), inline), "")
-        address = U.resolved(base, attribute(n, "href"))
-        linked = F.concat(F.lit("["), lines_tidied(inner), F.lit("]("), address, F.lit(")"))
+
+        def link(x: Column) -> Column:
+            full = x["address"].rlike("^https?:") & (attribute(n, "href") != "") & (x["words"] != "")
+            return F.when(full, F.concat(F.lit("["), x["words"], F.lit("]("), x["address"], F.lit(")"))).otherwise(x["inner"])
+
+        linked = X.let(inner, lambda i: X.let(F.struct(i.alias("inner"), lines_tidied(i).alias("words"), U.resolved(base, attribute(n, "href")).alias("address")), link))
         return (
             F.when((n.in_table > box.in_table) | (n.in_a > box.in_a), "")
             .when(n.tag == "table", F.concat(F.lit("\n\n"), n.text, F.lit("\n\n")))
-            .when(n.tag == "a", F.when(address.rlike("^https?:") & (attribute(n, "href") != "") & (lines_tidied(inner) != ""), linked).otherwise(inner))
+            .when(n.tag == "a", linked)
             .when(n.tag.isin(*HEADINGS), F.concat(F.lit("\n\n"), _marks(n.tag), F.lit(" ")))
             .when(n.tag == "li", "\n- ")
             .when(n.tag == "/li", "\n")
@@ -432,20 +437,21 @@ def title(nodes: Column | str, found: Column, generic: str | None = None, metas:
     in turn the text, if it has `least` code points and doesn't begin with the pattern
     `generic`; else ''. At most `most` code points."""
     tries = [F.get(F.transform(_meta(found, metas), cleaned), 0)]
+    fits = lambda w: (F.char_length(w) >= least) & ~w.rlike(f"^(?:{generic})") if generic else F.char_length(w) >= least
     for s in selectors:
-        n = _first(found, [s])
-        words = cleaned(text_of(subtree(nodes, n)))
-        ok = F.char_length(words) >= least
-        tries.append(F.when(ok & ~words.rlike(f"^(?:{generic})") if generic else ok, words))
+        words = X.let(_first(found, [s]), lambda n: cleaned(text_of(subtree(nodes, n))))
+        tries.append(X.let(words, lambda w: F.when(fits(w), w)))
     return F.substring(F.coalesce(*tries, F.lit("")), 1, most)
 
 
 def day(text: Column, pattern: str = DATE) -> Column:
     """The first date of a text as yyyy-MM-dd; '' if it isn't in the calendar, null without
     one."""
-    part = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    found = F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")).try_cast("date")
-    return F.when(part[0] != "", F.coalesce(F.date_format(found, "yyyy-MM-dd"), F.lit("")))
+    def told(p: Column) -> Column:
+        found = F.concat_ws("-", p["y"], F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")).try_cast("date")
+        return F.when(p["y"] != "", F.coalesce(F.date_format(found, "yyyy-MM-dd"), F.lit("")))
+
+    return X.let(text, lambda t: X.let(F.struct(*[F.regexp_extract(t, pattern, i).alias(c) for i, c in ((1, "y"), (2, "m"), (3, "d"))]), told))
 
 
 def after_hint(text: Column, hints: Sequence[str] = DATE_HINTS, pattern: str = DATE, width: int = 80) -> Column:
@@ -459,7 +465,7 @@ def published(nodes: Column | str, found: Column, hints: Sequence[str] = DATE_HI
     whose class or id tells of a time or date. Null without any; '' for a day that isn't in the calendar."""
     whole = text_of(X.col(nodes), "\n")
     metas = F.filter(F.transform(_meta(found, DATE_METAS), lambda c: day(c, pattern)), lambda d: d.isNotNull())
-    near = after_hint(whole, hints, pattern, width)
+    near = X.let(whole, lambda w: after_hint(w, hints, pattern, width))
     small = F.filter(found, lambda n: X.any_of([matches(n, s) for s in DATE_NODES]) & (n.chars > 0) & (length(n) <= 40))
     days = F.filter(F.transform(small, lambda n: day(cleaned(text_of(subtree(nodes, n))), pattern)), lambda d: d.isNotNull())
     return F.coalesce(F.get(metas, 0), near, F.get(days, 0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import SPACE, any_of, canonical_text, compact, first_match
+from ..functions.text import SPACE, any_of, canonical_text, compact, first_match, ignoring_case
 
 Rules = list[tuple[str, str]]
 
@@ -52,7 +52,7 @@ def topic(df: DataFrame, title: str, text: str, role: str, rules: Rules, intro:
     the start of the text unless the role rules that out; `several` if more than one was met,
     and under the name `hits`, if given, all that were. Title and start are columns of their
     own before the rules are tried, so each is made once and only where it is needed."""
-    names = lambda c: F.array_compact(F.array(*[F.when(matches(F.col(c), p, "i"), F.lit(n)) for n, p in rules]))
+    names = lambda c: F.array_compact(F.array(*[F.when(F.col(c).rlike(ignoring_case(p)), F.lit(n)) for n, p in rules]))
     df = df.withColumn("_head", compact(F.col(title))).withColumn("_t", names("_head"))
     wanted = (F.size("_t") == 0) & ~F.coalesce(F.col(role).isin(*skip), F.lit(False))
     df = df.withColumn("_intro", F.when(wanted, compact(F.substring(canonical_text(text), 1, intro))))

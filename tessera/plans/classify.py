@@ -96,9 +96,12 @@ def quality_flags(t):
     return t("documents").select("doc_id", F.array_join(R.flags(*rules, ("too_short", F.col("n_chars") < 120)), ",").alias("flags"))
 
 
+COLLEGES = ["tion", "keit", "ción"]
+
+
 @query("college_infer", "SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'tion' WHEN contains(text, 'keit') THEN 'keit' WHEN contains(text, 'ción') THEN 'ción' END AS college FROM documents")
 def college_infer(t):
-    return t("documents").select("doc_id", R.infer_by_list(F.col("text"), ["tion", "keit", "ción"]).alias("college"))
+    return t("documents").select("doc_id", R.infer_by_list(F.col("text"), COLLEGES).alias("college"))
 
 
 #: Well-formed ids with right and wrong check digits beside order keys.
@@ -199,12 +202,16 @@ def greedy_cover(t):
     return A.greedy_cover(eligible(t), "topic", "doc_id", "tags", ["n_chars"])
 
 
-@query("capped_extras", ELIG + ", f AS (SELECT topic, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM e GROUP BY 1), l AS (SELECT arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM (SELECT doc_id, n_chars, unnest(tags) AS tag FROM e) GROUP BY tag), x AS (SELECT e.topic, e.doc_id, row_number() OVER (PARTITION BY e.topic ORDER BY n_chars DESC, e.doc_id DESC) AS n FROM e WHERE doc_id NOT IN (SELECT id FROM f) AND doc_id IN (SELECT id FROM l)) SELECT topic, id, 'cover' AS kind FROM f UNION ALL SELECT topic, doc_id, 'extra' FROM x WHERE n <= CASE WHEN topic = 'scholarship' THEN 31 ELSE 11 END")
+@query("capped_extras", ELIG + ", f AS (SELECT topic, arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM e GROUP BY 1), l AS (SELECT arg_max(doc_id, struct_pack(a := n_chars, b := doc_id)) AS id FROM (SELECT doc_id, n_chars, unnest(tags) AS tag FROM e) GROUP BY tag), x AS (SELECT e.topic, e.doc_id, row_number() OVER (PARTITION BY e.topic ORDER BY n_chars DESC, e.doc_id DESC) AS n FROM e WHERE doc_id NOT IN (SELECT id FROM f) AND (doc_id IN (SELECT id FROM l) OR (e.topic = 'scholarship' AND doc_id IN (SELECT doc_id FROM documents WHERE contains(text, 'tion') OR contains(text, 'keit') OR contains(text, 'ción'))))) SELECT topic, id, 'cover' AS kind FROM f UNION ALL SELECT topic, doc_id, 'extra' FROM x WHERE n <= CASE WHEN topic = 'scholarship' THEN 31 ELSE 11 END")
 def capped_extras(t):
-    e = eligible(t)
+    """Extras are the latest for a question; in the topic with the larger cap also what a
+    college says of itself. Documents have no date, so all years count."""
+    college = t("documents").where(R.infer_by_list(F.col("text"), COLLEGES).isNotNull()).select("doc_id", F.lit(True).alias("of_college")).distinct()
+    e = settle(eligible(t).join(college, "doc_id", "left"))
     cover = e.groupBy("topic").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("id"))
     latest = A.latest_by_tag(e, "doc_id", "tags", ["n_chars"])
-    return A.capped_extras(e, cover, latest, "topic", "doc_id", [F.desc("n_chars"), F.desc("doc_id")], F.when(F.col("topic") == "scholarship", 32).otherwise(12), 32)
+    wide = F.col("topic") == "scholarship"
+    return A.capped_extras(e, cover, latest, "topic", "doc_id", [F.desc("n_chars"), F.desc("doc_id")], F.when(wide, 32).otherwise(12), 32, wide & F.col("of_college"))
 
 
 @query("accept_split", ELIG + "SELECT d.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN 'ACCEPTED' ELSE 'REVIEW' END AS status FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")

@@ -80,3 +80,12 @@ def test_office_files_beyond_the_budget_are_not_inflated():
         z.writestr("word/document.xml", b"<x>" + b" " * 5_000_000 + b"</x>")
     assert files.file_text("a.docx", out.getvalue()) == ("", "parse_failure")
     assert files.file_text("a.xlsx", out.getvalue()) == ("", "parse_failure")
+
+
+def test_extras_may_be_wanted_for_another_reason(spark):
+    docs = spark.createDataFrame([(i, "t" if i % 2 else "u", i, "c" if i > 3 else None) for i in range(10)], "id long, topic string, n long, college string")
+    cover = spark.createDataFrame([("t", 9)], "topic string, id long")
+    latest = spark.createDataFrame([("q", 8), ("r", 1)], "tag string, latest_id long")
+    also = (F.col("topic") == "t") & F.col("college").isNotNull()
+    got = A.capped_extras(docs, cover, latest, "topic", "id", [F.desc("n")], F.lit(4), 12, also)
+    assert sorted((r.kind, r.id) for r in got.collect()) == [("cover", 9), ("extra", 1), ("extra", 5), ("extra", 7), ("extra", 8)]

@@ -31,9 +31,12 @@ def run_state(events: DataFrame) -> DataFrame:
     term = F.min(F.when(kind.isin(TERMINAL), F.struct("sequence", "event_type")))
     last = F.max_by("event_type", "sequence")
     g = events.groupBy("run_id").agg(term.alias("t"), last.alias("l"), F.count("*").alias("events"))
-    name = F.col("l")
-    state = F.when(F.col("t.event_type") == "run.completed", "COMPLETED").when(F.col("t.event_type") == "run.cancelled", "CANCELLED").when(F.col("t").isNotNull(), "FAILED").when(name == "route.resolved", "RETRIEVING").when(name.isin("message.delta", "message.completed"), "GENERATING").otherwise("ROUTING")
-    return g.select("run_id", state.alias("state"), "events")
+    return g.select("run_id", state_of(F.col("t.event_type"), F.col("l")).alias("state"), "events")
+
+
+def state_of(end: Column, last: Column) -> Column:
+    """The state of a run by its first terminal event (null: none) and its last event."""
+    return F.when(end == "run.completed", "COMPLETED").when(end == "run.cancelled", "CANCELLED").when(end.isNotNull(), "FAILED").when(last == "route.resolved", "RETRIEVING").when(last.isin("message.delta", "message.completed"), "GENERATING").otherwise("ROUTING")
 
 
 def state_name(end: str | None, last: str) -> str:

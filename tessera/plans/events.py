@@ -184,7 +184,7 @@ def stream_tumbling(t):
 @query("stream_terminal_once", f"SELECT run_id, min(sequence) AS sequence FROM run_events WHERE event_type IN {TERM} GROUP BY 1")
 def stream_terminal_once(t):
     """First terminal event of each run from a stream with state."""
-    told = S.run_to_end(S.terminal_once(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "append")
+    told = S.run_to_end(S.first_terminals(S.run_events(S.source(t.spark, t.path, "events"))), "stream_terminal_once", "update")
     return S.settled_terminals(told)
 
 
@@ -217,7 +217,8 @@ def stream_login_limit(t):
 @query("stream_run_state", f"WITH {SEEN} t AS (SELECT run_id, min(sequence) AS s FROM run_events WHERE event_type IN {TERM} GROUP BY 1), g AS (SELECT e.run_id, max(CASE WHEN e.sequence = t.s THEN e.event_type END) AS te, arg_max(e.event_type, e.sequence) AS l, count(*) AS events, max(epoch_us(created_at)) AS last_us FROM run_events e LEFT JOIN t USING (run_id) GROUP BY 1) SELECT run_id, events, CASE WHEN te = 'run.completed' THEN 'COMPLETED' WHEN te = 'run.cancelled' THEN 'CANCELLED' WHEN te IS NOT NULL OR last_us + 172800000000 <= mark THEN 'FAILED' WHEN l = 'route.resolved' THEN 'RETRIEVING' WHEN l IN ('message.delta', 'message.completed') THEN 'GENERATING' ELSE 'ROUTING' END AS state, CASE WHEN te IS NULL AND last_us + 172800000000 <= mark THEN 'server_restarted' END AS code FROM g, w")
 def stream_run_state(t):
     """States of runs from a stream; one that was silent for two days has failed."""
-    return ST.settled_states(S.run_to_end(ST.run_states(_timed(t), "2 days", "1 day"), "stream_run_state", "update"))
+    parts = S.run_parts(S.run_events(S.source(t.spark, t.path, "events")), "1 day")
+    return S.settled_runs(S.run_to_end(parts, "stream_run_state", "update"), "2 days", "1 day")
 
 
 @query("event_append", "SELECT message_id, (SELECT max(sequence) FROM run_events) + row_number() OVER (ORDER BY session_id, turn) AS sequence FROM messages")

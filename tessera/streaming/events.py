@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.events import state_of
 from ..operators.metrics import micros
 from ..sources.tables import checkpoint_folder, kept_in_scope
 from .state import rocksdb
@@ -74,6 +75,42 @@ def terminal_once(events: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.groupBy("run_id").applyInPandasWithState(first, "run_id string, sequence long", "sequence long, at_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def first_terminals(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The same as rows of a streaming aggregate (mode update), for many runs: a window of
+    `late` of a run has a row of its own, sent again when its smallest terminal sequence
+    changes; settled_terminals() takes the smallest of all. State is let go with the window, once
+    terminal events have moved the watermark past it."""
+    only = events.where(F.col("event_type").isin(TERMINAL)).withWatermark("created_at", late)
+    return only.groupBy("run_id", F.window("created_at", late)).agg(F.min("sequence").alias("sequence")).select("run_id", "sequence")
+
+
+def run_parts(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """What is known of each run in each window of `late`, as rows of a streaming aggregate
+    (mode update), sent again with every batch that has events of it: the first terminal event
+    (sequence and kind, or null), the last event, how many there were, and the time of the
+    latest. settled_runs() puts a run's windows together; state is let go with the window.
+    events: run_id, sequence, event_type, created_at."""
+    one = F.struct("sequence", "event_type")
+    g = events.withWatermark("created_at", late).groupBy("run_id", F.window("created_at", late).alias("w")).agg(
+        F.min(F.when(F.col("event_type").isin(TERMINAL), one)).alias("end"), F.max(one).alias("last"), F.count("*").alias("events"), F.max(F.unix_micros("created_at")).alias("at_us"),
+    )
+    return g.select("run_id", F.unix_micros("w.start").alias("start_us"), "end", "last", "events", "at_us")
+
+
+def settled_runs(told: DataFrame, silent: str, late: str = "1 day") -> DataFrame:
+    """run_id, state, events, code of what run_parts() has sent. A run without a terminal event
+    has failed with the code server_restarted once the watermark, which is `late` behind the
+    latest event of all, is `silent` past its last one."""
+    us = lambda span: int(pd.Timedelta(span).total_seconds() * 1_000_000)
+    now = F.max_by(F.struct("end", "last", "events", "at_us"), "events")
+    parts = told.groupBy("run_id", "start_us").agg(now.alias("p")).select("run_id", "p.*")
+    runs = parts.groupBy("run_id").agg(F.min("end").alias("end"), F.max("last").alias("last"), F.sum("events").alias("events"), F.max("at_us").alias("at_us"))
+    mark = told.agg((F.max("at_us") - us(late)).alias("mark_us"))
+    dead = F.col("end").isNull() & (F.col("at_us") + us(silent) <= F.col("mark_us"))
+    state = F.when(dead, "FAILED").otherwise(state_of(F.col("end.event_type"), F.col("last.event_type")))
+    return runs.join(F.broadcast(mark)).select("run_id", state.alias("state"), "events", F.when(dead, "server_restarted").alias("code"))
+
+
 def settled_terminals(told: DataFrame) -> DataFrame:
     """What terminal_once() has sent, with the row that counts of each run."""
     return told.groupBy("run_id").agg(F.min("sequence").alias("sequence"))

@@ -70,7 +70,8 @@ def near_words(words: DataFrame) -> DataFrame:
     )
     rows = under.withColumn("_half", F.explode(halves)).select("word", "n", "_less", "_key", "_size", F.col("_half.side").alias("_side"), F.col("_half.half").alias("_half"))
     a = rows.where(one).alias("a")
-    b = rows.alias("b")
+    # Spark takes exploded rows to be as many as before; a broadcast of them would fill the driver
+    b = rows.hint("merge").alias("b")
     met = a.join(b, ["_key", "_size", "_side", "_half"]).where((F.col("b._less") == "") | (F.col("a._less") < F.col("b._less")))
     first = F.substring("a.word", F.lit(1), before) == F.substring("b.word", F.lit(1), before)
     found = met.where((F.col("_side") == 0) | ~first).where(F.levenshtein("a.word", "b.word", 1) == 1)
@@ -87,7 +88,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = settle(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("_further"))
-        now = settle(now.select("word", "root").join(ahead, "root", "left").select("word", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("_moved")))
+        now = settle(now.select("word", "root").join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("_moved")))
         if now.where("_moved").isEmpty():
             return now.select("word", "root")
 
@@ -103,7 +104,7 @@ def variants(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = M
     words = settle(vocabulary(docs, min_letters, min_count, one_in))
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("_best"))
     enough = -F.col("_best.less") >= F.col("n") * factor
-    known = settle(words.join(best, "word", "left").select(
+    known = settle(words.join(best.hint("merge"), "word", "left").select(
         "word",
         F.when(enough, F.col("_best.form")).alias("form"),
         "n",
@@ -111,7 +112,7 @@ def variants(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = M
         F.when(enough, -F.col("_best.less")).alias("form_n"),
     ))
     ends = roots(known.where(F.col("form").isNotNull()))
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: The same rows for DuckDB. Its crc32 is written out over the bytes of the string; letters

@@ -9,10 +9,11 @@ a whole node once they pass d. A group hands on a spanning forest of its links,
 its pairs; components of the forests over all groups are the result.
 
 near_copies() is the form for a similarity of shingle sets. At a Jaccard similarity of
-0.8 two fingerprints differ in about 10 of 64 bits, far beyond what blocks of the
-fingerprint can deal out. There the groups come from bands of minimum hashes, the
-fingerprints of a large group say which set its others are tried with first (the Gray
-order breaks ties), and every link is checked on the whole sets of shingles."""
+0.8 two fingerprints differ in about 15 of 100 bits, far beyond what blocks of the
+fingerprint can deal out. There fingerprints are longer, and the bits with the clearest
+majorities, which near copies seldom tell apart, deal them out: once for each of several
+rotations of the counts behind the fingerprint. One Gray-order index over a run of
+groups finds the links in each, and every link is checked on the whole sets of shingles."""
 
 from __future__ import annotations
 
@@ -79,11 +80,16 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over distinct patterns sorted by Gray rank."""
+    """Hierarchical index over patterns sorted by Gray rank; with groups (ascending numbers),
+    by group and rank: then only patterns of one group are linked."""
 
-    def __init__(self, patterns: np.ndarray, page: int = PAGE, fan: int = FAN) -> None:
-        self.order = np.argsort(gray_rank(patterns), kind="stable")
+    def __init__(self, patterns: np.ndarray, page: int = PAGE, fan: int = FAN, group: np.ndarray | None = None) -> None:
+        group = np.zeros(len(patterns), np.int64) if group is None else group
+        self.order = np.lexsort((gray_rank(patterns), group))
         self.leaf = patterns[self.order]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        many = np.diff(np.append(first, len(group)))
+        self.ends, self.longest = np.repeat(first + many, many), int(many.max())
         self.page, self.fan, self.levels = page, fan, []
         step = page
         ones, zeros = self.leaf, ~self.leaf
@@ -101,47 +107,60 @@ class GrayIndex:
 
     def links(self, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places a < b in self.leaf of all patterns within the distance."""
-        n = len(self.leaf)
+        n, ends = len(self.leaf), self.ends
+        top = next((i for i in range(len(self.levels)) if self.page * self.fan**i >= self.longest), len(self.levels) - 1)
         for lo in range(0, n, block):
             q = np.arange(lo, min(n, lo + block))
-            node, off = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-            for level in range(len(self.levels) - 1, -1, -1):
+            q = q[q + 1 < ends[q]]
+            # a group meets at most two nodes of the level where the search begins
+            span = self.page * self.fan**top
+            node = (q[:, None] + 1) // span + np.arange(2)
+            keep = node * span < ends[q][:, None]
+            q, node = np.repeat(q, keep.sum(1)), node[keep]
+            off = np.zeros(len(q), np.int64)
+            for level in range(top, -1, -1):
                 shared, ones, own = self.levels[level]
-                if level < len(self.levels) - 1:
+                if level < top:
                     kids = node[:, None] * self.fan + np.arange(self.fan)
                     span = self.page * self.fan**level
-                    keep = (kids < len(ones)) & ((kids + 1) * span > q[:, None])
+                    keep = (kids * span < ends[q][:, None]) & ((kids + 1) * span > q[:, None] + 1)
                     q, off, node = np.repeat(q, keep.sum(1)), np.repeat(off, keep.sum(1)), kids[keep]
-                off = off + np.bitwise_count((self.leaf[q] ^ ones[node]) & own[node])
+                off = off + np.bitwise_count((self.leaf[q] ^ ones[node]) & (shared if level == top else own)[node])
                 keep = off <= distance
                 q, off, node = q[keep], off[keep], node[keep]
             for at in range(0, len(q), 1 << 17):
                 a = q[at : at + (1 << 17)]
                 b = node[at : at + (1 << 17), None] * self.page + np.arange(self.page)
-                ok = (b < n) & (b > a[:, None])
+                ok = (b < ends[a][:, None]) & (b > a[:, None])
                 a, b = np.repeat(a, ok.sum(1)), b[ok]
                 near = np.bitwise_count(self.leaf[a] ^ self.leaf[b]) <= distance
                 yield a[near], b[near]
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the representative of each place's part, after the parts of a and b are joined."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        if not open_.any():
+            break
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
 def forest(patterns: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """For distinct patterns: those linked to another, and the representative (one
     of them) of the part that each is in."""
     index = GrayIndex(patterns)
     root = np.arange(len(patterns))
     for a, b in index.links(distance):
-        while len(a):
-            ra, rb = root[a], root[b]
-            open_ = ra != rb
-            if not open_.any():
-                break
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
+        root = joined(root, a, b)
     child = np.flatnonzero(root != np.arange(len(root)))
     return index.leaf[child], index.leaf[root[child]]
 
@@ -252,21 +271,33 @@ def hex16(fp: str = "fp") -> "F.Column":
 
 #: What near_copies() takes: words of a shingle, Jaccard similarity.
 WORDS, SIMILARITY = 5, 0.8
-#: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1.3e-7 at 0.8.
-ROWS, BANDS = 5, 40
-#: Bits in which fingerprints of sets that are so similar may differ: each bit differs with
-#: a probability of about 0.15, so more than this many do with one below 1e-6.
-WITHIN = 28
-#: Sets in a band up to which all its pairs are offered at once.
+#: Bits whose majorities are counted for a set; the fingerprint has the first 64 * LANES of them.
+COUNTED, LANES = 256, 3
+#: Bits in which the first 64 and all bits of two fingerprints at that similarity may differ,
+#: and all bits where a set has fewer than FEW hashes. Each bit differs with a probability of
+#: about 0.15 (0.19 in sets of four and five), so more than so many do with one of about 1e-6
+#: or less; independent sets differ in 96 bits, give or take 7.
+WITHIN, WIDE, WIDE_FEW, FEW = 28, 55, 64, 16
+#: Rotations of the counts, and parts of each. A key is the place and the sign of the largest
+#: count in either part, 16 bits; sets of similarity 0.8 have it in common with a probability
+#: of 0.17, so they share none of all keys with 3e-8 (chance in the counts raises that to
+#: about 1e-6).
+ROTATIONS, HALVES = 96, 2
+#: Sets in a part of a group, linked by their fingerprints, up to which all its pairs are
+#: offered at once.
 SMALL = 8
-#: Sets in a band beyond which it is dealt over several tasks.
+#: Sets in a group beyond which it is dealt over several tasks.
 LARGE = 1024
-#: Single minimum hashes that deal out the members of large bands; sets and shingles of a
+#: Single minimum hashes that deal out the members of large parts; sets and shingles of a
 #: block there, whichever is reached first.
 ALONE, CROWD, CROWD_SHINGLES = 10, 2048, 2 << 20
-_ODD = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-_PLACE = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
-_BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
+_ODD = mix64(np.arange(1, ALONE + 1, dtype=np.uint64)) | np.uint64(1)
+_BAND = mix64(np.arange(2001, 2001 + ALONE, dtype=np.uint64))
+_LANE = mix64(np.arange(3001, 3001 + COUNTED // 64, dtype=np.uint64))
+_SIGNS = np.unpackbits(mix64(np.arange(4001, 4001 + ROTATIONS * COUNTED // 64, dtype=np.uint64)).view(np.uint8)).reshape(ROTATIONS, COUNTED).astype(np.float32) * 2 - 1
+_SIDE = 16
+#: Hadamard matrix of a side: rows and columns of the counts as a square are turned by it.
+_TURN = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(_SIDE)] for i in range(_SIDE)], np.float32)
 
 
 def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -284,32 +315,57 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
 
 
-def set_fingerprint(found: np.ndarray) -> int:
-    """SimHash of a set of hashes, as a signed long."""
-    counts = np.zeros(BITS, np.int64)
-    for lo in range(0, len(found), 8192):
-        counts += np.unpackbits(found[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(found)).view(np.int64)[0])
+def majorities(found: np.ndarray) -> np.ndarray:
+    """For each counted bit: how many hashes of a set have it, less how many don't."""
+    counts = np.zeros(COUNTED, np.int64)
+    for lo in range(0, len(found), 8160):
+        lanes = mix64(found[lo : lo + 8160, None] ^ _LANE)
+        bits = np.unpackbits(lanes.view(np.uint8), axis=1)
+        for at in range(0, len(bits), 255):  # so many fit a byte
+            counts += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return counts * 2 - len(found)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1024):
-        np.minimum(low, (found[at : at + 1024, None] * _ODD).min(axis=0), out=low)
-    return mix64((mix64(low).reshape(BANDS, ROWS) * _PLACE).sum(axis=1) + _BAND)
+def wide_fingerprint(counts: np.ndarray) -> np.ndarray:
+    """SimHash of a set from its majorities, as signed longs."""
+    return np.packbits(counts[: 64 * LANES] > 0).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size (shingles in the set), fp and bands for every document."""
+def group_keys(counts: np.ndarray) -> np.ndarray:
+    """One key for each rotation: where the clearest majorities are."""
+    turned = (counts.astype(np.float32) * _SIGNS).reshape(-1, _SIDE) @ _TURN
+    turned = turned.reshape(ROTATIONS, _SIDE, _SIDE).transpose(0, 2, 1).reshape(-1, _SIDE) @ _TURN
+    part = turned.reshape(ROTATIONS * HALVES, -1)
+    at = np.abs(part).argmax(axis=1)
+    code = (at * 2 + (part[np.arange(len(at)), at] > 0)).reshape(ROTATIONS, HALVES)
+    key = np.arange(ROTATIONS)
+    for i in range(HALVES):
+        key = key * (2 * part.shape[1]) + code[:, i]
+    return key.astype(np.int32)
+
+
+_MARKS = ["size", *[f"fp{i}" for i in range(LANES)]]
+
+
+def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, node, size (shingles in the set), the words fp0, fp1, ... of the fingerprint, and
+    the keys of the groups for every document; a set too small to be so similar to any but its equals has no keys."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            found = [shingles(t.as_py()) for t in b.column(1)]
-            cols = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([set_fingerprint(x) for x in found], pa.int64()), pa.array([band_keys(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "node", "size", "fp", "bands"])
+            nodes, sizes, prints, keys = [], [], [], []
+            for t in b.column(1):
+                found = shingles(t.as_py())
+                counts = majorities(found)
+                nodes.append(node_of(found))
+                sizes.append(len(found))
+                prints.append(wide_fingerprint(counts))
+                keys.append(group_keys(counts) if len(found) / (len(found) + 1) >= similarity else [])
+            lanes = np.array(prints, np.int64).reshape(-1, LANES).T
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(x) for x in lanes], pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "node", *_MARKS, "keys"])
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, node long, size long, fp long, bands array<long>")
+    return docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {key}, node long, {', '.join(f'{c} long' for c in _MARKS)}, keys array<int>")
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
@@ -317,63 +373,73 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 
 def offers(rows: DataFrame, similarity: float, small: int, large: int = 0) -> DataFrame:
-    """rows: key, node, size, fp. Rows a, b: candidates; rows a, key: members of bands of more
-    than `small` sets, which offer one star, from the set nearest to what most of the band's
-    fingerprints have in common; what that leaves apart is for remaining(). A band of more
-    than `large` sets is dealt by hash into parts of about so many, each with its own star,
-    and the stars' centres are a band of their own, and so on: no task gets a whole band."""
+    """rows: key, node, size, fp0, fp1, ... Rows a, b: candidates; rows a, key: members of crowds. In
+    each group of a key a Gray-order index finds the links between fingerprints. Of what they
+    join, a part of up to `small` sets offers all its links; a larger one is a crowd and offers
+    one star, from its least node, so that other keys' groups of the same sets mostly offer the
+    same star; what that leaves apart is for remaining(). A group of more than `large` sets is dealt by hash into
+    parts of about so many, all of one crowd; the centre of each part's largest star (or its
+    first set) goes into a group of such centres, and so on: no task gets a whole group."""
     large = large or LARGE
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
     big = settle(counts.select("key", F.ceil(F.col("n") / large).cast("int").alias("_parts")))
     split = not big.isEmpty()
     dealt = rows.join(big, "key", "left") if split else rows.withColumn("_parts", F.lit(None).cast("int"))
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"), F.lit(-1))
-    dealt = dealt.select("key", part.alias("part"), "size", "node", "fp")
+    dealt = dealt.select("key", part.alias("part"), "node", *_MARKS)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "size", "fp"]
-        for start, (key, part, size, node, fp) in whole_groups(stream, ["key", "part"], ["size", "node", "fp"]):
-            count = np.diff(np.append(start, len(key)))
-            group = np.repeat(np.arange(len(start)), count)
-            pairs, centres = [], []
-            for lo, n in zip(start[count > small].tolist(), count[count > small].tolist(), strict=True):
-                index = GrayIndex(fp[lo : lo + n].view(np.uint64))
-                bits = np.unpackbits(index.leaf.view(np.uint8).reshape(-1, 8), axis=1)
-                common = np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).view(np.uint64)[0]
-                centre = lo + index.order[np.bitwise_count(index.leaf ^ common).argmin()]
-                pairs.append((np.full(n, centre), np.arange(lo, lo + n)))
-                centres.append(centre)
-            crowd = np.repeat(count > small, count)
-            for d in range(1, small):
-                i = np.flatnonzero((group[d:] == group[: len(key) - d]) & ~crowd[d:]) if d < len(key) else np.zeros(0, np.int64)
-                pairs.append((i, i + d))
+        names = ["a", "b", "key", *_MARKS]
+        none = lambda n, k: [pa.nulls(int(n), pa.int64())] * k
+        for start, (key, part, node, n, *lanes) in whole_groups(stream, ["key", "part"], ["node", *_MARKS]):
+            fp = np.stack(lanes, axis=1).view(np.uint64)
+
+            def near(i: np.ndarray, j: np.ndarray, fp: np.ndarray = fp, n: np.ndarray = n) -> np.ndarray:
+                less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                return (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= np.where(less < FEW, WIDE_FEW, WIDE)) & (less / more >= similarity)
+
+            index = GrayIndex(fp[:, 0], group=np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key)))))
+            root = np.arange(len(key))
+            for i, j in index.links(WITHIN, 8192):
+                i, j = index.order[i], index.order[j]
+                ok = near(i, j)
+                root = joined(root, i[ok], j[ok])
+            size = np.bincount(root, minlength=len(root))[root]
+            linked = np.flatnonzero(size > 1)
+            linked = linked[np.argsort(root[linked], kind="stable")]
+            of, crowd = root[linked], size > small
+            pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for d in range(1, min(small, len(linked))):
+                i = np.flatnonzero((of[d:] == of[:-d]) & ~crowd[linked[d:]])
+                pairs.append((linked[i], linked[i + d]))
+            stars = linked[crowd[linked]]
+            for members in np.split(stars, np.flatnonzero(np.diff(root[stars])) + 1) if len(stars) else []:
+                pairs.append((np.full(len(members), members[0]), members))
+                size[members[0]] += 1  # so that it is told from the others below
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            ok = (i != j) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= similarity) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WITHIN)
-            none = lambda n: pa.nulls(int(n), pa.int64())
+            ok = (i != j) & near(i, j)
             if ok.any():
-                n = ok.sum()
-                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), none(n), none(n), none(n)], names=names)
-            member = crowd | (part >= 0)
+                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), *none(ok.sum(), 1 + len(_MARKS))], names=names)
+            dealt_out = part >= 0
+            member = crowd | dealt_out
             if member.any():
-                n = member.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(node[member]), none(n), pa.array(key[member]), none(n), none(n)], names=names)
-            # a part too small for a star stands for itself by its first set
-            up = np.array([*centres, *start[count <= small].tolist()], np.int64)
-            up = up[part[up] >= 0]
-            if len(up):
-                yield pa.RecordBatch.from_arrays([pa.array(node[up]), none(len(up)), pa.array(key[up]), pa.array(size[up]), pa.array(fp[up])], names=names)
-
-    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "size", "node").mapInArrow(run, "a long, b long, key long, size long, fp long")
+                own = mix64(key.view(np.uint64) + mix64(node[root].view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[member]), *none(member.sum(), 1), pa.array(np.where(dealt_out, key, own)[member]), *none(member.sum(), len(_MARKS))], names=names)
+            if dealt_out.any():
+                up = np.array([lo + size[lo:hi].argmax() for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True) if dealt_out[lo]])
+                yield pa.RecordBatch.from_arrays([pa.array(node[up]), *none(len(up), 1), pa.array(key[up]), *[pa.array(x[up]) for x in (n, *lanes)]], names=names)
+
+    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long, key long, " + ", ".join(f"{c} long" for c in _MARKS))
     if not split:
         return found.select("a", "b", "key")
     found = settle(found)
-    centres = found.where(F.col("size").isNotNull()).select("key", F.col("a").alias("node"), "size", "fp")
+    centres = found.where(F.col("size").isNotNull()).select("key", F.col("a").alias("node"), *_MARKS)
     return found.select("a", "b", "key").union(offers(centres, similarity, small, large))
 
 
 def _least(found: np.ndarray) -> np.ndarray:
     """Keys of a set: one for each of ALONE minimum hashes."""
-    return mix64(mix64((found[:, None] * _ODD[:ALONE]).min(axis=0)) + _BAND[:ALONE])
+    return mix64(mix64((found[:, None] * _ODD).min(axis=0)) + _BAND)
 
 
 def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -422,8 +488,8 @@ def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np
 
 
 def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int = 0) -> DataFrame:
-    """crowd: key, node, root of the members of large bands; known: node, found. A spanning
-    forest a, b of the links between different roots. Members of bands that hold several
+    """crowd: key, node, root of the members of crowds; known: node, found. A spanning
+    forest a, b of the links between different roots. Members of crowds that hold several
     roots are dealt out anew, by ALONE single minimum hashes (a pair at 0.8 shares none of
     them with probability 1e-7), and compared where they meet, with their sets at hand: no
     pairs are sent. A bucket of more than CROWD sets, or CROWD_SHINGLES shingles, is cut into
@@ -500,9 +566,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, small: int = SM
     null, so is component_id. Repeated rows come out repeated. Very long texts are read whole.
     An empty table gives no rows. Shingles and sets are told apart by 64-bit hashes; a pair at
     the threshold is overlooked with a probability of about 1e-6 and a closer one less often."""
-    marks = settle(sketches(docs))
-    first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    found = settle(offers(first.select(F.explode("bands").alias("key"), "node", "size", "fp"), similarity, small).distinct())
+    marks = settle(sketches(docs, similarity))
+    first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_MARKS, "keys")]))
+    found = settle(offers(first.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *_MARKS), similarity, small).distinct())
     pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     known = settle(sets(docs, settle(first.select("node", "first").join(nodes, "node", "left_semi"))))

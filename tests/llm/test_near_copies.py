@@ -146,3 +146,34 @@ def test_blocks_by_shingles(spark, monkeypatch):
     rows = [(1000 + d, t) for d, t in near_corpus()]
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows, False), small=2).collect())
     assert got == sorted(zip([d for d, _ in rows], components(rows), strict=True))
+
+
+def test_fingerprints_alone_deal_out_near_copies():
+    """Sets of Jaccard similarity 0.8 share a key of their fingerprints' counts and lie within
+    the bits that the index searches; independent sets share few keys."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n, apart in [(4, 0), (9, 1), (36, 4), (180, 20)]:
+        for _ in range(100):
+            pool = r.permutation(np.unique(r.integers(0, 1 << 63, 2 * n + apart + 1).astype(np.uint64)))
+            a, b = np.sort(pool[:n]), np.sort(pool[apart : n + max(apart, 1)])
+            x, y, z = (simhash.majorities(s) for s in (a, b, np.sort(pool[-n:])))
+            assert (simhash.group_keys(x) == simhash.group_keys(y)).any()
+            off = np.bitwise_count((simhash.wide_fingerprint(x) ^ simhash.wide_fingerprint(y)).view(np.uint64))
+            assert off[0] <= simhash.WITHIN and off.sum(dtype=np.int64) <= (simhash.WIDE_FEW if n < simhash.FEW else simhash.WIDE)
+            if n > 30:
+                assert (simhash.group_keys(x) == simhash.group_keys(z)).sum() <= 12
+
+
+def test_one_index_searches_many_groups():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    group = np.sort(r.integers(0, 60, 700))
+    group[:300] = 0  # one that spans many pages
+    fp = r.integers(0, 1 << 12, 700).astype(np.uint64)
+    index = simhash.GrayIndex(fp, group=group)
+    got = {frozenset((int(index.order[i]), int(index.order[j]))) for a, b in index.links(2) for i, j in zip(a, b, strict=True)}
+    want = {frozenset((i, j)) for i in range(700) for j in range(i) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 2}
+    assert got == want

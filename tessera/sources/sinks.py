@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,11 +24,18 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _put(store: pafs.FileSystem, at: str, data: bytes) -> None:
-    """Writes a file aside and renames it, so that it is there whole or not at all."""
+def _put(store: pafs.FileSystem, at: str, data: bytes | Iterable[bytes]) -> None:
+    """Writes a file aside and renames it, so that it is there whole or not at all. What comes
+    in pieces is written piece by piece."""
     aside = f"{at}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(aside) as out:
-        out.write(data)
+    try:
+        with store.open_output_stream(aside, buffer_size=1 << 20) as out:
+            for piece in [data] if isinstance(data, bytes) else data:
+                out.write(piece)
+    except BaseException:
+        if store.get_file_info(aside).type != pafs.FileType.NotFound:
+            store.delete_file(aside)
+        raise
     store.move(aside, at)
 
 
@@ -62,11 +70,16 @@ class _Writer(DataSourceWriter):
     def write(self, iterator: Iterator) -> _Written:
         store, at = _store(self.path)
         store.create_dir(f"{at}/rows")
-        name, lines = f"{uuid.uuid4().hex}.jsonl", []
-        for row in iterator:
-            lines.append(json.dumps({"key": row["key"], "digest": row["digest"], "item": row["item"]}))
-        _put(store, f"{at}/rows/{name}", "".join(x + "\n" for x in lines).encode())
-        return _Written(name, len(lines))
+        name, n = f"{uuid.uuid4().hex}.jsonl", 0
+
+        def lines() -> Iterator[bytes]:
+            nonlocal n
+            for row in iterator:
+                n += 1
+                yield json.dumps({"key": row["key"], "digest": row["digest"], "item": row["item"]}).encode() + b"\n"
+
+        _put(store, f"{at}/rows/{name}", lines())
+        return _Written(name, n)
 
     def commit(self, messages: list) -> None:
         store, at = _store(self.path)
@@ -105,10 +118,9 @@ class _Reader(DataSourceReader):
             return
         store, at = _store(self.path)
         with store.open_input_stream(f"{at}/rows/{partition.value}") as f:
-            for line in f.read().decode().split("\n"):
-                if line:
-                    row = json.loads(line)
-                    yield row["key"], row["digest"], row["item"]
+            for line in io.TextIOWrapper(io.BufferedReader(f, 1 << 20), "utf-8", newline="\n"):
+                row = json.loads(line)
+                yield row["key"], row["digest"], row["item"]
 
 
 class DocumentStore(DataSource):

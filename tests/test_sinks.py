@@ -192,3 +192,20 @@ def test_content_lands_once_and_is_resumed(spark, tmp_path):
     assert os.stat(f"{raw}/{sha}.pdf").st_mtime_ns == times[f"{sha}.pdf"] and len(os.listdir(raw)) == 3
     again = S.land(spark.createDataFrame(first, RAW), raw, ledger, (".pdf",))
     assert again.count() == 0 and spark.read.schema("url string").parquet(ledger).count() == 5
+
+
+def test_a_task_of_the_store_holds_one_row_at_a_time(tmp_path):
+    """Writing and reading 200 items of 1 MB takes the memory of a few."""
+    import tracemalloc
+
+    options = {"path": str(tmp_path / "kb"), "batch": "one"}
+    writer = S._Writer(options, type("Schema", (), {"names": ["key", "digest", "item"]})(), False)
+    tracemalloc.start()
+    try:
+        said = writer.write({"key": str(i), "digest": "d", "item": "x" * (1 << 20)} for i in range(200))
+        writer.commit([said])
+        (part,) = S._Reader(options).partitions()
+        assert said.rows == sum(len(item) == 1 << 20 for _, _, item in S._Reader(options).read(part)) == 200
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()

@@ -58,6 +58,8 @@ DATE_NODES = ("[class*=time]", "[class*=date]", "[id*=time]", "[id*=date]")
 
 #: Most elements inside each other, as in browsers; deeper ones become siblings.
 DEEPEST = 512
+#: Entries of whole pages that a task makes into arrays at once.
+HELD = 10_000
 _ENDS_P = {*SECTIONS, *HEADINGS, "address", "aside", "dl", "fieldset", "figure", "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "table", "ul"}
 _CELLS = {"td", "th", "caption"}
 _GROUPS = {"thead", "tbody", "tfoot"}
@@ -237,11 +239,11 @@ def dom(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "h
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            lo, sources = 0, batch.column(2).to_pylist()
+            lo, sources = 0, batch.column(2)
             while lo < len(sources):
                 hi, held, ends = lo, [], [0]
-                while hi < len(sources) and len(held) < 50_000:
-                    held += tree(sources[hi] or "", drop)
+                while hi < len(sources) and len(held) < HELD:
+                    held += tree(sources[hi].as_py() or "", drop)
                     ends.append(len(held))
                     hi += 1
                 columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), types, strict=True)]

@@ -253,3 +253,26 @@ def test_resolved_equals_the_standard_join(spark):
     assert [(r.b, r.h, r.u) for r in got if r.u != urljoin(r.b, r.h.strip())] == []
     none = spark.createDataFrame([("http://h.example", x) for x in ("", None, "javascript:x()", "mailto:a@b", "#top", "tel:1")], "b string, h string")
     assert {r.u for r in none.select(U.resolved("b", "h").alias("u")).collect()} == {""}
+
+
+def test_pages_become_arrays_in_small_runs():
+    """Of a batch of many pages a task holds the entries of a few, not all."""
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType
+
+    from tessera.operators import dom as D
+
+    class Pages:
+        schema = {k: type("Field", (), {"dataType": t()})() for k, t in (("page_id", LongType), ("url", StringType), ("html", StringType))}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n = 300
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": ["<p>a</p>" * 50] * n})
+    got = list(D.dom(Pages())(iter([batch])))
+    assert [x for b in got for x in b.column("page_id").to_pylist()] == list(range(n))
+    assert max(len(b.column("nodes").values) for b in got) <= 10_200

@@ -13,7 +13,9 @@ near_copies() is the form for a similarity of shingle sets. At a Jaccard similar
 fingerprint can deal out. There fingerprints are longer, and the bits with the clearest
 majorities, which near copies seldom tell apart, deal them out: once for each of several
 rotations of the counts behind the fingerprint. One Gray-order index over a run of
-groups finds the links in each, and every link is checked on the whole sets of shingles."""
+groups finds the links in each. A group hands on who is linked with whom as one row for
+each member; a set is offered with two others of all groups, and whatever the links
+checked on whole sets of shingles leave apart is compared in small parts and crowds."""
 
 from __future__ import annotations
 
@@ -283,8 +285,10 @@ WITHIN, WIDE, WIDE_FEW, FEW = 28, 55, 64, 16
 #: of 0.17, so they share none of all keys with 3e-8 (chance in the counts raises that to
 #: about 1e-6).
 ROTATIONS, HALVES = 96, 2
+#: Bits of all in which the fingerprints of a set and the least of its clear links differ.
+CLEAR = 24
 #: Sets in a part of a group, linked by their fingerprints, up to which all its pairs are
-#: offered at once.
+#: offered, if they are apart (63 at most).
 SMALL = 8
 #: Sets in a group beyond which it is dealt over several tasks.
 LARGE = 1024
@@ -373,13 +377,14 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 
 def offers(rows: DataFrame, similarity: float, small: int, large: int = 0) -> DataFrame:
-    """rows: key, node, size, fp0, fp1, ... Rows a, b: candidates; rows a, key: members of crowds. In
+    """rows: key, node, size, fp0, fp1, ... Rows node, key, nears, off, other, low: members of parts. In
     each group of a key a Gray-order index finds the links between fingerprints. Of what they
-    join, a part of up to `small` sets offers all its links; a larger one is a crowd and offers
-    one star, from its least node, so that other keys' groups of the same sets mostly offer the
-    same star; what that leaves apart is for remaining(). A group of more than `large` sets is dealt by hash into
-    parts of about so many, all of one crowd; the centre of each part's largest star (or its
-    first set) goes into a group of such centres, and so on: no task gets a whole group."""
+    join, a part of up to `small` sets goes by a hash of its members, with a bit of nears for
+    each following member (by node) that is linked; a larger one is a crowd, goes by its least
+    node and has no nears. other is a member's closest link, off bits away, low the least of
+    its clear ones. A group of more than `large` sets is dealt by hash into
+    parts of about so many, all of one crowd; the first set of each part's largest
+    goes into a group of such sets, and so on: no task gets a whole group."""
     large = large or LARGE
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large)
     big = settle(counts.select("key", F.ceil(F.col("n") / large).cast("int").alias("_parts")))
@@ -387,54 +392,76 @@ def offers(rows: DataFrame, similarity: float, small: int, large: int = 0) -> Da
     dealt = rows.join(big, "key", "left") if split else rows.withColumn("_parts", F.lit(None).cast("int"))
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"), F.lit(-1))
     dealt = dealt.select("key", part.alias("part"), "node", *_MARKS)
+    found_columns = ["node", "key", "nears", "off", "other", "low"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", *_MARKS]
+        names = [*found_columns, *_MARKS]
         none = lambda n, k: [pa.nulls(int(n), pa.int64())] * k
+        never = np.iinfo(np.int64).max
         for start, (key, part, node, n, *lanes) in whole_groups(stream, ["key", "part"], ["node", *_MARKS]):
             fp = np.stack(lanes, axis=1).view(np.uint64)
 
-            def near(i: np.ndarray, j: np.ndarray, fp: np.ndarray = fp, n: np.ndarray = n) -> np.ndarray:
+            def near(i: np.ndarray, j: np.ndarray, fp: np.ndarray = fp, n: np.ndarray = n) -> tuple[np.ndarray, np.ndarray]:
                 less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                return (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= np.where(less < FEW, WIDE_FEW, WIDE)) & (less / more >= similarity)
+                off = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+                return off, (off <= np.where(less < FEW, WIDE_FEW, WIDE)) & (less / more >= similarity)
 
             index = GrayIndex(fp[:, 0], group=np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key)))))
             root = np.arange(len(key))
+            best, low = np.full(len(key), never), np.full(len(key), never)
             for i, j in index.links(WITHIN, 8192):
                 i, j = index.order[i], index.order[j]
-                ok = near(i, j)
-                root = joined(root, i[ok], j[ok])
+                off, ok = near(i, j)
+                i, j, off = i[ok], j[ok], off[ok]
+                root = joined(root, i, j)
+                np.minimum.at(best, i, off << 32 | j)
+                np.minimum.at(best, j, off << 32 | i)
+                i, j = i[off <= CLEAR], j[off <= CLEAR]
+                np.minimum.at(low, np.maximum(i, j), np.minimum(i, j))  # places in a group go by node
             size = np.bincount(root, minlength=len(root))[root]
             linked = np.flatnonzero(size > 1)
             linked = linked[np.argsort(root[linked], kind="stable")]
             of, crowd = root[linked], size > small
-            pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            nears = np.zeros(len(key), np.int64)
             for d in range(1, min(small, len(linked))):
                 i = np.flatnonzero((of[d:] == of[:-d]) & ~crowd[linked[d:]])
-                pairs.append((linked[i], linked[i + d]))
-            stars = linked[crowd[linked]]
-            for members in np.split(stars, np.flatnonzero(np.diff(root[stars])) + 1) if len(stars) else []:
-                pairs.append((np.full(len(members), members[0]), members))
-                size[members[0]] += 1  # so that it is told from the others below
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            ok = (i != j) & near(i, j)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([*_pairs(node[i[ok]], node[j[ok]]), *none(ok.sum(), 1 + len(_MARKS))], names=names)
+                ok = near(linked[i], linked[i + d])[1]
+                nears[linked[i[ok]]] |= 1 << (d - 1)
             dealt_out = part >= 0
-            member = crowd | dealt_out
+            member = (size > 1) | dealt_out
             if member.any():
-                own = mix64(key.view(np.uint64) + mix64(node[root].view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[member]), *none(member.sum(), 1), pa.array(np.where(dealt_out, key, own)[member]), *none(member.sum(), len(_MARKS))], names=names)
+                named = np.zeros(len(key), np.uint64)
+                np.add.at(named, root, mix64(node.view(np.uint64)))
+                own = np.where(crowd, node[root], mix64(named)[root].view(np.int64))
+                whose = [pa.array(np.where(dealt_out, key, own)[member]), pa.array(nears[member], mask=(crowd | dealt_out)[member])]
+                off, other = best >> 32, node[np.where(best < never, best & 0xFFFFFFFF, 0)]
+                closest = [pa.array(x[member], mask=(best == never)[member]) for x in (off, other)]
+                least = pa.array(node[np.where(low < never, low, 0)][member], mask=(low == never)[member])
+                yield pa.RecordBatch.from_arrays([pa.array(node[member]), *whose, *closest, least, *none(member.sum(), len(_MARKS))], names=names)
             if dealt_out.any():
                 up = np.array([lo + size[lo:hi].argmax() for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True) if dealt_out[lo]])
-                yield pa.RecordBatch.from_arrays([pa.array(node[up]), *none(len(up), 1), pa.array(key[up]), *[pa.array(x[up]) for x in (n, *lanes)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(node[up]), pa.array(key[up]), *none(len(up), 4), *[pa.array(x[up]) for x in (n, *lanes)]], names=names)
 
-    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long, key long, " + ", ".join(f"{c} long" for c in _MARKS))
+    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, ", ".join(f"{c} long" for c in (*found_columns, *_MARKS)))
     if not split:
-        return found.select("a", "b", "key")
+        return found.select(*found_columns)
     found = settle(found)
-    centres = found.where(F.col("size").isNotNull()).select("key", F.col("a").alias("node"), *_MARKS)
-    return found.select("a", "b", "key").union(offers(centres, similarity, small, large))
+    centres = found.where(F.col("size").isNotNull()).select("key", "node", *_MARKS)
+    return found.select(*found_columns).union(offers(centres, similarity, small, large))
+
+
+def between(parts: DataFrame, small: int) -> DataFrame:
+    """parts: key, node, nears, root, sure of the members of small parts. Pairs a, b of linked
+    members with different roots, unless both are sure to be compared elsewhere."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, node, nears, root, sure) in whole_groups(stream, ["key"], ["node", "nears", "root", "sure"]):
+            for d in range(1, min(small, len(key))):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (nears[:-d] >> (d - 1) & 1 == 1) & (root[d:] != root[:-d]) & ~(sure[d:] & sure[:-d]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(_pairs(node[i], node[i + d]), names=["a", "b"])
+
+    return parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _least(found: np.ndarray) -> np.ndarray:
@@ -487,16 +514,14 @@ def _tied(tokens: list[np.ndarray], size: np.ndarray, root: np.ndarray, left: np
     return tuple(np.concatenate(out, axis=1))
 
 
-def remaining(crowd: DataFrame, known: DataFrame, similarity: float, block: int = 0) -> DataFrame:
-    """crowd: key, node, root of the members of crowds; known: node, found. A spanning
-    forest a, b of the links between different roots. Members of crowds that hold several
-    roots are dealt out anew, by ALONE single minimum hashes (a pair at 0.8 shares none of
+def remaining(members: DataFrame, known: DataFrame, similarity: float, block: int = 0) -> DataFrame:
+    """members: node, root of the members of crowds that hold several roots; known: node, found.
+    A spanning forest a, b of the links between different roots. The members
+    are dealt out anew, by ALONE single minimum hashes (a pair at 0.8 shares none of
     them with probability 1e-7), and compared where they meet, with their sets at hand: no
     pairs are sent. A bucket of more than CROWD sets, or CROWD_SHINGLES shingles, is cut into
     blocks, and each pair of blocks is a group of its own, so no task holds more than two."""
     block = block or CROWD
-    mixed = crowd.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = settle(crowd.join(mixed, "key", "left_semi").select("node", "root").distinct())
     some = known.join(members.select("node"), "node", "left_semi")
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -568,17 +593,23 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, small: int = SM
     the threshold is overlooked with a probability of about 1e-6 and a closer one less often."""
     marks = settle(sketches(docs, similarity))
     first = settle(marks.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_MARKS, "keys")]))
-    found = settle(offers(first.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *_MARKS), similarity, small).distinct())
-    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    found = offers(first.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *_MARKS), similarity, small)
+    parts = settle(found.groupBy("node", "key", "nears").agg(F.min(F.when(F.col("other").isNotNull(), F.struct("off", "other"))).alias("closest"), F.min("low").alias("low")))
+    nodes = settle(parts.groupBy("node").agg(F.min("closest").alias("closest"), F.min("low").alias("low")))
     known = settle(sets(docs, settle(first.select("node", "first").join(nodes, "node", "left_semi"))))
-    links = settle(verified(pairs, known, similarity))
-    root = components(links)
-    if not crowd.isEmpty():
-        apart = settle(remaining(crowd.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), known, similarity))
-        more = settle(verified(apart, known, similarity))
-        if not more.isEmpty():
-            root = components(links.union(more))
+    offered = nodes.select("node", F.explode(F.array("closest.other", "low")).alias("other")).where("other is not null")
+    root = components(verified(offered.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), known, similarity))
+    # what is apart is tied at the roots; crowds of several roots are compared as a whole, all other links one by one
+    root = settle(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    rooted = parts.select("node", "key", "nears").join(root, "node")
+    mixed = rooted.where("nears is null").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = settle(rooted.where("nears is null").join(mixed, "key", "left_semi").select("node", "root").distinct())
+    loose = rooted.where("nears is not null").join(members.select("node", F.lit(True).alias("sure")), "node", "left").fillna(False, ["sure"])
+    more = settle(verified(between(loose, small), known, similarity))
+    if not members.isEmpty():
+        more = settle(more.union(remaining(members, known, similarity)))
+    ends = more.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    root = root.join(components(ends).toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     linked = root.join(first.select("node", "first"), "node").select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_node = first.select("node", "first").join(linked.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))

@@ -177,3 +177,22 @@ def test_one_index_searches_many_groups():
     got = {frozenset((int(index.order[i]), int(index.order[j]))) for a, b in index.links(2) for i, j in zip(a, b, strict=True)}
     want = {frozenset((i, j)) for i in range(700) for j in range(i) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 2}
     assert got == want
+
+
+@pytest.mark.parametrize("changes", [(0, 4), (4, 12)])
+def test_offered_pairs_grow_with_sets_not_with_groups(spark, monkeypatch, changes):
+    """Copies of one text, close to each other or mostly below the threshold: each offers
+    few pairs, however large the group and whatever keys its members share."""
+    counted, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: counted.append(pairs.count()) or verified(pairs, *a))
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        changed = list(words)
+        for at in r.sample(range(150), r.randint(*changes)):
+            changed[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(changed)))
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(frame(spark, rows)).collect())
+    assert got == sorted(zip([d for d, _ in rows], components(rows), strict=True))
+    assert sum(counted) <= 3 * len(rows), counted

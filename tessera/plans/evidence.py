@@ -11,6 +11,7 @@ from ..operators import dom as D
 from ..operators import html as H
 from ..operators import retrieval as R
 from ..operators import store as ST
+from ..sources.tables import settle
 from ..sources.tables import zip_members as scan_zip
 from .registry import query
 
@@ -381,8 +382,8 @@ def span_expand(t):
 @query("candidates", _plain(f"WITH p AS (SELECT page_id AS doc_id, url, {_TITLE} AS title FROM pages) SELECT p.doc_id, p.url, CASE WHEN p.title <> '' THEN p.title ELSE coalesce(u.title, '') END AS title, r.parent_id IS NOT NULL AS attachment FROM p LEFT JOIN relations r ON r.child_id = p.doc_id LEFT JOIN p u ON u.doc_id = r.parent_id"))
 def candidates_assembly(t):
     """Frontier joined with what was fetched; attachments inherit a title from their parent."""
-    p = trees(t).select(F.col("page_id").alias("doc_id"), D.title("nodes", F.col("found")).alias("title"))
+    p = settle(trees(t).select(F.col("page_id").alias("doc_id"), "url", D.title("nodes", F.col("found")).alias("title")))
     rel = t.relations().select(F.col("child_id").alias("doc_id"), "parent_id")
     up = p.select(F.col("doc_id").alias("parent_id"), F.col("title").alias("parent_title"))
-    d = t("pages").select(F.col("page_id").alias("doc_id"), "url").join(p, "doc_id").join(rel, "doc_id", "left").join(up, "parent_id", "left")
+    d = p.join(rel, "doc_id", "left").join(up, "parent_id", "left")
     return d.select("doc_id", "url", X.first_present("title", F.coalesce("parent_title", F.lit(""))).alias("title"), F.col("parent_id").isNotNull().alias("attachment"))
